@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import tokenfile
+from granary.llm import packing, tokenfile
 
 
 def queries() -> dict:
-    return {"op7_token_ids": tokenfile.op7_token_ids}
+    return {"op3_best_fit_packing": packing.op3_best_fit_packing, "op7_token_ids": tokenfile.op7_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
