@@ -64,12 +64,12 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) byte places of all words, and n + 1 offsets of each text's words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    sep = _SEP[data]
+    sep = separators[data]
     first = np.empty(n, dtype=bool)
     first[0] = True
     first[1:] = sep[:-1]
