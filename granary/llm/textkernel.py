@@ -30,7 +30,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 # A random 64-bit value for each byte, from a counter; folding to lower case is built in.
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))[_LOWER]
+_AS_IS = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_BYTE = _AS_IS[_LOWER]
 _P = U64(0xD6E8FEB86659FD93)
 _P_INV = U64(pow(int(_P), -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -86,8 +87,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _
     return s, e, np.searchsorted(s, offsets)
 
 
-def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans (in order, not overlapping), A-Z folded."""
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans (starts and ends ascending), A-Z folded."""
+    value = _BYTE if fold else _AS_IS
     out = np.empty(len(s), dtype=U64)
     i = 0
     while i < len(s):
@@ -96,7 +98,7 @@ def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         top = int(e[j - 1])
         pw, inv = _powers(top - base + 1)
         h = np.zeros(top - base + 1, dtype=U64)
-        np.multiply(_BYTE[data[base:top]], pw[: top - base], out=h[1:])
+        np.multiply(value[data[base:top]], pw[: top - base], out=h[1:])
         np.add.accumulate(h, out=h)
         a, b = s[i:j] - base, e[i:j] - base
         out[i:j] = (h[b] - h[a]) * inv[a] + (b - a).astype(U64)
