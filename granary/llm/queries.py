@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import fingerprint, jaccard, packing, prefixcount, quality, tokenfile, toxicity
+from granary.llm import fingerprint, jaccard, lm, packing, prefixcount, quality, tokenfile, toxicity
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": fingerprint.op1_fingerprints, "op2_quality": quality.op2_quality, "op3_best_fit_packing": packing.op3_best_fit_packing, "op4_token_counts": prefixcount.op4_token_counts, "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join, "op7_token_ids": tokenfile.op7_token_ids, "op9_toxicity": toxicity.op9_toxicity}
+    return {"op1_fingerprints": fingerprint.op1_fingerprints, "op2_quality": quality.op2_quality, "op3_best_fit_packing": packing.op3_best_fit_packing, "op4_token_counts": prefixcount.op4_token_counts, "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join, "op6_lm_scores": lm.op6_lm_scores, "op7_token_ids": tokenfile.op7_token_ids, "op9_toxicity": toxicity.op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
