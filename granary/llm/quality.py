@@ -94,41 +94,60 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document of docs, learnt from the texts
-    of `labelled` with `labels` (doc_id, label)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    own = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    learnt = common.kept(toxicity.learnt_rows(labelled, labels, label, SAMPLE), "learnt")
+def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+    """The model of `train`, from at most `SAMPLE` rows of `labelled` with `labels`."""
+    common.bounded_batches(labelled.sparkSession)
+    learnt = common.kept(toxicity.learnt_rows(labelled, labels, label, SAMPLE, id_col), "learnt")
 
     def gather(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []
-        for first, part in blocks(b.column(0)):
+        for _, part in blocks(b.column(0)):
             text, bucket = features(part)
             key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
             off = np.searchsorted(key // BUCKETS, np.arange(len(part) + 1))
             found += [(np.uint32(key[i:j] % BUCKETS).tobytes(), np.uint32(count[i:j]).tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
         return pa.RecordBatch.from_pydict({"label": b.column(1), "hash": b.column(2), "buckets": pa.array([x for x, _ in found], pa.binary()), "counts": pa.array([x for _, x in found], pa.binary())})
 
-    sample = own(labelled).join(F.broadcast(learnt), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("hash"))  # at most SAMPLE rows of two numbers
+    texts = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(learnt), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("hash"))  # at most SAMPLE rows of two numbers
     rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash").collect()  # at most SAMPLE rows of BUCKETS
-    table, bias = train([(np.frombuffer(bytes(r["buckets"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.uint32), r["label"]) for r in rows])
-    model = spark.sparkContext.broadcast((table, bias))  # BUCKETS numbers
+    return train([(np.frombuffer(bytes(r["buckets"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.uint32), r["label"]) for r in rows])
+
+
+def score(col, model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    table, bias = model
+    out = np.zeros(len(col))
+    for first, part in blocks(col):
+        text, bucket = features(part)
+        n = np.bincount(text, minlength=len(part))
+        out[first : first + len(part)] = np.bincount(text, table[bucket], len(part)) / np.maximum(n, 1)
+    return 1 / (1 + np.exp(-(out + bias)))
+
+
+def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document of docs, learnt from the texts
+    of `labelled` with `labels` (doc_id, label)."""
+    model = docs.sparkSession.sparkContext.broadcast(learnt_model(labelled, labels, label, id_col, text_col))  # BUCKETS numbers
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        table, bias = model.value
-        out = np.zeros(b.num_rows)
-        for first, part in blocks(b.column(1)):
-            text, bucket = features(part)
-            n = np.bincount(text, minlength=len(part))
-            out[first : first + len(part)] = np.bincount(text, table[bucket], len(part)) / np.maximum(n, 1)
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(1 / (1 + np.exp(-(out + bias))))})
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(score(b.column(1), model.value))})
 
-    out = common.arrow_map(own(docs), run, "doc_id long, score double")
+    out = common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(common.remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def filtered(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold: one map."""
+    model = docs.sparkSession.sparkContext.broadcast(learnt_model(labelled, labels, label, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(score(b.column(at), model.value) >= threshold))
+
+    return common.arrow_map(docs, run, docs.schema)
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     docs = common.documents(spark, sf_dir)
