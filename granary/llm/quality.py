@@ -23,7 +23,7 @@ from granary.llm import common, toxicity
 from granary.llm import textkernel as K
 
 #: Bound of the labelled rows that are learnt from.
-SAMPLE = 6_000
+SAMPLE = 4_000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 RUNS = (3, 4)
 AGAIN = 1
