@@ -80,7 +80,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int, frequency: np.ndarray) -> DataFrame:
-    """(token, node, n, pos): the rare-first prefix of every set, once for equal sets of a
+    """(token, doc, node, n, pos): the rare-first prefix of every set, once for equal sets of a
     partition, so a group of copies makes at most one list entry a partition."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
@@ -92,7 +92,8 @@ def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int, frequenc
             s, off = K.distinct(*K.shingles(*K.words(b.column(1)), k))
             node = links.digest(s, off).tolist()
             often = shared.value[(s >> _SHIFT).astype(np.int64)]
-            token, sizes, own = [], [], []
+            docs_of = b.column(0).to_numpy()
+            token, sizes, own, at = [], [], [], []
             for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 if hi == lo or node[i] in seen:
                     continue
@@ -102,13 +103,14 @@ def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int, frequenc
                 token.append(s[lo:hi][np.argsort(often[lo:hi], kind="stable")[:first]])
                 sizes.append(n)
                 own.append(node[i])
+                at.append(docs_of[i])
             if not token:
                 continue
             lengths = np.array([len(x) for x in token])
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token).view(np.int64)), "node": pa.array(np.repeat(np.array(own, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(pos.astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token).view(np.int64)), "doc": pa.array(np.repeat(np.array(at, np.int64), lengths)), "node": pa.array(np.repeat(np.array(own, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(pos.astype(np.int32))})
 
-    return docs.mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.mapInArrow(run, "token long, doc long, node long, n int, pos int")
 
 
 def node_table(rows: DataFrame) -> DataFrame:

@@ -55,18 +55,20 @@ def runs(batches: Iterator[pa.RecordBatch], key: Callable[[pa.RecordBatch], np.n
             yield b, key(b)
 
 
-def star_pairs(postings: DataFrame, keys: list[str]) -> DataFrame:
-    """Every node of a posting list paired with the list's first node.
+def star_pairs(postings: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Every node of a posting list with the list's first node in the given order, that one
+    included; lists of one node are left out.
 
     postings: (*keys, node, n, more columns).  One streaming pass over sorted partitions:
     nothing but the first row of the current list is held, however long the list."""
     columns = [c for c in postings.columns if c not in keys]
-    ordered = postings.repartition(*keys).sortWithinPartitions(*keys, "node")
+    ordered = postings.repartition(*keys).sortWithinPartitions(*keys, *order)
     kinds = {f.name: f.dataType.simpleString() for f in postings.schema}
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} {kinds[c]}" for c in columns] + [f"first_{c} {kinds[c]}" for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # key and row of the current list's first posting
+        told = False  # whether that row was given out
         for b in batches:
             if not b.num_rows:
                 continue
@@ -78,18 +80,22 @@ def star_pairs(postings: DataFrame, keys: list[str]) -> DataFrame:
                 new[0] = False
             # place of the first posting for every row; -1 is the held one
             first = np.maximum.accumulate(np.where(new, np.arange(len(ks)), -1))
-            out = {k: pa.array(arrays[k]) for k in keys} | {c: pa.array(arrays[c]) for c in columns}
+            firsts = {}
             for c in columns:
                 v = arrays[c][np.maximum(first, 0)]
-                if held is not None:
-                    v = np.where(first < 0, np.asarray(held[1][c], v.dtype), v)
-                out[f"first_{c}"] = pa.array(v)
+                firsts[c] = v if held is None else np.where(first < 0, np.asarray(held[1][c], v.dtype), v)
+            keep = np.flatnonzero(firsts["node"] != arrays["node"])
+            if len(keep):
+                lists, at = np.unique(first[keep], return_index=True)
+                head = keep[at[(lists >= 0) | (not told)]]  # once for each list of two nodes at least
+                out = {k: np.concatenate([arrays[k][head], arrays[k][keep]]) for k in keys}
+                out |= {c: np.concatenate([firsts[c][head], arrays[c][keep]]) for c in columns}
+                out |= {f"first_{c}": np.concatenate([firsts[c][head], firsts[c][keep]]) for c in columns}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in out.items()})
             at = int(first[-1])
             if at >= 0:
-                held = (tuple(ks[-1]), {c: arrays[c][at] for c in columns})
-            keep = out["first_node"].to_numpy() != arrays["node"]
-            if keep.any():
-                yield pa.RecordBatch.from_pydict(out).filter(pa.array(keep))
+                held, told = (tuple(ks[-1]), {c: arrays[c][at] for c in columns}), False
+            told = told or bool(len(keep) and first[keep[-1]] == at)
 
     return ordered.mapInArrow(run, schema)
 
@@ -190,43 +196,48 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numera
 def _cells(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b) of nodes of different classes within the cells of long lists.
 
-    rows: (token, i, j, block, node, n, pos, class), at most 2 * `CELL_ROWS` a cell."""
+    rows: (token, i, j, block, node, n, pos, class), at most about 2 * `CELL_ROWS` a cell."""
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        node, n, pos, cls, block = (t.column(c).to_numpy() for c in ("node", "n", "pos", "class", "block"))
-        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        found = []
-        for lo in range(0, len(node), 256):
-            r = slice(lo, lo + 256)
-            total = n[r, None] + n[None, :]
-            need = -(-numerator * total // (numerator + denominator))
-            ok = (cls[r, None] != cls[None, :]) & (np.minimum(n[r, None] - pos[r, None], n[None, :] - pos[None, :]) >= need)
-            ok &= denominator * np.minimum(n[r, None], n[None, :]) >= numerator * np.maximum(n[r, None], n[None, :])
-            ok &= (block[r, None] < block[None, :]) if across else (np.arange(lo, min(lo + 256, len(node)))[:, None] < np.arange(len(node))[None, :])
-            x, y = np.nonzero(ok)
-            found.append((node[x + lo], node[y]))
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not len(a):
+    def pairs(t: pa.RecordBatch | pa.Table) -> pa.RecordBatch | None:
+        """All cells of the table at once: every row with the next, the next but one, ..."""
+        token, i, j, block, node, n, pos, cls = (t.column(c).to_numpy() for c in ("token", "i", "j", "block", "node", "n", "pos", "class"))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cut = np.append(np.flatnonzero(new), len(token))
+        end = np.repeat(cut[1:], np.diff(cut))
+        across = i != j
+        a, b = [], []
+        x = np.arange(len(token))
+        for step in range(1, int(np.diff(cut).max())):
+            x = x[x + step < end[x]]
+            y = x + step
+            ok = cls[x] != cls[y]
+            ok &= ~across[x] | (block[x] != block[y])
+            n_x, n_y = n[x], n[y]
+            need = -(-numerator * (n_x + n_y) // (numerator + denominator))
+            ok &= np.minimum(n_x - pos[x], n_y - pos[y]) >= need
+            ok &= denominator * np.minimum(n_x, n_y) >= numerator * np.maximum(n_x, n_y)
+            a.append(node[x[ok]])
+            b.append(node[y[ok]])
+        if not a:
             return None
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        pair = np.stack([np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))], axis=1)
+        pair = np.unique(pair, axis=0)
+        return pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])}) if len(pair) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
+        held: pa.RecordBatch | pa.Table | None = None  # the last cell, which may go on
         for b in batches:
-            ks = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1).tolist(), len(ks)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi == lo:
-                    continue
-                if held and tuple(ks[lo]) != key:
-                    if (out := pairs(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                key = tuple(ks[lo])
-                held.append(b.slice(lo, hi - lo))
-        if held and (out := pairs(pa.Table.from_batches(held))) is not None:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            ks = np.stack([t.column(c).to_numpy() for c in range(3)], axis=1)
+            last = int(np.flatnonzero((ks != ks[-1]).any(axis=1)).max(initial=-1)) + 1
+            if last and (out := pairs(t.slice(0, last))) is not None:
+                yield out
+            held = t.slice(last)
+        if held is not None and (out := pairs(held)) is not None:
             yield out
 
     return ordered.select("token", "i", "j", "block", "node", "n", "pos", "class").mapInArrow(run, "a long, b long").distinct()
@@ -235,32 +246,41 @@ def _cells(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
 #: Rows of one posting list that are compared with one another in one piece of work; a
 #: longer list becomes blocks, and every pair of blocks a piece of its own.
 CELL_ROWS = 2048
+ROUNDS = 5
 
 
 def linked(postings: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """(id, component) of all nodes with a link, by smallest doc_id.
 
-    postings: (token, node, n, pos), nodes that may be linked share a token.  First each
-    node is compared with the first of its lists and what links becomes classes.  Then
-    pairs of different classes in a list are compared, all of them; a group of thousands
-    of copies is one class by then and makes no pairs.  No list is cut."""
-    survivors = common.kept(star_pairs(postings, ["token"]), "postings")
+    postings: (token, doc, node, n, pos), doc a row of the node; nodes that may be linked
+    share a token.  First each node is compared with the first document of its lists, and
+    what links becomes classes; further rounds take other centres, as long as a list of
+    several classes is longer than `CELL_ROWS`.  Then all pairs of different classes in a
+    list are compared; a group of thousands of copies is one class by then and makes no
+    pairs.  No list is cut."""
+    rows = common.kept(star_pairs(postings, ["token"], ["doc", "node"]), "postings")
     n, m = F.col("n"), F.col("first_n")
     need = F.ceil(F.lit(numerator) * (n + m) / F.lit(numerator + denominator))
-    likely = (F.least(n - F.col("pos"), m - F.col("first_pos")) >= need) & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
-    stars = survivors.where(likely).select(F.least("node", "first_node").alias("a"), F.greatest("node", "first_node").alias("b")).distinct()
-    links = common.kept(verified(stars, nodes, docs, k, numerator, denominator), "links")
-    classes = common.kept(components(links), "classes")
-
-    rows = survivors.select("token", "node", "n", "pos").unionByName(survivors.select("token", *[F.col(f"first_{c}").alias(c) for c in ("node", "n", "pos")]).distinct())
-    of = nodes.select("node", "doc_id").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("class"))
-    rows = common.kept(rows.join(of, "node"), "class-postings")
-    mixed = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = rows.join(mixed, "token").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    likely = (F.col("node") != F.col("first_node")) & (F.least(n - F.col("pos"), m - F.col("first_pos")) >= need) & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
+    pair = [F.least("node", "first_node").alias("a"), F.greatest("node", "first_node").alias("b")]
+    links = common.kept(verified(rows.where(likely).select(*pair).distinct(), nodes, docs, k, numerator, denominator), "links")
+    for turn in range(ROUNDS):
+        rows = rows.select("token", "node", "n", "pos")
+        of = nodes.select("node", "doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("class"))
+        rows = rows.join(of, "node")
+        mixed = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token", "rows")
+        rows = common.kept(rows.join(mixed, "token"), "class-postings")
+        longest = rows.agg(F.max("rows")).first()[0] or 0
+        if longest <= CELL_ROWS or turn == ROUNDS - 1:
+            break
+        stars = star_pairs(rows.drop("rows"), ["token"], [F.xxhash64("token", "node", F.lit(turn))])
+        stars = stars.where(likely & (F.col("class") != F.col("first_class")))
+        links = links.unionByName(common.kept(verified(stars.select(*pair).distinct(), nodes, docs, k, numerator, denominator), "links"))
+    blocks = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
+    cells = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     more = verified(_cells(cells, numerator, denominator), nodes, docs, k, numerator, denominator)
-    return components(links.union(more))
+    return components(links.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,6 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris and others, 2014) until nothing changes; every
     step is grouping by minimum and a join, so a hub is split like any skewed join."""
     edge = common.kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    state = None
     while True:
         # large star: larger neighbours of every id go to the smallest of its neighbourhood
         both = edge.union(edge.select("v", "u"))
@@ -277,8 +298,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours, and the id itself, go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = common.kept(small, "edges")
-        # done once every id has one neighbour and none of these has a smaller one
-        if new.count() == edge.count() and new.exceptAll(edge).isEmpty():
-            return new.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        edge = new
+        edge = common.kept(small, "edges")
+        # the same edges as before: every id points at the smallest of its component
+        now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+        if now == state:
+            return edge.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        state = now
