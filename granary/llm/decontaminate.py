@@ -7,6 +7,8 @@ for a passage is the sum of BM25 weights of the item's terms that the passage ha
 retrieved from `SHARE` of the sum over all its terms.  Items stand in blocks, and every
 block has the greatest weight of each term (block-max WAND): passages for which the sum
 of these maxima stays under the least threshold of a block never reach its postings.
+Postings are walked for terms that few items have; frequent terms first count with the
+most they can add, and only items that may still reach their threshold are scored.
 What is retrieved is verified: the passage must hold `QUESTION` of the distinct word
 3-grams of the item's question and `ANSWER` of the words of its answer, its last sentence
 (an item of one sentence, or with a question of fewer than three words, is all question).
@@ -37,6 +39,8 @@ BLOCK, SHARD, INDEX_BYTES = 16, 1024, 8 << 20
 LEAST_WINDOW = 128
 K1, B = 1.2, 0.75
 GRAM = 3
+#: Share of the items from which on a term is frequent.
+FREQUENT = 0.04
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: As for toxicity: words without punctuation.
 _SEP = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
@@ -54,19 +58,25 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """Up to `SHARD` items: terms, block maxima, and each block's own postings."""
+    """Up to `SHARD` items: terms, block maxima, and postings of the terms that few items have."""
 
     ids: list[int | None]
     terms: np.ndarray
+    block: int  # items a block
     maxima: np.ndarray  # terms x blocks
     least: np.ndarray  # least threshold of a block
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # terms, weights (terms x items), thresholds
+    need: np.ndarray  # threshold of an item
+    others: np.ndarray  # what an item's frequent terms can add at most
+    start: np.ndarray  # postings of each term: items and weights
+    items: np.ndarray
+    weights: np.ndarray
+    own: list[tuple[np.ndarray, np.ndarray]]  # an item's terms and weights
     questions: list[tuple[int, np.ndarray]]  # words a gram, grams
     answers: list[np.ndarray]
 
 
 def build(items: list[tuple[int | None, str]]) -> tuple[list[Shard], int]:
-    """Shards of an index, and the longest item in words.  Frequencies are of all items."""
+    """Shards of an index, and the longest item in words.  Frequencies are of these items."""
     rows = []
     for item_id, text in items:
         h, _ = bare_words(pa.array([text]))
@@ -84,26 +94,29 @@ def build(items: list[tuple[int | None, str]]) -> tuple[list[Shard], int]:
     every, df = np.unique(np.concatenate([np.unique(r[1]) for r in rows]), return_counts=True)
     idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
     mean = sum(len(r[1]) for r in rows) / len(rows)
-    # similar items stand together: by their rarest term
-    rows.sort(key=lambda r: int(r[1][np.argmax(idf[np.searchsorted(every, r[1])])]))
+    # items of like weight stand together, so that a block's least threshold says much
+    rows.sort(key=lambda r: len(r[1]))
     shards = []
     for at in range(0, len(rows), SHARD):
         part = rows[at : at + SHARD]
         terms = np.unique(np.concatenate([r[1] for r in part]))
-        n_blocks = -(-len(part) // BLOCK)
-        maxima, least, blocks = np.zeros((len(terms), n_blocks), np.float32), np.zeros(n_blocks, np.float32), []
-        for b in range(n_blocks):
-            own = part[b * BLOCK : (b + 1) * BLOCK]
-            block_terms = np.unique(np.concatenate([r[1] for r in own]))
-            w = np.zeros((len(block_terms), len(own)), np.float32)
-            for j, r in enumerate(own):
-                t, tf = np.unique(r[1], return_counts=True)
-                w[np.searchsorted(block_terms, t), j] = idf[np.searchsorted(every, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r[1]) / mean))
-            place = np.searchsorted(terms, block_terms)
-            need = SHARE * w.sum(axis=0)
-            maxima[place, b], least[b] = w.max(axis=1), need.min()
-            blocks.append((place, w, need))
-        shards.append(Shard([r[0] for r in part], terms, maxima, least, blocks, [r[2] for r in part], [r[3] for r in part]))
+        frequent = df[np.searchsorted(every, terms)] > max(1, FREQUENT * len(rows))
+        maxima = np.zeros((len(terms), -(-len(part) // BLOCK)), np.float32)
+        need, others, own, posts = np.zeros(len(part)), np.zeros(len(part)), [], []
+        for j, r in enumerate(part):
+            t, tf = np.unique(r[1], return_counts=True)
+            w = idf[np.searchsorted(every, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r[1]) / mean))
+            place = np.searchsorted(terms, t)
+            maxima[place, j // BLOCK] = np.maximum(maxima[place, j // BLOCK], w)
+            need[j], others[j] = SHARE * w.sum(), w[frequent[place]].sum()
+            own.append((place, w))
+            rare = ~frequent[place]
+            posts.append((place[rare], np.full(int(rare.sum()), j), w[rare]))
+        place, items_of, weights = (np.concatenate(x) for x in zip(*posts, strict=True))
+        order = np.argsort(place, kind="stable")
+        start = np.searchsorted(place[order], np.arange(len(terms) + 1))
+        least = np.array([need[k : k + BLOCK].min() for k in range(0, len(part), BLOCK)])
+        shards.append(Shard([r[0] for r in part], terms, BLOCK, maxima, least, need, others, start, items_of[order], weights[order], own, [r[2] for r in part], [r[3] for r in part]))
     return shards, max(len(r[1]) for r in rows)
 
 
@@ -135,23 +148,31 @@ def matches(h: np.ndarray, w: np.ndarray, shards: list[Shard], longest: int) ->
         of, term = key // len(shard.terms), key % len(shard.terms)
         cut = np.searchsorted(of, np.arange(len(first) + 1))
         live = np.flatnonzero(np.diff(cut))
+        # block maxima: which blocks a passage can reach at all
         bound = np.add.reduceat(shard.maxima[term], cut[:-1][live], axis=0)
-        row, block = np.nonzero(bound >= shard.least - 1e-4)
-        for b in np.unique(block):
-            place_b, weights, need = shard.blocks[b]
-            mine = live[row[block == b]]
-            has = np.zeros((len(mine), len(place_b)), np.float32)
-            for i, x in enumerate(mine):
-                has[i] = np.isin(place_b, term[cut[x] : cut[x + 1]], assume_unique=True)
-            score = has @ weights
-            for i, j in zip(*np.nonzero(score >= need - 1e-4), strict=True):
-                x, item = mine[i], b * BLOCK + j
-                span = h[first[x] : end[x]]
-                n, q = shard.questions[item]
-                question = float(np.isin(q, _grams(span, n)).mean())
-                answer = float(np.isin(shard.answers[item], span).mean()) if len(shard.answers[item]) else 1.0
-                if question >= QUESTION and answer >= ANSWER:
-                    out.append((int(text[x]), shard.ids[item], float(score[i, j]), question, answer))
+        reach = np.zeros((len(first), len(shard.least)), bool)
+        reach[live] = bound >= shard.least - 1e-4
+        # postings of rare terms add up; frequent ones count with the most they can add
+        n = shard.start[term + 1] - shard.start[term]
+        row = np.repeat(of, n)
+        post = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(shard.start[term], n)
+        go = reach[row, shard.items[post] // shard.block]
+        row, post = row[go], post[go]
+        pair, which = np.unique(row * np.int64(len(shard.ids)) + shard.items[post], return_inverse=True)
+        partial = np.bincount(which, shard.weights[post], len(pair))
+        item = pair % len(shard.ids)
+        likely = partial + shard.others[item] >= shard.need[item] - 1e-4
+        for x, j in zip((pair[likely] // len(shard.ids)).tolist(), item[likely].tolist(), strict=True):
+            places, weights = shard.own[j]
+            score = float(weights[np.isin(places, term[cut[x] : cut[x + 1]], assume_unique=True)].sum())
+            if score < shard.need[j] - 1e-4:
+                continue
+            span = h[first[x] : end[x]]
+            grams, q = shard.questions[j]
+            question = float(np.isin(q, _grams(span, grams)).mean())
+            answer = float(np.isin(shard.answers[j], span).mean()) if len(shard.answers[j]) else 1.0
+            if question >= QUESTION and answer >= ANSWER:
+                out.append((int(text[x]), shard.ids[j], score, question, answer))
     return out
 
 
