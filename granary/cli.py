@@ -56,7 +56,6 @@ def _scan(args) -> int:
     todo, known = wheels, None
     if args.resume and Path(args.output).exists():
         known = jsonl.resumable(spark, args.output)
-        known = spark.createDataFrame(known.collect(), known.schema)  # an output that fits one file
         todo = wheels.join(known.select("filename"), "filename", "left_anti")
     cache = RecordCache(spark, args.cache_dir, policy.version, args.evidence_level) if args.cache_dir and not args.no_cache else None
     if cache:
@@ -71,8 +70,12 @@ def _scan(args) -> int:
     if known is not None:
         out = out.unionByName(known.join(wheels.select("filename", "ordinal"), "filename").select("filename", "ordinal", "line"))
     try:
-        if args.format == "jsonl":
-            jsonl.write(out, args.output, "overwrite")
+        if args.format == "jsonl":  # aside first: the output may be what is resumed from
+            jsonl.write(out, f"{args.output}.partial", "overwrite")
+            path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+            fs = path(args.output).getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.delete(path(args.output), True)
+            fs.rename(path(f"{args.output}.partial"), path(args.output))
         else:
             rows = [json.loads(r["line"]) for r in out.sort("ordinal").toLocalIterator()]
             text = report.markdown(rows) if args.format == "md" else report.page(rows, policy.entries("rule"))
