@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import relational as R
 from granary.operators.evidence import costs_an_answer
-from granary.plans.policy import Policy
+from granary.plans.policy import Policy, local_frame
 
 
 def _own_stem(soname: Column, path: Column) -> Column:
@@ -44,7 +44,7 @@ def needed(evidence: DataFrame, policy: Policy) -> DataFrame:
 def library_frame(spark, policy: Policy) -> DataFrame:
     groups = {g["name"]: g["substrings"] for g in policy.entries("string_group")}
     rows = [(x["name"], x["sonames"], x.get("symbol_group"), x.get("string_group"), x.get("copy_string_group"), x.get("crates", []), x.get("fork_symbol_groups", []), x.get("fork_string_groups", []), [s for g in x.get("fork_string_groups", []) for s in groups[g]], x["always_report"]) for x in policy.entries("crypto_library")]
-    return spark.createDataFrame(rows, "library string, sonames array<string>, symbol_group string, string_group string, copy_group string, crates array<string>, fork_symbols array<string>, fork_strings array<string>, fork_texts array<string>, always_report boolean")
+    return local_frame(spark, rows, "library string, sonames array<string>, symbol_group string, string_group string, copy_group string, crates array<string>, fork_symbols array<string>, fork_strings array<string>, fork_texts array<string>, always_report boolean")
 
 
 def postures(evidence: DataFrame, deps: DataFrame, policy: Policy) -> DataFrame:
@@ -94,7 +94,7 @@ def declared(evidence: DataFrame, policy: Policy, confirmed: DataFrame | None =
     # a name that is both a library's and a foreign crate's is the library's unless it came from cargo
     rows = [(x["name"], x["name"].lower(), x["name"] in crates and x["name"] not in x.get("crates", []), False) for x in policy.entries("crypto_library")]
     rows += [(x["name"], c.lower().replace("_", "-"), False, True) for x in policy.entries("crypto_library") for c in x.get("crates", [])]
-    keys = spark.createDataFrame(rows, "library string, key string, shared boolean, by_crate boolean")
+    keys = local_frame(spark, rows, "library string, key string, shared boolean, by_crate boolean")
     hit = comp.join(F.broadcast(keys), ((F.col("key") == F.col("library_key")) & ~F.col("by_crate") & ~(F.col("shared") & F.col("cargo"))) | ((F.col("key") == F.col("crate_key")) & F.col("by_crate")))
     if confirmed is not None:
         hit = hit.join(confirmed.select("wheel_id", "library", T.sbom_crate_key("crate").alias("crate_key")).distinct(), ["wheel_id", "library", "crate_key"], "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.plans import linkage as L
-from granary.plans.policy import Policy
+from granary.plans.policy import Policy, local_frame
 
 HIT = {
     "wheel_id": "string", "rule_id": "string", "match_ix": "int", "hit_ix": "bigint", "subject": "string", "subject_kind": "string", "path": "string", "line": "int",
@@ -44,7 +44,7 @@ class Context:
         kinds = kinds or {}
         rows = [(r["id"], ix, *[m.get(p) for p in params]) for ix, r, m in self.policy.matches(kind)]
         ddl = ", ".join(["rule_id string", "match_ix int", *[f"`{p}` {kinds.get(p, 'string')}" for p in params]])
-        return F.broadcast(self.spark.createDataFrame(rows, ddl))  # some of the policy's rules
+        return F.broadcast(local_frame(self.spark, rows, ddl))  # some of the policy's rules
 
     def entries(self, table: str) -> DataFrame:
         return F.broadcast(self.policy.frame(self.spark, table).withColumnRenamed("name", "entry"))  # a policy table
@@ -184,7 +184,7 @@ def _sonames(c: Context) -> DataFrame:
     for x in sorted(c.policy.entries("crypto_library"), key=lambda x: x["name"]):
         for s in x["sonames"]:
             rows.setdefault(s, x["name"])
-    return F.broadcast(c.spark.createDataFrame(sorted(rows.items()), "known string, library string"))  # some fifty sonames
+    return F.broadcast(local_frame(c.spark, sorted(rows.items()), "known string, library string"))  # some fifty sonames
 
 
 _LIBRARY_RULE = ("library", "exclude_libraries")
@@ -204,7 +204,7 @@ def bundled_library(c: Context) -> DataFrame:
     rows = _objects(c, "vendored_path", "soname", "matched_strings").where("vendored_path").withColumn("base", T.normalise_soname(F.coalesce("soname", "path"))).join(_sonames(c), F.col("base") == F.col("known"))
     rows = rows.join(c.entries("crypto_library"), F.col("library") == F.col("entry"))
     rows = rows.join(_as_match(c.rules("bundled_library", *_LIBRARY_RULE, kinds=_KINDS)), _library_ok())
-    groups = c.spark.createDataFrame([(x["name"], x.get("string_group")) for x in c.policy.entries("crypto_library")], "lib string, lib_group string")
+    groups = local_frame(c.spark, [(x["name"], x.get("string_group")) for x in c.policy.entries("crypto_library")], "lib string, lib_group string")
     rows = rows.join(F.broadcast(groups), F.col("library") == F.col("lib"))  # a policy table
     banner = F.try_element_at(F.filter("matched_strings", lambda s: s["group"] == F.col("lib_group")), F.lit(1))["value"]
     name = F.coalesce(F.concat(F.lit("DT_SONAME="), "soname"), F.concat(F.lit("file "), F.substring_index("path", "/", -1)))
@@ -225,7 +225,7 @@ def dt_needed(c: Context) -> DataFrame:
 
 def _groups(c: Context, kind: str, table: str, *params: str) -> DataFrame:
     rows = [(r["id"], ix, g, *[m.get(p) for p in params], {x["name"]: x["family"] for x in c.policy.entries(table)}.get(g)) for ix, r, m in c.policy.matches(kind) for g in ([m["group"]] if "group" in m else m["groups"])]
-    return F.broadcast(c.spark.createDataFrame(rows, "rule_id string, match_ix int, group string, " + "".join(f"{p} string, " for p in params) + "group_family string"))  # the policy's groups
+    return F.broadcast(local_frame(c.spark, rows, "rule_id string, match_ix int, group string, " + "".join(f"{p} string, " for p in params) + "group_family string"))  # the policy's groups
 
 
 @register("dynamic_symbol")
@@ -252,7 +252,7 @@ def rust_crate(c: Context) -> DataFrame:
 @register("linkage")
 def linkage(c: Context) -> DataFrame:
     rows_m = [(r["id"], ix, "table" in x, x.get("name"), list(x.get("values", [])) or [x["value"]], _list(x.get("exclude_libraries")), _list(x.get("object_values")), _list(x.get("exclude_object_values")), x.get("sbom_declared")) for ix, r, x in c.policy.matches("linkage")]
-    rules = F.broadcast(c.spark.createDataFrame(rows_m, "rule_id string, match_ix int, inherits boolean, only string, values array<string>, not_in array<string>, object_values array<string>, not_object array<string>, declared boolean"))  # the policy's rules
+    rules = F.broadcast(local_frame(c.spark, rows_m, "rule_id string, match_ix int, inherits boolean, only string, values array<string>, not_in array<string>, object_values array<string>, not_object array<string>, declared boolean"))  # the policy's rules
     by_object = c.postures.groupBy("wheel_id", "library").agg(F.collect_set("posture").alias("postures"))
     confirmed = c.postures.where("posture = 'system'").select("wheel_id", "library", F.explode("object_crates").alias("crate"))
     said = L.declared(c.evidence, c.policy, confirmed).withColumn("is_declared", F.lit(True))
@@ -280,7 +280,7 @@ def opaque_binary(c: Context) -> DataFrame:
 @register("partial_binary")
 def partial_binary(c: Context) -> DataFrame:
     rows_m = [(r["id"], ix, _list(m.get("reasons")), _list(m.get("exclude_reasons"))) for ix, r, m in c.policy.matches("partial_binary")]
-    rules = F.broadcast(c.spark.createDataFrame(rows_m, "rule_id string, match_ix int, reasons array<string>, exclude_reasons array<string>"))  # two rules
+    rules = F.broadcast(local_frame(c.spark, rows_m, "rule_id string, match_ix int, reasons array<string>, exclude_reasons array<string>"))  # two rules
     rows = _objects(c, "format", "partial_analysis", "partial_reasons").where("partial_analysis").crossJoin(rules)
     rest = F.array_except("partial_reasons", F.coalesce("exclude_reasons", F.array().cast("array<string>")))
     told = F.when(F.col("reasons").isNotNull(), F.array_intersect("partial_reasons", "reasons")).otherwise(rest)
@@ -311,7 +311,7 @@ def py_call(c: Context) -> DataFrame:
     weak = {"refused": c.policy.conventions["refused_hash_algorithms"], "restricted": c.policy.conventions["restricted_hash_algorithms"]}
     weak["weak"] = weak["refused"] + weak["restricted"]
     rows_m = [(r["id"], ix, m.get("targets"), weak.get(m.get("algorithm_list")), m.get("algorithm"), _list(m.get("usedforsecurity"))) for ix, r, m in c.policy.matches("py_call")]
-    rules = F.broadcast(c.spark.createDataFrame(rows_m, "rule_id string, match_ix int, targets array<string>, algorithms array<string>, algorithm string, used array<string>"))  # the policy's rules
+    rules = F.broadcast(local_frame(c.spark, rows_m, "rule_id string, match_ix int, targets array<string>, algorithms array<string>, algorithm string, used array<string>"))  # the policy's rules
     a, t = F.col("s.attrs"), F.col("s.target")
     ok = F.array_contains("targets", t) | F.array_contains("targets", F.concat(F.lit("*."), F.substring_index(t, ".", -1)))
     ok &= F.col("algorithms").isNull() | F.coalesce(F.array_contains("algorithms", a["algorithm"]), F.lit(False))
@@ -323,7 +323,7 @@ def py_call(c: Context) -> DataFrame:
 @register("py_attr")
 def py_attr(c: Context) -> DataFrame:
     rows_m = [(r["id"], ix, m["attributes"], m.get("values")) for ix, r, m in c.policy.matches("py_attr")]
-    rules = F.broadcast(c.spark.createDataFrame(rows_m, "rule_id string, match_ix int, attributes array<string>, values array<string>"))  # the policy's rules
+    rules = F.broadcast(local_frame(c.spark, rows_m, "rule_id string, match_ix int, attributes array<string>, values array<string>"))  # the policy's rules
     ok = F.array_contains("attributes", F.col("s.target")) & (F.col("values").isNull() | F.coalesce(F.array_contains("values", F.col("s.attrs")["value"]), F.lit(False)))
     return _site_hits(_sites(c, "py_attr").join(rules, ok), F.col("s.target"), "attribute")
 
@@ -356,7 +356,7 @@ def unsuppressed(found: DataFrame, policy: Policy) -> DataFrame:
     in the same place and subject.  All are looked up among the hits as they were (M23)."""
     pairs = [(r["id"], by) for r in policy.entries("rule") for by in r.get("suppressed_by", ())]
     spark = found.sparkSession
-    rules = F.broadcast(spark.createDataFrame(pairs, "rule_id string, by string"))  # the policy's rules
+    rules = F.broadcast(local_frame(spark, pairs, "rule_id string, by string"))  # the policy's rules
     fired = found.select("wheel_id", F.col("rule_id").alias("by"), "path").distinct()
     out = found.join(fired.join(rules, "by").select("wheel_id", "path", "rule_id").distinct(), ["wheel_id", "path", "rule_id"], "left_anti")
     own = found.select("wheel_id", F.col("rule_id").alias("f_rule"), F.col("subject").alias("f_subject"), F.col("path").alias("f_path")).distinct()

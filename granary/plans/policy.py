@@ -6,7 +6,10 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from granary.extract.native.common import Patterns
 from granary.extract.pysource import Targets
@@ -31,6 +34,14 @@ MATCH_KEYS = {"kind", "table", "tables", "default", "any_entry", "error_kinds",
 TABLES = {"distributions": "crypto_distribution", "libraries": "crypto_library", "symbols": "symbol_group", "strings": "string_group", "crates": "rust_crate", "modules": "python_module", "standards": "standard", "rules": "rule"}
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table as a local relation: part of the plan itself, without a job to read it."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+
+
 class PolicyError(ValueError):
     """A policy that does not hold together."""
 
@@ -76,11 +87,11 @@ class Policy:
         """One table as a dimension of (name, rule, severity, verdict, ...)."""
         default = self.default_rule(table)
         rows = [(e["name"], e.get("rule") or default, e.get("severity"), e.get("verdict"), e.get("relation"), e.get("family"), e.get("basis") or [], e.get("needs_human_review"), e.get("suppressed_by") or []) for e in self.tables[table]]
-        return spark.createDataFrame(rows, "name string, owner string, severity string, verdict string, relation string, family string, basis array<string>, needs_human_review boolean, suppressed_by array<string>")
+        return local_frame(spark, rows, "name string, owner string, severity string, verdict string, relation string, family string, basis array<string>, needs_human_review boolean, suppressed_by array<string>")
 
     def rules_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r["id"], r["severity"], r["category"], r["layer"], r["confidence"], r.get("verdict"), r.get("relation"), r.get("family"), r.get("basis") or [], bool(r.get("needs_human_review"))) for r in self.tables["rule"]]
-        return spark.createDataFrame(rows, "rule_id string, r_severity string, category string, layer string, confidence string, r_verdict string, r_relation string, r_family string, r_basis array<string>, r_review boolean")
+        return local_frame(spark, rows, "rule_id string, r_severity string, category string, layer string, confidence string, r_verdict string, r_relation string, r_family string, r_basis array<string>, r_review boolean")
 
 
 def load(folder: str | Path | None = None) -> Policy:
