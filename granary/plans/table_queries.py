@@ -425,3 +425,67 @@ def v16(spark, d):
 
     e = _t(spark, d, "nation").where("n_nationkey <> n_regionkey").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
     return cyclic_nodes(e)
+
+
+# -- more of the inventory ---------------------------------------------------------
+
+
+@query("p5_own_stem", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'libme' ELSE 'libother' END AS stem FROM part")
+def p5(spark, d):
+    declared = F.when(F.col("p_partkey") % 2 == 0, "libme.so.1.2")
+    return _t(spark, d, "part").select("p_partkey", T.reduce_soname(F.coalesce(declared, F.lit("pkg/lib/libother.so.3"))).alias("stem"))
+
+
+@query("p14_evidence_level", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS shown FROM lineitem")
+def p14(spark, d):
+    level = F.when(F.col("l_linenumber") % 2 == 0, "standard").otherwise("minimal")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.size(F.when(level == "standard", F.array("l_returnflag")).otherwise(F.array().cast("array<string>"))).alias("shown"))
+
+
+@query("p15_scan_aborted", "SELECT event_id, event_type IN ('click', 'purchase') AS aborted FROM events")
+def p15(spark, d):
+    errors = F.array(F.struct(F.col("event_type").alias("kind")))
+    return _t(spark, d, "events").select("event_id", F.exists(errors, lambda e: e["kind"].isin("click", "purchase")).alias("aborted"))
+
+
+@query("p19_cargo_purl", "SELECT s_suppkey, s_suppkey % 3 = 0 AS cargo FROM supplier")
+def p19(spark, d):
+    purl = F.when(F.col("s_suppkey") % 3 == 0, "pkg:cargo/ring@1").when(F.col("s_suppkey") % 3 == 1, "pkg:pypi/ring@1")
+    return _t(spark, d, "supplier").select("s_suppkey", F.coalesce(F.startswith(purl, F.lit("pkg:cargo/")), F.lit(False)).alias("cargo"))
+
+
+@query("j3_soname_library", "SELECT p_partkey, 'openssl' AS library FROM part WHERE p_partkey % 5 IN (1, 2, 3)")
+def j3(spark, d):
+    dim = spark.createDataFrame([("libcrypto", "openssl"), ("libssl", "openssl"), ("libsodium", "libsodium")], "known string, library string")
+    return _sonames(spark, d).withColumn("base", T.normalise_soname("soname")).join(R.dimension(dim), F.col("base") == F.col("known")).select("p_partkey", "library")
+
+
+@query("j12_confirmed", "SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def j12(spark, d):
+    system = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _t(spark, d, "lineitem").join(system, "l_orderkey", "left_semi").select("l_orderkey", "l_returnflag").distinct()
+
+
+@query("o1_ordered_top", "SELECT doc_id, place FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 25")
+def o1(spark, d):
+    from pyspark.sql import Window
+
+    top = _t(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(25)  # the report's feature
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("place"))
+
+
+@query("g5_reason_complement", "SELECT l_orderkey, l_linenumber, array_to_string(list_filter(['A', 'N', 'R'], lambda x: x <> l_returnflag), ',') AS others FROM lineitem")
+def g5(spark, d):
+    every = F.array(*[F.lit(x) for x in "ANR"])
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_except(every, F.array("l_returnflag")), ",").alias("others"))
+
+
+@query("f18_glob", "SELECT p_partkey, regexp_matches(p_name, '^.*a.$') AS matched FROM part")
+def f18(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.col("p_name").rlike(T.glob_regex("*a?")).alias("matched"))
+
+
+@query("w9_one_per_run", "SELECT DISTINCT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([\\x20-\\x7e]{4,})', 1)) AS run FROM documents) WHERE contains(run, 'licens') OR contains(run, 'Licens')")
+def w9(spark, d):
+    runs = _t(spark, d, "documents").select("doc_id", F.explode(T.printable_runs("text")).alias("run"))
+    return R.contains_groups(runs, "run", {"license": ["licens", "Licens"]}).select("doc_id", "run").distinct()

@@ -37,24 +37,13 @@ def test_a_cut_elf_is_partial_and_never_raises(cut):
 
 
 def test_every_cut_of_every_format_is_survived():
-    for data, read in ((S.elf(["a"], [("EVP_x", True)], b"x"), elf.read), (thin_macho(), macho.read), (small_pe(), pe.read)):
+    for data, read in ((S.elf(["a"], [("EVP_x", True)], b"x"), elf.read), (thin_macho(), macho.read), (S.pe(), pe.read)):
         for n in range(4, len(data), 7):
             read(data[:n], "x", POLICY.patterns(), False)
 
 
 def thin_macho() -> bytes:
-    def dylib(cmd, name):
-        body = name.encode() + b"\0"
-        body += bytes(-len(body) % 8)
-        return struct.pack("<IIIIII", cmd, 24 + len(body), 24, 0, 0, 0) + body
-
-    names = b"\0_EVP_x\0_MD5_y\0"
-    commands = [dylib(0xC, "/usr/lib/libcrypto.dylib"), dylib(0xD, "@rpath/libme.dylib")]
-    size = sum(map(len, commands)) + 24
-    symoff = 32 + size
-    symbols = struct.pack("<IBBHQ", 1, 1, 0, 0, 0) + struct.pack("<IBBHQ", 8, 0x0F, 1, 0, 16)
-    commands.append(struct.pack("<IIIIII", 2, 24, symoff, 2, symoff + len(symbols), len(names)))
-    return struct.pack("<IiiIIIII", 0xFEEDFACF, 0x0100000C, 0, 6, len(commands), size, 0, 0) + b"".join(commands) + symbols + names
+    return S.macho(["/usr/lib/libcrypto.dylib"], [("EVP_x", False), ("MD5_y", True)], "@rpath/libme.dylib")
 
 
 def test_macho_thin_and_universal():
@@ -68,31 +57,8 @@ def test_macho_thin_and_universal():
     assert o.symtab_count == 2 and o.reasons == {"macho_fat_slice_unread"}
 
 
-def small_pe() -> bytes:
-    base, va = 0x400, 0x1000
-    body = bytearray(0x200)
-    at = lambda rva, data: body.__setitem__(slice(rva - va, rva - va + len(data)), data)
-    at(0x1000, struct.pack("<IIIII", 0x1040, 0, 0, 0x1060, 0x1040))
-    at(0x1040, struct.pack("<QQQ", 0x1070, (1 << 63) | 5, 0))
-    at(0x1060, b"LIBCRYPTO-3.dll\0")
-    at(0x1070, b"\0\0EVP_x\0")
-    at(0x1080, struct.pack("<IIIIIIIIIII", 0, 0, 0, 0x10E0, 1, 2, 2, 0x10B0, 0x10B8, 0x10C0, 0))
-    at(0x10B0, struct.pack("<II", 0x5000, 0x10F8))
-    at(0x10B8, struct.pack("<II", 0x10E8, 0x10F0))
-    at(0x10C0, struct.pack("<HH", 0, 1))
-    at(0x10E0, b"me.dll\0")
-    at(0x10E8, b"MD5_y\0")
-    at(0x10F0, b"fwd\0")
-    at(0x10F8, b"other.EVP_z\0")
-    dirs = [(0x1080, 0x84), (0x1000, 40)] + [(0, 0)] * 14
-    optional = struct.pack("<H", 0x20B) + bytes(106) + struct.pack("<I", 16) + b"".join(struct.pack("<II", *d) for d in dirs)
-    head = b"MZ" + bytes(0x3A) + struct.pack("<I", 0x40) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, len(optional), 0) + optional
-    head += b".rdata\0\0" + struct.pack("<IIIIIIHHI", 0x200, va, 0x200, base, 0, 0, 0, 0, 0x40000040)
-    return head + bytes(base - len(head)) + bytes(body)
-
-
 def test_pe_imports_exports_and_forwarders():
-    o = pe.read(small_pe(), "a.dll", POLICY.patterns(), False)
+    o = pe.read(S.pe(), "a.dll", POLICY.patterns(), False)
     assert (o.machine, o.bits, o.soname, o.needed) == ("amd64", 64, "me.dll", ["LIBCRYPTO-3.dll", "other.dll"])
     assert o.symbols == {("openssl", "EVP_x", "imported"), ("openssl", "EVP_z", "imported"), ("unspecified_hash_impl", "MD5_y", "defined")}
     assert o.reasons == {"pe_ordinal_import"}
