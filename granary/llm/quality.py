@@ -23,7 +23,7 @@ from granary.llm import common, toxicity
 from granary.llm import textkernel as K
 
 #: Bound of the labelled rows that are learnt from.
-SAMPLE = 4_000
+SAMPLE = 3_000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 RUNS = (3, 4)
 AGAIN = 1
@@ -78,7 +78,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
             bucket, count, y = rows[i]
             if not len(bucket):
                 continue
-            weight = (count / count.sum()).astype(np.float32)
+            weight = (count / count.sum(dtype=np.int64)).astype(np.float32)
             hidden = weight @ vectors[bucket]
             z = layer @ hidden + bias
             q = np.exp(z - z.max())
@@ -105,13 +105,13 @@ def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality",
             text, bucket = features(part)
             key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
             off = np.searchsorted(key // BUCKETS, np.arange(len(part) + 1))
-            found += [(np.uint32(key[i:j] % BUCKETS).tobytes(), np.uint32(count[i:j]).tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
+            found += [((key[i:j] % BUCKETS).astype(np.uint16).tobytes(), np.minimum(count[i:j], 65_535).astype(np.uint16).tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
         return pa.RecordBatch.from_pydict({"label": b.column(1), "hash": b.column(2), "buckets": pa.array([x for x, _ in found], pa.binary()), "counts": pa.array([x for _, x in found], pa.binary())})
 
     texts = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(learnt), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("hash"))  # at most SAMPLE rows of two numbers
-    rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash").collect()  # at most SAMPLE rows of BUCKETS
-    return train([(np.frombuffer(bytes(r["buckets"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.uint32), r["label"]) for r in rows])
+    rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash")  # at most SAMPLE rows of BUCKETS
+    return train([(np.frombuffer(bytes(r["buckets"]), np.uint16), np.frombuffer(bytes(r["counts"]), np.uint16), r["label"]) for r in rows.collect()])
 
 
 def score(col, model: tuple[np.ndarray, float]) -> np.ndarray:
