@@ -39,6 +39,7 @@ def _scan(args) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from granary.plans.keep import kept
     from granary.plans.scan import Scan
     from granary.sinks import jsonl, report
     from granary.sinks.cache import RecordCache
@@ -63,7 +64,7 @@ def _scan(args) -> int:
         hits = todo.withColumn("wheel_id", key).join(cache.read().select("wheel_id", "line"), "wheel_id").select("filename", "line")
         known = hits if known is None else known.unionByName(hits)
         todo = cache.misses(todo)
-    records = Scan(todo, policy, evidence_level=args.evidence_level).records().persist()
+    records = kept(Scan(todo, policy, evidence_level=args.evidence_level).records(), "records")
     if cache:
         cache.put(records)
     out = records.select("filename", "ordinal", "line")

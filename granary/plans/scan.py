@@ -14,6 +14,7 @@ from granary.extract import wheel
 from granary.operators import relational as R
 from granary.plans import linkage as L
 from granary.plans import matchers as M
+from granary.plans.keep import kept
 from granary.plans.policy import Policy, load
 
 SCHEMA_VERSION, ANALYZER_VERSION, TOOL = 2, 59, "granary"
@@ -33,7 +34,7 @@ def evidence(wheels: DataFrame, policy: Policy) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
-    rest = [c for c in wheels.columns if c != "content"]
+    rest = [c for c in wheels.columns if c not in {"content", "wheel_id", *out.fieldNames()}]
     schema = StructType([*wheels.select(*rest).schema.fields, *out.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +56,7 @@ def _maps(rows: list[dict]) -> list[dict]:
     return rows
 
 
-def findings(c: M.Context, keep=lambda df, name: df.persist()) -> DataFrame:
+def findings(c: M.Context, keep=kept) -> DataFrame:
     """Rule and subject a wheel: attributes of the first hit, the rule's where it has none,
     with its distinct places (A1-A3)."""
     hits = M.unsuppressed(keep(M.all_hits(c), "hits"), c.policy)
@@ -84,18 +85,17 @@ def verdicts(ev: DataFrame, found: DataFrame, linkage: DataFrame, policy: Policy
 class Scan:
     """A corpus' relations, each a DataFrame."""
 
-    def __init__(self, wheels: DataFrame, policy: Policy | None = None, keep=None, evidence_level: str = "standard"):
+    def __init__(self, wheels: DataFrame, policy: Policy | None = None, keep=kept, evidence_level: str = "standard"):
         if evidence_level not in ("standard", "minimal"):
             raise ValueError(f"unknown evidence level {evidence_level!r}")
         self.policy, self.level = policy or load(), evidence_level
-        keep = keep or (lambda df, name: df.persist())
         self.evidence = keep(evidence(wheels, self.policy), "evidence")
         self.needed = keep(L.needed(self.evidence, self.policy), "needed")
         self.postures = keep(L.postures(self.evidence, self.needed, self.policy), "postures")
         self.linkage = keep(L.resolve(self.evidence, self.postures, self.policy), "linkage")
         context = M.Context(self.policy, self.evidence, self.needed, self.postures, self.linkage, RECORD_ROWS)
         self.findings = keep(findings(context, keep), "findings")
-        self.verdicts = verdicts(self.evidence, self.findings, self.linkage, self.policy)
+        self.verdicts = keep(verdicts(self.evidence, self.findings, self.linkage, self.policy), "verdicts")
 
     def records(self) -> DataFrame:
         """(wheel_id, filename, ordinal, line): the canonical JSON line of every wheel."""
@@ -110,7 +110,7 @@ class Scan:
 
 
 def _line_maker(ruleset: str, level: str):
-    def line(row) -> str:
+    def line(row):
         return json.dumps(record(row.asDict(recursive=True), ruleset, level), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
     return line

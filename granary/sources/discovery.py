@@ -16,7 +16,8 @@ def ordered(paths: DataFrame, path: str) -> DataFrame:
     The places of a whole corpus come from a global sort with counts per range: window
     functions without a partition would put all rows in one task."""
     rows = paths.select(path).distinct().withColumn("filename", F.substring_index(path, "/", -1))
-    at = rows.sort("filename", path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    # kept, as both uses below must see the same ranges
+    at = rows.sort("filename", path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).persist()
     sizes = at.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return at.join(F.broadcast(before), "_part").select(path, "filename", (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("ordinal"))
