@@ -1,7 +1,8 @@
 """Quality classifier: averaged subword embeddings with softmax output.
 
 Every word, every run of 3 and of 4 bytes of a text (case kept, spaces included) and every
-word that repeats the one before it (one feature for all words) is a feature, hashed into `BUCKETS` learned vectors.  A document is the average of its
+word that repeats the one before it (one feature for all words, counted as often as a
+word has byte runs) is a feature, hashed into `BUCKETS` learned vectors.  A document is the average of its
 features' vectors; a softmax layer over it gives the label.  Vectors and layer are
 trained together by stochastic gradient descent in numpy (steps scaled by each bucket's
 own gradients) on a bounded sample of labelled rows.  As the layer is linear, a feature
@@ -26,7 +27,8 @@ from granary.llm import textkernel as K
 SAMPLE = 3_000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 RUNS = (3, 4)
-AGAIN = 1
+#: The feature of a repeated word, and how often it counts (a word has a dozen byte runs).
+AGAIN, AGAIN_TIMES = 1, 12
 _BLOCK = 1 << 18
 
 
@@ -37,6 +39,7 @@ def features(col) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     texts, hashes = [np.repeat(np.arange(n), np.diff(w))], [K.hash_spans(data, s, e, fold=False)]
     again = np.flatnonzero((hashes[0][1:] == hashes[0][:-1]) & (texts[0][1:] == texts[0][:-1])) + 1
+    again = np.repeat(again, AGAIN_TIMES)
     texts.append(texts[0][again])
     hashes.append(np.full(len(again), AGAIN, np.uint64))
     of = np.repeat(np.arange(n), np.diff(off))
