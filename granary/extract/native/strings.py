@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 
 #: Where cargo keeps crate sources, as these paths appear in objects.
-_SEP, _NAME, _VERSION = r"[/\\]", r"[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?", r"[0-9]+\.[0-9]+\.[0-9]+[A-Za-z0-9.+-]{0,63}"
-_PART = r"[^/\\\x00\"'\n]"
-REGISTRY = re.compile(rf"cargo{_SEP}registry{_SEP}(?:src{_SEP}{_PART}{{1,255}}{_SEP})?(?P<name>{_NAME})-(?P<version>{_VERSION}){_SEP}")
-VENDOR = re.compile(rf"(?<![A-Za-z0-9_.-])vendor{_SEP}(?P<name>{_NAME})(?:-(?P<version>{_VERSION}))?{_SEP}(?:{_PART}{{1,255}}{_SEP}){{0,16}}?{_PART}{{0,255}}?\.rs")
-GIT = re.compile(rf"(?<![A-Za-z0-9_.-])git{_SEP}checkouts{_SEP}(?P<name>{_NAME})-[0-9a-f]{{16}}{_SEP}[0-9a-f]{{7,40}}{_SEP}(?:{_PART}{{1,255}}{_SEP}){{0,16}}?src{_SEP}")
+REGISTRY = re.compile(
+    r'''cargo[/\\]registry[/\\](?:src[/\\][^/\\\x00"'\n]{1,255}[/\\])?(?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)-(?P<version>[0-9]+\.[0-9]+\.[0-9]+[A-Za-z0-9.+-]{0,63})[/\\]'''
+)
+VENDOR = re.compile(
+    r'''(?<![A-Za-z0-9_.-])vendor[/\\](?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)(?:-(?P<version>[0-9]+\.[0-9]+\.[0-9]+[A-Za-z0-9.+-]{0,63}))?[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?[^/\\\x00"'\n]{0,255}?\.rs'''
+)
+GIT = re.compile(
+    r'''(?<![A-Za-z0-9_.-])git[/\\]checkouts[/\\](?P<member>[^/\\\x00"'\n]{1,255}?-[0-9a-f]{16}[/\\][0-9a-f]{7,40}[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?)?(?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)(?(member)|-[0-9a-f]{16}[/\\][0-9a-f]{7,40})[/\\]src[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?[^/\\\x00"'\n]{0,255}?\.rs(?P<version>(?!))?'''
+)
+_SEP = r"[/\\]"
 GO_MAGIC = b"\xff Go buildinf:"
 _GO_VERSION = re.compile(rb"go[0-9]+(?:\.[0-9]+)*[A-Za-z0-9.+-]*")
 #: Directories that may lie between a registry path and a vendor folder of the crate.
