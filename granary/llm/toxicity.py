@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 7 bytes (so inflected forms meet).  Those
-that go with the label in a bounded sample of labelled rows (likelihood ratio) are the
-dimensions; their document frequencies are counted over all documents.  Examples sit in
-an inverted index in blocks of similar vectors, each block with the greatest weight of
-every term.  For a batch of queries the bounds of all blocks come first; blocks are then
-scored in the order of their bounds until no bound exceeds a query's k-th similarity, so
-the nearest examples are exact.  The score is the similarity-weighted vote of the
-neighbours, drawn towards the share of the label among all examples; a text without any
-term gets the share of the label among examples without one.
+Terms are words and word beginnings of 4 to 7 bytes (so inflected forms meet).  All terms
+of a text are dimensions; a term's weight is its inverse frequency over all documents times
+`FLOOR` and more the more it goes with the label in a bounded sample of labelled rows, so
+every term counts and a copy of an example has similarity 1.  The similarities of a text
+to all examples are computed: terms that many examples have by a matrix product, the others
+by posting lists.  The score is the similarity-weighted vote of the nearest examples, drawn
+towards the share of the label among all examples; a text without any term gets the share
+of the label among examples without one.
+
+Terms that no example has only add to a text's length.  Their frequencies are not held by
+anyone: these terms are joined with the counts, and what they add is summed up by row.
 
 Cases: a null or empty text has no terms; a null doc_id is scored too; repeated rows are
 scored each; labels that are null are not learnt from; without any label to learn from
@@ -17,6 +19,8 @@ all scores are 0; no rows give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +31,17 @@ from pyspark.sql import functions as F
 from granary.llm import common, fingerprint
 from granary.llm import textkernel as K
 
-#: Bound of the labelled rows that are learnt from, and of the terms.
-SAMPLE, TERMS = 12_000, 4_096
-#: A term's least likelihood ratio, its least share of the label, and documents with it.
-LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 20.0, 0.8, 4
+#: Bound of the labelled rows that are learnt from.
+SAMPLE = 12_000
+#: Weight of a term that does not go with the label; unlabelled rows added to a term's share
+#: of the label; likelihood ratio from which on a term's share is believed by half.
+FLOOR, PRIOR, HALF = 0.05, 4.0, 20.0
 BEGINNINGS = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
+NEIGHBOURS, PULL = 15, 0.5
+#: Terms that are multiplied as a matrix, and texts scored at once.
+DENSE, CHUNK = 512, 64
+#: Terms that a task counts before it sends them on.
+HELD = 1 << 20
 
 _SEP = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 
@@ -73,122 +82,189 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return out.select("doc_id")
 
 
-def select_terms(docs: DataFrame, learnt: DataFrame) -> np.ndarray:
-    """Hashes of the terms that go with label 1, sorted; at most `TERMS`."""
-    sample = docs.join(F.broadcast(learnt), "doc_id")  # at most SAMPLE rows of two numbers
-    single = without_copies(sample)
-    sample = sample.join(F.broadcast(single), "doc_id").select("text", "label")
+def counted(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count) of the distinct terms of every text, in order of text."""
+    text, h = terms(col)
+    u, inverse = np.unique(h, return_inverse=True)
+    key, count = np.unique(text * np.int64(len(u)) + inverse, return_counts=True)
+    return key // max(1, len(u)), u[key % max(1, len(u))], count
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): in how many of the texts each term is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            u, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            df = np.bincount(inverse, np.concatenate([x for _, x in held]), len(u)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"term": pa.array(u.view(np.int64)), "df": pa.array(df)})
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.unique(counted(b.column(0))[1], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    found = docs.select("text").mapInArrow(run, "term long, df long")
+    return common.kept(found.groupBy("term").agg(F.sum("df").alias("df")), "term-frequencies")
+
+
+def term_weights(sample: DataFrame, df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the sample (doc_id, label, text), sorted, and their weights."""
+    single = sample.join(F.broadcast(without_copies(sample)), "doc_id").select("doc_id")
+    marked = sample.join(F.broadcast(single.distinct().withColumn("single", F.lit(1))), "doc_id", "left").select("text", "label", F.coalesce("single", F.lit(0)).alias("single"))
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        text, h = terms(b.column(0))
-        label = b.column(1).to_numpy()
-        pair = np.unique(np.stack([h.view(np.int64), text], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
-        u, inverse = np.unique(pair[:, 0], return_inverse=True)
-        y = label[pair[:, 1]]
-        return pa.RecordBatch.from_pydict({"term": pa.array(u), "yes": pa.array(np.bincount(inverse, y, len(u)).astype(np.int64)), "no": pa.array(np.bincount(inverse, 1 - y, len(u)).astype(np.int64))})
-
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    yes_all, no_all = float(n.get(1, 0)), float(n.get(0, 0))
-    if not yes_all or not no_all:
-        return np.zeros(0, np.uint64)
-    counts = common.arrow_map(sample, count, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    part = lambda x, total, rest: F.when(x > 0, x * F.log(x / (F.lit(total) * (F.col("yes") + F.col("no")) / F.lit(rest)))).otherwise(0.0)
-    total = yes_all + no_all
-    ratio = 2 * (part(F.col("yes"), yes_all, total) + part(F.col("no"), no_all, total))
-    good = (F.col("yes") >= LEAST_DOCS) & (F.col("yes") / (F.col("yes") + F.col("no")) >= LEAST_SHARE) & (F.col("ratio") >= LEAST_RATIO)
-    rows = counts.withColumn("ratio", ratio).where(good).orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+        text, h, _ = counted(b.column(0))
+        label, one = (b.column(i).to_numpy()[text] for i in (1, 2))
+        u, inverse = np.unique(h, return_inverse=True)
+        total = lambda x: pa.array(np.bincount(inverse, x, len(u)).astype(np.int64))
+        return pa.RecordBatch.from_pydict({"term": pa.array(u.view(np.int64)), "yes": total(one * label), "no": total(one * (1 - label))})
 
+    all_of = {r["label"]: r["count"] for r in marked.where("single = 1").groupBy("label").count().collect()}
+    found = common.arrow_map(marked, count, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    t = found.join(df, "term", "left").select("term", "yes", "no", F.coalesce("df", F.lit(0)).alias("df")).toArrow()  # at most the terms of SAMPLE texts
+    term, yes, no, df_of = (c.to_numpy() for c in t.columns)
+    chosen = term.view(np.uint64) if len(term) else np.zeros(0, np.uint64)
+    order = np.argsort(chosen)
+    weight = idf_of(df_of, n) * (FLOOR + association(yes, no, float(all_of.get(1, 0)), float(all_of.get(0, 0))))
+    return chosen[order], weight[order].astype(np.float32)
 
-def vectors(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(doc_id, terms array<int>, counts array<int>): the chosen terms of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        chosen, n = shared.value, b.num_rows
-        text, h = terms(b.column(1))
-        at = np.searchsorted(chosen, h)
-        own = np.flatnonzero(at < len(chosen))
-        own = own[chosen[at[own]] == h[own]]
-        key, count = np.unique(text[own] * TERMS + at[own], return_counts=True)
-        off = np.searchsorted(key // TERMS, np.arange(n + 1)).astype(np.int32)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(off), pa.array(v.astype(np.int32)))
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "terms": lists(key % TERMS), "counts": lists(count)})
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1) / (df + 1)) + 1
 
-    return common.kept(common.arrow_map(docs, run, "doc_id long, terms array<int>, counts array<int>"), "term-vectors")
+
+def association(yes: np.ndarray, no: np.ndarray, yes_all: float, no_all: float) -> np.ndarray:
+    """From 0 to 1: how far a term goes with the label, from the examples with it."""
+    if not yes_all or not no_all:
+        return np.zeros(len(yes))
+    total, both = yes_all + no_all, np.maximum(yes + no, 1)
+    part = lambda x, of: x * np.log(np.maximum(x, 1) / (of * both / total))
+    ratio = np.maximum(0, 2 * (part(yes, yes_all) + part(no, no_all)))
+    share = yes_all / total
+    lift = np.maximum(0, ((yes + PRIOR * share) / (yes + no + PRIOR) - share) / (1 - share))
+    return lift**2 * ratio / (ratio + HALF)
+
+
+def placed(col, chosen: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place in chosen, value) of the terms that are among `chosen`, (text, hash,
+    squared logarithmic count) of the others."""
+    text, h, count = counted(col)
+    tf = 1 + np.log(count)
+    at = np.searchsorted(chosen, h)
+    at[at == len(chosen)] = 0
+    own = chosen[at] == h if len(chosen) else np.zeros(len(h), bool)
+    return text[own], at[own], (tf[own] * weight[at[own]]).astype(np.float32), text[~own], h[~own], tf[~own] ** 2
 
 
 @dataclass
 class Index:
-    """Examples in blocks; `weights[i]` is block i's (terms, rows x terms) part."""
+    """Unit vectors of the examples as posting lists: term t is in the examples
+    `rows[start[t]:start[t + 1]]`."""
 
-    idf: np.ndarray
-    labels: np.ndarray
     ids: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray]]
-    bounds: np.ndarray
+    labels: np.ndarray
+    start: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
     share: float
     share_without: float
 
     @staticmethod
-    def build(ids: np.ndarray, labels: np.ndarray, rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> Index:
-        full = np.array([i for i, (t, _) in enumerate(rows) if t], np.int64)
-        none = np.array([i for i, (t, _) in enumerate(rows) if not t], np.int64)
+    def of_vectors(ids: np.ndarray, labels: np.ndarray, length: np.ndarray, places: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
+        """From the vectors, `length[i]` terms of example i after those of the one before."""
+        none = length == 0
         share = float(labels.mean()) if len(labels) else 0.0
-        without = float(labels[none].sum() + share) / (len(none) + 1) if len(labels) else 0.0
-        # similar vectors stand together: by their heaviest term, then the others
-        key = [tuple(sorted(rows[i][0], key=lambda t: (-idf[t], t))[:4]) for i in full]
-        full = full[sorted(range(len(full)), key=lambda i: (key[i], full[i]))]
-        w = dense([rows[i] for i in full], idf)
-        blocks, bounds = [], np.zeros((-(-len(full) // BLOCK), len(idf)), np.float32)
-        for b in range(len(bounds)):
-            part = w[b * BLOCK : (b + 1) * BLOCK]
-            own = np.flatnonzero(part.any(axis=0))
-            blocks.append((own, np.ascontiguousarray(part[:, own])))
-            bounds[b, own] = part[:, own].max(axis=0)
-        return Index(idf, labels[full], ids[full], blocks, bounds, share, min(without, share))
+        without = float(labels[none].sum() + share) / (none.sum() + 1) if len(labels) else 0.0
+        order = np.argsort(places, kind="stable")
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), length)[order]
+        start = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n_terms))])
+        return Index(ids, labels, start, row, weights[order], share, min(without, share))
 
-    def nearest(self, q: np.ndarray, own_ids: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Exact similarities and places of the k nearest examples of each row, itself not
-        counted; similarity 0 and place -1 where there are fewer."""
-        sims, places = np.zeros((len(q), k), np.float32), np.full((len(q), k), -1, np.int64)
-        if not len(self.bounds):
-            return sims, places
-        bound = q @ self.bounds.T
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for step in range(bound.shape[1]):
-            block = order[:, step]
-            top = np.take_along_axis(bound, block[:, None], 1)[:, 0]
-            live = np.flatnonzero((top > 0) & (top >= sims[:, -1]))
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                rows = live[block[live] == b]
-                own, w = self.blocks[b]
-                s = q[np.ix_(rows, own)] @ w.T
-                at = np.arange(b * BLOCK, b * BLOCK + len(w))
-                s[own_ids[rows][:, None] == self.ids[at][None, :]] = 0
-                all_s = np.concatenate([sims[rows], s], axis=1)
-                all_p = np.concatenate([places[rows], np.broadcast_to(at, s.shape)], axis=1)
-                # ties by place, so the result does not depend on the order of blocks
-                best = np.lexsort((np.where(all_p < 0, 1 << 60, all_p), -all_s), axis=1)[:, :k]
-                sims[rows], places[rows] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_p, best, 1)
-        places[sims <= 0] = -1
+    @staticmethod
+    def build(ids: np.ndarray, labels: np.ndarray, rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> Index:
+        unit = dense(rows, idf)
+        at = [np.array(sorted(t), np.int64) for t, _ in rows]
+        places, length = np.concatenate([np.zeros(0, np.int64), *at]), np.array([len(t) for t in at], np.int64)
+        return Index.of_vectors(ids, labels, length, places, unit[np.repeat(np.arange(len(rows)), length), places], len(idf))
+
+    def __getstate__(self) -> dict:
+        """Packed, as every executor gets a file of this: lists as steps, starts as lengths."""
+        out = {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+        out["start"], out["rows"] = np.diff(self.start, prepend=0).astype(np.int32), np.diff(self.rows, prepend=self.rows.dtype.type(0)).astype(np.int16)
+        return {k: (v.dtype, pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True), v.nbytes) if isinstance(v, np.ndarray) else v for k, v in out.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        own = {k: np.frombuffer(pa.decompress(v[1], v[2], "zstd", asbytes=True), v[0]) if isinstance(v, tuple) else v for k, v in state.items()}
+        own["start"], own["rows"] = np.cumsum(own["start"], dtype=np.int64), np.cumsum(own["rows"], dtype=np.int32)
+        self.__dict__.update(own)
+
+    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of the terms that most examples have, or -1, and the matrix."""
+        if not hasattr(self, "_matrix"):
+            often = np.diff(self.start)
+            top = np.argsort(-often, kind="stable")[:DENSE]
+            at = np.full(len(often), -1, np.int32)
+            at[top] = np.arange(len(top))
+            m = np.zeros((len(top), len(self.ids)), np.float32)
+            for i, t in enumerate(top):
+                a, b = self.start[t], self.start[t + 1]
+                m[i, self.rows[a:b]] = self.weights[a:b]
+            self._matrix = at, m
+        return self._matrix
+
+    def similarities(self, n: int, text: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Products of n texts, given by their terms, with all examples."""
+        at, m = self.matrix()
+        often = at[place] >= 0
+        q = np.zeros((n, len(m)), np.float32)
+        q[text[often], at[place[often]]] = value[often]
+        text, place, value = text[~often], place[~often], value[~often]
+        count = self.start[place + 1] - self.start[place]
+        of = np.repeat(np.arange(len(place)), count)
+        post = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.start[place][of]
+        rest = np.bincount(text[of] * len(self.ids) + self.rows[post], value[of] * self.weights[post], n * len(self.ids))
+        return q @ m + rest.reshape(n, len(self.ids)).astype(np.float32)
+
+    def top(self, s: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and places of the k nearest examples of each row, itself not counted;
+        ties by place; similarity 0 and place -1 where there are fewer."""
+        s[own_ids[:, None] == self.ids[None, :]] = 0
+        sims, places = np.zeros((len(s), k), np.float32), np.full((len(s), k), -1, np.int64)
+        for i, x in enumerate(s):
+            least = np.partition(x, len(x) - k)[len(x) - k] if len(x) > k else 0
+            near = np.flatnonzero((x >= least) & (x > 0))
+            near = near[np.lexsort((near, -x[near]))][:k]
+            sims[i, : len(near)], places[i, : len(near)] = x[near], near
         return sims, places
 
-    def score(self, rows: list[tuple[list[int], list[int]]], own_ids: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores and evidence (doc_ids of the neighbours, nearest first)."""
-        out = np.full(len(rows), self.share_without)
-        evidence: list[list[int]] = [[] for _ in rows]
-        full = [i for i, (t, _) in enumerate(rows) if t]
-        for lo in range(0, len(full), 256):
-            part = full[lo : lo + 256]
-            sims, places = self.nearest(dense([rows[i] for i in part], self.idf), own_ids[part])
-            y = self.labels[np.maximum(places, 0)]
-            out[part] = ((sims * y).sum(axis=1) + PULL * self.share) / (sims.sum(axis=1) + PULL)
-            for i, p in zip(part, places, strict=True):
-                evidence[i] = self.ids[p[p >= 0]].tolist()
-        return out, evidence
+    def nearest(self, q: np.ndarray, own_ids: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Of dense rows."""
+        if not len(self.ids):
+            return np.zeros((len(q), k), np.float32), np.full((len(q), k), -1, np.int64)
+        text, place = np.nonzero(q)
+        return self.top(self.similarities(len(q), text, place, q[text, place]), own_ids, k)
+
+    def votes(self, own_ids: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Sums of the nearest examples' products, with the label and in all, and their doc_ids,
+        nearest first.  Texts need not be of unit length."""
+        n = len(own_ids)
+        yes, every, evidence = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
+        cut = np.searchsorted(text, np.arange(0, n + CHUNK, CHUNK))
+        for j, lo in enumerate(range(0, n if len(self.ids) else 0, CHUNK)):
+            a, b, hi = cut[j], cut[j + 1], min(n, lo + CHUNK)
+            sims, places = self.top(self.similarities(hi - lo, text[a:b] - lo, place[a:b], value[a:b]), own_ids[lo:hi], NEIGHBOURS)
+            yes[lo:hi], every[lo:hi] = (sims * self.labels[np.maximum(places, 0)]).sum(axis=1), sims.sum(axis=1)
+            evidence[lo:hi] = [self.ids[p[p >= 0]].tolist() for p in places]
+        return yes, every, evidence
 
 
 def dense(rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> np.ndarray:
@@ -200,6 +276,26 @@ def dense(rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> np.ndarra
     return out / np.where(norm > 0, norm, 1)
 
 
+def _lists(text: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def examples(sample: DataFrame, chosen: np.ndarray, weight: np.ndarray) -> Index:
+    """The index of a sample (doc_id, label, text)."""
+    shared = sample.sparkSession.sparkContext.broadcast((chosen, weight))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        text, place, value, *_ = placed(b.column(2), *shared.value)
+        norm = np.sqrt(np.bincount(text, value.astype(np.float64) ** 2, b.num_rows))
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "label": b.column(1), "places": _lists(text, b.num_rows, place.astype(np.int32)), "weights": _lists(text, b.num_rows, (value / norm[text]).astype(np.float32))})
+
+    t = common.arrow_map(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, places array<int>, weights array<float>").toArrow()  # at most SAMPLE vectors
+    t = t.sort_by("doc_id").combine_chunks()
+    flat = lambda name: np.concatenate([np.zeros(0, np.int32 if name == "places" else np.float32), *[c.flatten().to_numpy() for c in t.column(name).chunks]])
+    length = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in t.column("places").chunks]])
+    return Index.of_vectors(t.column("doc_id").to_numpy(), t.column("label").to_numpy().astype(np.float64), length, flat("places"), flat("weights"), len(chosen))
+
+
 def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence array<long>) of every document of docs,
     learnt from the texts of `labelled` with `labels` (doc_id, label)."""
@@ -207,24 +303,32 @@ def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: f
     common.bounded_batches(spark)
     own = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     learnt = common.kept(learnt_rows(labelled, labels, label, SAMPLE), "learnt")
-    chosen = select_terms(own(labelled), learnt)
-    same = docs is labelled
-    found = vectors(own(docs), chosen)
-    examples = found if same else vectors(own(labelled).join(F.broadcast(learnt.select("doc_id")), "doc_id", "left_semi"), chosen)
-    n = found.count()
-    df = np.zeros(len(chosen))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        df[r["t"]] = r["count"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    rows = examples.join(F.broadcast(learnt), "doc_id").orderBy("doc_id").collect()  # at most SAMPLE short rows
-    index = spark.sparkContext.broadcast(Index.build(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.float64), [(r["terms"], r["counts"]) for r in rows], idf))
+    sample = common.kept(own(labelled).join(F.broadcast(learnt), "doc_id").select("doc_id", "label", "text"), "learnt-texts")  # at most SAMPLE rows
+    n = docs.count()
+    df = frequencies(own(docs))
+    chosen, weight = term_weights(sample, df, n)
+    index = examples(sample, chosen, weight)
+    share, without = index.share, index.share_without
+    shared = spark.sparkContext.broadcast((chosen, weight, index))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-        score, evidence = index.value.score(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)), ids)
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(score), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
-
-    out = common.arrow_map(found, run, "doc_id long, score double, evidence array<long>")
+        chosen, weight, index = shared.value
+        text, place, value, other, h, tf2 = placed(b.column(1), chosen, weight)
+        yes, every, evidence = index.votes(b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), text, place, value)
+        own = np.bincount(text, value.astype(np.float64) ** 2, b.num_rows).astype(np.float64)  # whole numbers if there are no terms
+        some = np.bincount(text, minlength=b.num_rows) + np.bincount(other, minlength=b.num_rows) > 0
+        # a key of its own for every row, fixed once it is written
+        key = np.int64(int.from_bytes(os.urandom(6)) << 15) + np.arange(b.num_rows)
+        return pa.RecordBatch.from_pydict({"row": pa.array(key), "doc_id": b.column(0), "some": pa.array(some), "yes": pa.array(yes), "every": pa.array(every), "own": pa.array(own), "other": _lists(other, b.num_rows, h.view(np.int64)), "tf2": _lists(other, b.num_rows, tf2.astype(np.float32)), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
+
+    kind = "row long, doc_id long, some boolean, yes double, every double, own double, other array<long>, tf2 array<float>, evidence array<long>"
+    found = common.kept(common.arrow_map(own(docs), run, kind), "toxicity-votes")
+    idf = (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1) * FLOOR
+    other = found.select("row", F.explode(F.arrays_zip(F.col("other").alias("term"), F.col("tf2").alias("tf2"))).alias("x")).select("row", F.col("x.term").alias("term"), F.col("x.tf2").alias("tf2"))
+    added = other.join(df, "term").groupBy("row").agg(F.sum(F.col("tf2") * idf * idf).alias("added"))
+    length = F.sqrt(F.col("own") + F.coalesce("added", F.lit(0.0)))
+    score = F.when(F.col("some"), (F.col("yes") / length + PULL * share) / (F.col("every") / length + PULL)).otherwise(F.lit(without))
+    out = found.join(added, "row", "left").select("doc_id", score.alias("score"), "evidence")
     return out.select("doc_id", F.coalesce(common.remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 

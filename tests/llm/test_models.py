@@ -70,6 +70,23 @@ def test_toxicity(labelled, docs, empty, repeated):
     assert toxicity.scored(repeated, d, y, 0.3).count() == 4 and toxicity.scored(empty, d, y, 0.3).count() == 0
 
 
+def test_copies_of_toxic_examples_without_common_words_are_found(spark):
+    """No term is in two examples, so none can be told to go with the label."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:24]
+    text = {i: " ".join(f"w{i}x{j}" for j in range(20)) for i in ids}
+    bad = ids[:4]
+    extra = {1000 + i: text[i] for i in bad} | {2000: text[ids[0]] + " unseen1 unseen2"}
+    d = spark.createDataFrame(list((text | extra).items()), "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(d, d, y, 0.3).collect()}
+    for i in bad:
+        assert got[1000 + i]["evidence"][0] == i and got[1000 + i]["predicted"] == 1
+        assert math.isclose(got[1000 + i]["score"], (1 + toxicity.PULL / 6) / (1 + toxicity.PULL), rel_tol=1e-5)
+    assert not any(got[i]["predicted"] for i in ids[4:])
+    # words that no example has make the text longer
+    assert got[2000]["predicted"] == 1 and got[2000]["score"] < got[1000 + ids[0]]["score"] - 1e-3
+
+
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(7)
     idf = r.random(40) + 0.5
