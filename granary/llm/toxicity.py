@@ -199,7 +199,7 @@ class Index:
     def __getstate__(self) -> dict:
         """Packed, as every executor gets a file of this: lists as steps, starts as lengths."""
         out = {k: v for k, v in self.__dict__.items() if k[0] != "_"}
-        out["start"], out["rows"] = np.diff(self.start, prepend=0).astype(np.int32), np.diff(self.rows, prepend=self.rows.dtype.type(0)).astype(np.int16)
+        out["start"], out["rows"] = np.diff(self.start, prepend=0).astype(np.int32), np.diff(self.rows, prepend=self.rows.dtype.type(0))
         return {k: (v.dtype, pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True), v.nbytes) if isinstance(v, np.ndarray) else v for k, v in out.items()}
 
     def __setstate__(self, state: dict) -> None:
