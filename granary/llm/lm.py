@@ -38,7 +38,7 @@ from granary.llm import common, links
 from granary.llm import textkernel as K
 
 BLOCK_BYTES = 12 << 20
-DISCOUNT, LEAST = 0.75, 2
+DISCOUNT, LEAST = 0.75, 1
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0x0000000000000001)
 _HEAD = struct.Struct("<QQ")
 

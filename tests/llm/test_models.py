@@ -124,6 +124,14 @@ def test_language_model_is_the_plain_one(docs, texts, empty, repeated):
     assert lm.scores(repeated, F.lit(True)).count() == 4 and lm.scores(empty, F.lit(True)).count() == 0
 
 
+def test_pairs_seen_once_count(spark):
+    d = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta")], "doc_id long, text string")
+    r = lm.scores(d, F.col("doc_id") == 1).where("doc_id = 2").first()
+    p = 1.5 / (3 + 0.5 * 4)  # of each of three tokens
+    assert math.isclose(r["base_score"], 3 * math.log10(p), rel_tol=1e-9)
+    assert math.isclose(r["score"], 3 * math.log10(0.25 + 0.75 * p), rel_tol=1e-5)
+
+
 def test_language_model_in_many_blocks(docs, monkeypatch):
     want = sorted(map(tuple, lm.scores(docs, F.lit(True)).collect()))
     monkeypatch.setattr(lm, "BLOCK_BYTES", 9_000)
