@@ -7,8 +7,9 @@ for a passage is the sum of BM25 weights of the item's terms that the passage ha
 retrieved from `SHARE` of the sum over all its terms.  Items stand in blocks, and every
 block has the greatest weight of each term (block-max WAND): passages for which the sum
 of these maxima stays under the least threshold of a block never reach its postings.
-Postings are walked for terms that few items have; frequent terms first count with the
-most they can add, and only items that may still reach their threshold are scored.
+Postings are walked for terms that few items have, and for as many of an item's frequent
+terms as it takes that the rest alone stay under its threshold; the rest first count with
+the most they can add, and only items that may still reach their threshold are scored.
 What is retrieved is verified: the passage must hold `QUESTION` of the distinct word
 3-grams of the item's question and `ANSWER` of the words of its answer, its last sentence
 (an item of one sentence, or with a question of fewer than three words, is all question).
@@ -108,9 +109,13 @@ def build(items: list[tuple[int | None, str]]) -> tuple[list[Shard], int]:
             w = idf[np.searchsorted(every, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r[1]) / mean))
             place = np.searchsorted(terms, t)
             maxima[place, j // BLOCK] = np.maximum(maxima[place, j // BLOCK], w)
-            need[j], others[j] = SHARE * w.sum(), w[frequent[place]].sum()
+            need[j] = SHARE * w.sum()
             own.append((place, w))
-            rare = ~frequent[place]
+            # the rarest terms, until the others alone cannot reach the threshold
+            rare, order = ~frequent[place], np.argsort(df[np.searchsorted(every, t)], kind="stable")
+            left = w.sum() - np.cumsum(w[order])
+            rare[order[: 1 + int(np.count_nonzero(left >= need[j] - 2e-4))]] = True
+            others[j] = w[~rare].sum()
             posts.append((place[rare], np.full(int(rare.sum()), j), w[rare]))
         place, items_of, weights = (np.concatenate(x) for x in zip(*posts, strict=True))
         order = np.argsort(place, kind="stable")

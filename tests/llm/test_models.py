@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,25 @@ def test_contaminated_documents(spark, docs, texts, empty, repeated):
     assert decontaminate.contaminated(d, tests.where("item_id < 0")).count() == 0
 
 
+def test_items_of_frequent_terms_only_are_found():
+    """Items whose terms all have too many items, against scores of all pairs."""
+    same, other = prose(80, 30), prose(81, 30)
+    for items in ([(1, same), (2, same), (3, other)], [(i, same) for i in range(40)] + [(100 + i, prose(200 + i, 30)) for i in range(60)]):
+        texts = [prose(82, 20) + " " + same, prose(83, 40), other, " ".join(same.split()[:20]), " ".join(same.split()[:10])]
+        shards, longest = decontaminate.build(items)
+        h, w = decontaminate.bare_words(pa.array(texts))
+        got = {(t, i) for t, i, *_ in decontaminate.matches(h, w, shards, longest)}
+        want = set()
+        for s in shards:
+            for j, (place, weight) in enumerate(s.own):
+                for t in range(len(texts)):
+                    span = h[w[t] : w[t + 1]]  # one passage a text
+                    enough = weight[np.isin(s.terms[place], span)].sum() >= s.need[j] - 1e-4
+                    if enough and np.isin(s.questions[j][1], decontaminate._grams(span, s.questions[j][0])).mean() >= decontaminate.QUESTION:
+                        want.add((t, s.ids[j]))
+        assert got == want and {(0, i) for i, x in items if x == same} <= got
+
+
 def test_parts_of_an_index_find_the_same(spark, docs, monkeypatch):
     tests = spark.createDataFrame([(i, prose(100 + i, 40 + i)) for i in range(20)], "item_id long, text string")
     want = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, tests).collect()}
