@@ -1,23 +1,28 @@
 """Language-model scores by a weighted backoff automaton, learnt from the corpus itself.
 
-Tokens are words (A-Z folded) and one end a text.  A word w after a word u has
+Tokens are words (A-Z folded) and one end a text.  With counts c of words, pairs and
+triples in all training texts, a word w after the words u, v has
 
-    p(w | u) = (c(u, w) - D) / c(u)  where c(u, w) >= LEAST, plus  f(u) * p(w)
-    f(u)     = 1 - the sum of the first parts over w
-    p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | v)   = (c(v, w) + PAIR p(w)) / (c(v) + PAIR)
+    p(w | u v) = (c(u, v, w) + TRIPLE p(w | v)) / (c(u, v) + TRIPLE)
 
-which adds up to 1 over all known words and one unknown.  Pairs that occur at least
-`LEAST` times are arcs of the state u, f(u) is the weight of its failure arc to the
-root, whose arcs are the words.  A text is read once from left to right; the automaton
-carries the state and adds up log-probabilities.
+(Dirichlet smoothing), each of which adds up to 1 over all known words and one unknown.
+The first word of a text follows a start only.  These are a weighted automaton: a pair
+(u, v) is a state whose arcs are the triples, each with the weight of its probability;
+its failure arc, of weight TRIPLE / (c(u, v) + TRIPLE), leads to the state v, whose arcs
+are the pairs; that one fails with PAIR / (c(v) + PAIR) to the root, whose arcs are the
+words.  A text is read once from left to right; the automaton carries the state and adds
+up log-probabilities.
 
 The model grows with the corpus and is never in one place.  Texts are dealt into blocks
-of a fixed size; a block asks, by range of word hash, for the words and pairs that it
-holds, giving its own training counts.  The owner of a range adds up the counts of all
-blocks and answers each with just what it asked for; a block builds the part of the
-automaton that its texts can reach and scores them.  Counts are of all training texts.
-
-Words are known by 64-bit hashes, successors of a word by 48 bits of theirs.
+of a fixed size.  Words, pairs and triples are known by 64-bit keys; a block asks, by
+range of key, for those that it holds, giving its own training counts.  The owner of a
+range adds up the counts of all blocks and answers each with just what it asked for; a
+block builds the part of the automaton that its texts can reach and scores them.  Keys are
+hashes of whole n-grams, so the pairs of a very frequent word are spread over all ranges.
+A block sends at most one message a range and none to ranges of which it holds no key, so
+messages never outnumber the distinct n-grams of the blocks.
 
 Cases: a null or empty text is one end; a null doc_id is scored and never learnt from;
 repeated rows are learnt and scored each; no rows give no rows; other columns are not read.
@@ -38,19 +43,37 @@ from granary.llm import common, links
 from granary.llm import textkernel as K
 
 BLOCK_BYTES = 12 << 20
-DISCOUNT, LEAST = 0.75, 1
+#: Weight of the shorter context in counts, chosen by folds of the training texts.
+PAIR, TRIPLE = 400.0, 5.0
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0x0000000000000001)
-_HEAD = struct.Struct("<QQ")
+_HEAD = struct.Struct("<QII")
+_ZSTD = pa.Codec("zstd", compression_level=1)
+_ONE = np.uint64(1)
+
+
+def encoded(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane: high bytes of small ones cost nothing."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return _ZSTD.compress(planes, asbytes=True)
+
+
+def decoded(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
 
 @dataclass
 class Tokens:
-    """A block's texts as places in its sorted distinct words.  `words` holds END and START."""
+    """A block's texts as places in its sorted distinct words, pairs and triples."""
 
-    words: np.ndarray
-    ids: np.ndarray
-    off: np.ndarray
-    before: np.ndarray
+    words: np.ndarray  # hashes; START and END are among them
+    ids: np.ndarray  # word at each position
+    off: np.ndarray  # positions of each text
+    pairs: np.ndarray  # distinct codes of (word before, word)
+    pair: np.ndarray  # each position's place among them
+    triples: np.ndarray  # distinct codes of (pair before, word)
+    triple: np.ndarray  # the place of each position that is not a text's first
+    later: np.ndarray  # those positions
 
     @staticmethod
     def of(col) -> Tokens:
@@ -62,86 +85,90 @@ class Tokens:
         own = np.ones(len(full), bool)
         own[ends] = False
         full[own], full[ends] = h, END
-        words = np.unique(np.append(full, START))
-        ids = np.searchsorted(words, full)
+        words, ids = np.unique(np.append(full, START), return_inverse=True)
+        start, ids = ids[-1], ids[:-1]
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[off[:-1]] = np.searchsorted(words, START)
-        return Tokens(words, ids, off, before)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct codes of (word before, word), and each position's place in them."""
-        return np.unique(self.before * np.int64(len(self.words)) + self.ids, return_inverse=True)
-
-
-def _ranges(words: np.ndarray, n: int) -> np.ndarray:
-    """n + 1 offsets of sorted hashes by range."""
+        before[off[:-1]] = start
+        pairs, pair = np.unique(before * np.int64(len(words)) + ids, return_inverse=True)
+        first = np.zeros(len(ids), bool)
+        first[off[:-1]] = True
+        later = np.flatnonzero(~first)
+        triples, triple = np.unique(pair[later - 1] * np.int64(len(words)) + ids[later], return_inverse=True)
+        return Tokens(words, ids, off, pairs, pair, triples, triple, later)
+
+    def keys(self) -> np.ndarray:
+        """Keys of words, pairs and triples, in this order.  Those of words are odd, all others even."""
+        n = len(self.words)
+        word = K.mix64(self.words)
+        pair = K.mix64(word[self.pairs // n] * np.uint64(0x9E3779B97F4A7C15) + word[self.pairs % n])
+        triple = K.mix64(pair[self.triples // n] * np.uint64(0xC2B2AE3D27D4EB4F) + word[self.triples % n])
+        return np.concatenate([word | _ONE, pair & ~_ONE, triple & ~_ONE])
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often the texts with train have each, in order of `keys`; the start is no token."""
+        used = np.repeat(train, np.diff(self.off))
+        own = lambda at, of, size: np.bincount(at[used[of]], minlength=size)
+        every = np.arange(len(self.ids))
+        return np.concatenate([own(self.ids, every, len(self.words)), own(self.pair, every, len(self.pairs)), own(self.triple, self.later, len(self.triples))])
+
+
+def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """n + 1 offsets of sorted keys by range."""
     edge = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
-    return np.append(np.searchsorted(words, edge), len(words))
+    return np.append(np.searchsorted(keys, edge), len(keys))
 
 
 def request(col, train: np.ndarray, n_ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, what a block asks for there, with its training counts)."""
     t = Tokens.of(col)
-    codes, at = t.pairs()
-    n = len(t.words)
-    used = np.repeat(train, np.diff(t.off))
-    count = np.bincount(t.ids[used], minlength=n).astype("<u4")
-    context = np.bincount(t.before[used], minlength=n).astype("<u4")
-    pair_count = np.bincount(at[used], minlength=len(codes)).astype("<u4")
-    follows = np.bincount(codes // n, minlength=n).astype("<u4")
-    start = np.concatenate([[0], np.cumsum(follows, dtype=np.int64)])
-    after = t.words[codes % n] >> np.uint64(16)
-    cuts = _ranges(t.words, n_ranges)
+    keys = t.keys()
+    order = np.argsort(keys)
+    keys, count = keys[order], t.counts(train)[order]
+    cuts = _cuts(keys, n_ranges)
     for r in range(n_ranges):
         a, b = cuts[r], cuts[r + 1]
-        if a == b:
-            continue
-        p, q = start[a], start[b]
-        part = after[p:q]
-        yield r, b"".join([_HEAD.pack(b - a, q - p), t.words[a:b].astype("<u8").tobytes(), count[a:b].tobytes(), context[a:b].tobytes(), follows[a:b].tobytes(), (part >> np.uint64(32)).astype("<u2").tobytes(), part.astype("<u4").tobytes(), pair_count[p:q].tobytes()])
+        if a < b:
+            steps, own = encoded(np.diff(keys[a:b], prepend=np.uint64(0))), encoded(count[a:b])
+            yield r, b"".join([_HEAD.pack(b - a, len(steps), len(own)), steps, own])
 
 
-def _parsed(data: bytes) -> tuple[np.ndarray, ...]:
-    n, m = _HEAD.unpack_from(data)
-    at, out = _HEAD.size, []
-    for kind, size in (("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u2", m), ("<u4", m), ("<u4", m)):
-        x = np.frombuffer(data, kind, size, at)
-        at += x.nbytes
-        out.append(x)
-    words, count, context, follows, high, low, pair_count = out
-    return words, count, context, follows, high.astype(np.uint64) << np.uint64(32) | low, pair_count
+def _parsed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k, m = _HEAD.unpack_from(data)
+    at = _HEAD.size
+    return np.cumsum(decoded(data[at : at + k], n), dtype=np.uint64), decoded(data[at + k : at + k + m], n)
 
 
 def answer(requests: list[bytes]) -> tuple[list[bytes], int, int]:
-    """What to send back for each request of a range; its training tokens and distinct ones."""
+    """Counts of what each request of a range asks for; its training tokens and distinct words."""
     parts = [_parsed(x) for x in requests]
-    words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = len(words)
-    count = np.bincount(which, np.concatenate([p[1] for p in parts]), n)
-    context = np.bincount(which, np.concatenate([p[2] for p in parts]), n)
-    ctx = np.repeat(which, np.concatenate([p[3] for p in parts]))
-    key = K.mix64(ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + K.mix64(np.concatenate([p[4] for p in parts])))
-    _, first, pair = np.unique(key, return_index=True, return_inverse=True)
-    pair_count = np.bincount(pair, np.concatenate([p[5] for p in parts]), len(first))
-    kept = pair_count >= LEAST
-    share = np.where(kept, (pair_count - DISCOUNT) / np.maximum(context[ctx[first]], 1), 0.0)
-    fail = 1 - np.bincount(ctx[first], share, n)
-    out, i, j = [], 0, 0
+    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count = np.bincount(which, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    out, i = [], 0
     for p in parts:
-        w, q = which[i : i + len(p[0])], pair[j : j + len(p[4])]
-        i, j = i + len(p[0]), j + len(p[4])
-        ok = kept[q]
-        out.append(b"".join([_HEAD.pack(len(w), len(q)), count[w].astype("<u8").tobytes(), fail[w].astype("<f4").tobytes(), np.packbits(ok).tobytes(), share[q[ok]].astype("<f4").tobytes()]))
-    tokens = words != START
-    return out, int(count[tokens].sum()), int((count[tokens] > 0).sum())
+        own = encoded(count[which[i : i + len(p[0])]])
+        out.append(_HEAD.pack(len(p[0]), len(own), 0) + own)
+        i += len(p[0])
+    words = count[(keys & _ONE).astype(bool)]
+    return out, int(words.sum()), int((words > 0).sum())
 
 
+@dataclass
 class Automaton:
-    """States are words; arcs by sorted (state, word) codes; every state fails to the root."""
+    """States are pairs of words, single words, and the root.
 
-    def __init__(self, n_words: int, arcs: np.ndarray, weights: np.ndarray, fail: np.ndarray, root: np.ndarray):
-        self.n, self.arcs, self.weights, self.fail, self.root = n_words, arcs, weights, fail, root
+    A pair's arcs are `triples`, codes of (pair, word); they and all other steps lead to the
+    pair of the last two words.  A pair fails to its second word, whose arcs are `pairs`,
+    codes of (word, word); a word fails to the root, which has an arc for each word."""
+
+    n_words: int
+    codes: np.ndarray  # sorted codes of all pairs, which number the states
+    triples: np.ndarray
+    triple_weights: np.ndarray
+    pair_weights: np.ndarray  # of every pair, NaN where it is no arc
+    pair_fail: np.ndarray
+    word_fail: np.ndarray
+    root: np.ndarray
 
     def score(self, ids: np.ndarray, off: np.ndarray, start: int) -> np.ndarray:
         """Log10 probability of each sequence ids[off[i]:off[i + 1]].  All sequences are read
@@ -150,45 +177,55 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         alive = len(order) - np.searchsorted(np.sort(length), np.arange(int(length.max(initial=0))), side="right")
         first, total = off[:-1][order], np.zeros(len(order))
-        state = np.full(len(order), start, np.int64)
+        word, pair = np.full(len(order), start, np.int64), None
         for t, m in enumerate(alive.tolist()):
-            word = ids[first[:m] + t]
-            code = state[:m] * self.n + word
-            at = np.searchsorted(self.arcs, code)
-            at[at == len(self.arcs)] = 0
-            hit = self.arcs[at] == code if len(self.arcs) else np.zeros(m, bool)
-            step = self.fail[state[:m]] + self.root[word]
-            if hit.any():
-                step[hit] = self.weights[at[hit]]
+            last, now = word[:m], ids[first[:m] + t]
+            reached = np.searchsorted(self.codes, last * self.n_words + now)
+            step = self.pair_weights[reached]  # the arc of the state `last`, if it has one
+            none = np.isnan(step)
+            step[none] = self.word_fail[last[none]] + self.root[now[none]]
+            if pair is not None:
+                code = pair[:m] * self.n_words + now
+                at = np.searchsorted(self.triples, code)
+                at[at == len(self.triples)] = 0
+                hit = self.triples[at] == code if len(self.triples) else np.zeros(m, bool)
+                step = np.where(hit, self.triple_weights[at] if len(self.triples) else 0.0, self.pair_fail[pair[:m]] + step)
             total[:m] += step
-            state[:m] = word
+            word, pair = now, reached
         out = np.empty(len(order))
         out[order] = total
         return out
 
 
+def automaton(t: Tokens, count: np.ndarray, n_train: int, v_train: int) -> Automaton:
+    """What a block's texts can reach, from the counts of its keys."""
+    n, p, start, end = len(t.words), len(t.pairs), np.searchsorted(t.words, START), np.searchsorted(t.words, END)
+    of_word, of_pair, of_triple = (x.astype(np.float64) for x in np.split(count, [n, n + p]))
+    root = (of_word + 0.5) / (n_train + 0.5 * (v_train + 1))
+    context = of_word.copy()
+    context[start] = of_word[end]  # as many starts as ends
+    last, now = t.pairs // n, t.pairs % n
+    pair = (of_pair + PAIR * root[now]) / (context[last] + PAIR)
+    before, word = t.triples // n, t.triples % n
+    shorter = pair[np.searchsorted(t.pairs, now[before] * n + word)]
+    triple = (of_triple + TRIPLE * shorter) / (of_pair[before] + TRIPLE)
+    arc = of_triple > 0
+    return Automaton(n, t.pairs, t.triples[arc], np.log10(triple[arc]), np.where(of_pair > 0, np.log10(pair), np.nan), np.log10(TRIPLE / (of_pair + TRIPLE)), np.log10(PAIR / (context + PAIR)), np.log10(root))
+
+
 def score(col, answers: list[bytes], n_train: int, v_train: int) -> dict[str, np.ndarray]:
     """Scores of a block's texts from the answers to its requests, in order of range."""
     t = Tokens.of(col)
-    codes, _ = t.pairs()
-    n = len(t.words)
-    count, fail, mask, share = [], [], [], []
+    found = []
     for data in answers:
-        k, m = _HEAD.unpack_from(data)
-        at = _HEAD.size
-        count.append(np.frombuffer(data, "<u8", k, at))
-        fail.append(np.frombuffer(data, "<f4", k, at + 8 * k))
-        ok = np.unpackbits(np.frombuffer(data, np.uint8, -(-m // 8), at + 12 * k), count=m).astype(bool)
-        mask.append(ok)
-        share.append(np.frombuffer(data, "<f4", int(ok.sum()), at + 12 * k + -(-m // 8)))
-    count, fail, mask = np.concatenate(count).astype(np.float64), np.concatenate(fail).astype(np.float64), np.concatenate(mask)
-    p = (count + 0.5) / (n_train + 0.5 * (v_train + 1))
-    arcs = codes[mask]
-    weights = np.log10(np.concatenate(share).astype(np.float64) + fail[arcs // n] * p[arcs % n])
-    root = np.log10(p)
-    automaton = Automaton(n, arcs, weights, np.log10(np.maximum(fail, 1e-12)), root)
+        n, k, _ = _HEAD.unpack_from(data)
+        found.append(decoded(data[_HEAD.size : _HEAD.size + k], n))
+    keys = t.keys()
+    count = np.empty(len(keys), np.int64)
+    count[np.argsort(keys)] = np.concatenate(found)
+    a = automaton(t, count, n_train, v_train)
     per = lambda x: np.add.reduceat(x, t.off[:-1])  # noqa: E731  every text has its end
-    return {"n_tokens": np.diff(t.off), "n_known": per((count[t.ids] > 0).astype(np.int64)), "base_score": per(root[t.ids]), "score": automaton.score(t.ids, t.off, int(np.searchsorted(t.words, START)))}
+    return {"n_tokens": np.diff(t.off), "n_known": per((count[t.ids] > 0).astype(np.int64)), "base_score": per(a.root[t.ids]), "score": a.score(t.ids, t.off, int(np.searchsorted(t.words, START)))}
 
 
 _PACK = "block int, pack binary"

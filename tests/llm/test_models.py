@@ -101,43 +101,63 @@ def test_nearest_examples_are_exact():
     assert np.allclose(sims, want, atol=1e-5)
 
 
-def test_language_model_is_the_plain_one(docs, texts, empty, repeated):
-    train = {k for k in texts if zlib.crc32(str(k).encode()) % 5 != 1}
-    tok = {k: [*WORD.findall((t or "").translate(LOW)), 0] for k, t in texts.items()}
-    c, pairs, ctx = Counter(), Counter(), Counter()
+def plain_language_model(tok, train):
+    """The same model over dictionaries: a function (words before, word) -> probability, and its counts."""
+    c = Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for k in train:
+        x = [1, *tok[k]]
         c.update(tok[k])
-        pairs.update(zip([1, *tok[k]], tok[k], strict=False))
-        ctx.update([1, *tok[k][:-1]])
+        one[1] += 1
+        one.update(tok[k])
+        two.update(zip(x, x[1:], strict=False))
+        three.update(zip(x, x[1:], x[2:], strict=False))
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    part = {(u, w): (k - lm.DISCOUNT) / ctx[u] for (u, w), k in pairs.items() if k >= lm.LEAST}
-    fail = Counter()
-    for (u, _), x in part.items():
-        fail[u] += x
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    pair = lambda u, w: (two[u, w] + lm.PAIR * root(w)) / (one[u] + lm.PAIR)
+    triple = lambda t, u, w: (three[t, u, w] + lm.TRIPLE * pair(u, w)) / (two[t, u] + lm.TRIPLE)
+    return c, n, root, lambda before, w: pair(before[-1], w) if len(before) == 1 else triple(*before[-2:], w)
+
+
+def test_language_model_is_the_plain_one(docs, texts, empty, repeated):
+    train = {k for k in texts if zlib.crc32(str(k).encode()) % 5 != 1}
+    tok = {k: [*WORD.findall((t or "").translate(LOW)), 0] for k, t in texts.items()}
+    c, n, root, p = plain_language_model(tok, train)
     got = {r["doc_id"]: r for r in lm.scores(docs, common.remainder(F.col("doc_id"), 5) != 1).collect()}
     for k, t in tok.items():
-        base = sum(math.log10(p(w)) for w in t)
-        score = sum(math.log10(part.get((u, w), 0) + (1 - fail[u]) * p(w)) for u, w in zip([1, *t], t, strict=False))
+        base = sum(math.log10(root(w)) for w in t)
+        score = sum(math.log10(p([1, *t][: i + 1][-2:], w)) for i, w in enumerate(t))
         r = got[k]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-4, abs_tol=1e-3)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
     assert lm.scores(repeated, F.lit(True)).count() == 4 and lm.scores(empty, F.lit(True)).count() == 0
 
 
-def test_pairs_seen_once_count(spark):
-    d = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta")], "doc_id long, text string")
-    r = lm.scores(d, F.col("doc_id") == 1).where("doc_id = 2").first()
-    p = 1.5 / (3 + 0.5 * 4)  # of each of three tokens
-    assert math.isclose(r["base_score"], 3 * math.log10(p), rel_tol=1e-9)
-    assert math.isclose(r["score"], 3 * math.log10(0.25 + 0.75 * p), rel_tol=1e-5)
+def test_language_model_adds_up_to_one():
+    tok = {0: ["a", "b", "a", "c", 0], 1: ["a", "b", "d", 0]}
+    c, _, _, p = plain_language_model(tok, tok)
+    for before in ([1], [1, "a"], ["a", "b"], ["b", "zzz"], ["zzz", "b"], ["zzz", "yyy"]):
+        assert math.isclose(sum(p(before, w) for w in [*c, "unknown"]), 1)
+
+
+def test_texts_seen_whole_score_higher_than_their_words(spark):
+    """Pairs and triples of one occurrence count."""
+    d = spark.createDataFrame([(1, prose(1, 60)), (2, prose(1, 60)), (3, " ".join(sorted(prose(1, 60).split())))], "doc_id long, text string")
+    r = {r["doc_id"]: r for r in lm.scores(d, F.col("doc_id") == 1).collect()}
+    assert math.isclose(r[2]["base_score"], r[3]["base_score"]) and r[2]["score"] > r[3]["score"] + 20
+
+
+def test_numbers_survive_their_planes():
+    r = np.random.default_rng(0)
+    for x in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0, 1], np.uint64), r.integers(0, 2**63, 1000).astype(np.uint64)):
+        assert (lm.decoded(lm.encoded(x), len(x)) == x).all()
 
 
 def test_language_model_in_many_blocks(docs, monkeypatch):
     want = sorted(map(tuple, lm.scores(docs, F.lit(True)).collect()))
     monkeypatch.setattr(lm, "BLOCK_BYTES", 9_000)
     got = sorted(map(tuple, lm.scores(docs, F.lit(True)).collect()))
-    assert all(a[:4] == b[:4] and math.isclose(a[5], b[5], rel_tol=1e-5) for a, b in zip(want, got, strict=True))
+    assert all(a[:4] == b[:4] and math.isclose(a[5], b[5], rel_tol=1e-9) for a, b in zip(want, got, strict=True))
 
 
 def test_contaminated_documents(spark, docs, texts, empty, repeated):
