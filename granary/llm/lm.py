@@ -16,7 +16,7 @@ words.  A text is read once from left to right; the automaton carries the state
 up log-probabilities.
 
 The model grows with the corpus and is never in one place.  Texts are dealt into blocks
-of a fixed size.  Words, pairs and triples are known by 64-bit keys; a block asks, by
+of a fixed size.  Words, pairs and triples are known by keys of `KEY_BITS`; a block asks, by
 range of key, for those that it holds, giving its own training counts.  The owner of a
 range adds up the counts of all blocks and answers each with just what it asked for; a
 block builds the part of the automaton that its texts can reach and scores them.  Keys are
@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 from granary.llm import common, links
 from granary.llm import textkernel as K
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Of n distinct n-grams a share of about n / 2**KEY_BITS has a key that another one has too.
+KEY_BITS = 56
 #: Weight of the shorter context in counts, chosen by folds of the training texts.
 PAIR, TRIPLE = 400.0, 5.0
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0x0000000000000001)
@@ -103,7 +105,8 @@ class Tokens:
         word = K.mix64(self.words)
         pair = K.mix64(word[self.pairs // n] * np.uint64(0x9E3779B97F4A7C15) + word[self.pairs % n])
         triple = K.mix64(pair[self.triples // n] * np.uint64(0xC2B2AE3D27D4EB4F) + word[self.triples % n])
-        return np.concatenate([word | _ONE, pair & ~_ONE, triple & ~_ONE])
+        cut = np.uint64(64 - KEY_BITS)
+        return np.concatenate([word >> cut | _ONE, pair >> cut & ~_ONE, triple >> cut & ~_ONE])
 
     def counts(self, train: np.ndarray) -> np.ndarray:
         """How often the texts with train have each, in order of `keys`; the start is no token."""
@@ -115,7 +118,7 @@ class Tokens:
 
 def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
     """n + 1 offsets of sorted keys by range."""
-    edge = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
+    edge = np.array([(i << KEY_BITS) // n for i in range(n)], dtype=np.uint64)
     return np.append(np.searchsorted(keys, edge), len(keys))
 
 
@@ -157,14 +160,15 @@ def answer(requests: list[bytes]) -> tuple[list[bytes], int, int]:
 class Automaton:
     """States are pairs of words, single words, and the root.
 
-    A pair's arcs are `triples`, codes of (pair, word); they and all other steps lead to the
-    pair of the last two words.  A pair fails to its second word, whose arcs are `pairs`,
-    codes of (word, word); a word fails to the root, which has an arc for each word."""
+    A pair's arcs are `triples`, codes of (pair, word), with their weights and the pairs they
+    lead to.  A pair fails to its second word, whose arcs are `pairs`, codes of (word, word),
+    and lead to themselves; a word fails to the root, which has an arc for each word."""
 
     n_words: int
     codes: np.ndarray  # sorted codes of all pairs, which number the states
     triples: np.ndarray
     triple_weights: np.ndarray
+    triple_to: np.ndarray
     pair_weights: np.ndarray  # of every pair, NaN where it is no arc
     pair_fail: np.ndarray
     word_fail: np.ndarray
@@ -180,16 +184,23 @@ class Automaton:
         word, pair = np.full(len(order), start, np.int64), None
         for t, m in enumerate(alive.tolist()):
             last, now = word[:m], ids[first[:m] + t]
-            reached = np.searchsorted(self.codes, last * self.n_words + now)
-            step = self.pair_weights[reached]  # the arc of the state `last`, if it has one
-            none = np.isnan(step)
-            step[none] = self.word_fail[last[none]] + self.root[now[none]]
-            if pair is not None:
+            step, reached = np.empty(m), np.empty(m, np.int64)
+            left = slice(None)  # texts whose state has no arc for the word
+            if pair is not None and len(self.triples):
                 code = pair[:m] * self.n_words + now
                 at = np.searchsorted(self.triples, code)
                 at[at == len(self.triples)] = 0
-                hit = self.triples[at] == code if len(self.triples) else np.zeros(m, bool)
-                step = np.where(hit, self.triple_weights[at] if len(self.triples) else 0.0, self.pair_fail[pair[:m]] + step)
+                hit = self.triples[at] == code
+                step[hit], reached[hit] = self.triple_weights[at[hit]], self.triple_to[at[hit]]
+                left = np.flatnonzero(~hit)
+            u, w = last[left], now[left]
+            if len(w):  # the failure arc to the state of the last word, and from there to the root
+                to = np.searchsorted(self.codes, u * self.n_words + w)
+                more = self.pair_weights[to]
+                none = np.isnan(more)
+                more[none] = self.word_fail[u[none]] + self.root[w[none]]
+                step[left] = more if pair is None else more + self.pair_fail[pair[:m][left]]
+                reached[left] = to
             total[:m] += step
             word, pair = now, reached
         out = np.empty(len(order))
@@ -206,11 +217,12 @@ def automaton(t: Tokens, count: np.ndarray, n_train: int, v_train: int) -> Autom
     context[start] = of_word[end]  # as many starts as ends
     last, now = t.pairs // n, t.pairs % n
     pair = (of_pair + PAIR * root[now]) / (context[last] + PAIR)
-    before, word = t.triples // n, t.triples % n
-    shorter = pair[np.searchsorted(t.pairs, now[before] * n + word)]
-    triple = (of_triple + TRIPLE * shorter) / (of_pair[before] + TRIPLE)
+    before = t.triples // n
+    to = np.empty(len(t.triples), np.int64)
+    to[t.triple] = t.pair[t.later]
+    triple = (of_triple + TRIPLE * pair[to]) / (of_pair[before] + TRIPLE)
     arc = of_triple > 0
-    return Automaton(n, t.pairs, t.triples[arc], np.log10(triple[arc]), np.where(of_pair > 0, np.log10(pair), np.nan), np.log10(TRIPLE / (of_pair + TRIPLE)), np.log10(PAIR / (context + PAIR)), np.log10(root))
+    return Automaton(n, t.pairs, t.triples[arc], np.log10(triple[arc]), to[arc], np.where(of_pair > 0, np.log10(pair), np.nan), np.log10(TRIPLE / (of_pair + TRIPLE)), np.log10(PAIR / (context + PAIR)), np.log10(root))
 
 
 def score(col, answers: list[bytes], n_train: int, v_train: int) -> dict[str, np.ndarray]:
