@@ -1,21 +1,27 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, then overlap.
 
 The index is of the test items, which are few; the queries are all passages of all
-training texts.  A passage is a window of words, twice as long as the longest item and
-moved by half of that, so that every copied item lies whole within one.  An item's score
-for a passage is the sum of BM25 weights of the item's terms that the passage has; it is
-retrieved from `SHARE` of the sum over all its terms.  Items stand in blocks, and every
-block has the greatest weight of each term (block-max WAND): passages for which the sum
-of these maxima stays under the least threshold of a block never reach its postings.
-Postings are walked for terms that few items have, and for as many of an item's frequent
-terms as it takes that the rest alone stay under its threshold; the rest first count with
-the most they can add, and only items that may still reach their threshold are scored.
+training texts.  For an item of n words a passage is a window of twice the next power of
+two (`LEAST_WINDOW` at least), moved by half of that, so that every copied item lies whole
+within one.  An item's score for a passage is the sum of BM25 weights of the item's terms
+that the passage has; it is retrieved from `SHARE` of the sum over all its terms.
+
+Block-max WAND, with a threshold known beforehand for every item in place of a running
+top k: items stand in blocks, and every block has the greatest weight of each term;
+passages for which the sum of these maxima stays under the least threshold of a block
+never reach its postings.  An item's pivot is the place among its terms, rarest first,
+from which on the rest alone stays under its threshold; only terms up to the pivot have
+postings that are walked.  What the terms after it can add at most is added to the partial
+score, and items that may still reach their threshold are scored in full.
+
 What is retrieved is verified: the passage must hold `QUESTION` of the distinct word
 3-grams of the item's question and `ANSWER` of the words of its answer, its last sentence
 (an item of one sentence, or with a question of fewer than three words, is all question).
 
-The index is broadcast up to `INDEX_BYTES` of item text; larger test sets are taken in
-parts of that size, each with its own pass over the documents.
+Item counts, mean length and document frequencies are of all items, and passages depend
+on the item alone.  So what is found for an item does not depend on how the index is cut:
+it is broadcast in parts of about `INDEX_BYTES` of item text, each with its own pass over
+the documents.
 
 Cases: null or empty texts and items match nothing; rows with a null doc_id are matched
 with a null doc_id; items with a null item_id are matched too; repeated rows give one
@@ -59,8 +65,9 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """Up to `SHARD` items: terms, block maxima, and postings of the terms that few items have."""
+    """Up to `SHARD` items of like length: terms, block maxima, and postings up to the pivots."""
 
+    half: int  # words by which passages move
     ids: list[int | None]
     terms: np.ndarray
     block: int  # items a block
@@ -76,43 +83,74 @@ class Shard:
     answers: list[np.ndarray]
 
 
-def build(items: list[tuple[int | None, str]]) -> tuple[list[Shard], int]:
-    """Shards of an index, and the longest item in words.  Frequencies are of these items."""
-    rows = []
+@dataclass
+class Statistics:
+    """Of all items: how many there are, their mean length, and the terms of those in hand."""
+
+    items: int
+    mean: float
+    terms: np.ndarray  # sorted
+    df: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Statistics:
+        words = [h for h in (bare_words(pa.array([t]))[0] for t in texts) if len(h)]
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(h) for h in words]]), return_counts=True)
+        return Statistics(len(words), sum(map(len, words)) / max(1, len(words)), terms, df)
+
+    def frequency(self, t: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, t)]
+
+
+def parts_of(text: str) -> tuple[str, str]:
+    """Question and answer of an item."""
+    some = [x for x in _SENTENCE.split(text.strip()) if x and len(bare_words(pa.array([x]))[0])]
+    if len(some) < 2:
+        return text, ""
+    question = text.strip()[: text.strip().rindex(some[-1])]
+    return (question, some[-1]) if len(bare_words(pa.array([question]))[0]) >= GRAM else (text, "")
+
+
+def half_of(words: int) -> int:
+    """Words by which the passages for an item of so many words move."""
+    return max(LEAST_WINDOW // 2, 1 << (words - 1).bit_length())
+
+
+def build(items: list[tuple[int | None, str]], stats: Statistics) -> list[Shard]:
+    """Shards of an index of these items, with the statistics of all."""
+    by_half: dict[int, list] = {}
     for item_id, text in items:
         h, _ = bare_words(pa.array([text]))
         if not len(h):
             continue
-        parts = [x for x in _SENTENCE.split(text.strip()) if x and len(bare_words(pa.array([x]))[0])]
-        question, answer = (text, "") if len(parts) < 2 else (text.strip()[: text.strip().rindex(parts[-1])], parts[-1])
+        question, answer = parts_of(text)
         asked = bare_words(pa.array([question]))[0]
-        if len(asked) < GRAM:
-            asked, answer = h, ""
         n = min(GRAM, len(asked))
-        rows.append((item_id, h, (n, _grams(asked, n)), np.unique(bare_words(pa.array([answer]))[0])))
-    if not rows:
-        return [], 0
-    every, df = np.unique(np.concatenate([np.unique(r[1]) for r in rows]), return_counts=True)
-    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-    mean = sum(len(r[1]) for r in rows) / len(rows)
+        by_half.setdefault(half_of(len(h)), []).append((item_id, h, (n, _grams(asked, n)), np.unique(bare_words(pa.array([answer]))[0])))
+    return [shard for half in sorted(by_half) for shard in _shards(half, by_half[half], stats)]
+
+
+def _shards(half: int, rows: list, stats: Statistics) -> list[Shard]:
     # items of like weight stand together, so that a block's least threshold says much
     rows.sort(key=lambda r: len(r[1]))
     shards = []
     for at in range(0, len(rows), SHARD):
         part = rows[at : at + SHARD]
         terms = np.unique(np.concatenate([r[1] for r in part]))
-        frequent = df[np.searchsorted(every, terms)] > max(1, FREQUENT * len(rows))
+        frequent = stats.frequency(terms) > max(1, FREQUENT * stats.items)
         maxima = np.zeros((len(terms), -(-len(part) // BLOCK)), np.float32)
         need, others, own, posts = np.zeros(len(part)), np.zeros(len(part)), [], []
         for j, r in enumerate(part):
             t, tf = np.unique(r[1], return_counts=True)
-            w = idf[np.searchsorted(every, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r[1]) / mean))
+            df = stats.frequency(t)
+            idf = np.log(1 + (stats.items - df + 0.5) / (df + 0.5))
+            w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r[1]) / stats.mean))
             place = np.searchsorted(terms, t)
             maxima[place, j // BLOCK] = np.maximum(maxima[place, j // BLOCK], w)
             need[j] = SHARE * w.sum()
             own.append((place, w))
-            # the rarest terms, until the others alone cannot reach the threshold
-            rare, order = ~frequent[place], np.argsort(df[np.searchsorted(every, t)], kind="stable")
+            # terms up to the pivot, and all that few items have
+            rare, order = ~frequent[place], np.argsort(df, kind="stable")
             left = w.sum() - np.cumsum(w[order])
             rare[order[: 1 + int(np.count_nonzero(left >= need[j] - 2e-4))]] = True
             others[j] = w[~rare].sum()
@@ -121,8 +159,8 @@ def build(items: list[tuple[int | None, str]]) -> tuple[list[Shard], int]:
         order = np.argsort(place, kind="stable")
         start = np.searchsorted(place[order], np.arange(len(terms) + 1))
         least = np.array([need[k : k + BLOCK].min() for k in range(0, len(part), BLOCK)])
-        shards.append(Shard([r[0] for r in part], terms, BLOCK, maxima, least, need, others, start, items_of[order], weights[order], own, [r[2] for r in part], [r[3] for r in part]))
-    return shards, max(len(r[1]) for r in rows)
+        shards.append(Shard(half, [r[0] for r in part], terms, BLOCK, maxima, least, need, others, start, items_of[order], weights[order], own, [r[2] for r in part], [r[3] for r in part]))
+    return shards
 
 
 def windows(w: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +172,13 @@ def windows(w: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, first + w[:-1][text], np.minimum(first + 2 * half, n[text]) + w[:-1][text]
 
 
-def matches(h: np.ndarray, w: np.ndarray, shards: list[Shard], longest: int) -> list[tuple[int, int | None, float, float, float]]:
+def matches(h: np.ndarray, w: np.ndarray, shards: list[Shard]) -> list[tuple[int, int | None, float, float, float]]:
     """(text, item_id, score, question overlap, answer overlap) of verified matches."""
-    half = max(LEAST_WINDOW // 2, longest)
-    text, first, end = windows(w, half)
-    out = []
+    out, half = [], 0
     for shard in shards:
+        if shard.half != half:
+            half = shard.half
+            text, first, end = windows(w, half)
         place = np.searchsorted(shard.terms, h)
         place[place == len(shard.terms)] = 0
         at = np.flatnonzero(shard.terms[place] == h)  # words that are terms
@@ -184,37 +223,73 @@ def matches(h: np.ndarray, w: np.ndarray, shards: list[Shard], longest: int) ->
 _PAIR = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def indexes(items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> list:
+    """Broadcast parts of an index of all items, each of about `INDEX_BYTES` of item text."""
+    spark = items.sparkSession
+    common.bounded_batches(spark)
+    tests = common.kept(items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct(), "items")
+    parts = max(1, -(-common.text_bytes(tests) // INDEX_BYTES))
+    tests = tests.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+
+    def terms(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, w = bare_words(b.column(0))
+        own, off = K.distinct(h, w)
+        return pa.RecordBatch.from_pydict({"part": b.column(1), "words": pa.array(np.diff(w)), "terms": pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(own.view(np.int64)))})
+
+    known = common.kept(common.arrow_map(tests.select("text", "part"), terms, "part long, words long, terms array<long>").where("words > 0"), "item-terms")
+    n, mean = known.agg(F.count("*"), F.avg("words")).first()
+    each = known.select("part", F.explode("terms").alias("term"))
+    df = common.kept(each.groupBy("term").count(), "item-frequencies")
+    out = []
+    for part in range(parts):
+        own = tests.where(F.col("part") == part).orderBy("item_id", "text").collect()  # about INDEX_BYTES
+        t = df.join(each.where(F.col("part") == part).select("term").distinct(), "term").orderBy("term").toArrow()  # the terms of INDEX_BYTES
+        term, count = t.column("term").to_numpy().view(np.uint64), t.column("count").to_numpy()
+        order = np.argsort(term)
+        out.append(spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in own], Statistics(n, mean or 0.0, term[order], count[order]))))
+    return out
+
+
+def _found(col, shards: list[Shard]) -> list[tuple[int, int | None, float, float, float]]:
+    out = []
+    for lo in range(0, len(col) if shards else 0, 256):
+        out += [(lo + t, *rest) for t, *rest in matches(*bare_words(col.slice(lo, 256)), shards)]
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents that hold test
     items, a row a pair, with the best passage's figures."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
-    parts = max(1, -(-common.text_bytes(tests) // INDEX_BYTES))
     found = None
-    for part in range(parts):
-        own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about INDEX_BYTES
-        index = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in own]))
+    for index in indexes(items, item_id_col, item_text_col):
 
         def run(b: pa.RecordBatch, index=index) -> pa.RecordBatch | None:
-            shards, longest = index.value
-            if not shards:
-                return None
-            ids, out = b.column(0), []
-            for lo in range(0, b.num_rows, 256):
-                piece = b.column(1).slice(lo, 256)
-                out += [(lo + t, *rest) for t, *rest in matches(*bare_words(piece), shards, longest)]
+            out = _found(b.column(1), index.value)
             if not out:
                 return None
             at, item, score, question, answer = zip(*out, strict=True)
-            return pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(at)), "item_id": pa.array(item, pa.int64()), "score": pa.array(score), "question_overlap": pa.array(question), "answer_overlap": pa.array(answer)})
+            return pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(at)), "item_id": pa.array(item, pa.int64()), "score": pa.array(score), "question_overlap": pa.array(question), "answer_overlap": pa.array(answer)})
 
         pairs = common.arrow_map(rows, run, _PAIR)
         found = pairs if found is None else found.unionByName(pairs)
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
+def filtered(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no test item: one map for each part of the index."""
+    at = docs.columns.index(text_col)
+    for index in indexes(items, item_id_col, item_text_col):
+
+        def run(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
+            clean = np.ones(b.num_rows, bool)
+            clean[[t for t, *_ in _found(b.column(at), index.value)]] = False
+            return b.filter(pa.array(clean))
+
+        docs = common.arrow_map(docs, run, docs.schema)
+    return docs
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against the benchmark."""
     return contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -100,7 +100,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tupl
 def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """The model of `train`, from at most `SAMPLE` rows of `labelled` with `labels`."""
     common.bounded_batches(labelled.sparkSession)
-    learnt = common.kept(toxicity.learnt_rows(labelled, labels, label, SAMPLE, id_col), "learnt")
+    sample = toxicity.learnt_texts(labelled, labels, label, SAMPLE, id_col, text_col).select("text", "label", F.xxhash64("doc_id").alias("hash"))
 
     def gather(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -111,8 +111,6 @@ def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality",
             found += [((key[i:j] % BUCKETS).astype(np.uint16).tobytes(), np.minimum(count[i:j], 65_535).astype(np.uint16).tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
         return pa.RecordBatch.from_pydict({"label": b.column(1), "hash": b.column(2), "buckets": pa.array([x for x, _ in found], pa.binary()), "counts": pa.array([x for _, x in found], pa.binary())})
 
-    texts = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(learnt), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("hash"))  # at most SAMPLE rows of two numbers
     rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash")  # at most SAMPLE rows of BUCKETS
     return train([(np.frombuffer(bytes(r["buckets"]), np.uint16), np.frombuffer(bytes(r["counts"]), np.uint16), r["label"]) for r in rows.collect()])
 

@@ -1,49 +1,56 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 7 bytes (so inflected forms meet).  All terms
-of a text are dimensions; a term's weight is its inverse frequency over all documents times
-`FLOOR` and more the more it goes with the label in a bounded sample of labelled rows, so
-every term counts and a copy of an example has similarity 1.  The similarities of a text
-to all examples are computed: terms that many examples have by a matrix product, the others
-by posting lists.  The score is the similarity-weighted vote of the nearest examples, drawn
-towards the share of the label among all examples; a text without any term gets the share
-of the label among examples without one.
-
-Terms that no example has only add to a text's length.  Their frequencies are not held by
-anyone: these terms are joined with the counts, and what they add is summed up by row.
+Terms are words and the first `BEGINNING` bytes of longer ones (so inflected forms meet).
+All terms of a text are dimensions.  A term's weight is its inverse frequency over all
+documents times `FLOOR`, and more the more it goes with the label among the examples; so
+every term counts and a copy of an example has similarity 1.  Document frequencies are
+added up in `CELLS` cells of the terms' hashes by one pass over all documents; terms that
+share a cell share its count, the terms themselves stay apart.
+
+The examples, a bounded sample of labelled rows without near copies, are an inverted index.
+Similar ones stand in blocks, and every posting list has the greatest weight of each of its
+blocks.  For a chunk of texts the terms that most examples have are multiplied as a matrix;
+block maxima of all other terms bound what they can add, and posting lists are walked only
+in blocks that can still reach one of the text's nearest `NEIGHBOURS`, so these are exact.
+
+The vote of the nearest, weighted by similarity and drawn towards the share of the label, is
+calibrated by a logistic curve over the votes that each example gets from the others.  A text
+without any term gets the share of the label among examples without one.
 
 Cases: a null or empty text has no terms; a null doc_id is scored too; repeated rows are
-scored each; labels that are null are not learnt from; without any label to learn from
-all scores are 0; no rows give no rows; other columns are not read.
+scored each; labels other than 0 and 1 are not learnt from, of repeated labels the greatest
+counts, of a repeated labelled doc_id the least text; without any label to learn from all
+scores are 0; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm import common, fingerprint
+from granary.llm import common, fingerprint, links
 from granary.llm import textkernel as K
 
 #: Bound of the labelled rows that are learnt from.
-SAMPLE = 12_000
+SAMPLE = 4_000
 #: Weight of a term that does not go with the label; unlabelled rows added to a term's share
 #: of the label; likelihood ratio from which on a term's share is believed by half.
 FLOOR, PRIOR, HALF = 0.05, 4.0, 20.0
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNING = 5
 NEIGHBOURS, PULL = 15, 0.5
-#: Terms that are multiplied as a matrix, and texts scored at once.
-DENSE, CHUNK = 512, 64
-#: Terms that a task counts before it sends them on.
-HELD = 1 << 20
+#: How far the calibration is held at the votes themselves, in examples.
+RIDGE = 4.0
+#: Terms that are multiplied as a matrix, texts scored at once, examples a block.
+DENSE, CHUNK, BLOCK = 2048, 64, 16
+CELLS, PIECES = 1 << 21, 16
 
 _SEP = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
+_SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
 
 
 def terms(col) -> tuple[np.ndarray, np.ndarray]:
@@ -51,24 +58,44 @@ def terms(col) -> tuple[np.ndarray, np.ndarray]:
     data, off = K.utf8(col)
     s, e, w = K.word_spans(data, off, _SEP)
     text = np.repeat(np.arange(len(off) - 1), np.diff(w))
-    hashes, texts = [K.hash_spans(data, s, e)], [text]
-    for n in BEGINNINGS:
-        own = e - s > n
-        hashes.append(K.mix64(K.hash_spans(data, s[own], s[own] + n) + np.uint64(n)))
-        texts.append(text[own])
-    return np.concatenate(texts), np.concatenate(hashes)
+    own = e - s > BEGINNING
+    short = K.mix64(K.hash_spans(data, s[own], s[own] + BEGINNING) + np.uint64(BEGINNING))
+    return np.concatenate([text, text[own]]), np.concatenate([K.hash_spans(data, s, e), short])
+
+
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h >> _SHIFT).astype(np.int64)
+
+
+def counted(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count) of the distinct terms of every text, in order of text."""
+    text, h = terms(col)
+    u, inverse = np.unique(h, return_inverse=True)
+    key, count = np.unique(text * np.int64(len(u)) + inverse, return_counts=True)
+    return key // max(1, len(u)), u[key % max(1, len(u))], count
+
+
+# -- what is learnt ----------------------------------------------------------------
 
 
 def learnt_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, label) of at most `bound` labelled rows that may be learnt from, by smallest
     hash of doc_id; rows whose crc32(doc_id) mod 4 is 2 are never among them."""
-    may = labels.where((common.remainder(F.col(id_col), 4) != 2) & F.col(label).isNotNull())
+    may = labels.where((common.remainder(F.col(id_col), 4) != 2) & F.col(label).isin(0, 1))
     one = may.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def without_copies(sample: DataFrame) -> DataFrame:
-    """(doc_id): one of each group of near copies, so that a copied text does not make all its
+def learnt_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, label, text) of the rows of `learnt_rows`, one for each doc_id."""
+    learnt = common.kept(learnt_rows(docs, labels, label, bound, id_col), "learnt")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(learnt), "doc_id")  # at most `bound` rows of two numbers
+    return common.kept(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")), "learnt-texts")
+
+
+def without_copies(sample: DataFrame) -> np.ndarray:
+    """doc_ids, one of each group of near copies, so that a copied text does not make all its
     words look like signs of its label.  Copies share one of three triples of least hashes."""
 
     def keys(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,70 +103,51 @@ def without_copies(sample: DataFrame) -> DataFrame:
         out = {f"key{i}": pa.array((((least[:, 4 * i] << 16 | least[:, 4 * i + 1]) << 16 | least[:, 4 * i + 2]))) for i in range(3)}
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | out)
 
-    out = common.kept(common.arrow_map(sample.select("doc_id", "text"), keys, "doc_id long, key0 long, key1 long, key2 long"), "copy-keys")
-    for i in range(3):
-        out = out.groupBy(f"key{i}").agg(F.min_by(F.struct(*out.columns), "doc_id").alias("r")).select("r.*")
-    return out.select("doc_id")
-
-
-def counted(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term hash, count) of the distinct terms of every text, in order of text."""
-    text, h = terms(col)
-    u, inverse = np.unique(h, return_inverse=True)
-    key, count = np.unique(text * np.int64(len(u)) + inverse, return_counts=True)
-    return key // max(1, len(u)), u[key % max(1, len(u))], count
-
-
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df): in how many of the texts each term is."""
+    t = common.arrow_map(sample.select("doc_id", "text"), keys, "doc_id long, key0 long, key1 long, key2 long").toArrow().sort_by("doc_id")  # at most SAMPLE rows
+    ids, *rest = (c.to_numpy() for c in t.columns)
+    own = np.arange(len(ids))
+    for key in rest:
+        own = own[np.sort(np.unique(key[own], return_index=True)[1])]
+    return ids[own]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            u, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            df = np.bincount(inverse, np.concatenate([x for _, x in held]), len(u)).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"term": pa.array(u.view(np.int64)), "df": pa.array(df)})
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequencies of all cells, and the number of documents.  Each task adds
+    up its texts; the cells are added up in Spark by piece: 8 MB at any size."""
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, rows = np.zeros(CELLS, np.int64), 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(np.unique(counted(b.column(0))[1], return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            if b.num_rows:
+                count += np.bincount(cell(counted(b.column(0))[1]), minlength=CELLS)
+                rows += b.num_rows
+        if rows:
+            n = [rows] + [0] * (PIECES - 1)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "rows": pa.array(n, pa.int64()), "counts": links.binary([pack(x) for x in count.reshape(PIECES, -1)])})
 
-    found = docs.select("text").mapInArrow(run, "term long, df long")
-    return common.kept(found.groupBy("term").agg(F.sum("df").alias("df")), "term-frequencies")
+    def pack(x: np.ndarray) -> bytes:
+        return pa.compress(x.astype("<u8").tobytes(), "zstd", asbytes=True)
 
+    def unpack(x: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(x, 8 * (CELLS // PIECES), "zstd", asbytes=True), "<u8").astype(np.int64)
 
-def term_weights(sample: DataFrame, df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of the sample (doc_id, label, text), sorted, and their weights."""
-    single = sample.join(F.broadcast(without_copies(sample)), "doc_id").select("doc_id")
-    marked = sample.join(F.broadcast(single.distinct().withColumn("single", F.lit(1))), "doc_id", "left").select("text", "label", F.coalesce("single", F.lit(0)).alias("single"))
+    def merge(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // PIECES, np.int64)
+        for x in t.column("counts"):
+            total += unpack(x.as_py())
+        return pa.table({"piece": t.column("piece").slice(0, 1), "rows": pa.array([sum(t.column("rows").to_pylist())], pa.int64()), "counts": links.binary([pack(total)])})
 
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        text, h, _ = counted(b.column(0))
-        label, one = (b.column(i).to_numpy()[text] for i in (1, 2))
-        u, inverse = np.unique(h, return_inverse=True)
-        total = lambda x: pa.array(np.bincount(inverse, x, len(u)).astype(np.int64))
-        return pa.RecordBatch.from_pydict({"term": pa.array(u.view(np.int64)), "yes": total(one * label), "no": total(one * (1 - label))})
-
-    all_of = {r["label"]: r["count"] for r in marked.where("single = 1").groupBy("label").count().collect()}
-    found = common.arrow_map(marked, count, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    t = found.join(df, "term", "left").select("term", "yes", "no", F.coalesce("df", F.lit(0)).alias("df")).toArrow()  # at most the terms of SAMPLE texts
-    term, yes, no, df_of = (c.to_numpy() for c in t.columns)
-    chosen = term.view(np.uint64) if len(term) else np.zeros(0, np.uint64)
-    order = np.argsort(chosen)
-    weight = idf_of(df_of, n) * (FLOOR + association(yes, no, float(all_of.get(1, 0)), float(all_of.get(0, 0))))
-    return chosen[order], weight[order].astype(np.float32)
+    kind = "piece int, rows long, counts binary"
+    df, n = np.zeros((PIECES, CELLS // PIECES), np.int64), 0
+    for r in docs.select("text").mapInArrow(part, kind).groupBy("piece").applyInArrow(merge, kind).collect():  # PIECES rows
+        df[r["piece"]] = unpack(bytes(r["counts"]))
+        n += r["rows"]
+    return idf_of(df.reshape(-1), n).astype(np.float32), n
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 1) / (df + 1)) + 1
+    """At least a tenth, as a cell may count more terms than there are documents."""
+    return np.maximum(np.log((n + 1) / (df + 1)) + 1, 0.1)
 
 
 def association(yes: np.ndarray, no: np.ndarray, yes_all: float, no_all: float) -> np.ndarray:
@@ -154,21 +162,62 @@ def association(yes: np.ndarray, no: np.ndarray, yes_all: float, no_all: float)
     return lift**2 * ratio / (ratio + HALF)
 
 
-def placed(col, chosen: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, place in chosen, value) of the terms that are among `chosen`, (text, hash,
-    squared logarithmic count) of the others."""
-    text, h, count = counted(col)
-    tf = 1 + np.log(count)
-    at = np.searchsorted(chosen, h)
-    at[at == len(chosen)] = 0
-    own = chosen[at] == h if len(chosen) else np.zeros(len(h), bool)
-    return text[own], at[own], (tf[own] * weight[at[own]]).astype(np.float32), text[~own], h[~own], tf[~own] ** 2
+def term_weights(sample: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the examples (doc_id, label, text), sorted, and their weights."""
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        text, h, _ = counted(b.column(1))
+        label = b.column(0).to_numpy()[text]
+        u, inverse = np.unique(h, return_inverse=True)
+        total = lambda x: pa.array(np.bincount(inverse, x, len(u)).astype(np.int64))
+        return pa.RecordBatch.from_pydict({"term": pa.array(u.view(np.int64)), "yes": total(label), "no": total(1 - label)})
+
+    all_of = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    found = common.arrow_map(sample.select("label", "text"), count, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    term, yes, no = (c.to_numpy() for c in found.toArrow().columns)  # at most the terms of SAMPLE texts
+    chosen = term.view(np.uint64) if len(term) else np.zeros(0, np.uint64)
+    weight = idf[cell(chosen)] * (FLOOR + association(yes, no, float(all_of.get(1, 0)), float(all_of.get(0, 0))))
+    order = np.argsort(chosen)
+    return chosen[order], weight[order].astype(np.float32)
+
+
+@dataclass
+class Vectors:
+    """Weighs the terms of texts: those of examples by their weights, all others by rarity alone."""
+
+    chosen: np.ndarray
+    weight: np.ndarray
+    idf: np.ndarray
+
+    def of(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in chosen, value) of terms that examples have, in order of text; the
+        length of each text's whole vector, and how many terms it has."""
+        text, h, count = counted(col)
+        tf = 1 + np.log(count)
+        at = np.searchsorted(self.chosen, h)
+        at[at == len(self.chosen)] = 0
+        own = self.chosen[at] == h if len(self.chosen) else np.zeros(len(h), bool)
+        value = tf * FLOOR * self.idf[cell(h)]
+        value[own] = tf[own] * self.weight[at[own]]
+        length = np.sqrt(np.bincount(text, value**2, len(col)))
+        return text[own], at[own], value[own].astype(np.float32), length, np.bincount(text, minlength=len(col))
+
+
+# -- the index ---------------------------------------------------------------------
+
+
+def spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for every i and every j from start[i] up to stop[i]."""
+    count = stop - start
+    of = np.repeat(np.arange(len(start)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
 @dataclass
 class Index:
     """Unit vectors of the examples as posting lists: term t is in the examples
-    `rows[start[t]:start[t + 1]]`."""
+    `rows[start[t]:start[t + 1]]`.  Examples stand in blocks of `BLOCK`; the parts of a list
+    that lie in one block are its entries, each with the greatest weight in it."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -177,161 +226,205 @@ class Index:
     weights: np.ndarray
     share: float
     share_without: float
+    parts: dict = field(default_factory=dict)
 
     @staticmethod
     def of_vectors(ids: np.ndarray, labels: np.ndarray, length: np.ndarray, places: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
-        """From the vectors, `length[i]` terms of example i after those of the one before."""
+        """From the vectors, `length[i]` terms of example i after those of the one before.
+        Examples with the same label and the same heaviest term come to stand together."""
         none = length == 0
         share = float(labels.mean()) if len(labels) else 0.0
         without = float(labels[none].sum() + share) / (none.sum() + 1) if len(labels) else 0.0
-        order = np.argsort(places, kind="stable")
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), length)[order]
+        row = np.repeat(np.arange(len(ids)), length)
+        heavy = np.full(len(ids), -1, np.int64)
+        by_weight = np.lexsort((weights, row))
+        last = np.cumsum(length)[~none] - 1
+        heavy[~none] = places[by_weight[last]]
+        order = np.lexsort((ids, heavy, labels))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        by_term = np.lexsort((rank[row], places))
         start = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n_terms))])
-        return Index(ids, labels, start, row, weights[order], share, min(without, share))
-
-    @staticmethod
-    def build(ids: np.ndarray, labels: np.ndarray, rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> Index:
-        unit = dense(rows, idf)
-        at = [np.array(sorted(t), np.int64) for t, _ in rows]
-        places, length = np.concatenate([np.zeros(0, np.int64), *at]), np.array([len(t) for t in at], np.int64)
-        return Index.of_vectors(ids, labels, length, places, unit[np.repeat(np.arange(len(rows)), length), places], len(idf))
+        return Index(ids[order], labels[order], start, rank[row][by_term].astype(np.int32), weights[by_term].astype(np.float32), share, min(without, share))
 
-    def __getstate__(self) -> dict:
-        """Packed, as every executor gets a file of this: lists as steps, starts as lengths."""
-        out = {k: v for k, v in self.__dict__.items() if k[0] != "_"}
-        out["start"], out["rows"] = np.diff(self.start, prepend=0).astype(np.int32), np.diff(self.rows, prepend=self.rows.dtype.type(0))
-        return {k: (v.dtype, pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True), v.nbytes) if isinstance(v, np.ndarray) else v for k, v in out.items()}
-
-    def __setstate__(self, state: dict) -> None:
-        own = {k: np.frombuffer(pa.decompress(v[1], v[2], "zstd", asbytes=True), v[0]) if isinstance(v, tuple) else v for k, v in state.items()}
-        own["start"], own["rows"] = np.cumsum(own["start"], dtype=np.int64), np.cumsum(own["rows"], dtype=np.int32)
-        self.__dict__.update(own)
-
-    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each term's row in the matrix of the terms that most examples have, or -1, and the matrix."""
-        if not hasattr(self, "_matrix"):
+    def prepared(self) -> dict:
+        """The matrix of the terms that most examples have, and the entries of all others."""
+        if not self.parts:
             often = np.diff(self.start)
             top = np.argsort(-often, kind="stable")[:DENSE]
             at = np.full(len(often), -1, np.int32)
             at[top] = np.arange(len(top))
-            m = np.zeros((len(top), len(self.ids)), np.float32)
-            for i, t in enumerate(top):
-                a, b = self.start[t], self.start[t + 1]
-                m[i, self.rows[a:b]] = self.weights[a:b]
-            self._matrix = at, m
-        return self._matrix
-
-    def similarities(self, n: int, text: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Products of n texts, given by their terms, with all examples."""
-        at, m = self.matrix()
-        often = at[place] >= 0
-        q = np.zeros((n, len(m)), np.float32)
-        q[text[often], at[place[often]]] = value[often]
+            blocks = -(-len(self.ids) // BLOCK)
+            m = np.zeros((len(top), blocks * BLOCK), np.float32)
+            of, post = spread(self.start[top], self.start[top + 1])
+            m[of, self.rows[post]] = self.weights[post]
+            term, block = np.repeat(np.arange(len(often)), often), self.rows // BLOCK
+            new = np.ones(len(term), bool)
+            new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+            first = np.flatnonzero(new)
+            most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0, np.float32)
+            self.parts |= {"at": at, "m": m, "blocks": blocks, "entries": np.searchsorted(term[first], np.arange(len(often) + 1)), "block": block[first], "most": most, "first": np.append(first, len(term))}
+        return self.parts
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": {}}
+
+    def nearest(self, own_ids: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Products with, and places of, the k nearest examples of every text, itself not
+        counted; ties by place; product 0 and place -1 where there are fewer."""
+        n = len(own_ids)
+        sims, places = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
+        if not len(self.ids) or not len(text):
+            return sims, places
+        p = self.prepared()
+        blocks, width = p["blocks"], p["m"].shape[1]
+        often = p["at"][place] >= 0
+        q = np.zeros((n, len(p["m"])), np.float32)
+        q[text[often], p["at"][place[often]]] = value[often]
+        s = q @ p["m"]
+        own = np.full((n, width), False)
+        own[:, : len(self.ids)] = own_ids[:, None] == self.ids[None, :]
+        s[own] = -np.inf
         text, place, value = text[~often], place[~often], value[~often]
-        count = self.start[place + 1] - self.start[place]
-        of = np.repeat(np.arange(len(place)), count)
-        post = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.start[place][of]
-        rest = np.bincount(text[of] * len(self.ids) + self.rows[post], value[of] * self.weights[post], n * len(self.ids))
-        return q @ m + rest.reshape(n, len(self.ids)).astype(np.float32)
-
-    def top(self, s: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and places of the k nearest examples of each row, itself not counted;
-        ties by place; similarity 0 and place -1 where there are fewer."""
-        s[own_ids[:, None] == self.ids[None, :]] = 0
-        sims, places = np.zeros((len(s), k), np.float32), np.full((len(s), k), -1, np.int64)
+        # what the other terms can add in a block at most
+        of, entry = spread(p["entries"][place], p["entries"][place + 1])
+        at = text[of] * blocks + p["block"][entry]
+        bound = np.bincount(at, value[of] * p["most"][entry], n * blocks).reshape(n, blocks)
+        least = np.partition(s, width - k, axis=1)[:, width - k] if width > k else np.full(n, -np.inf)
+        reach = s.reshape(n, blocks, BLOCK).max(axis=2) + bound >= least[:, None] * (1 - 1e-5) - 1e-6
+        live = reach.reshape(-1)[at]
+        of, entry = of[live], entry[live]
+        which, post = spread(p["first"][entry], p["first"][entry + 1])
+        of = of[which]
+        s += np.bincount(text[of] * width + self.rows[post], value[of] * self.weights[post], n * width).reshape(n, width).astype(np.float32)
+        least = np.partition(s, width - k, axis=1)[:, width - k] if width > k else np.zeros(n)
         for i, x in enumerate(s):
-            least = np.partition(x, len(x) - k)[len(x) - k] if len(x) > k else 0
-            near = np.flatnonzero((x >= least) & (x > 0))
+            near = np.flatnonzero((x >= least[i]) & (x > 0))
             near = near[np.lexsort((near, -x[near]))][:k]
             sims[i, : len(near)], places[i, : len(near)] = x[near], near
         return sims, places
 
-    def nearest(self, q: np.ndarray, own_ids: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Of dense rows."""
-        if not len(self.ids):
-            return np.zeros((len(q), k), np.float32), np.full((len(q), k), -1, np.int64)
-        text, place = np.nonzero(q)
-        return self.top(self.similarities(len(q), text, place, q[text, place]), own_ids, k)
 
-    def votes(self, own_ids: np.ndarray, text: np.ndarray, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Sums of the nearest examples' products, with the label and in all, and their doc_ids,
-        nearest first.  Texts need not be of unit length."""
-        n = len(own_ids)
-        yes, every, evidence = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
-        cut = np.searchsorted(text, np.arange(0, n + CHUNK, CHUNK))
-        for j, lo in enumerate(range(0, n if len(self.ids) else 0, CHUNK)):
-            a, b, hi = cut[j], cut[j + 1], min(n, lo + CHUNK)
-            sims, places = self.top(self.similarities(hi - lo, text[a:b] - lo, place[a:b], value[a:b]), own_ids[lo:hi], NEIGHBOURS)
-            yes[lo:hi], every[lo:hi] = (sims * self.labels[np.maximum(places, 0)]).sum(axis=1), sims.sum(axis=1)
-            evidence[lo:hi] = [self.ids[p[p >= 0]].tolist() for p in places]
-        return yes, every, evidence
+def vote(col, own_ids: np.ndarray, vectors: Vectors, index: Index) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Of every text: the similarity-weighted vote of its nearest examples, drawn towards the
+    share of all; whether it has terms; the nearest examples' doc_ids, nearest first."""
+    n = len(col)
+    text, place, value, length, count = vectors.of(col)
+    yes, every, evidence = np.zeros(n), np.zeros(n), []
+    cut = np.searchsorted(text, np.arange(0, n + CHUNK, CHUNK))
+    for j, lo in enumerate(range(0, n, CHUNK)):
+        a, b, hi = cut[j], cut[j + 1], min(n, lo + CHUNK)
+        sims, places = index.nearest(own_ids[lo:hi], text[a:b] - lo, place[a:b], value[a:b])
+        sims = sims / np.maximum(length[lo:hi], 1e-12)[:, None]
+        every[lo:hi] = sims.sum(axis=1)
+        if len(index.ids):
+            yes[lo:hi] = (sims * index.labels[np.maximum(places, 0)]).sum(axis=1)
+            evidence += [index.ids[p[p >= 0]].tolist() for p in places]
+        else:
+            evidence += [[]] * (hi - lo)
+    return (yes + PULL * index.share) / (every + PULL), count > 0, evidence
+
+
+def curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the probability 1 / (1 + exp(-(a logit(vote) + b))) of the label, by Newton steps."""
+    a, b = 1.0, 0.0
+    if not 0 < labels.sum() < len(labels):
+        return a, b
+    x = logit(votes)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        w = p * (1 - p)
+        g = np.array([((p - labels) * x).sum() + RIDGE * (a - 1), (p - labels).sum() + RIDGE * b])
+        h = np.array([[(w * x * x).sum() + RIDGE, (w * x).sum()], [(w * x).sum(), w.sum() + RIDGE]])
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(a), 0.05), float(b)
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
 
+@dataclass
+class Model:
+    vectors: Vectors
+    index: Index
+    a: float = 1.0
+    b: float = 0.0
 
-def dense(rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors."""
-    out = np.zeros((len(rows), len(idf)), np.float32)
-    for i, (t, c) in enumerate(rows):
-        out[i, t] = (1 + np.log(np.array(c, np.float64))) * idf[t]
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    def score(self, ids: pa.Array, col) -> tuple[np.ndarray, list[list[int]]]:
+        own = ids.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        if not len(self.index.ids):
+            return np.zeros(len(col)), [[]] * len(col)
+        v, some, evidence = vote(col, own, self.vectors, self.index)
+        return np.where(some, 1 / (1 + np.exp(-(self.a * logit(v) + self.b))), self.index.share_without), evidence
 
 
 def _lists(text: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def examples(sample: DataFrame, chosen: np.ndarray, weight: np.ndarray) -> Index:
-    """The index of a sample (doc_id, label, text)."""
-    shared = sample.sparkSession.sparkContext.broadcast((chosen, weight))
+def learnt_model(docs: DataFrame, labelled: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> Model:
+    """Examples of `labelled` with `labels` (doc_id, label); frequencies of all of docs."""
+    common.bounded_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    sample = learnt_texts(labelled, labels, label, SAMPLE, id_col, text_col)
+    single = context.broadcast(without_copies(sample))  # at most SAMPLE numbers
+    own = common.arrow_map(sample.select("doc_id", "label", "text"), lambda b: b.filter(pa.array(np.isin(b.column(0).to_numpy(), single.value))), "doc_id long, label int, text string")
+    idf, _ = frequencies(docs.select(F.col(text_col).alias("text")))
+    vectors = Vectors(*term_weights(own, idf), idf)
+    shared = context.broadcast(vectors)  # CELLS numbers and the terms of SAMPLE texts
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        text, place, value, *_ = placed(b.column(2), *shared.value)
-        norm = np.sqrt(np.bincount(text, value.astype(np.float64) ** 2, b.num_rows))
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "label": b.column(1), "places": _lists(text, b.num_rows, place.astype(np.int32)), "weights": _lists(text, b.num_rows, (value / norm[text]).astype(np.float32))})
+    def vector(b: pa.RecordBatch) -> pa.RecordBatch:
+        text, place, value, length, _ = shared.value.of(b.column(2))
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "label": b.column(1), "places": _lists(text, b.num_rows, place.astype(np.int32)), "weights": _lists(text, b.num_rows, (value / length[text]).astype(np.float32))})
 
-    t = common.arrow_map(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, places array<int>, weights array<float>").toArrow()  # at most SAMPLE vectors
-    t = t.sort_by("doc_id").combine_chunks()
-    flat = lambda name: np.concatenate([np.zeros(0, np.int32 if name == "places" else np.float32), *[c.flatten().to_numpy() for c in t.column(name).chunks]])
+    t = common.arrow_map(own, vector, "doc_id long, label int, places array<int>, weights array<float>").toArrow()  # at most SAMPLE vectors
+    flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy() for c in t.column(name).chunks]])
     length = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in t.column("places").chunks]])
-    return Index.of_vectors(t.column("doc_id").to_numpy(), t.column("label").to_numpy().astype(np.float64), length, flat("places"), flat("weights"), len(chosen))
+    index = Index.of_vectors(t.column("doc_id").to_numpy(), t.column("label").to_numpy().astype(np.float64), length, flat("places", np.int32), flat("weights", np.float32), len(vectors.chosen))
+    model = Model(vectors, index)
+    judge = context.broadcast(index)
+
+    def judged(b: pa.RecordBatch) -> pa.RecordBatch:
+        votes, some, _ = vote(b.column(2), b.column(0).to_numpy(), shared.value, judge.value)
+        return pa.RecordBatch.from_pydict({"label": b.column(1), "some": pa.array(some), "vote": pa.array(votes)})
+
+    if len(index.ids):
+        y, some, votes = (c.to_numpy() for c in common.arrow_map(own, judged, "label int, some boolean, vote double").toArrow().columns)  # at most SAMPLE rows
+        model.a, model.b = curve(votes[some], y[some])
+    judge.unpersist()
+    shared.unpersist()
+    return model
 
 
 def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence array<long>) of every document of docs,
     learnt from the texts of `labelled` with `labels` (doc_id, label)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    own = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    learnt = common.kept(learnt_rows(labelled, labels, label, SAMPLE), "learnt")
-    sample = common.kept(own(labelled).join(F.broadcast(learnt), "doc_id").select("doc_id", "label", "text"), "learnt-texts")  # at most SAMPLE rows
-    n = docs.count()
-    df = frequencies(own(docs))
-    chosen, weight = term_weights(sample, df, n)
-    index = examples(sample, chosen, weight)
-    share, without = index.share, index.share_without
-    shared = spark.sparkContext.broadcast((chosen, weight, index))
+    model = docs.sparkSession.sparkContext.broadcast(learnt_model(docs, labelled, labels, label, id_col, text_col))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        chosen, weight, index = shared.value
-        text, place, value, other, h, tf2 = placed(b.column(1), chosen, weight)
-        yes, every, evidence = index.votes(b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), text, place, value)
-        own = np.bincount(text, value.astype(np.float64) ** 2, b.num_rows).astype(np.float64)  # whole numbers if there are no terms
-        some = np.bincount(text, minlength=b.num_rows) + np.bincount(other, minlength=b.num_rows) > 0
-        # a key of its own for every row, fixed once it is written
-        key = np.int64(int.from_bytes(os.urandom(6)) << 15) + np.arange(b.num_rows)
-        return pa.RecordBatch.from_pydict({"row": pa.array(key), "doc_id": b.column(0), "some": pa.array(some), "yes": pa.array(yes), "every": pa.array(every), "own": pa.array(own), "other": _lists(other, b.num_rows, h.view(np.int64)), "tf2": _lists(other, b.num_rows, tf2.astype(np.float32)), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
-
-    kind = "row long, doc_id long, some boolean, yes double, every double, own double, other array<long>, tf2 array<float>, evidence array<long>"
-    found = common.kept(common.arrow_map(own(docs), run, kind), "toxicity-votes")
-    idf = (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1) * FLOOR
-    other = found.select("row", F.explode(F.arrays_zip(F.col("other").alias("term"), F.col("tf2").alias("tf2"))).alias("x")).select("row", F.col("x.term").alias("term"), F.col("x.tf2").alias("tf2"))
-    added = other.join(df, "term").groupBy("row").agg(F.sum(F.col("tf2") * idf * idf).alias("added"))
-    length = F.sqrt(F.col("own") + F.coalesce("added", F.lit(0.0)))
-    score = F.when(F.col("some"), (F.col("yes") / length + PULL * share) / (F.col("every") / length + PULL)).otherwise(F.lit(without))
-    out = found.join(added, "row", "left").select("doc_id", score.alias("score"), "evidence")
+        score, evidence = model.value.score(b.column(0), b.column(1))
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(score), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
+
+    out = common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", F.coalesce(common.remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
+def filtered(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose own score is below the threshold: one map."""
+    model = docs.sparkSession.sparkContext.broadcast(learnt_model(docs, labelled, labels, label, id_col, text_col))
+    ids, text = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(model.value.score(b.column(ids), b.column(text))[0] < threshold))
+
+    return common.arrow_map(docs, run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = common.documents(spark, sf_dir)
