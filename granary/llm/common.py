@@ -34,9 +34,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or, only where that is
-    unset (as in tests on one machine), a new temporary folder that is then set."""
+    unset and there is but one machine (as in tests), a new temporary folder that is then set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,6 +53,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what `kept` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """One record batch out (or none) for each batch in."""
 
@@ -75,4 +86,4 @@ def remainder(doc_id, m: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "arrow_map", "bounded_batches", "documents", "kept", "partitions", "remainder", "shared_dir", "text_bytes", "tokenizer_path"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "arrow_map", "bounded_batches", "discard", "documents", "kept", "partitions", "remainder", "shared_dir", "text_bytes", "tokenizer_path"]

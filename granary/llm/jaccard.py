@@ -138,6 +138,19 @@ def similar(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: int =
     return with_components(rows, nodes, found)
 
 
+def deduplicated(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one document of each class: that with the smallest
+    doc_id.  Rows of one doc_id are one document; of those with equal texts one stays.  Rows
+    without a doc_id stay."""
+    found = common.kept(similar(docs, k, numerator, denominator, id_col, text_col).select("doc_id", "component_id"), "classes")
+    out = links.without(docs, found.where("doc_id <> component_id").select("doc_id"), id_col)
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    ids = again.select(F.col("doc_id").alias("_again"))
+    return links.without(out, again, id_col).union(out.join(ids, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Classes of all documents whose five-word shingles overlap by 0.75."""
     return similar(common.documents(spark, sf_dir))

@@ -258,7 +258,7 @@ def linked(postings: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numer
     several classes is longer than `CELL_ROWS`.  Then all pairs of different classes in a
     list are compared; a group of thousands of copies is one class by then and makes no
     pairs.  No list is cut."""
-    rows = common.kept(star_pairs(postings, ["token"], ["doc", "node"]), "postings")
+    rows = kept_rows = common.kept(star_pairs(postings, ["token"], ["doc", "node"]), "postings")
     n, m = F.col("n"), F.col("first_n")
     need = F.ceil(F.lit(numerator) * (n + m) / F.lit(numerator + denominator))
     likely = (F.col("node") != F.col("first_node")) & (F.least(n - F.col("pos"), m - F.col("first_pos")) >= need) & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
@@ -269,7 +269,9 @@ def linked(postings: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numer
         of = nodes.select("node", "doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("class"))
         rows = rows.join(of, "node")
         mixed = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token", "rows")
-        rows = common.kept(rows.join(mixed, "token"), "class-postings")
+        last, rows = kept_rows, common.kept(rows.join(mixed, "token"), "class-postings")
+        kept_rows = rows
+        common.discard(last)
         longest = rows.agg(F.max("rows")).first()[0] or 0
         if longest <= CELL_ROWS or turn == ROUNDS - 1:
             break
@@ -283,14 +285,20 @@ def linked(postings: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numer
     return components(links.unionByName(more))
 
 
+#: Far more steps than the logarithm of any number of edges squared.
+STEPS = 200
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id on an edge (a, b): the smallest id that links reach.
 
-    Large-star and small-star steps (Kiveris and others, 2014) until nothing changes; every
-    step is grouping by minimum and a join, so a hub is split like any skewed join."""
+    Large-star and small-star steps (Kiveris and others, 2014) until the edges are stars:
+    every id has one edge to a smaller one, and that one has none.  Every step is grouping
+    by minimum and a join, so a hub is split like any skewed join."""
     edge = common.kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    state = None
-    while True:
+    for _ in range(STEPS):
+        if _stars(edge):
+            return edge.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         # large star: larger neighbours of every id go to the smallest of its neighbourhood
         both = edge.union(edge.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -298,9 +306,33 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours, and the id itself, go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edge = common.kept(small, "edges")
-        # the same edges as before: every id points at the smallest of its component
-        now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-        if now == state:
-            return edge.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        state = now
+        last, edge = edge, common.kept(small, "edges")
+        common.discard(last)
+    raise RuntimeError("components did not settle")
+
+
+def _stars(edge: DataFrame) -> bool:
+    """Whether every id of edges (u, v) has one v, and no v is a u."""
+    n, ids = edge.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == ids and edge.join(edge.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
+
+
+def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """docs, all columns, without the rows whose id is among drop (doc_id).
+
+    A bounded bitmap of the dropped ids lets nearly all other rows pass where they are;
+    rows that may be dropped are joined exactly.  Rows with a null id stay."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(wanted_filter(drop))
+    at = docs.columns.index(id_col)
+
+    def side(hit: bool):
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids = b.column(at).cast(pa.int64())
+            x = _bit(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            ok = (bitmap.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            return b.filter(pa.array(ok == hit))
+
+        return common.arrow_map(docs, run, docs.schema)
+
+    own = drop.select(F.col("doc_id").alias("_dropped")).distinct()
+    return side(False).union(side(True).join(own, F.col(id_col) == F.col("_dropped"), "left_anti"))

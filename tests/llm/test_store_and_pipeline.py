@@ -5,7 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import sharding
+from granary.llm import jaccard, sharding
+
+from .conftest import prose
+from .test_models import plain_matches
+from .test_similarity import classes, sets
 
 
 def rows(df):
@@ -56,20 +60,47 @@ def test_manifests_are_json(spark, docs, tmp_path):
     assert sum(x["rows"] for x in m["shards"]) == docs.count()
 
 
+def plain_stage(spark, name, docs, src):
+    """doc_ids that a stage keeps, from scores of all rows or by brute force."""
+    from granary.llm import quality, toxicity
+
+    labelled, labels = (spark.read.parquet(f"{src}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    if name == "toxicity":
+        return {r["doc_id"] for r in toxicity.scored(docs, labelled, labels, 0.3).where("predicted = 0").collect()}
+    if name == "quality":
+        return {r["doc_id"] for r in quality.scored(docs, labelled, labels, 0.7).where("predicted = 1").collect()}
+    if name == "near_duplicates":
+        return {k for k, c in classes(sets(texts)).items() if k == c}
+    items = [tuple(r) for r in spark.read.parquet(f"{src}/benchmark.parquet").select("item_id", "text").collect()]
+    return set(texts) - {k for k, _ in plain_matches(list(texts.items()), items)}
+
+
 def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     import corpus_pipeline as P
 
     src = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{src}/documents.parquet")
-    columns, n = docs.columns, docs.count()
+    columns, dropped = docs.columns, {}
     for i, (name, stage) in enumerate(P.STAGES):
         out = stage(spark, docs, src)
         if i < len(P.STAGES) - 1:
             assert out.columns == columns, name
+            want, before = plain_stage(spark, name, docs, src), rows(docs)
             path = str(tmp_path / name)
             out.write.parquet(path)
-            docs = spark.read.parquet(path)
-            assert 0 < docs.count() <= n, name
-            n = docs.count()
-    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+            now = spark.read.parquet(path)
+            assert set(rows(now)) <= set(before) and {r["doc_id"] for r in now.collect()} == want and now.count() == len(want), name
+            dropped[name] = docs.count() - now.count()
+            docs = now
+    assert all(dropped.values())
+    lengths = {r["doc_id"]: (r["n"], r["first"], r["last"]) for r in out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("last")).collect()}
+    assert lengths.keys() == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert all(first == 0 and last == n for n, first, last in lengths.values())
     assert out.where(F.col("length") > 1024).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows_are_judged_each(spark):
+    d = spark.createDataFrame([(None, prose(1, 30)), (None, prose(1, 30)), (3, prose(1, 30)), (3, prose(1, 30)), (4, prose(1, 30)), (5, prose(2, 30)), (5, prose(3, 30)), (6, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard.deduplicated(d).collect()))
+    assert got == sorted([(0, prose(1, 30)), (0, prose(1, 30)), (3, prose(1, 30)), (5, prose(2, 30)), (5, prose(3, 30)), (6, "")])
