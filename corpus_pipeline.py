@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before
 kept.  All but the last return the columns of documents; toxicity and quality are learnt
 from the labelled rows of the documents table in sf_dir, decontamination takes its
-benchmark from there.  A row whose doc_id is null passes the filters on its own score,
-is never one of a group, and is packed.
+benchmark from there.  Every row is kept or dropped by its own text, also where doc_ids are
+null or repeated; a row without a doc_id is never one of a group.
 """
 
 from __future__ import annotations
@@ -19,15 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _kept_by(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs without the doc_ids of drop."""
-    return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
-    scored = toxicity.scored(docs, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
-    return _kept_by(docs, scored.where("predicted = 1"))
+    return toxicity.filtered(docs, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
-    found = jaccard.similar(docs)
-    return _kept_by(docs, found.where("doc_id <> component_id"))
+    return jaccard.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
-    return _kept_by(docs, decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")))
+    return decontaminate.filtered(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
