@@ -100,18 +100,38 @@ def test_packing_places_every_piece_once(docs, texts, path, repeated, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
+def whole(size, bins):
+    return sorted(i for x in bins for i in x) == list(range(len(size))) and max(packing.loads_of(size, bins)) <= 1024
+
+
 def test_genetic_steps_keep_all_pieces():
     r = np.random.default_rng(2)
     size = r.integers(1, 700, 400).tolist()
     a = packing.best_fit(size, list(range(400)), [], 1024)
-    b = packing.evolve(size, [a], 1024, 1)
-    child = packing.crossover(size, a, b, 1024, r)
-    for bins in (a, b, child):
-        assert sorted(i for x in bins for i in x) == list(range(400)) and all(sum(size[i] for i in x) <= 1024 for x in bins)
-    assert packing.lower_bound(np.array(size), 1024) <= len(b) <= len(a)
-
-
-def test_islands_solve_open_shards(spark, monkeypatch):
-    rows = [(i, 0, 0, s, 0) for i, s in enumerate([600] * 9 + [300] * 9 + [150] * 9 + [74] * 3)]
+    population = packing.evolve(size, [a], 1024, 1)
+    child = packing.crossover(size, a, population[0], 1024, r)
+    assert len(population) == packing.POPULATION and all(whole(size, bins) for bins in [a, child, *population])
+    assert packing.lower_bound(np.array(size), 1024) <= len(population[0]) <= len(a)
+    pieces, mine, rest = packing.searched(size, a, 1024, 3)
+    assert whole(size, mine + rest) and pieces == sorted(i for x in mine for i in x) and all(sum(size[i] for i in x) == 1024 for x in rest)
+
+
+def test_replacement_only_fills():
+    r = np.random.default_rng(8)
+    size = r.integers(150, 500, 90).tolist()
+    bins = packing.best_fit(size, list(range(60)), [], 1024)
+    before = packing.loads_of(size, bins)
+    out = packing.replaced(size, bins, list(range(60, 90)), 1024, r)
+    after = packing.loads_of(size, bins)
+    assert sorted([*out, *[i for x in bins for i in x]]) == list(range(90))
+    assert all(x <= y <= 1024 for x, y in zip(before, after, strict=True)) and sum(after) > sum(before)
+
+
+def test_search_beats_best_fit_on_open_shards(spark):
+    """Sizes of which three fill a sequence: best fit leaves much room."""
+    size = np.random.default_rng(1).integers(200, 501, 400).tolist()
+    best_fit, bound = len(packing.best_fit(size, list(range(400)), [], 1024)), packing.lower_bound(np.array(size), 1024)
+    rows = [(i, 0, 0, s, 0) for i, s in enumerate(size)]
     df = spark.createDataFrame(rows, packing.PIECE)
-    assert check_packing(packing.pack(df, 1024).collect(), 1024) >= 9
+    used = check_packing(packing.pack(df, 1024).collect(), 1024)
+    assert bound <= used <= best_fit - 5
