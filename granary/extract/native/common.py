@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from granary.extract.native import strings
 
-#: Bytes that one name may have, and a strings pass.
-NAME_BYTES, STRING_BYTES = 8 << 10, 64 << 20
+#: Bytes that one name may have, all names of a table, and a strings pass or
+#: table; places of names that are remembered.
+NAME_BYTES, NAMES_BYTES, STRING_BYTES, NAMES_KEPT = 8 << 10, 8 << 20, 64 << 20, 65_536
+#: Bytes that a printed name does not have; NUL ends a name.
+_UNPRINTED = bytes(b for b in range(1, 256) if not 0x20 <= b <= 0x7E)
 
 
 @dataclass
@@ -47,25 +52,76 @@ class Patterns:
     code_strings: dict[str, list[str]]
     min_string: int = 4
     width: int = 200
+    cargo: dict[str, str] = field(default_factory=dict)  # where cargo keeps sources, by layout
+    crates: frozenset[str] = frozenset()  # crates that the policy names
+
+    @cached_property
+    def beginnings(self) -> tuple[str, ...]:
+        return tuple({p for p, _ in self.prefixes})
+
+    @cached_property
+    def cargo_paths(self) -> dict[str, re.Pattern[str]]:
+        return {k: re.compile(v) for k, v in self.cargo.items()}
+
+    @cached_property
+    def locator(self) -> re.Pattern[bytes] | None:
+        """Beginnings of names in a string table that a group may claim."""
+        some = sorted({*self.beginnings, *self.exact}, key=lambda x: (-len(x), x))
+        return re.compile(rb"(?<![^\0])_?(?:" + b"|".join(re.escape(x.encode()) for x in some) + rb")") if some else None
 
     def groups_of(self, name: str) -> list[str]:
         found = list(self.exact.get(name, ()))
-        return found + [g for p, g in self.prefixes if name.startswith(p) and g not in found]
+        if name.startswith(self.beginnings):  # most names begin with none
+            found += [g for p, g in self.prefixes if name.startswith(p) and g not in found]
+        return found
+
+    def hides_a_name(self, table: bytes, read: set[str], abi: str = "") -> bool:
+        """Whether a string table holds a name of a group that is not among the names read.
+
+        Names run from one NUL to the next; the text `abi` before a name is no part of it."""
+        if self.locator is None:
+            return False
+        clean = table.translate(None, _UNPRINTED)
+        for m in self.locator.finditer(clean):
+            end = clean.find(b"\0", m.start())
+            name = clean[m.start() : end if end >= 0 else len(clean)].decode("ascii").removeprefix(abi)
+            if name not in read and self.groups_of(name):
+                return True
+        return False
+
+
+class Names:
+    """Names of one string table by place: each of at most `NAME_BYTES`, at most `NAMES_BYTES`
+    in all, and each place read once."""
+
+    def __init__(self, table: bytes):
+        self.table, self.left, self.known = table, NAMES_BYTES, {}
+
+    def at(self, place: int) -> str | None:
+        """The printable part of a name, None if it is not there in full or over the bounds."""
+        if place in self.known:
+            return self.known[place]
+        most = min(NAME_BYTES, self.left)
+        end = self.table.find(b"\0", place, place + most + 1) if 0 <= place < len(self.table) else -1
+        name = None
+        if end >= 0:
+            self.left -= end - place
+            name = self.table[place:end].translate(None, _UNPRINTED).decode("ascii")
+        if len(self.known) < NAMES_KEPT:
+            self.known[place] = name
+        return name
 
 
 def cstring(data: bytes, at: int) -> str | None:
     """A NUL-ended printable name at a place, None if it is not there in full."""
-    if not 0 <= at < len(data):
-        return None
-    end = data.find(b"\0", at, at + NAME_BYTES + 1)
-    if end < 0:
-        return None
-    return "".join(chr(b) for b in data[at:end] if 0x20 <= b <= 0x7E)
+    return Names(data).at(at)
 
 
-def add_symbol(o: Obj, p: Patterns, name: str, binding: str) -> None:
-    for g in p.groups_of(name):
-        o.symbols.add((g, name, binding))
+def add_symbol(o: Obj, p: Patterns, name: str, binding: str) -> bool:
+    """Record a symbol for each group that claims it; whether any does."""
+    groups = p.groups_of(name)
+    o.symbols.update((g, name, binding) for g in groups)
+    return bool(groups)
 
 
 def read_strings(o: Obj, p: Patterns, data: bytes, code: bytes = b"") -> None:
@@ -74,8 +130,8 @@ def read_strings(o: Obj, p: Patterns, data: bytes, code: bytes = b"") -> None:
         o.reasons.add("strings_bytes_unread")
     o.strings |= strings.group_matches(data, p.strings, p.min_string, p.width)
     o.strings |= strings.group_matches(code[:STRING_BYTES], p.code_strings, p.min_string, p.width)
-    if b"cargo" in data or b"vendor" in data or b"checkouts" in data:
-        o.crates |= strings.crates("\n".join(strings.printable_runs(data, p.min_string)))
+    if p.cargo and (b"cargo" in data or b"vendor" in data or b"checkouts" in data):
+        o.crates |= strings.crates("\n".join(strings.printable_runs(data, p.min_string)), p.cargo_paths)
 
 
 def strings_only(o: Obj, p: Patterns, data: bytes, reason: str) -> Obj:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from granary.extract.native.common import Obj, Patterns, add_symbol, cstring, read_strings, strings_only
+from granary.extract.native.common import Names, Obj, Patterns, add_symbol, cstring, read_strings, strings_only
 
 #: Fixed values of the format.
 THIN = {b"\xfe\xed\xfa\xce": (">", False), b"\xfe\xed\xfa\xcf": (">", True), b"\xce\xfa\xed\xfe": ("<", False), b"\xcf\xfa\xed\xfe": ("<", True)}
@@ -109,26 +109,28 @@ def _slice(data: bytes, path: str, p: Patterns, vendored: bool) -> Obj:
 
 def _symbols(o: Obj, p: Patterns, data: bytes, table: tuple[int, int, int, int], e: str, wide: bool) -> None:
     symoff, n, stroff, strsize = table
-    size, names = 16 if wide else 12, data[stroff : stroff + strsize]
+    size, strings = 16 if wide else 12, data[stroff : stroff + strsize]
     form = struct.Struct(f"{e}IBBHQ" if wide else f"{e}IBBHI")
-    if symoff + n * size > len(data) or len(names) < strsize:
+    if symoff + n * size > len(data) or len(strings) < strsize:
         o.reasons.add("macho_symtab_incomplete")
         n = max(0, min(n, (len(data) - symoff) // size))
-    named = 0
+    named, names, read = 0, Names(strings), set()
     for i in range(n):
         at, kind, _, _, value = form.unpack_from(data, symoff + i * size)
-        if kind & 0xE0:  # debugging entries
-            continue
-        name = cstring(names, at) if at else ""
+        name = names.at(at) if at else ""
         if name is None:
             o.reasons.add("macho_symtab_incomplete")
             continue
-        if not name:
+        if p.groups_of(name.removeprefix("_")):
+            read.add(name.removeprefix("_"))
+        if kind & 0xE0 or not name:  # debugging entries
             continue
         named += 1
-        imported = kind & 0x0E == 0
-        add_symbol(o, p, name.removeprefix("_"), "imported" if imported else "defined")
-        if kind & 0x0E == 0x0A and (target := cstring(names, value)):  # an alias of another name
-            add_symbol(o, p, target.removeprefix("_"), "imported")
+        add_symbol(o, p, name.removeprefix("_"), "imported" if kind & 0x0E == 0 else "defined")
+        if kind & 0x0E == 0x0A and (target := names.at(value)):  # an alias of another name
+            if add_symbol(o, p, target.removeprefix("_"), "imported"):
+                read.add(target.removeprefix("_"))
+    if "macho_symtab_incomplete" not in o.reasons and p.hides_a_name(strings, read, "_"):
+        o.reasons |= {"macho_symtab_incomplete", "symtab_understates_rows"}
     o.symtab_count = n
     o.stripped = named == 0 and "macho_symtab_incomplete" not in o.reasons

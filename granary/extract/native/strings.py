@@ -3,24 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
-#: Where cargo keeps crate sources, as these paths appear in objects.
-REGISTRY = re.compile(
-    r'''cargo[/\\]registry[/\\](?:src[/\\][^/\\\x00"'\n]{1,255}[/\\])?(?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)-(?P<version>[0-9]+\.[0-9]+\.[0-9]+[A-Za-z0-9.+-]{0,63})[/\\]'''
-)
-VENDOR = re.compile(
-    r'''(?<![A-Za-z0-9_.-])vendor[/\\](?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)(?:-(?P<version>[0-9]+\.[0-9]+\.[0-9]+[A-Za-z0-9.+-]{0,63}))?[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?[^/\\\x00"'\n]{0,255}?\.rs'''
-)
-GIT = re.compile(
-    r'''(?<![A-Za-z0-9_.-])git[/\\]checkouts[/\\](?P<member>[^/\\\x00"'\n]{1,255}?-[0-9a-f]{16}[/\\][0-9a-f]{7,40}[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?)?(?P<name>[A-Za-z0-9_][A-Za-z0-9_-]{0,63}?)(?(member)|-[0-9a-f]{16}[/\\][0-9a-f]{7,40})[/\\]src[/\\](?:[^/\\\x00"'\n]{1,255}[/\\]){0,16}?[^/\\\x00"'\n]{0,255}?\.rs(?P<version>(?!))?'''
-)
-_SEP = r"[/\\]"
 GO_MAGIC = b"\xff Go buildinf:"
-_GO_VERSION = re.compile(rb"go[0-9]+(?:\.[0-9]+)*[A-Za-z0-9.+-]*")
-#: Directories that may lie between a registry path and a vendor folder of the crate.
-NESTED = 16
-
-
+_GO_VERSION = re.compile(rb"go[0-9]+\.[0-9]+(?:\.[0-9]+)?[A-Za-z0-9.-]*")
 def printable_runs(data: bytes, least: int) -> list[str]:
     return [m.group().decode("ascii") for m in re.finditer(rb"[\x20-\x7e]{%d,}" % least, data)]
 
@@ -45,24 +31,27 @@ def group_matches(data: bytes, groups: dict[str, list[str]], least: int, width:
     return found
 
 
-def crates(text: str) -> set[tuple[str, str | None]]:
-    """(name, version) of the crates whose source paths are in the text.
+def nested(gap: str) -> bool:
+    """Whether what lies between a registry crate's folder and a vendor folder is nothing but
+    up to 16 folders, so that the vendor folder is inside the crate."""
+    if not gap:
+        return True
+    *folders, rest = re.split(r"[/\\]", gap)
+    return not rest and len(folders) <= 16 and all(0 < len(x) <= 255 and ".rs" not in x and not set(x) & set("\0\"'\n") for x in folders)
+
+
+def crates(text: str, patterns: dict[str, re.Pattern[str]]) -> set[tuple[str, str | None]]:
+    """(name, version) of the crates whose source paths are in the text (printable runs by line).
 
-    A vendor folder below a registry path belongs to that registry crate: such a hit counts
-    only if a source file or more than `NESTED` folders lie between."""
-    found: set[tuple[str, str | None]] = set()
-    ends: list[int] = []
-    for m in REGISTRY.finditer(text):
-        found.add((m["name"], m["version"]))
-        ends.append(m.end())
-    for m in VENDOR.finditer(text):
-        before = [e for e in ends if e <= m.start()]
-        if before:
-            gap = text[before[-1] : m.start()]
-            if "\n" not in gap and ".rs" not in gap and len(re.findall(_SEP, gap)) <= NESTED:
-                continue
-        found.add((m["name"], m["version"]))
-    found |= {(m["name"], None) for m in GIT.finditer(text)}
+    A vendor folder inside a registry crate's folder is that crate's own."""
+    named = lambda m: (m["name"], m["version"])
+    own = list(patterns["cargo_path_regex"].finditer(text))
+    ends = [m.end() for m in own]
+    found = {named(m) for m in own} | {named(m) for m in patterns["cargo_git_path_regex"].finditer(text)}
+    for m in patterns["cargo_vendor_path_regex"].finditer(text):
+        before = bisect_right(ends, m.start()) - 1
+        if before < 0 or m.start() - ends[before] > 16 * 256 or not nested(text[ends[before] : m.start()]):
+            found.add(named(m))
     return found
 
 
@@ -80,13 +69,14 @@ def _uvarint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def go_version(data: bytes) -> str | None:
-    """Version in an inline build-info blob; None without one."""
-    at = data.find(GO_MAGIC)
-    if at < 0 or len(data) < at + 33 or not data[at + 15] & 2:
+    """Version in an inline build-info section; None without one.  Older sections hold an
+    address in place of the text; it means nothing in a file that is not loaded, so nothing
+    is read from them."""
+    if not data.startswith(GO_MAGIC) or len(data) <= 32 or not data[15] & 2:
         return None
     try:
-        n, start = _uvarint(data, at + 32)
+        n, start = _uvarint(data, 32)
     except (IndexError, ValueError):
         return None
-    m = _GO_VERSION.match(data[start : start + n])
-    return m.group().decode() if m else None
+    text = data[start : start + n]
+    return text.decode() if n == len(text) and _GO_VERSION.fullmatch(text) else None

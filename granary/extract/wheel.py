@@ -46,7 +46,7 @@ def is_candidate(m, globs: list[str]) -> bool:
     if m.is_symlink or m.size < 64:
         return False
     bare = "." not in base
-    return bool(NATIVE.search(base)) or is_vendor(m.name, globs) or (bare and (folder.rsplit("/", 1)[-1] in ("bin", "lib", "lib64", "scripts", "libexec") or bool(m.mode & 0o111)))
+    return bool(NATIVE.search(base)) or is_vendor(m.name, globs) or (bare and (folder.rsplit("/", 1)[-1].lower() in ("bin", "lib", "lib64", "scripts", "libexec") or bool(m.mode & 0o111)))
 
 
 def read_object(data: bytes, path: str, p: Patterns, vendored: bool) -> Obj:
@@ -88,25 +88,29 @@ def _objects(a: Archive, p: Patterns, globs: list[str]) -> list[Obj]:
     return sorted(out, key=lambda o: o.path)
 
 
-def _binary(o: Obj, limits: dict[str, int], conv: dict) -> dict:
+def _binary(o: Obj, p: Patterns, limits: dict[str, int], conv: dict) -> dict:
     symbols, truncated = _capped(sorted(o.symbols), lambda s: (s[0], s[2]), limits["max_symbols_per_binary"])
     texts, cut = _capped(sorted(o.strings), lambda s: s[0], limits["max_strings_per_binary"])
-    crates, _ = _capped(sorted(o.crates, key=lambda c: (c[0], c[1] or "")), lambda c: c[0], limits["max_rust_crates_per_binary"])
+    # crates are an inventory too: those that the policy names come before all others
+    crates, uncounted = _capped(sorted(o.crates, key=lambda c: (c[0], c[1] or "")), lambda c: c[0], limits["max_rust_crates_per_binary"], lambda c: c[0] in p.crates)
     markers = sorted({g for g, _ in o.strings} & {conv["go_boring_group"], conv["go_stock_group"], conv["go_fips140_group"]})
-    go = {"go_version": o.go_version, "boring_crypto": conv["go_boring_group"] in markers, "markers": markers} if o.is_go or o.go_version else None
+    go = {"go_version": o.go_version, "boring_crypto": conv["go_boring_group"] in markers, "markers": markers} if o.is_go or o.go_version or markers else None
     plain = {k: getattr(o, k) for k in ("path", "format", "vendored_path", "from_archive", "machine", "bits", "endian", "elf_type", "soname", "needed", "rpath", "runpath", "stripped", "dynsym_count", "symtab_count")}
-    return plain | {"matched_symbols": [dict(zip(("group", "name", "binding"), s, strict=True)) for s in symbols], "matched_strings": [{"group": g, "value": v} for g, v in texts], "rust_crates": [{"name": n, "version": v} for n, v in crates], "go": go, "symbols_truncated": truncated, "strings_truncated": cut or o.strings_truncated, "partial_analysis": bool(o.reasons), "partial_reasons": sorted(o.reasons)}
+    return plain | {"matched_symbols": [dict(zip(("group", "name", "binding"), s, strict=True)) for s in symbols], "matched_strings": [{"group": g, "value": v} for g, v in texts], "rust_crates": [{"name": n, "version": v} for n, v in crates], "go": go, "symbols_truncated": truncated, "strings_truncated": cut or uncounted or o.strings_truncated, "partial_analysis": bool(o.reasons), "partial_reasons": sorted(o.reasons)}
 
 
-def _capped(items: list, key, limit: int) -> tuple[list, bool]:
-    """At most limit items, one for every key first, in order."""
+def _capped(items: list, key, limit: int, pinned=lambda x: False) -> tuple[list, bool]:
+    """At most limit items, in order: one of every key first, pinned ones before others, then
+    pinned ones, then the rest."""
     if len(items) <= limit:
         return items, False
-    seen: set = set()
-    first = [x for x in items if not (key(x) in seen or seen.add(key(x)))]
-    rest = [x for x in items if x not in set(first)]
-    kept = set((first + rest)[:limit])
-    return [x for x in items if x in kept], True
+    again: set = set()
+    turn = []
+    for i in sorted(range(len(items)), key=lambda i: not pinned(items[i])):
+        k = key(items[i])
+        turn.append((k in again, not pinned(items[i]), i))
+        again.add(k)
+    return [items[i] for i in sorted(i for *_, i in sorted(turn)[:limit])], True
 
 
 def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict[str, int], conv: dict) -> dict:
@@ -130,7 +134,7 @@ def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict
         unparsed = len({e[2] for e in a.errors if e[0] == "python"})
         artifacts = {"py_files": py, "pyc_files": pyc, "py_files_unparsed": unparsed, "source_available": py - unparsed > 0 or (py == 0 and pyc == 0), "total_uncompressed_bytes": a.total, "skipped": [dict(zip(("path", "reason"), x, strict=True)) for x in sorted({(e[2], e[1]) for e in a.errors if e[0] == "archive" and e[2]})], "symlinks": symlinks}
         errors = [_error(*e) for e in sorted(set(a.errors), key=lambda e: (e[0], e[2] or "", e[1], e[3]))]
-        return base | {"metadata": meta, "sbom": sbom, "binaries": [_binary(o, limits, conv) for o in objects], "py_sites": sites, "errors": errors, "artifacts": artifacts}
+        return base | {"metadata": meta, "sbom": sbom, "binaries": [_binary(o, p, limits, conv) for o in objects], "py_sites": sites, "errors": errors, "artifacts": artifacts}
     except Exception as e:  # one bad wheel must not end the run
         return base | {"metadata": None, "sbom": [], "binaries": [], "py_sites": [], "errors": [_error("archive", "unexpected_error", None, type(e).__name__)], "artifacts": none}
 

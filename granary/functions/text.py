@@ -118,7 +118,7 @@ _NATIVE = "(?i)\\.(so|dylib|pyd|dll|exe|a|lib)(\\.[0-9]+)*$"
 def is_native_candidate(path: Column | str, size: Column | str, mode: Column | str, is_symlink: Column | str, globs: list[str]) -> Column:
     """Whether a member may be a native object."""
     path, name = _c(path), F.substring_index(_c(path), "/", -1)
-    parent = F.when(path.contains("/"), F.element_at(F.split(path, "/"), -2))
+    parent = F.when(path.contains("/"), F.lower(F.element_at(F.split(path, "/"), -2)))
     bare = ~name.contains(".")
     return ~_c(is_symlink) & (_c(size) >= 64) & (name.rlike(_NATIVE) | is_vendor_path(path, globs) | (bare & F.coalesce(parent.isin("bin", "lib", "lib64", "scripts", "libexec"), F.lit(False))) | (bare & (_c(mode).bitwiseAND(73) > 0)))
 

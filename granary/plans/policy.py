@@ -13,24 +13,12 @@ from pyspark.sql.types import StructType
 
 from granary.extract.native.common import Patterns
 from granary.extract.pysource import Targets
+from granary.plans import coherence
+from granary.plans.coherence import PolicyError, check
 
 HERE = Path(__file__).parent.parent / "policy"
 
-#: Closed vocabularies of the policy.
-KINDS = "dist_name requires_dist wheel_generator no_source binaries_truncated record_mismatch scan_error sbom_component bundled_library dt_needed dynamic_symbol binary_string rust_crate linkage opaque_binary partial_binary py_import py_call py_attr py_constant py_ctypes_load".split()
-SEVERITIES, CONFIDENCES, LAYERS = {"high", "medium", "low", "info"}, {"high", "medium", "low"}, {"metadata", "binary", "python", "derived"}
-POSTURES = {"system", "bundled", "static", "mixed", "none", "unknown"}
-ALLOWED = {
-    "not_specified": {"NON_APPROVED_CRYPTO"},
-    "restricted": {"NON_APPROVED_CRYPTO", "CONTEXT_DEPENDENT"},
-    "outside_module": {"NON_APPROVED_CRYPTO"},
-    "boundary_unresolved": {"CONDITIONAL"},
-    "runtime_refusal": {"FIPS_BREAKING"},
-    "policy_bypass": {"CONDITIONAL"},
-    "use_unresolved": {"CONTEXT_DEPENDENT"},
-}
-RULE_KEYS = {"id", "layer", "category", "severity", "confidence", "verdict", "relation", "family", "basis", "needs_human_review", "suppressed_by", "match"}
-MATCH_KEYS = {"kind", "table", "tables", "default", "any_entry", "error_kinds", "library", "exclude_libraries", "mangled", "resolved", "group", "groups", "binding", "name", "value", "values", "object_values", "exclude_object_values", "sbom_declared", "exclude_reasons", "reasons", "targets", "algorithm", "algorithm_list", "usedforsecurity", "attributes", "constants"}
+KINDS = set(coherence.MATCH_KEYS)
 TABLES = {"distributions": "crypto_distribution", "libraries": "crypto_library", "symbols": "symbol_group", "strings": "string_group", "crates": "rust_crate", "modules": "python_module", "standards": "standard", "rules": "rule"}
 
 
@@ -42,10 +30,6 @@ def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
 
 
-class PolicyError(ValueError):
-    """A policy that does not hold together."""
-
-
 @dataclass
 class Policy:
     version: str
@@ -62,6 +46,13 @@ class Policy:
     def rule(self, rule_id: str) -> dict:
         return next(r for r in self.tables["rule"] if r["id"] == rule_id)
 
+    def library_of_sbom(self, name: str) -> dict | None:
+        """The library that an SBOM component's name means."""
+        return next((x for x in self.tables["crypto_library"] if coherence.library_key(x["name"]) == coherence.library_key(name)), None)
+
+    def crate_of_sbom(self, name: str) -> dict | None:
+        return next((x for x in self.tables["rust_crate"] if coherence.crate_key(x["name"]) == coherence.crate_key(name)), None)
+
     def matches(self, kind: str) -> list[tuple[int, dict, dict]]:
         """(order, rule, match) of one kind in emission order."""
         return [(i * 100 + j, r, m) for i, r in enumerate(self.tables["rule"]) for j, m in enumerate(r["match"]) if m["kind"] == kind]
@@ -77,7 +68,8 @@ class Policy:
         strings = {g["name"]: g["substrings"] for g in self.tables["string_group"]}
         code = {g["name"]: g["substrings"] for g in self.tables["string_group"] if g.get("in_code")}
         prefixes = [(p, g["name"]) for g in self.tables["symbol_group"] for p in g["prefixes"]]
-        return Patterns(exact, prefixes, strings, code, self.limits["min_string_length"], self.limits["max_evidence_chars"])
+        cargo = {k: self.conventions[k] for k in coherence.CARGO}
+        return Patterns(exact, prefixes, strings, code, self.limits["min_string_length"], self.limits["max_evidence_chars"], cargo, frozenset(c["name"] for c in self.tables["rust_crate"]))
 
     def targets(self) -> Targets:
         of = lambda key: {x for r in self.tables["rule"] for m in r["match"] for x in m.get(key, ())}
@@ -94,69 +86,41 @@ class Policy:
         return local_frame(spark, rows, "rule_id string, r_severity string, category string, layer string, confidence string, r_verdict string, r_relation string, r_family string, r_basis array<string>, r_review boolean")
 
 
-def load(folder: str | Path | None = None) -> Policy:
-    """The policy in a folder of TOML files, the built-in one by default, checked."""
-    at = Path(folder) if folder else HERE
-    settings = tomllib.loads((at / "settings.toml").read_text())
-    tables = {t: tomllib.loads((at / f"{f}.toml").read_text()).get(t, []) for f, t in TABLES.items()}
-    p = Policy(settings["ruleset_version"], settings["precedence"], settings["limits"], settings["conventions"], settings["linkage_policy"]["exclude_reasons"], settings["ctypes_library"]["substrings"], tables)
-    check(p)
-    return p
-
-
-def check(p: Policy) -> None:
-    """Raise PolicyError for anything that could not take effect or contradicts itself."""
-
-    def need(ok: bool, message: str) -> None:
-        if not ok:
-            raise PolicyError(message)
-
-    need(len(set(p.precedence)) == len(p.precedence) and p.precedence[-1] == "NO_CRYPTO_DETECTED", "precedence must be distinct and end with NO_CRYPTO_DETECTED")
-    for table, rows in p.tables.items():
-        names = [r.get("name") or r.get("id") for r in rows]
-        need(None not in names, f"{table}: an entry has no name")
-        need(len(set(names)) == len(names), f"{table}: a name occurs twice")
-    ids = {r["id"] for r in p.tables["rule"]}
-    symbols, strings = ({g["name"] for g in p.tables[t]} for t in ("symbol_group", "string_group"))
-    libraries = {x["name"] for x in p.tables["crypto_library"]}
-    standards = {s["id"]: s.get("successor") for s in p.tables["standard"]}
-    for r in p.tables["rule"]:
-        need(not set(r) - RULE_KEYS, f"{r['id']}: unknown keys {sorted(set(r) - RULE_KEYS)}")
-        need(r["severity"] in SEVERITIES and r["confidence"] in CONFIDENCES and r["layer"] in LAYERS, f"{r['id']}: unknown severity, confidence or layer")
-        need(bool(r["match"]), f"{r['id']}: matches nothing")
-        need(not set(r.get("suppressed_by", ())) - ids, f"{r['id']}: suppressed by an unknown rule")
-        for m in r["match"]:
-            need(m.get("kind") in KINDS and not set(m) - MATCH_KEYS, f"{r['id']}: unknown kind or keys")
-            groups = {m["group"]} if "group" in m else set(m.get("groups", ()))
-            need(not groups - (symbols if m["kind"] == "dynamic_symbol" else strings), f"{r['id']}: unknown group")
-            need(not ({m["library"]} if "library" in m else set()) - libraries and not set(m.get("exclude_libraries", ())) - libraries, f"{r['id']}: unknown library")
-            need(not ({m["value"]} if "value" in m else set(m.get("values", ()))) - POSTURES or m["kind"] == "py_attr", f"{r['id']}: unknown posture")
-    for table in ("rule", "crypto_distribution", "crypto_library", "rust_crate", "python_module"):
-        for e in p.tables[table]:
-            verdict, relation, name = e.get("verdict"), e.get("relation"), e.get("id") or e["name"]
-            need(verdict is None or verdict in p.precedence[:-1], f"{name}: verdict cannot be assigned")
-            need(relation is None or relation in ALLOWED, f"{name}: unknown relation")
-            need(not (verdict and relation) or verdict in ALLOWED[relation], f"{name}: relation {relation} does not go with {verdict}")
-            need(not set(e.get("basis", ())) - set(standards), f"{name}: unknown standard")
-            need(e.get("rule") is None or e["rule"] in ids, f"{name}: unknown owner")
-    acyclic({r["id"]: r.get("suppressed_by", []) for r in p.tables["rule"]}, "suppression")
-    acyclic({s: [n] if n else [] for s, n in standards.items()}, "succession")
-
-
-def acyclic(edges: dict[str, list[str]], what: str) -> None:
-    done: set[str] = set()
-    for start in edges:
-        path, stack = [], [(start, iter(edges.get(start, ())))]
-        while stack:
-            node, rest = stack[-1]
-            if node not in path:
-                path.append(node)
-            nxt = next((x for x in rest if x not in done), None)
-            if nxt is None:
-                done.add(node)
-                path.remove(node)
-                stack.pop()
-            elif nxt in path:
-                raise PolicyError(f"{what} goes in a circle: {' -> '.join([*path, nxt])}")
-            else:
-                stack.append((nxt, iter(edges.get(nxt, ()))))
+def documents(at: Path) -> dict:
+    """A rule set as one mapping: a single TOML file, or a folder with a file for each table."""
+    if at.is_file():
+        return tomllib.loads(at.read_text())
+    out = tomllib.loads((at / "settings.toml").read_text())
+    return out | {t: tomllib.loads((at / f"{f}.toml").read_text()).get(t, []) for f, t in TABLES.items()}
+
+
+def parsed(raw: dict) -> Policy:
+    """A policy from a mapping, its shape made even: `match` is always a list."""
+    known = {"ruleset_version", "verdict", "limits", "conventions", "linkage_policy", "ctypes_library", *TABLES.values()}
+    for name in ("ruleset_version", "verdict", "conventions", "ctypes_library", *(set(TABLES.values()) - {"standard"})):
+        if name not in raw:
+            raise PolicyError(f"{name} is missing [V24]")
+    if set(raw) - known or set(raw["verdict"]) - {"precedence"}:
+        raise PolicyError(f"unknown tables or keys {sorted(set(raw) - known) or sorted(raw['verdict'])} [V1]")
+    tables = {t: [dict(e) if isinstance(e, dict) else e for e in raw.get(t, [])] for t in TABLES.values()}
+    for r in tables["rule"]:
+        if isinstance(r, dict) and isinstance(r.get("match"), dict):
+            r["match"] = [r["match"]]
+    ctypes = [x for e in raw["ctypes_library"] for x in e.get("substrings", ())]
+    policy = Policy(str(raw["ruleset_version"]), raw["verdict"].get("precedence", []), dict(raw.get("limits", {})), dict(raw["conventions"]), [], ctypes, tables)
+    given = raw.get("linkage_policy")
+    if given is not None and set(given) - {"why", "exclude_reasons"}:
+        raise PolicyError("linkage_policy: unknown keys [V1]")
+    check_shapes = next(coherence.complaints(policy), None) if given is None else None
+    if check_shapes and check_shapes[0] in ("V24", "V3"):
+        raise PolicyError(f"{check_shapes[1]} [{check_shapes[0]}]")
+    # without a table of exemptions, what is routine is exempt
+    policy.exempt_reasons = sorted(coherence.routine_reasons(policy)) if given is None else list(given.get("exclude_reasons", ()))
+    return policy
+
+
+def load(at: str | Path | None = None) -> Policy:
+    """The policy in a file or a folder of files, the built-in one by default, checked."""
+    policy = parsed(documents(Path(at) if at else HERE))
+    check(policy)
+    return policy

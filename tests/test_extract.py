@@ -76,12 +76,14 @@ def test_ar_names():
 
 def test_crates_and_go():
     reg = "/home/u/.cargo/registry/src/index.crates.io-6f17d22bba15001f/ring-0.17.8/"
-    assert strings.crates(reg + "src/a.rs") == {("ring", "0.17.8")}
-    assert strings.crates(reg + "vendor/blst/src/b.rs") == {("ring", "0.17.8")}
-    assert strings.crates("/build/vendor/sha2/src/lib.rs") == {("sha2", None)}
-    assert strings.crates("/c/git/checkouts/boring-0123456789abcdef/abcdef0/boring/src/x.rs") == {("boring", None)}
+    crates = lambda t: strings.crates(t, POLICY.patterns().cargo_paths)
+    assert crates(reg + "src/a.rs") == {("ring", "0.17.8")}
+    assert crates(reg + "vendor/blst/src/b.rs") == {("ring", "0.17.8")}
+    assert crates("/build/vendor/sha2/src/lib.rs") == {("sha2", None)}
+    assert crates("/c/git/checkouts/boring-0123456789abcdef/abcdef0/boring/src/x.rs") == {("boring", None)}
     blob = strings.GO_MAGIC + b"\x08\x02" + bytes(16) + bytes([8]) + b"go1.22.3"
-    assert strings.go_version(b"xx" + blob) == "go1.22.3" and strings.go_version(blob[:20]) is None
+    assert strings.go_version(blob + b"more") == "go1.22.3" and strings.go_version(blob[:20]) is None
+    assert strings.go_version(b"xx" + blob) is None and strings.go_version(blob.replace(b"go1", b"xo1")) is None and strings.go_version(blob[:-1]) is None
 
 
 def test_python_sites():
