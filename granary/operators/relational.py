@@ -189,5 +189,6 @@ def merge_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFram
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of one side alone, with the side."""
-    return a.exceptAll(b).distinct().join(b, a.columns, "left_anti").withColumn("side", F.lit("left")).unionByName(b.distinct().join(a, b.columns, "left_anti").withColumn("side", F.lit("right")))
+    """Distinct rows of one side alone, with the side; nulls are equal."""
+    a, b = a.distinct(), b.distinct()
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -46,8 +46,9 @@ def x1(spark, d):
 
 @query("l8_corpus_linkage", "SELECT p_partkey AS key, 'openssl' AS library, CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS value FROM part")
 def l8(spark, d):
+    """Every library's linkage of every wheel; `none` is told of OpenSSL alone."""
     s = _scan(spark, d)
-    return s.evidence.select("key", "wheel_id").join(s.linkage, "wheel_id").where("library = 'openssl'").select("key", "library", "value")
+    return s.evidence.select("key", "wheel_id").join(s.linkage, "wheel_id").select("key", "library", "value")
 
 
 @query("l1_needed_posture", "SELECT p_partkey AS key, n AS needed, CASE WHEN n LIKE 'libcrypto-%' THEN 'bundled' ELSE 'system' END AS posture FROM part, (VALUES (0, 'libcrypto.so.3'), (0, 'libssl.so.3'), (0, 'libc.so.6'), (1, 'libcrypto-3a1f2b4c.so.3'), (1, 'libc.so.6'), (2, 'libc.so.6'), (3, 'libc.so.6'), (8, '/usr/lib/libcrypto.dylib'), (9, 'LIBCRYPTO-3.dll'), (9, 'other.dll'), (10, 'libc.so.6')) v(s, n) WHERE p_partkey % 16 = s")
@@ -56,13 +57,36 @@ def l1(spark, d):
     return s.evidence.select("key", "wheel_id").join(s.needed.select("wheel_id", "needed", "posture").distinct(), "wheel_id").drop("wheel_id")
 
 
-@query("l3_object_posture", "SELECT p_partkey AS key, o AS objects, v AS posture FROM part, (VALUES (0, 1, 'system'), (1, 2, 'bundled'), (2, 1, 'static'), (3, 1, 'none'), (8, 1, 'system'), (9, 1, 'system'), (10, 2, 'static')) x(s, o, v) WHERE p_partkey % 16 = s")
+@query(
+    "l3_object_posture",
+    """SELECT p_partkey AS key, library, o AS objects, CASE library WHEN 'openssl' THEN v ELSE 'none' END AS posture FROM part,
+    (VALUES (0, 1, 'system'), (1, 2, 'bundled'), (2, 1, 'static'), (3, 1, 'none'), (8, 1, 'system'), (9, 1, 'system'), (10, 2, 'static')) x(s, o, v),
+    (VALUES ('openssl'), ('libsodium'), ('gnutls'), ('nss'), ('secp256k1'), ('nettle'), ('tomcrypt'), ('libgcrypt'), ('blake2'), ('mbedtls'), ('wolfssl'), ('cryptopp'), ('argon2')) y(library)
+    WHERE p_partkey % 16 = s""",
+)
 def l3(spark, d):
     s = _scan(spark, d)
-    return s.evidence.select("key", "wheel_id").join(s.postures.where("library = 'openssl'"), "wheel_id").groupBy("key", "posture").agg(F.count("*").cast("int").alias("objects"))
-
-
-@query("m_corpus_rules", """SELECT p_partkey AS key, r AS rule_id FROM part, (VALUES (0, 'BIN_NEEDED_SYSTEM_OPENSSL'), (0, 'BIN_OPENSSL_SYMBOLS_IMPORTED'), (0, 'DERIVED_SYSTEM_OPENSSL_ONLY'), (1, 'BIN_BUNDLED_OPENSSL'), (1, 'BIN_NEEDED_MANGLED_CRYPTO'), (1, 'BIN_OPENSSL_BANNER'), (1, 'BIN_OPENSSL_SYMBOLS_DEFINED'), (1, 'BIN_OPENSSL_SYMBOLS_IMPORTED'), (2, 'BIN_OPENSSL_BANNER'), (2, 'BIN_OPENSSL_SYMBOLS_DEFINED'), (2, 'BIN_STATIC_OPENSSL'), (3, 'BIN_RUST_CRYPTO_CRATE'), (4, 'PY_IMPORT_CRYPTO_MODULE'), (6, 'WHEEL_UNREADABLE'), (7, 'DIST_NON_APPROVED_CRYPTO'), (8, 'BIN_NEEDED_SYSTEM_OPENSSL'), (8, 'BIN_OPENSSL_SYMBOLS_IMPORTED'), (8, 'BIN_OWN_WEAK_HASH_IMPL'), (8, 'DERIVED_SYSTEM_OPENSSL_ONLY'), (9, 'BIN_NEEDED_SYSTEM_OPENSSL'), (9, 'BIN_OPENSSL_SYMBOLS_IMPORTED'), (9, 'BIN_OWN_WEAK_HASH_IMPL'), (9, 'BIN_PARTIAL_ROUTINE'), (9, 'DERIVED_SYSTEM_OPENSSL_ONLY'), (10, 'BIN_OPENSSL_BANNER'), (10, 'BIN_OPENSSL_SYMBOLS_DEFINED'), (10, 'BIN_STATIC_OPENSSL'), (11, 'SBOM_CRYPTO_COMPONENT'), (12, 'PY_IMPORT_CRYPTO_MODULE'), (12, 'PY_TLS_POLICY_OVERRIDE'), (12, 'PY_TLS_VERIFICATION_DISABLED'), (13, 'PY_CTYPES_CRYPTO_LOAD'), (14, 'WHEEL_NO_PYTHON_SOURCE'), (15, 'DIST_DEPENDS_ON_CRYPTO'), (15, 'WHEEL_RECORD_MISMATCH')) v(s, r) WHERE p_partkey % 16 = s UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'PY_WEAK_HASH_CALL_MARKED' ELSE 'PY_WEAK_HASH_CALL' END FROM part WHERE p_partkey % 16 = 4 UNION ALL SELECT p_partkey, 'WHEEL_GENERATOR' FROM part WHERE p_partkey % 16 <> 6""")
+    return s.evidence.select("key", "wheel_id").join(s.postures, "wheel_id").groupBy("key", "library", "posture").agg(F.count("*").cast("int").alias("objects"))
+
+
+#: What every shape's findings are: rule and subject, or the place of findings without one
+#: (# stands for the key).
+_FOUND = """(SELECT p_partkey AS key, r AS rule_id, replace(x, '#', p_partkey::VARCHAR) AS subject FROM part, (VALUES
+    (0, 'BIN_NEEDED_SYSTEM_OPENSSL', 'openssl'), (0, 'BIN_OPENSSL_SYMBOLS_IMPORTED', 'openssl'), (0, 'DERIVED_SYSTEM_OPENSSL_ONLY', 'openssl'),
+    (1, 'BIN_BUNDLED_OPENSSL', 'openssl'), (1, 'BIN_NEEDED_MANGLED_CRYPTO', 'openssl'), (1, 'BIN_OPENSSL_BANNER', 'openssl_banner'), (1, 'BIN_OPENSSL_SYMBOLS_DEFINED', 'openssl'), (1, 'BIN_OPENSSL_SYMBOLS_IMPORTED', 'openssl'),
+    (2, 'BIN_OPENSSL_BANNER', 'openssl_banner'), (2, 'BIN_OPENSSL_SYMBOLS_DEFINED', 'openssl'), (2, 'BIN_STATIC_OPENSSL', 'openssl'),
+    (3, 'BIN_RUST_CRYPTO_CRATE', 'ring'), (4, 'PY_IMPORT_CRYPTO_MODULE', 'hashlib'), (6, 'WHEEL_UNREADABLE', 'pkg#-1.0-py3-none-any.whl'), (7, 'DIST_NON_APPROVED_CRYPTO', 'pycryptodome'),
+    (8, 'BIN_NEEDED_SYSTEM_OPENSSL', 'openssl'), (8, 'BIN_OPENSSL_SYMBOLS_IMPORTED', 'openssl'), (8, 'BIN_OWN_WEAK_HASH_IMPL', 'unspecified_hash_impl'), (8, 'DERIVED_SYSTEM_OPENSSL_ONLY', 'openssl'),
+    (9, 'BIN_NEEDED_SYSTEM_OPENSSL', 'openssl'), (9, 'BIN_OPENSSL_SYMBOLS_IMPORTED', 'openssl'), (9, 'BIN_OWN_WEAK_HASH_IMPL', 'unspecified_hash_impl'), (9, 'BIN_PARTIAL_ROUTINE', 'pe'), (9, 'DERIVED_SYSTEM_OPENSSL_ONLY', 'openssl'),
+    (10, 'BIN_OPENSSL_BANNER', 'openssl_banner'), (10, 'BIN_OPENSSL_SYMBOLS_DEFINED', 'openssl'), (10, 'BIN_STATIC_OPENSSL', 'openssl'), (11, 'SBOM_CRYPTO_COMPONENT', 'ring'),
+    (12, 'PY_IMPORT_CRYPTO_MODULE', 'ssl'), (12, 'PY_TLS_POLICY_OVERRIDE', 'pkg#/net.py'), (12, 'PY_TLS_VERIFICATION_DISABLED', 'check_hostname'), (12, 'PY_TLS_VERIFICATION_DISABLED', 'verify_mode'),
+    (13, 'PY_CTYPES_CRYPTO_LOAD', 'libcrypto'), (14, 'WHEEL_NO_PYTHON_SOURCE', 'pkg#-1.0-py3-none-any.whl'), (15, 'DIST_DEPENDS_ON_CRYPTO', 'cryptography'), (15, 'DIST_DEPENDS_ON_CRYPTO', 'pynacl'), (15, 'WHEEL_RECORD_MISMATCH', 'pkg#/extra.txt')
+    ) v(s, r, x) WHERE p_partkey % 16 = s
+    UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'PY_WEAK_HASH_CALL_MARKED' ELSE 'PY_WEAK_HASH_CALL' END, 'pkg' || p_partkey || '/__init__.py' FROM part WHERE p_partkey % 16 = 4
+    UNION ALL SELECT p_partkey, 'WHEEL_GENERATOR', 'bdist_wheel' FROM part WHERE p_partkey % 16 <> 6)"""
+
+
+@query("m_corpus_rules", f"SELECT DISTINCT key, rule_id FROM {_FOUND}")
 def m(spark, d):
     s = _scan(spark, d)
     return s.evidence.select("key", "wheel_id").join(s.findings.select("wheel_id", "rule_id").distinct(), "wheel_id").drop("wheel_id")
@@ -74,10 +98,15 @@ def y5(spark, d):
     return sites.select("key", "s.path", "s.line", "s.target", F.col("s.attrs")["algorithm"].alias("algorithm"), F.col("s.attrs")["usedforsecurity"].alias("usedforsecurity"))
 
 
-@query("n4_elf_symbols", "SELECT p_partkey AS key, b AS binding, count(*) AS symbols FROM part, (VALUES (0, 'imported'), (1, 'imported'), (1, 'defined'), (2, 'defined'), (8, 'imported'), (9, 'imported'), (9, 'imported'), (10, 'defined'), (10, 'defined')) v(s, b) WHERE p_partkey % 16 = s GROUP BY ALL")
+@query(
+    "n4_elf_symbols",
+    """SELECT p_partkey AS key, g AS grp, b AS binding, count(*) AS symbols FROM part, (VALUES (0, 'openssl', 'imported'), (1, 'openssl', 'imported'), (1, 'openssl', 'defined'), (2, 'openssl', 'defined'),
+    (8, 'openssl', 'imported'), (8, 'unspecified_hash_impl', 'defined'), (9, 'openssl', 'imported'), (9, 'openssl', 'imported'), (9, 'unspecified_hash_impl', 'defined'), (10, 'openssl', 'defined'),
+    (10, 'openssl', 'defined')) v(s, g, b) WHERE p_partkey % 16 = s GROUP BY ALL""",
+)
 def n4(spark, d):
     b = _scan(spark, d).evidence.select("key", F.explode("binaries").alias("b")).select("key", F.explode("b.matched_symbols").alias("s"))
-    return b.where("s.group = 'openssl'").groupBy("key", F.col("s.binding").alias("binding")).agg(F.count("*").alias("symbols"))
+    return b.groupBy("key", F.col("s.group").alias("grp"), F.col("s.binding").alias("binding")).agg(F.count("*").alias("symbols"))
 
 
 @query("n27_rust_crates", "SELECT p_partkey AS key, 'ring' AS name, '0.17.8' AS version FROM part WHERE p_partkey % 16 = 3")
@@ -244,17 +273,22 @@ def m21(spark, d):
     return _places(_found(spark, d, "PY_CTYPES_CRYPTO_LOAD")).drop("evidence")
 
 
-@query("a8_reasons", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 6 THEN 'WHEEL_UNREADABLE: pkg' || p_partkey || '-1.0-py3-none-any.whl' ELSE 'WHEEL_GENERATOR: bdist_wheel' || CASE p_partkey % 16 WHEN 14 THEN '; WHEEL_NO_PYTHON_SOURCE: pkg' || p_partkey || '-1.0-py3-none-any.whl' ELSE '' END END AS reasons FROM part WHERE p_partkey % 16 IN (5, 6, 14)")
+@query("a8_reasons", f"SELECT key, string_agg(rule_id || ': ' || subject, '; ' ORDER BY rule_id || ': ' || subject) AS reasons FROM {_FOUND} GROUP BY key")
 def a8(spark, d):
     s = _scan(spark, d)
-    out = s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").where("key % 16 in (5, 6, 14)")
-    return out.select("key", F.array_join("reasons", "; ").alias("reasons"))
+    return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("a11_crypto_families", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 4 THEN 'hash' WHEN 12 THEN 'tls' WHEN 13 THEN 'library' WHEN 5 THEN '' END AS families FROM part WHERE p_partkey % 16 IN (4, 5, 12, 13)")
+@query("a11_crypto_families", "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14) THEN '' WHEN p_partkey % 16 = 4 THEN 'hash' WHEN p_partkey % 16 = 12 THEN 'tls' WHEN p_partkey % 16 IN (8, 9) THEN 'hash,library' ELSE 'library' END AS families FROM part")
 def a11(spark, d):
     s = _scan(spark, d)
-    return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").where("key % 16 in (4, 5, 12, 13)").select("key", F.array_join("families", ",").alias("families"))
+    return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("families", ",").alias("families"))
+
+
+@query("a8_relations", "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14, 15) THEN '' WHEN p_partkey % 16 IN (3, 7, 11) THEN 'outside_module' WHEN p_partkey % 16 = 4 THEN CASE WHEN p_size % 3 = 1 THEN 'use_unresolved' ELSE 'runtime_refusal' END WHEN p_partkey % 16 IN (8, 9) THEN 'boundary_unresolved,not_specified' WHEN p_partkey % 16 = 12 THEN 'policy_bypass' ELSE 'boundary_unresolved' END AS relations FROM part")
+def a8r(spark, d):
+    s = _scan(spark, d)
+    return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("relations", ",").alias("relations"))
 
 
 @query("x3_errors", "SELECT p_partkey AS key, 'archive' AS stage, 'bad_zip' AS kind FROM part WHERE p_partkey % 16 = 6")
@@ -262,19 +296,10 @@ def x3(spark, d):
     return _scan(spark, d).evidence.select("key", F.explode("errors").alias("e")).select("key", "e.stage", "e.kind")
 
 
-@query("c2_record_heads", "SELECT 'pkg' || p_partkey || '-1.0-py3-none-any.whl' AS filename, 2 AS schema_version, CASE p_partkey % 16 WHEN 6 THEN '-' ELSE 'pkg' || p_partkey END AS name, '43' AS ruleset_version FROM part WHERE p_partkey % 16 <> 7")
+@query("c2_record_heads", "SELECT CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome-' || p_partkey || '.0' ELSE 'pkg' || p_partkey || '-1.0' END || '-py3-none-any.whl' AS filename, 2 AS schema_version, CASE p_partkey % 16 WHEN 6 THEN '-' WHEN 7 THEN 'pycryptodome' ELSE 'pkg' || p_partkey END AS name, '43' AS ruleset_version FROM part")
 def c2(spark, d):
-    r = _scan(spark, d).records()
     get = lambda path: F.get_json_object("line", path)
-    return r.where("filename not like 'pycryptodome%'").select("filename", get("$.schema_version").cast("int").alias("schema_version"), F.coalesce(get("$.wheel.name"), F.lit("-")).alias("name"), get("$.tool.ruleset_version").alias("ruleset_version"))
-
-
-@query("p18_unanswered", "SELECT p_partkey AS key, false AS unanswered FROM part")
-def p18(spark, d):
-    from granary.plans import linkage as L
-
-    s = _scan(spark, d)
-    return s.evidence.select("key", "wheel_id").join(L.unanswered(s.evidence, s.policy), "wheel_id").drop("wheel_id")
+    return _scan(spark, d).records().select("filename", get("$.schema_version").cast("int").alias("schema_version"), F.coalesce(get("$.wheel.name"), F.lit("-")).alias("name"), get("$.tool.ruleset_version").alias("ruleset_version"))
 
 
 @query("a10_wheel_conditions", "SELECT p_partkey AS key, 'openssl_linkage=' || CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS conditions FROM part")
@@ -313,7 +338,9 @@ def a19(spark, d):
     return _scan(spark, d).verdicts.groupBy("class").agg(F.count("*").alias("wheels"))
 
 
-@query("j15_referenced_rules", "SELECT DISTINCT r AS rule_id FROM (VALUES ('WHEEL_UNREADABLE'), ('WHEEL_NO_PYTHON_SOURCE')) v(r)")
+@query("j15_referenced_rules", f"SELECT rule_id, count(DISTINCT key) AS wheels FROM {_FOUND} GROUP BY rule_id")
 def j15(spark, d):
+    """Of the policy's rules those that findings refer to, with their wheels."""
     s = _scan(spark, d)
-    return s.policy.rules_frame(spark).join(s.findings.where("verdict = 'OPAQUE'").select("rule_id").distinct(), "rule_id", "left_semi").select("rule_id")
+    used = s.findings.groupBy("rule_id").agg(F.count_distinct("wheel_id").alias("wheels"))
+    return s.policy.rules_frame(spark).select("rule_id").join(used, "rule_id")

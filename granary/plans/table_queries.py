@@ -88,13 +88,13 @@ def s32(spark, d):
 
 # -- predicates --------------------------------------------------------------------
 
-_PATHS = "CASE p_partkey % 6 WHEN 0 THEN 'pkg/mod' || p_size || '.cpython-312.so' WHEN 1 THEN 'pkg.libs/libz-' || p_size || '.so.1' WHEN 2 THEN 'pkg/bin/tool' WHEN 3 THEN 'pkg/data.txt' WHEN 4 THEN 'pkg/run' ELSE 'a/.dylibs/LIBX.DYLIB' END"
+_PATHS = "CASE p_partkey % 6 WHEN 0 THEN 'pkg/mod' || p_size || '.cpython-312.so' WHEN 1 THEN 'pkg.libs/libz-' || p_size || '.so.1' WHEN 2 THEN CASE p_size % 2 WHEN 0 THEN 'pkg/bin/tool' ELSE 'pkg/Bin/tool' END WHEN 3 THEN 'pkg/data.txt' WHEN 4 THEN 'pkg/run' ELSE 'a/.dylibs/LIBX.DYLIB' END"
 
 
 def _members(spark, d):
     p = F.col("p_partkey") % 6
     size = F.col("p_size").cast("string")
-    path = F.when(p == 0, F.concat(F.lit("pkg/mod"), size, F.lit(".cpython-312.so"))).when(p == 1, F.concat(F.lit("pkg.libs/libz-"), size, F.lit(".so.1"))).when(p == 2, "pkg/bin/tool").when(p == 3, "pkg/data.txt").when(p == 4, "pkg/run").otherwise("a/.dylibs/LIBX.DYLIB")
+    path = F.when(p == 0, F.concat(F.lit("pkg/mod"), size, F.lit(".cpython-312.so"))).when(p == 1, F.concat(F.lit("pkg.libs/libz-"), size, F.lit(".so.1"))).when((p == 2) & (F.col("p_size") % 2 == 0), "pkg/bin/tool").when(p == 2, "pkg/Bin/tool").when(p == 3, "pkg/data.txt").when(p == 4, "pkg/run").otherwise("a/.dylibs/LIBX.DYLIB")
     return _t(spark, d, "part").select("p_partkey", path.alias("path"), (F.col("p_size") * 8).alias("size"), F.when(F.col("p_partkey") % 2 == 0, 493).otherwise(420).alias("mode"), (F.col("p_partkey") % 11 == 0).alias("is_symlink"))
 
 
@@ -170,10 +170,11 @@ def j4(spark, d):
     return R.first_of_tables(_t(spark, d, "customer").select("c_custkey"), "c_custkey", tables, "name").select("c_custkey", "name", "resolved_table")
 
 
-@query("j7_prefix_join", "SELECT p_partkey, prefix FROM part, (SELECT DISTINCT substr(p_name, 1, k) AS prefix FROM part, (VALUES (3), (5), (8)) v(k) WHERE p_partkey % 97 = 0) WHERE starts_with(p_name, prefix)")
+@query("j7_prefix_join", "SELECT DISTINCT p_partkey, prefix FROM part, (SELECT DISTINCT substr(p_name, 1, k) AS prefix FROM part, (VALUES (3), (5), (8)) v(k)) x, (VALUES (3), (5), (8)) w(n) WHERE length(prefix) = n AND substr(p_name, 1, n) = prefix")
 def j7(spark, d):
+    """Names with all beginnings of three, five and eight characters that some name has."""
     p = _t(spark, d, "part")
-    prefixes = p.where("p_partkey % 97 = 0").select(F.explode(F.array(*[F.substring("p_name", 1, k) for k in (3, 5, 8)])).alias("prefix")).distinct()
+    prefixes = p.select(F.explode(F.array(*[F.substring("p_name", 1, k) for k in (3, 5, 8)])).alias("prefix")).where("length(prefix) in (3, 5, 8)").distinct()
     return R.prefix_join(p.select("p_partkey", "p_name"), "p_name", prefixes, "prefix").select("p_partkey", "prefix")
 
 
@@ -333,9 +334,14 @@ def g3(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(F.array_union(a, b)), ",").alias("either"), (F.size(F.array_intersect(a, b)) > 0).alias("both"))
 
 
-@query("g4_symmetric_difference", "(SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))")
+_SIDE = "SELECT CASE WHEN doc_id % 9 <> 0 THEN doc_id END AS doc_id FROM"
+
+
+@query("g4_symmetric_difference", f"(SELECT doc_id, 'left' AS side FROM ({_SIDE} documents EXCEPT {_SIDE} labels)) UNION ALL (SELECT doc_id, 'right' FROM ({_SIDE} labels EXCEPT {_SIDE} documents))")
 def g4(spark, d):
-    return R.symmetric_difference(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels").select("doc_id"))
+    """Rows of one side alone; nulls are equal, so those that both sides have are in neither."""
+    side = lambda name: _t(spark, d, name).select(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")).alias("doc_id"))
+    return R.symmetric_difference(side("documents"), side("labels"))
 
 
 # -- scalar functions --------------------------------------------------------------
