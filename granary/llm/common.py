@@ -69,6 +69,8 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
         for b in batches:
             if b.num_rows and (out := f(b)) is not None and out.num_rows:
                 yield out
+                del out
+            pa.default_memory_pool().release_unused()  # the JVM beside needs it
 
     return df.mapInArrow(run, schema)
 

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from granary.llm import common, tokens
 
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8_192, 3, 3, 40, 6
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8_192, 2, 2, 12, 4
 #: Generations without a better packing after which an epoch ends; pieces of a bin up to
 #: which pairs are taken out, and displaced pieces that are paired at once.
-STALE, PAIRED_BIN, PAIRED = 12, 8, 48
+STALE, PAIRED_BIN, PAIRED = 6, 8, 48
 #: Bins filled at least this far are injected by crossover; the pooled round takes bins below it.
 WELL = 0.995
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"

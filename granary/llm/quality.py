@@ -33,7 +33,7 @@ _BLOCK = 1 << 18
 
 
 def features(col) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every feature of a short column; `blocks` keeps columns short."""
+    """(text, bucket) of every feature of a short column; `K.slices` keeps columns short."""
     data, off = K.utf8(col)
     s, e, w = K.word_spans(data, off)
     n = len(off) - 1
@@ -52,16 +52,6 @@ def features(col) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), bucket
 
 
-def blocks(col):
-    """Slices of a column of about `_BLOCK` bytes, a text at least, and their first rows."""
-    _, off = K.utf8(col)
-    i = 0
-    while i < len(col):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + _BLOCK, side="right")) - 1)
-        yield i, col.slice(i, j - i)
-        i = j
-
-
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
     """Each bucket's share of the log-odds of label 1, and the log-odds without features.
 
@@ -104,7 +94,7 @@ def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality",
 
     def gather(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []
-        for _, part in blocks(b.column(0)):
+        for _, part in K.slices(b.column(0), _BLOCK):
             text, bucket = features(part)
             key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
             off = np.searchsorted(key // BUCKETS, np.arange(len(part) + 1))
@@ -119,7 +109,7 @@ def score(col, model: tuple[np.ndarray, float]) -> np.ndarray:
     """Probability of label 1 for each text."""
     table, bias = model
     out = np.zeros(len(col))
-    for first, part in blocks(col):
+    for first, part in K.slices(col, _BLOCK):
         text, bucket = features(part)
         n = np.bincount(text, minlength=len(part))
         out[first : first + len(part)] = np.bincount(text, table[bucket], len(part)) / np.maximum(n, 1)

@@ -65,6 +65,16 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def slices(col, size: int = BLOCK):
+    """(first row, part) of a column in parts of about `size` bytes, a text at least."""
+    _, off = utf8(col)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+        yield i, col.slice(i, j - i)
+        i = j
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) byte places of all words, and n + 1 offsets of each text's words."""
     n = len(data)

@@ -118,9 +118,10 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, rows = np.zeros(CELLS, np.int64), 0
         for b in batches:
-            if b.num_rows:
-                count += np.bincount(cell(counted(b.column(0))[1]), minlength=CELLS)
-                rows += b.num_rows
+            rows += b.num_rows
+            for _, own in K.slices(b.column(0)):
+                at, n = np.unique(cell(counted(own)[1]), return_counts=True)
+                count[at] += n
         if rows:
             n = [rows] + [0] * (PIECES - 1)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "rows": pa.array(n, pa.int64()), "counts": links.binary([pack(x) for x in count.reshape(PIECES, -1)])})
@@ -258,12 +259,12 @@ class Index:
             m = np.zeros((len(top), blocks * BLOCK), np.float32)
             of, post = spread(self.start[top], self.start[top + 1])
             m[of, self.rows[post]] = self.weights[post]
-            term, block = np.repeat(np.arange(len(often)), often), self.rows // BLOCK
+            term, block = np.repeat(np.arange(len(often), dtype=np.int32), often), self.rows // BLOCK
             new = np.ones(len(term), bool)
             new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
             first = np.flatnonzero(new)
             most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0, np.float32)
-            self.parts |= {"at": at, "m": m, "blocks": blocks, "entries": np.searchsorted(term[first], np.arange(len(often) + 1)), "block": block[first], "most": most, "first": np.append(first, len(term))}
+            self.parts |= {"at": at, "m": m, "blocks": blocks, "entries": np.searchsorted(term[first], np.arange(len(often) + 1)), "block": block[first], "most": most, "first": np.append(first, len(term)).astype(np.int32)}
         return self.parts
 
     def __getstate__(self) -> dict:
@@ -359,8 +360,12 @@ class Model:
         own = ids.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
         if not len(self.index.ids):
             return np.zeros(len(col)), [[]] * len(col)
-        v, some, evidence = vote(col, own, self.vectors, self.index)
-        return np.where(some, 1 / (1 + np.exp(-(self.a * logit(v) + self.b))), self.index.share_without), evidence
+        score, evidence = np.zeros(len(col)), []
+        for at, part in K.slices(col):  # memory does not grow with a batch
+            v, some, near = vote(part, own[at : at + len(part)], self.vectors, self.index)
+            score[at : at + len(part)] = np.where(some, 1 / (1 + np.exp(-(self.a * logit(v) + self.b))), self.index.share_without)
+            evidence += near
+        return score, evidence
 
 
 def _lists(text: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
@@ -373,7 +378,8 @@ def learnt_model(docs: DataFrame, labelled: DataFrame, labels: DataFrame, label:
     context = docs.sparkSession.sparkContext
     sample = learnt_texts(labelled, labels, label, SAMPLE, id_col, text_col)
     single = context.broadcast(without_copies(sample))  # at most SAMPLE numbers
-    own = common.arrow_map(sample.select("doc_id", "label", "text"), lambda b: b.filter(pa.array(np.isin(b.column(0).to_numpy(), single.value))), "doc_id long, label int, text string")
+    # kept, so that what follows is one Python worker a task
+    own = common.kept(common.arrow_map(sample.select("doc_id", "label", "text"), lambda b: b.filter(pa.array(np.isin(b.column(0).to_numpy(), single.value))), "doc_id long, label int, text string"), "examples")
     idf, _ = frequencies(docs.select(F.col(text_col).alias("text")))
     vectors = Vectors(*term_weights(own, idf), idf)
     shared = context.broadcast(vectors)  # CELLS numbers and the terms of SAMPLE texts
