@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from granary.sources.wheels import MEMBER_BYTES, RATIO, RATIO_FLOOR
 
-SYMLINK_BYTES = 4096
+#: Bytes of a symlink's target, and of all members.
+SYMLINK_BYTES, TOTAL_BYTES = 4096, 8 << 30
 
 
 @dataclass(frozen=True)
@@ -22,8 +23,17 @@ class Member:
     mode: int
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Bytes that a member and a whole archive may unpack to."""
+
+    member: int = MEMBER_BYTES
+    total: int = TOTAL_BYTES
+
+
 class Archive:
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, bounds: Bounds = Bounds()):
+        self.bounds = bounds
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.errors: list[tuple[str, str, str | None, str]] = []
         self.members: dict[str, Member] = {}
@@ -37,13 +47,15 @@ class Archive:
             self.members[i.filename] = Member(i.filename, i.file_size, i.compress_size, stat.S_ISLNK(mode), mode & 0o7777)
             self._info[i.filename] = i
         self.total = sum(m.size for m in self.members.values())
+        if self.total > bounds.total:
+            self.error("size_limit_exceeded", None, f"unpacks to {self.total} bytes")
 
     def error(self, kind: str, path: str | None, message: str, stage: str = "archive") -> None:
         self.errors.append((stage, kind, path, message))
 
     def within(self, name: str) -> bool:
         m = self.members[name]
-        if m.size > MEMBER_BYTES:
+        if m.size > self.bounds.member:
             self.error("binary_too_large", name, f"{m.size} bytes", "binary")
         elif m.size >= RATIO_FLOOR and m.size > RATIO * m.compressed:
             self.error("compression_ratio_exceeded", name, f"{m.size} bytes from {m.compressed}")
@@ -51,6 +63,14 @@ class Archive:
             return True
         return False
 
+    def starts(self, name: str, n: int) -> bytes:
+        """The first bytes of a member; no more of it is unpacked."""
+        try:
+            with self.zip.open(self._info[name]) as f:
+                return f.read(n)
+        except Exception:  # told when the member is read
+            return b""
+
     def read(self, name: str) -> bytes | None:
         if not self.within(name):
             return None

@@ -8,7 +8,7 @@ import re
 import zipfile
 
 from granary.extract import metadata, pysource
-from granary.extract.archive import Archive
+from granary.extract.archive import Archive, Bounds
 from granary.extract.native import ar, elf, macho, pe
 from granary.extract.native.common import Obj, Patterns, strings_only
 from granary.extract.pysource import Targets
@@ -113,12 +113,12 @@ def _capped(items: list, key, limit: int, pinned=lambda x: False) -> tuple[list,
     return [items[i] for i in sorted(i for *_, i in sorted(turn)[:limit])], True
 
 
-def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict[str, int], conv: dict) -> dict:
+def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict[str, int], conv: dict, bounds: Bounds = Bounds()) -> dict:
     """One row of `SCHEMA`."""
     base = {"sha256": hashlib.sha256(content).hexdigest(), "size_bytes": len(content)}
     none = {"py_files": 0, "pyc_files": 0, "py_files_unparsed": 0, "source_available": False, "total_uncompressed_bytes": 0, "skipped": [], "symlinks": []}
     try:
-        a = Archive(content)
+        a = Archive(content, bounds)
     except (zipfile.BadZipFile, ValueError, OSError) as e:
         return base | {"metadata": None, "sbom": [], "binaries": [], "py_sites": [], "errors": [_error("archive", "bad_zip", None, str(e))], "artifacts": none}
     try:

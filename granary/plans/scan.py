@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granary.extract import wheel
+from granary.extract.archive import Bounds
 from granary.operators import relational as R
 from granary.plans import linkage as L
 from granary.plans import matchers as M
@@ -22,7 +23,7 @@ SCHEMA_VERSION, ANALYZER_VERSION, TOOL = 2, 59, "granary"
 RECORD_ROWS = 256
 
 
-def evidence(wheels: DataFrame, policy: Policy) -> DataFrame:
+def evidence(wheels: DataFrame, policy: Policy, bounds: Bounds = Bounds()) -> DataFrame:
     """One row a wheel with all its evidence in nested columns; wheels: (filename, content,
     and ordinal or path).  Members' bytes never leave the function that decodes them."""
     spark = wheels.sparkSession
@@ -40,7 +41,7 @@ def evidence(wheels: DataFrame, policy: Policy) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, contents = b.column("filename").to_pylist(), b.column("content")
-            rows = [wheel.extract(c.as_py() or b"", n or "", patterns, targets, limits, conventions) for n, c in zip(names, contents, strict=True)]
+            rows = [wheel.extract(c.as_py() or b"", n or "", patterns, targets, limits, conventions, bounds) for n, c in zip(names, contents, strict=True)]
             if rows:
                 decoded = pa.Table.from_pylist(_maps(rows), schema=arrow).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *decoded.columns], names=[*rest, *decoded.schema.names])
@@ -85,11 +86,11 @@ def verdicts(ev: DataFrame, found: DataFrame, linkage: DataFrame, policy: Policy
 class Scan:
     """A corpus' relations, each a DataFrame."""
 
-    def __init__(self, wheels: DataFrame, policy: Policy | None = None, keep=kept, evidence_level: str = "standard"):
+    def __init__(self, wheels: DataFrame, policy: Policy | None = None, keep=kept, evidence_level: str = "standard", bounds: Bounds = Bounds()):
         if evidence_level not in ("standard", "minimal"):
             raise ValueError(f"unknown evidence level {evidence_level!r}")
         self.policy, self.level = policy or load(), evidence_level
-        self.evidence = keep(evidence(wheels, self.policy), "evidence")
+        self.evidence = keep(evidence(wheels, self.policy, bounds), "evidence")
         self.needed = keep(L.needed(self.evidence, self.policy), "needed")
         self.postures = keep(L.postures(self.evidence, self.needed, self.policy), "postures")
         self.linkage = keep(L.resolve(self.evidence, self.postures, self.policy), "linkage")
@@ -97,23 +98,32 @@ class Scan:
         self.findings = keep(findings(context, keep), "findings")
         self.verdicts = keep(verdicts(self.evidence, self.findings, self.linkage, self.policy), "verdicts")
 
-    def records(self) -> DataFrame:
-        """(wheel_id, filename, ordinal, line): the canonical JSON line of every wheel."""
+    def records(self, observed: Observation | None = None) -> DataFrame:
+        """(wheel_id, filename, path or ordinal where known, line): the canonical JSON line of
+        every wheel.  An observation gets counts of what went by (S34): wheels, those with
+        cryptography, those to be looked at, errors, and each class."""
         ev = self.evidence
-        if "ordinal" not in ev.columns:
-            ev = ev.withColumn("ordinal", F.lit(None).cast("bigint"))
+        place = [c for c in ("path", "ordinal") if c in ev.columns]
         found = self.findings.groupBy("wheel_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", F.coalesce("subject", F.lit("")).alias("_s"), *[c for c in self.findings.columns if c not in ("wheel_id", "rule_id")]))).alias("findings"))
-        rows = ev.join(found, "wheel_id", "left").join(self.verdicts.drop("filename"), "wheel_id")
-        line = F.udf(_line_maker(self.policy.version, self.level), "string")
-        body = F.struct(*[c for c in rows.columns if c not in ("path", "content", "ordinal")])
-        return rows.select("wheel_id", "filename", "ordinal", line(body).alias("line"))
+        rows = ev.drop("py_sites").join(found, "wheel_id", "left").join(self.verdicts.drop("filename"), "wheel_id")
+        if observed is not None:
+            last = self.policy.precedence[-1]
+            each = [F.count(F.when(F.col("class") == c, 1)).alias(c) for c in self.policy.precedence]
+            rows = rows.observe(observed, F.count("*").alias("wheels"), F.count(F.when(F.col("class") != last, 1)).alias("with_crypto"), F.count(F.when(F.col("needs_human_review"), 1)).alias("to_review"), F.sum(F.size("errors")).alias("errors"), *each)
+        version, level = self.policy.version, self.level
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lines = [canonical(record(r | {"conditions": dict(r["conditions"] or ())}, version, level)) for r in b.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("wheel_id", "filename", *place)], pa.array(lines, pa.string())], names=["wheel_id", "filename", *place, "line"])
 
-def _line_maker(ruleset: str, level: str):
-    def line(row):
-        return json.dumps(record(row.asDict(recursive=True), ruleset, level), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("wheel_id", "filename", *place)) + ", line string")
 
-    return line
+
+def canonical(x: object) -> str:
+    """JSON with sorted keys, without spaces, all ASCII."""
+    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
 def _cap(items: list, key, limit: int = RECORD_ROWS) -> tuple[list, bool]:

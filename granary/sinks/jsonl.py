@@ -12,15 +12,20 @@ ABORTED = ["bad_zip", "unexpected_error", "member_read_error", "elf_parse_error"
 def write(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One line a wheel, ordered over all part files by name; ranges of the order are written
     side by side, so no task holds all lines."""
-    records.sort("ordinal", "filename").select("line").write.mode(mode).text(path)
+    records.sort(*order(records)).select("line").write.mode(mode).text(path)
+
+
+def order(records: DataFrame) -> list[str]:
+    """What the lines are ordered by (O1, O2): file name, then path where it is known."""
+    return ["filename", *[c for c in ("path",) if c in records.columns]]
 
 
 def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(filename, line, aborted) of the lines that parse."""
+    """(filename, line, aborted) of the lines that parse, and all other columns."""
     v = F.try_parse_json(line)
     kinds = F.from_json(F.get_json_object(line, "$.errors"), "array<struct<kind:string>>")
     aborted = F.coalesce(F.exists(kinds, lambda e: e["kind"].isin(ABORTED)), F.lit(False))
-    return lines.where(v.isNotNull()).select(F.get_json_object(line, "$.wheel.filename").alias("filename"), F.col(line).alias("line"), aborted.alias("aborted")).where("filename is not null")
+    return lines.where(v.isNotNull()).select(*[c for c in lines.columns if c not in (line, "filename")], F.get_json_object(line, "$.wheel.filename").alias("filename"), F.col(line).alias("line"), aborted.alias("aborted")).where("filename is not null")
 
 
 def resumable(spark: SparkSession, path: str) -> DataFrame:

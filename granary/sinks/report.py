@@ -6,6 +6,8 @@ import html
 import json
 from collections.abc import Iterable
 
+from granary.plans.policy import Policy
+
 COLUMNS = ("wheel", "class", "libraries", "families", "rules", "reasons", "review", "errors")
 
 
@@ -61,12 +63,59 @@ def embedded(data: object) -> str:
     return text
 
 
-def page(records: Iterable[dict], rules: list[dict]) -> str:
-    """One file: the summary as a table that can be read without scripts, the records and the
-    rules they name as data."""
+#: What the words of a record mean, in the page's own words.
+CLASS_HELP = {
+    "NON_APPROVED_CRYPTO": "Carries implementations that no approved module stands behind.",
+    "FIPS_BREAKING": "Calls what a host restricted to approved algorithms refuses: it will raise there.",
+    "CONDITIONAL": "Fine or not depending on which library it meets, or on a setting of its own.",
+    "CONTEXT_DEPENDENT": "Uses something whose purpose decides; the code does not say which.",
+    "OPAQUE": "Could not be read well enough to say.",
+    "NO_CRYPTO_DETECTED": "Nothing was found in what was read; no promise that there is nothing.",
+}
+LINKAGE_HELP = {
+    "system": "the host's copy", "bundled": "a copy inside the wheel", "static": "compiled into an object of the wheel", "mixed": "several of these at once",
+    "none": "no sign of it", "unknown": "some object did not say",
+}
+FAMILY_HELP = {
+    "hash": "digests", "checksum": "digests that are not meant for security", "block_cipher": "block ciphers", "stream_cipher": "stream ciphers", "aead": "ciphers with authentication", "mac": "authentication codes",
+    "kdf": "key derivation", "password_hash": "password hashing", "signature": "signatures", "key_agreement": "key agreement", "kem": "key encapsulation", "drbg": "random generators", "entropy": "sources of entropy",
+    "tls": "TLS", "ssh": "SSH", "trust_store": "certificates that are trusted", "library": "a library of several of these",
+}
+RELATION_HELP = {
+    "not_specified": "the algorithm is in no standard", "restricted": "allowed for some purposes only", "outside_module": "an approved algorithm outside an approved module", "boundary_unresolved": "which module does the work is open",
+    "runtime_refusal": "the host refuses the call", "policy_bypass": "overrides what the host sets", "use_unresolved": "the purpose is open",
+}
+
+
+def classes_of(records: Iterable[dict], precedence: list[str]) -> list[str]:
+    """All classes, the policy's first, then others that records have as they come."""
+    return list(dict.fromkeys([*precedence, *[r["verdict"]["class"] for r in records]]))
+
+
+def payload(records: list[dict], policy: Policy) -> dict:
+    """What a page needs and no more: the records, the rules and standards that they name (J15),
+    classes, tool variants (A16) and the meaning of words (R8, R10)."""
+    found = [f for r in records for f in r["findings"]]
+    named = {f["rule_id"] for f in found} | {i for r in records for i in r["verdict"]["rule_ids"]}
+    cited = {b for f in found for b in f["basis"]}
+    rule = lambda r: {k: r.get(k) for k in ("title", "why", "verdict", "severity", "family", "relation")} | {"basis": sorted(r.get("basis", ()))}
+    standard = lambda s: {k: s.get(k) for k in ("title", "edition", "status", "successor", "url")}
+    variants = {json.dumps(r["tool"], sort_keys=True) for r in records}
+    return {
+        "records": records,
+        "rules": {r["id"]: rule(r) for r in policy.entries("rule") if r["id"] in named},
+        "standards": {s["id"]: standard(s) for s in policy.entries("standard") if s["id"] in cited},
+        "classes": classes_of(records, policy.precedence),
+        "class_help": CLASS_HELP, "linkage_help": LINKAGE_HELP, "family_help": FAMILY_HELP, "relation_help": RELATION_HELP,
+        "tool": [json.loads(t) for t in sorted(variants)],
+    }
+
+
+def page(records: Iterable[dict], policy: Policy) -> str:
+    """One file: the summary as a table that can be read without scripts, a legend of classes,
+    and all data for whoever wants more."""
     records = sorted(records, key=lambda r: (r["wheel"]["filename"], json.dumps(r, sort_keys=True)))
-    named = {i for r in records for i in r["verdict"]["rule_ids"]}
-    data = {"records": records, "rules": [r for r in rules if r["id"] in named]}
     head = "".join(f"<th>{c}</th>" for c in COLUMNS)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in summary(r)) + "</tr>" for r in records)
-    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>Cryptography inventory</title><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table><script type="application/json" id="data">{embedded(data)}</script></html>\n'
+    legend = "".join(f"<dt>{html.escape(c)}</dt><dd>{html.escape(CLASS_HELP.get(c, ''))}</dd>" for c in classes_of(records, policy.precedence))
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>Cryptography inventory</title><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table><dl>{legend}</dl><script type="application/json" id="data">{embedded(payload(records, policy))}</script></html>\n'
