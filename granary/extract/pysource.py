@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from dataclasses import dataclass
+from functools import cached_property
 
 from granary.extract.archive import Archive
 
@@ -23,6 +25,17 @@ class Targets:
     constants: set[str]
     libraries: list[str]
 
+    @cached_property
+    def words(self) -> re.Pattern[bytes]:
+        """Words of which a source must have one to say anything."""
+        roots = {x.split(".")[0] for x in [*self.modules, *LOADERS]} | {x.rsplit(".", 1)[-1] for x in self.calls if x.startswith("*.")} | {x.split(".")[0] for x in self.calls | self.constants}
+        return re.compile(b"|".join(re.escape(x.encode()) for x in sorted((roots - {"*"}) | self.attributes)))
+
+    def may_speak(self, data: bytes) -> bool:
+        """False only for sources without any of the words; other than ASCII letters can be
+        spellings of the same names."""
+        return not data.isascii() or b"coding" in data[:400] or self.words.search(data) is not None
+
 
 def scan(a: Archive, t: Targets) -> list[dict]:
     out: dict[tuple, dict] = {}
@@ -45,7 +58,7 @@ def scan(a: Archive, t: Targets) -> list[dict]:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 tree = ast.parse(data)
-            sites = _Visitor(name, t).run(tree)
+            sites = _Visitor(name, t).run(tree) if t.may_speak(data) else []
         except UnicodeDecodeError:
             fail("python_decode_error", "cannot be decoded")
         except (SyntaxError, ValueError) as e:
@@ -58,6 +71,27 @@ def scan(a: Archive, t: Targets) -> list[dict]:
     return sorted(out.values(), key=lambda s: (s["kind"], s["path"], s["line"], s["target"]))
 
 
+_IMPORTS, _ASSIGNS, _NAMES = (ast.Import, ast.ImportFrom), (ast.Assign, ast.AnnAssign, ast.AugAssign), (ast.Name, ast.Attribute)
+#: Fields of a node that may hold others that matter, by kind of node.
+_FIELDS: dict[type, tuple[str, ...]] = {}
+
+
+def _nodes(tree: ast.AST) -> list[ast.AST]:
+    """All nodes but contexts and operators, level by level."""
+    out = [tree]
+    for n in out:
+        kind = type(n)
+        if kind not in _FIELDS:
+            _FIELDS[kind] = tuple(f for f in n._fields if f not in ("ctx", "op", "ops"))
+        for f in _FIELDS[kind]:
+            v = getattr(n, f, None)
+            if type(v) is list:
+                out += [x for x in v if isinstance(x, ast.AST)]
+            elif isinstance(v, ast.AST):
+                out.append(v)
+    return out
+
+
 def _clip(x: str, n: int = 200) -> str:
     return "".join(c if " " <= c <= "~" else "?" for c in x)[:n]
 
@@ -67,20 +101,21 @@ class _Visitor:
         self.path, self.t, self.sites, self.alias, self.claimed = path, t, [], {}, set()
 
     def run(self, tree: ast.AST) -> list[dict]:
-        nodes = list(ast.walk(tree))
+        nodes = _nodes(tree)
         for n in nodes:
-            if isinstance(n, ast.Import):
+            if type(n) is ast.Import:
                 for x in n.names:
                     self.alias[x.asname or x.name.split(".")[0]] = x.name if x.asname else x.name.split(".")[0]
-            elif isinstance(n, ast.ImportFrom) and n.module:
+            elif type(n) is ast.ImportFrom and n.module:
                 self.alias |= {x.asname or x.name: f"{n.module}.{x.name}" for x in n.names if x.name != "*"}
-        handlers = ((ast.Import, self.imports), (ast.ImportFrom, self.imports), (ast.Assign, self.assigns), (ast.AnnAssign, self.assigns), (ast.AugAssign, self.assigns), (ast.Call, self.calls))
+        handlers = {ast.Call: self.calls} | dict.fromkeys(_IMPORTS, self.imports) | dict.fromkeys(_ASSIGNS, self.assigns)
         for n in nodes:
-            for kind, f in handlers:
-                if isinstance(n, kind):
-                    f(n)
+            if f := handlers.get(type(n)):
+                f(n)
+        last = {x.rsplit(".", 1)[-1] for x in self.t.constants}  # no name ends so, no constant
+        last |= {k for k, v in self.alias.items() if v in self.t.constants}
         for n in nodes:
-            if isinstance(n, (ast.Name, ast.Attribute)) and isinstance(n.ctx, ast.Load) and n not in self.claimed and (d := self.name(n)) in self.t.constants:
+            if type(n) in _NAMES and (n.attr if type(n) is ast.Attribute else n.id) in last and type(n.ctx) is ast.Load and n not in self.claimed and (d := self.name(n)) in self.t.constants:
                 self.site(n, "py_constant", d, d)
         return self.sites
 
