@@ -14,9 +14,12 @@ each other is asked of the library once for a pair.  `PrefixCounts` holds the ru
 count at every word end of a text, so the count at any prefix, the longest prefix
 within a budget and the cuts for a window are answered without encoding again.
 
-Texts with characters beyond ASCII and common Latin letters, or with the string of an
-added token, are counted by the library (each prefix asked for is encoded): a prefix
-there may end inside a normalised sequence.
+Texts with other characters go by chunks between blanks, which no word and no
+normalisation crosses.  A chunk that is normalised already (then all its prefixes are) and
+that lower-cases letter by letter is split by Unicode classes and counted by the same
+tables, if they give the library's count for the whole chunk.  Any other chunk, and one
+with the string of an added token, is counted by the library, a prefix only when it is
+asked for; nothing but the chunk is encoded for it.
 
 Cases: a null or empty text has 0 tokens; a null doc_id and repeated rows are kept as
 rows; no rows give no rows; other columns are not read.
@@ -26,10 +29,12 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +46,11 @@ MEMO, LONGEST = 300_000, 48
 _LATIN = "a-zß-öø-ÿ"
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ¡¿–—‘’“”…]")
 _PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LATIN}]+|[0-9]|[^\\s{_LATIN}0-9]+")
+_ANY_PIECE = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_CHUNK = re.compile(r"[^ \t\n\r]+")
 _SUFFIXES = {"'re", "'ve", "'ll"}
+#: Characters of a chunk up to which all its prefixes are encoded to see which one fits.
+SHORT = 512
 
 
 class WordCounts(dict):
@@ -85,6 +94,22 @@ class WordCounts(dict):
             if len(memo) > MEMO:
                 memo.clear()
 
+    def encoded(self, text: str) -> int:
+        """The library's count."""
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, chunk: str) -> list[tuple[int, str]] | None:
+        """(place, word) of a chunk between blanks, None if only the library can count it."""
+        if any(x in chunk for x in self.added):
+            return None
+        if not _ODD.search(chunk):
+            return [(m.start(), m.group()) for m in _PIECE.finditer(chunk.lower())]
+        low = "".join([c.lower() for c in chunk])
+        if len(low) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
+            return None
+        found = [(m.start(), m.group()) for m in _ANY_PIECE.finditer(low)]
+        return found if sum(self.totals[w] for _, w in found) == self.encoded(chunk) else None
+
     def _alone(self, t: str, body: str, end: bool) -> bool:
         """Whether a token is the encoding of its own text: all its parts meet by rank."""
         if t not in self.made:
@@ -188,19 +213,32 @@ class _Totals(dict):
 
 
 class PrefixCounts:
-    """Exact token counts at all prefixes of one text."""
+    """Exact token counts at all prefixes of one text: a running count at every word, and
+    within a word its table."""
 
     def __init__(self, counts: WordCounts, text: str | None):
         self.text, self.counts = text or "", counts
-        self.odd = bool(_ODD.search(self.text)) or any(x in self.text for x in counts.added)
-        if self.odd:
-            return
         counts.bound()
-        low = self.text.lower()
-        self.words = _PIECE.findall(low)
-        self.before = np.zeros(len(self.words) + 1, np.int64)
-        np.cumsum(list(map(counts.totals.__getitem__, self.words)), out=self.before[1:])
         self._starts: list[int] | None = None
+        self.whole: dict[int, str] = {}  # words that are chunks for the library
+        if not _ODD.search(self.text) and not any(x in self.text for x in counts.added):
+            self.words = _PIECE.findall(self.text.lower())
+            sizes = list(map(counts.totals.__getitem__, self.words))
+        else:
+            self.words, self._starts, sizes = [], [], []
+            for m in _CHUNK.finditer(self.text):
+                found = counts.pieces(m.group())
+                if found is None:
+                    self.whole[len(self.words)] = m.group()
+                    self.words.append(m.group())
+                    self._starts.append(m.start())
+                    sizes.append(counts.encoded(m.group()))
+                else:
+                    self.words += [w for _, w in found]
+                    self._starts += [m.start() + at for at, _ in found]
+                    sizes += [counts.totals[w] for _, w in found]
+        self.before = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(sizes, out=self.before[1:])
 
     @property
     def starts(self) -> list[int]:
@@ -209,36 +247,41 @@ class PrefixCounts:
             self._starts = [m.start() for m in _PIECE.finditer(self.text.lower())]
         return self._starts
 
+    def _within(self, k: int, n: int) -> int:
+        """Tokens of the first n > 0 characters of word k."""
+        if k in self.whole:
+            chunk = self.whole[k]
+            return int(self.before[k + 1] - self.before[k]) if n >= len(chunk) else self.counts.encoded(chunk[:n])
+        table = self.counts[self.words[k]]
+        return table[min(n, len(table)) - 1]
+
     def at(self, i: int) -> int:
         """Tokens of text[:i]."""
         i = max(0, min(i, len(self.text)))
-        if self.odd:
-            return len(self.counts.library.encode(self.text[:i], add_special_tokens=False).ids)
         k = bisect_right(self.starts, i - 1) - 1
-        if k < 0:
-            return 0
-        table = self.counts[self.words[k]]
-        return int(self.before[k] + table[min(i - self.starts[k], len(table)) - 1])
+        return 0 if k < 0 else int(self.before[k]) + self._within(k, i - self.starts[k])
 
     def total(self) -> int:
-        return self.at(len(self.text)) if self.odd else int(self.before[-1])
+        return int(self.before[-1])
 
     def fit(self, budget: int) -> int:
         """Length of the longest prefix with at most budget tokens whose shorter prefixes at
-        word ends fit too."""
-        if self.odd:
-            lo, hi = 0, len(self.text)
-            if self.at(hi) <= budget:
-                return hi
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if self.at(mid) <= budget else (lo, mid - 1)
-            return lo
+        word ends fit too.  Within a chunk of over `SHORT` characters that the library counts,
+        prefixes are halved."""
         k = int(np.searchsorted(self.before, budget, side="right")) - 1
         if k >= len(self.words):
             return len(self.text)
-        ok = np.flatnonzero(self.before[k] + np.array(list(self.counts[self.words[k]])) <= budget)
-        return self.starts[k] + (int(ok[-1]) + 1 if len(ok) else 0)
+        room, n = budget - int(self.before[k]), len(self.words[k])
+        if k not in self.whole:
+            ok = np.flatnonzero(np.array(list(self.counts[self.words[k]])) <= room)
+            return self.starts[k] + (int(ok[-1]) + 1 if len(ok) else 0)
+        if n <= SHORT:
+            return self.starts[k] + next((j for j in range(n, 0, -1) if self._within(k, j) <= room), 0)
+        lo, hi = 0, n - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if self._within(k, mid) <= room else (lo, mid - 1)
+        return self.starts[k] + lo
 
 
 _loaded: dict[str, WordCounts] = {}

@@ -27,7 +27,9 @@ from granary.llm import textkernel as K
 SAMPLE = 3_000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 RUNS = (3, 4)
-#: The feature of a repeated word, and how often it counts (a word has a dozen byte runs).
+#: The feature of a word that stands twice in a row, and how often it counts beside the dozen
+#: byte runs of the word.  Chosen by four folds of 3,000 learnable rows of the small check
+#: input: with 0, 1, 2, 3, 6, 12 and 24 times 72, 34, 4, 1, 1, 0 and 0 rows were wrong.
 AGAIN, AGAIN_TIMES = 1, 12
 _BLOCK = 1 << 18
 
@@ -98,11 +100,16 @@ def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality",
             text, bucket = features(part)
             key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
             off = np.searchsorted(key // BUCKETS, np.arange(len(part) + 1))
-            found += [((key[i:j] % BUCKETS).astype(np.uint16).tobytes(), np.minimum(count[i:j], 65_535).astype(np.uint16).tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
+            found += [((key[i:j] % BUCKETS).astype("<u2").tobytes(), pa.compress(count[i:j].astype("<u4").tobytes(), "zstd", asbytes=True)) for i, j in zip(off[:-1], off[1:], strict=True)]
         return pa.RecordBatch.from_pydict({"label": b.column(1), "hash": b.column(2), "buckets": pa.array([x for x, _ in found], pa.binary()), "counts": pa.array([x for _, x in found], pa.binary())})
 
     rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash")  # at most SAMPLE rows of BUCKETS
-    return train([(np.frombuffer(bytes(r["buckets"]), np.uint16), np.frombuffer(bytes(r["counts"]), np.uint16), r["label"]) for r in rows.collect()])
+    return train([_counted(bytes(r["buckets"]), bytes(r["counts"]), r["label"]) for r in rows.collect()])
+
+
+def _counted(buckets: bytes, counts: bytes, label: int) -> tuple[np.ndarray, np.ndarray, int]:
+    bucket = np.frombuffer(buckets, "<u2")
+    return bucket, np.frombuffer(pa.decompress(counts, 4 * len(bucket), "zstd", asbytes=True), "<u4"), label
 
 
 def score(col, model: tuple[np.ndarray, float]) -> np.ndarray:

@@ -58,6 +58,38 @@ def test_prefix_counts_are_the_library_s_at_every_prefix():
             assert want[p.fit(budget)] <= budget or p.fit(budget) == 0
 
 
+SCRIPTS = ["Привет", "мир", "ΣΑΣ", "Ας", "İstanbul", "ǅ", "中文分词", "日本語テスト", "ひらがな", "안녕", "\u1112\u1161\u11ab", "مرحبا", "עברית", "שָׁלוֹם", "हिन्दी", "কো", "ไทย", "👩‍👩‍👧", "🙂", "é", "e\u0301", "a\u0328\u0301", "ﬁ", "Ⅷ", "٣", "x²", "don't", "L'É", "<|startoftext|>", "<|endoftext|>", " ", "\n", "\u3000", "\u00a0", "—", "ŉ", "ſ", "K"]
+
+
+def test_prefix_counts_in_all_scripts():
+    c = prefixcount.WordCounts(common.tokenizer_path("word_bpe_49k.json"))
+    r, whole = random.Random(9), 0
+    for i in range(500):
+        x = "".join(r.choices(SCRIPTS, k=r.randint(1, 9))) if i >= len(SCRIPTS) else SCRIPTS[i]
+        p = prefixcount.PrefixCounts(c, x)
+        whole += bool(p.whole)
+        want = [c.encoded(x[:j]) for j in range(len(x) + 1)]
+        assert [p.at(j) for j in range(len(x) + 1)] == want, x
+        assert p.total() == want[-1]
+        for budget in (0, 1, 3, 8):
+            n = p.fit(budget)
+            assert want[n] <= budget or n == 0
+            # no longer prefix up to the end of the word that it ends in
+            k = int(np.searchsorted(p.before, budget, side="right")) - 1
+            end = len(x) if k >= len(p.words) else p.starts[k] + len(p.words[k])
+            assert all(want[j] > budget for j in range(n + 1, end + 1)) or k >= len(p.words)
+    assert whole < 400
+
+
+def test_long_texts_without_blanks_and_other_scripts():
+    """Counts at every thousandth prefix, one encoding each; unnormalised text too."""
+    c = prefixcount.WordCounts(common.tokenizer_path("word_bpe_49k.json"))
+    for x in ("中文分词测试" * 2000, "слово " * 3000, "e\u0301x" * 700):
+        p = prefixcount.PrefixCounts(c, x)
+        assert all(p.at(j) == c.encoded(x[:j]) for j in range(0, len(x) + 1, 1000))
+        assert p.at(p.fit(500)) <= 500 < p.at(p.fit(500) + 1)
+
+
 def test_token_counts(docs, texts, repeated, empty):
     name = common.tokenizer_path("word_bpe_49k.json")
     lib = prefixcount.WordCounts(name).library
