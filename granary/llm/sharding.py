@@ -4,10 +4,12 @@ Arrivals are appended as they come, as small Parquet files that are never change
 shard's tier is the power of `FAN_IN` of its size below the target.  Compaction takes a
 tier with at least `FAN_IN` shards (similarly sized by construction) and rewrites them as
 files near the target: Spark's file scan packs many small files into one task up to the
-target, so the rewrite is a map without a shuffle.  A manifest lists the shards of one
-version; a commit writes it aside and renames it to its number, which fails if another
+target, so the rewrite is a map without a shuffle.  A version is a small manifest that names parts,
+immutable files with up to `PART` shards each; a commit writes parts for what is new, takes
+over all others as they are, and renames the manifest to its number, which fails if another
 writer was first, so readers see a whole version or none.  A writer that lost tries again
-on the newer version unless its inputs are gone.
+on the newer version unless its inputs are gone.  Shards that a merge could not make fewer
+are marked `final` and left alone from then on.
 
 Only DataFrame operations touch the data; manifests are small JSON files that the driver
 writes through Hadoop's file system API.
@@ -30,7 +32,9 @@ from pyspark.sql.types import StructType
 
 from granary.llm import common
 
-FAN_IN, TARGET_BYTES = 4, 128 << 20
+FAN_IN, TARGET_BYTES, PART = 4, 128 << 20, 4096
+#: Seconds after which files that no version names belong to a writer that failed.
+GRACE = 24 * 3600
 
 
 class CommitConflict(RuntimeError):
@@ -58,36 +62,66 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs().listStatus(at)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> dict:
-        known = self.versions()
-        if not known:
-            return {"version": 0, "schema": None, "shards": []}
-        version = known[-1] if version is None else version
-        stream = self._fs().open(self._path(f"manifest/{version:010d}.json"))
+    def _json(self, name: str) -> dict:
+        stream = self._fs().open(self._path(name))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _commit(self, change: Callable[[dict], dict]) -> int:
-        """Write change(latest manifest) as the next version, again if another was first."""
+    def _put(self, name: str, data: dict) -> None:
+        out = self._fs().create(self._path(name), False)
+        out.write(bytearray(json.dumps(data).encode()))
+        out.close()
+
+    def head(self, version: int | None = None) -> dict:
+        """A version's manifest: schema and parts."""
+        known = self.versions()
+        if not known:
+            return {"version": 0, "schema": None, "parts": []}
+        return self._json(f"manifest/{known[-1] if version is None else version:010d}.json")
+
+    def manifest(self, version: int | None = None) -> dict:
+        """A version with all its shards."""
+        m = self.head(version)
+        return m | {"shards": [s for p in m["parts"] for s in self._json(f"manifest/{p['file']}")["shards"]]}
+
+    def _parts(self, shards: list[dict]) -> list[dict]:
+        """Write shards as new parts."""
+        out = []
+        for i in range(0, len(shards), PART):
+            own = shards[i : i + PART]
+            name = f"part-{uuid.uuid4().hex}.json"
+            self._put(f"manifest/{name}", {"shards": own})
+            out.append({"file": name, "shards": len(own), "rows": sum(x["rows"] for x in own), "bytes": sum(x["bytes"] for x in own)})
+        return out
+
+    def _commit(self, new: list[dict], gone: set[str] = frozenset(), schema: dict | None = None) -> int:
+        """The next version: without the shards at the paths `gone`, with the new ones."""
         fs = self._fs()
         fs.mkdirs(self._path("manifest"))
+        added = self._parts(new)
         while True:
-            old = self.manifest()
-            new = change(old) | {"version": old["version"] + 1, "parent": old["version"]}
-            aside = self._path(f"manifest/.{uuid.uuid4().hex}.tmp")
-            out = fs.create(aside, False)
-            out.write(bytearray(json.dumps(new).encode()))
-            out.close()
-            final = self._path(f"manifest/{new['version']:010d}.json")
-            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else fs.getUri(), self._conf)
+            old = self.head()
+            parts, missing = [], set(gone)
+            for p in old["parts"]:
+                own = self._json(f"manifest/{p['file']}")["shards"] if missing else []
+                left = [x for x in own if x["path"] not in gone]
+                missing -= {x["path"] for x in own}
+                parts += [p] if len(left) == len(own) else self._parts(left)
+            if missing:
+                raise CommitConflict("another writer replaced these shards")
+            head = {"version": old["version"] + 1, "parent": old["version"], "schema": old["schema"] or schema, "parts": parts + added}
+            aside, final = f"manifest/.{uuid.uuid4().hex}.tmp", self._path(f"manifest/{head['version']:010d}.json")
+            self._put(aside, head)
+            at = self._path(aside)
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self._conf)
             options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
             try:
-                context.rename(fs.makeQualified(aside), fs.makeQualified(final), options)
-                return new["version"]
+                context.rename(fs.makeQualified(at), fs.makeQualified(final), options)
+                return head["version"]
             except Exception as e:
-                fs.delete(aside, False)
+                fs.delete(at, False)
                 if "FileAlreadyExistsException" not in str(e):
                     raise
 
@@ -104,18 +138,23 @@ class ShardStore:
     # -- writing -------------------------------------------------------------------
 
     def append(self, df: DataFrame, arrivals: int = 1, key: str | None = None) -> int:
-        """Add rows as new shards and commit.  With arrivals and a key, the rows are written
-        as that many separate arrivals, in one pass."""
+        """Add rows as new shards and commit; the last version.  With arrivals and a key, the
+        rows are written in one pass and committed as that many arrivals, one after the other."""
         run = f"{self.root}/data/{uuid.uuid4().hex}"
+        name = "arrival"
+        while name in df.columns:
+            name += "_"
         if arrivals > 1:
-            name = "arrival"
-            while name in df.columns:
-                name += "_"
             df.withColumn(name, F.pmod(F.xxhash64(key or df.columns[0]), F.lit(arrivals))).write.partitionBy(name).parquet(run)
         else:
             df.write.parquet(run)
-        new = self._shards(run, df.schema)
-        return self._commit(lambda old: {"schema": old["schema"] or json.loads(df.schema.json()), "shards": old["shards"] + new})
+        by_arrival: dict[str, list[dict]] = {} if arrivals > 1 else {"": []}
+        for x in self._shards(run, df.schema):
+            by_arrival.setdefault(x["path"].rsplit("/", 2)[-2] if arrivals > 1 else "", []).append(x)
+        version, schema = 0, json.loads(df.schema.json())
+        for _, own in sorted(by_arrival.items()) or [("", [])]:
+            version = self._commit(own, schema=schema)
+        return version
 
     def compact(self) -> int:
         """Merge tiers until none below the target has FAN_IN shards; the last version."""
@@ -123,7 +162,8 @@ class ShardStore:
             now = self.manifest()
             by_tier: dict[int, list[dict]] = {}
             for s in now["shards"]:
-                by_tier.setdefault(s["tier"], []).append(s)
+                if not s.get("final"):
+                    by_tier.setdefault(s["tier"], []).append(s)
             due = [t for t, s in by_tier.items() if t > 0 and len(s) >= FAN_IN]
             if not due:
                 return now["version"]
@@ -131,41 +171,48 @@ class ShardStore:
 
     def _merge(self, shards: list[dict], schema: StructType) -> None:
         run = f"{self.root}/data/{uuid.uuid4().hex}"
-        files = max(1, round(sum(s["bytes"] for s in shards) / self.target))
-        conf = self.spark.conf
-        names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
-        before = {n: conf.get(n, None) for n in names}
-        try:  # the scan packs whole files into about `files` tasks
-            conf.set(names[0], max(1, -(-sum(s["bytes"] for s in shards) // files) + max(s["bytes"] for s in shards)))
-            conf.set(names[1], 1)
-            conf.set(names[2], files)
-            self.spark.read.schema(schema).parquet(*[s["path"] for s in shards]).write.parquet(run)
-        finally:
-            for n, v in before.items():
-                conf.unset(n) if v is None else conf.set(n, v)
+        total = sum(s["bytes"] for s in shards)
+        files = max(1, round(total / self.target))
+        session = self.spark.newSession()  # settings of its own: the scan packs whole files into about `files` tasks
+        session.conf.set("spark.sql.files.maxPartitionBytes", max(1, -(-total // files) + max(s["bytes"] for s in shards)))
+        session.conf.set("spark.sql.files.openCostInBytes", 1)
+        session.conf.set("spark.sql.files.minPartitionNum", files)
+        session.read.schema(schema).parquet(*[s["path"] for s in shards]).write.parquet(run)
         new = self._shards(run, schema)
-        if len(new) >= len(shards):  # nothing gained (a scan that may not pack): leave them as they are
-            new = [s | {"tier": 0} for s in new]
-        gone = {s["path"] for s in shards}
-
-        def change(old: dict) -> dict:
-            if not gone <= {s["path"] for s in old["shards"]}:
-                raise CommitConflict("another compaction took these shards")
-            return {"schema": old["schema"], "shards": [s for s in old["shards"] if s["path"] not in gone] + new}
-
-        self._commit(change)
-
-    def vacuum(self, keep_versions: int = 2) -> int:
-        """Delete files that none of the last versions lists, and older manifests."""
-        known = self.versions()
+        if len(new) >= len(shards):  # nothing gained, as from a scan that may not pack
+            new = [s | {"final": True} for s in new]
+        self._commit(new, {s["path"] for s in shards})
+
+    def vacuum(self, keep_versions: int = 2, grace: int = GRACE) -> int:
+        """Delete older manifests, and files that no kept version names: shards of older
+        versions, and what writers left that failed more than `grace` seconds ago."""
+        fs, known = self._fs(), self.versions()
         keep, old = known[-keep_versions:], known[:-keep_versions]
+        heads = [self.head(v) for v in keep]
         live = {s["path"] for v in keep for s in self.manifest(v)["shards"]}
-        dead = {s["path"] for v in old for s in self.manifest(v)["shards"]} - live
-        for path in dead:
-            self._fs().delete(self._jvm.org.apache.hadoop.fs.Path(path), False)
+        was = {s["path"] for v in old for s in self.manifest(v)["shards"]}
+        parts = {p["file"] for m in heads for p in m["parts"]}
+        was_parts = {p["file"] for v in old for p in self.head(v)["parts"]}
         for v in old:
-            self._fs().delete(self._path(f"manifest/{v:010d}.json"), False)
-        return len(dead)
+            fs.delete(self._path(f"manifest/{v:010d}.json"), False)
+        now, gone = self._jvm.java.lang.System.currentTimeMillis(), 0
+
+        def stale(status, known_dead: bool) -> bool:
+            return known_dead or now - status.getModificationTime() > 1000 * grace
+
+        for f in fs.listStatus(self._path("manifest")):
+            name = f.getPath().getName()
+            if name.startswith(("part-", ".")) and name not in parts and stale(f, name in was_parts):
+                fs.delete(f.getPath(), False)
+        plain = lambda p: p.replace("file:///", "file:/")
+        live_plain, was_plain = {plain(p) for p in live}, {plain(p) for p in was}
+        files = fs.listFiles(self._path("data"), True) if fs.exists(self._path("data")) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            at = plain(f.getPath().toString())
+            if at.endswith(".parquet") and at not in live_plain and stale(f, at in was_plain):
+                gone += bool(fs.delete(f.getPath(), False))
+        return gone
 
     # -- reading -------------------------------------------------------------------
 

@@ -19,45 +19,86 @@ def rows(df):
 def test_store_keeps_all_rows_through_compaction(spark, docs, repeated, tmp_path):
     s = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=200_000)
     both = docs.unionByName(repeated).repartition(8)
-    s.append(both, arrivals=4, key="doc_id")
+    assert s.append(both, arrivals=4, key="doc_id") == 4 and [len(s.manifest(v)["shards"]) > 0 for v in (1, 2, 3, 4)] == [True] * 4
+    assert sum(s.read(v).count() - (s.read(v - 1).count() if v > 1 else 0) for v in (1, 2, 3, 4)) == both.count()
     s.append(docs)
     want = rows(both.unionByName(docs))
     before = s.manifest()
-    assert rows(s.read()) == want and before["version"] == 2
+    assert rows(s.read()) == want and before["version"] == 5
     after = s.compact()
-    assert after > 2 and len(s.manifest()["shards"]) < len(before["shards"])
-    assert rows(s.read()) == want and rows(s.read(2)) == want
-    s.vacuum(1)
+    assert after > 5 and len(s.manifest()["shards"]) < len(before["shards"])
+    assert rows(s.read()) == want and rows(s.read(5)) == want
+    assert s.vacuum(1) > 0
     assert s.versions() == [after] and rows(s.read()) == want
 
 
+def test_parts_are_taken_over_and_rewritten_only_where_shards_go(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 2)
+    s = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20)
+    s.append(docs.repartition(5))
+    first = s.head()["parts"]
+    assert [p["shards"] for p in first] == [2, 2, 1] and sum(p["rows"] for p in first) == docs.count()
+    s.append(docs.limit(3).coalesce(1))
+    assert s.head()["parts"][:3] == first
+    shards = s.manifest()["shards"]
+    s._commit([], {shards[0]["path"]})
+    now = s.head()["parts"]
+    assert [p["file"] for p in now[1:]] == [p["file"] for p in s.head(2)["parts"][1:]] and now[0]["shards"] == 1
+    with pytest.raises(sharding.CommitConflict):
+        s._commit([], {shards[0]["path"]})
+
+
+def test_vacuum_finds_what_failed_writers_left(spark, docs, tmp_path):
+    s = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    s.append(docs)
+    docs.write.parquet(f"file://{tmp_path}/store/data/failed")
+    s._parts([{"path": "x", "bytes": 1, "rows": 1, "tier": 0}])
+    assert s.vacuum() == 0 and len(list((tmp_path / "store/data/failed").glob("*.parquet"))) > 0
+    assert s.vacuum(grace=-1) > 0 and not list((tmp_path / "store/data/failed").glob("*.parquet"))
+    assert len(list((tmp_path / "store/manifest").glob("part-*"))) == 1 and rows(s.read()) == rows(docs)
+
+
+def test_settings_of_the_session_stay(spark, docs, tmp_path):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    s = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20)
+    s.append(docs.repartition(9))
+    s.compact()
+    assert spark.conf.get(name) == before and len(s.manifest()["shards"]) < 9
+
+
 def test_empty_appends_and_missing_versions(spark, empty, tmp_path):
     s = sharding.ShardStore(spark, f"file://{tmp_path}/store")
     with pytest.raises(ValueError):
         s.read()
     s.append(empty)
     assert s.read().count() == 0 and s.read().columns == empty.columns
+    s.append(empty, arrivals=4, key="doc_id")
+    assert s.read().count() == 0
 
 
-def test_commits_do_not_overwrite_one_another(spark, docs, tmp_path):
+def test_commits_do_not_overwrite_one_another(spark, docs, tmp_path, monkeypatch):
     a, b = (sharding.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(2))
     a.append(docs)
-    held = a.manifest()
+    held, head = a.head(), a.head
+    seen = []
 
-    def slow(old):  # another writer commits between reading and writing
-        if old["version"] == held["version"]:
-            b.append(docs)
-        return {"schema": old["schema"], "shards": old["shards"] + [{"path": "x", "bytes": 1, "rows": 0, "tier": 1}]}
+    def slow(version=None):  # another writer commits between reading and writing
+        if not seen:
+            seen.append(b.append(docs))
+            return held
+        return head(version)
 
-    assert a._commit(slow) == 3
-    assert len(a.manifest()["shards"]) == len(a.manifest(2)["shards"]) + 1
+    monkeypatch.setattr(a, "head", slow)
+    assert a._commit([{"path": "x", "bytes": 1, "rows": 0, "tier": 1}]) == 3
+    assert len(head(3)["parts"]) == len(head(2)["parts"]) + 1 and len(a.manifest(3)["shards"]) == len(a.manifest(2)["shards"]) + 1
 
 
 def test_manifests_are_json(spark, docs, tmp_path):
     s = sharding.ShardStore(spark, f"file://{tmp_path}/store")
     s.append(docs)
     m = json.loads((tmp_path / "store/manifest/0000000001.json").read_text())
-    assert sum(x["rows"] for x in m["shards"]) == docs.count()
+    assert sum(x["rows"] for x in m["parts"]) == docs.count()
 
 
 def plain_stage(spark, name, docs, src):
