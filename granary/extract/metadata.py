@@ -11,6 +11,13 @@ from email.policy import compat32
 
 from granary.extract.archive import Archive
 
+try:  # the public grammar, where it is installed; the expressions below otherwise
+    from packaging import requirements as _requirements
+    from packaging import utils as _utils
+    from packaging import version as _version
+except ImportError:
+    _requirements = _utils = _version = None
+
 #: The grammar of wheel file names, requirement names and public versions.
 WHEEL_NAME = re.compile(r"^(?P<name>[A-Za-z0-9](?:[A-Za-z0-9._]*[A-Za-z0-9])?)-(?P<version>[^-]+)(?:-(?P<build>[0-9][^-]*))?-(?P<py>[^-]+)-(?P<abi>[^-]+)-(?P<plat>[^-]+)\.whl$")
 REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:$|[\[(;@<>=!~,\s])")
@@ -22,65 +29,106 @@ def canonical(name: str) -> str:
     return re.sub(r"[-_.]+", "-", name).lower()
 
 
-def split_generator(raw: str) -> tuple[str, str | None]:
+def _is_version(x: str) -> bool:
+    if _version is None:
+        return bool(VERSION.match(x))
+    try:
+        _version.Version(x)
+    except _version.InvalidVersion:
+        return False
+    return True
+
+
+def split_generator(raw: str) -> tuple[str | None, str | None]:
     raw = raw.strip()
     if m := re.fullmatch(r"(.+?)\s+\(([^()]*)\)", raw):
-        return m[1], m[2]
+        return m[1].strip(), m[2].strip()
     name, _, version = raw.rpartition(" ")
-    return (name.strip(), version) if name and VERSION.match(version) else (raw, None)
+    return (name, version) if name and _is_version(version) else (raw or None, None)
+
 
+def wheel_name(filename: str) -> tuple[str, str, list[str]] | None:
+    """(canonical name, version, tags) of a wheel's file name, None if it is none."""
+    m = WHEEL_NAME.match(filename)
+    if _utils is not None:
+        try:
+            name, version, _, tags = _utils.parse_wheel_filename(filename)
+        except _utils.InvalidWheelFilename:
+            return None
+        return str(name), str(version), sorted(str(t) for t in tags)
+    if m is None or not _is_version(m["version"]):
+        return None
+    return canonical(m["name"]), m["version"], sorted(f"{p}-{b}-{q}" for p in m["py"].split(".") for b in m["abi"].split(".") for q in m["plat"].split("."))
+
+
+def required(x: str) -> str | None:
+    """Canonical name of a requirement, None if it is none."""
+    if _requirements is None:
+        m = REQUIREMENT.match(x)
+        return canonical(m[1]) if m else None
+    try:
+        return canonical(_requirements.Requirement(x).name)
+    except _requirements.InvalidRequirement:
+        return None
 
-def _headers(a: Archive, name: str, missing: str) -> dict[str, list[str]] | None:
+
+def _headers(a: Archive, name: str, missing: str, strict: bool) -> dict[str, list[str]]:
+    """Headers of an e-mail-like file; what can be read of a damaged one is read."""
     if name not in a.members:
         a.error(missing, name, "not in the archive", "metadata")
-        return None
+        return {}
     data = a.read(name)
     if data is None:
-        return None
-    try:
-        text = data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        a.error("metadata_decode_error", name, "not UTF-8", "metadata")
-        return None
+        return {}
+    if strict:
+        try:
+            data.decode("utf-8")
+        except UnicodeDecodeError:
+            a.error("metadata_decode_error", name, "not UTF-8", "metadata")
     out: dict[str, list[str]] = {}
-    for k, v in BytesParser(policy=compat32).parsebytes(text.encode(), headersonly=True).items():
+    for k, v in BytesParser(policy=compat32).parsebytes(data.removeprefix(b"\xef\xbb\xbf"), headersonly=True).items():
         out.setdefault(k.lower(), []).append(str(v).strip())
+    if data.strip() and not out:
+        a.error("metadata_decode_error", name, "no headers", "metadata")
     return out
 
 
 def read(a: Archive, filename: str) -> tuple[dict | None, list[dict]]:
-    """(metadata, SBOM components)."""
-    m = WHEEL_NAME.match(filename)
-    if not m:
-        a.error("wheel_filename_invalid", filename, "does not parse as a wheel's name", "metadata")
+    """(metadata, SBOM components); nothing for a wheel without one dist-info folder.
+
+    The file name is the authority for canonical name, version and tags; METADATA for the
+    name as its project spells it (F11)."""
     dirs = sorted({n.split("/")[0] for n in a.members if "/" in n and n.split("/")[0].endswith(".dist-info")})
     if len(dirs) != 1:
         a.error("dist_info_missing" if not dirs else "dist_info_ambiguous", None, ", ".join(dirs) or "no dist-info folder", "metadata")
-    info = dirs[0] if len(dirs) == 1 else None
-    meta = _headers(a, f"{info}/METADATA", "metadata_missing") if info else None
-    wheel = _headers(a, f"{info}/WHEEL", "wheel_missing") if info else None
-    first = lambda h, k: (h or {}).get(k, [None])[0]
-    name = first(meta, "name") or (m["name"] if m else None)
-    version = (m["version"] if m else None) or first(meta, "version")
-    tags = (wheel or {}).get("tag") or ([f"{p}-{b}-{q}" for p in m["py"].split(".") for b in m["abi"].split(".") for q in m["plat"].split(".")] if m else [])
-    requires = (meta or {}).get("requires-dist", [])
+        return None, []
+    info = dirs[0]
+    named = wheel_name(filename)
+    if named is None:
+        a.error("wheel_filename_invalid", filename, "does not parse as a wheel's name", "metadata")
+    meta, wheel = _headers(a, f"{info}/METADATA", "metadata_missing", True), _headers(a, f"{info}/WHEEL", "wheel_missing", False)
+    first = lambda h, k: h.get(k, [None])[0]
+    own = first(meta, "name")
+    canonical_name, version = named[:2] if named else (canonical(own) if own else "", first(meta, "version") or "")
+    tags = named[2] if named else sorted(set(wheel.get("tag", [])))
+    requires = sorted(set(meta.get("requires-dist", [])))
     raw = first(wheel, "generator")
     generator = split_generator(raw) if raw else (None, None)
     entries, mismatches = _record(a, info)
-    sboms = sorted(n for n in a.members if info and n.startswith(f"{info}/sboms/"))
+    sboms = sorted(n for n in a.members if n.startswith(f"{info}/sboms/"))
     out = {
-        "name": name,
-        "canonical_name": canonical(m["name"] if m else name) if (m or name) else None,
+        "name": own or canonical_name,
+        "canonical_name": canonical_name,
         "version": version,
-        "tags": sorted(set(tags)),
-        "platform_tags": sorted({p for t in tags for p in t.rsplit("-", 1)[-1].split(".")}),
+        "tags": tags,
+        "platform_tags": sorted({p for t in tags for p in t.split("-", 2)[-1].split(".")}),
         "generator_raw": raw,
         "generator_name": generator[0],
         "generator_version": generator[1],
         "requires_python": first(meta, "requires-python"),
         "requires_dist": requires,
-        "requires_dist_names": sorted({canonical(r[1]) for x in requires if (r := REQUIREMENT.match(x))}),
-        "root_is_purelib": {"true": True, "false": False}.get((first(wheel, "root-is-purelib") or "").lower()),
+        "requires_dist_names": sorted({n for x in requires if (n := required(x))}),
+        "root_is_purelib": (first(wheel, "root-is-purelib") or "").lower() == "true",
         "dist_info_dir": info,
         "record_entries": entries,
         "record_mismatches": mismatches,
@@ -89,9 +137,7 @@ def read(a: Archive, filename: str) -> tuple[dict | None, list[dict]]:
     return out, [c for s in sboms for c in _sbom(a, s)]
 
 
-def _record(a: Archive, info: str | None) -> tuple[int, list[str]]:
-    if not info:
-        return 0, []
+def _record(a: Archive, info: str) -> tuple[int, list[str]]:
     name = f"{info}/RECORD"
     if name not in a.members:
         a.error("record_missing", name, "not in the archive", "metadata")

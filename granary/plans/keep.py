@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a relation and read it again: computed once, a short plan from here on, and safe
-    when executors are lost.  The folder is spark.checkpoint.dir; only where that is unset
-    (one machine) a temporary one is made and set."""
-    spark = df.sparkSession
+def root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset and
+    there is but one machine (as in tests) a temporary one is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a relation and read it again: computed once, a short plan from here on, and safe
+    when executors are lost."""
+    spark = df.sparkSession
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -113,7 +113,9 @@ def test_archive_and_metadata_errors():
         z.writestr("pkg/a.txt", "x")
         z.writestr("pkg/a.txt", "y")
     e = evidence(out.getvalue(), "not a wheel name.whl")
-    assert {x["kind"] for x in e["errors"]} == {"duplicate_member", "wheel_filename_invalid", "dist_info_missing"}
+    assert {x["kind"] for x in e["errors"]} == {"duplicate_member", "dist_info_missing"} and e["metadata"] is None
+    e = evidence(S.build("pkg", "1.0", {}), "not a wheel name.whl")
+    assert {x["kind"] for x in e["errors"]} == {"wheel_filename_invalid"} and (e["metadata"]["canonical_name"], e["metadata"]["version"], e["metadata"]["tags"]) == ("pkg", "1.0", ["py3-none-any"])
     assert [x["kind"] for x in evidence(b"no zip")["errors"]] == ["bad_zip"]
     e = evidence(S.build("pkg", "1.0", {"pkg-1.0.dist-info/sboms/a.json": b'{"components": [{"name": "ring", "purl": "pkg:cargo/ring@1", "components": [{"name": "OpenSSL"}]}]}', "pkg-1.0.dist-info/sboms/b.json": b"["}))
     assert [(c["name"], c["purl"]) for c in e["sbom"]] == [("OpenSSL", None), ("ring", "pkg:cargo/ring@1")] and [x["kind"] for x in e["errors"]] == ["sbom_parse_error"]

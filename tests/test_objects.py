@@ -7,7 +7,7 @@ import pytest
 from granary.extract.native import elf, macho, strings
 from granary.extract.native.common import NAME_BYTES, Names
 from granary.extract.wheel import _capped
-from granary.plans import object_queries, policy
+from granary.plans import object_queries, part_queries, policy
 from granary.sources import synthetic as S
 from granary.sources import synthetic_objects as O
 
@@ -21,6 +21,18 @@ def test_object_query(spark, con, name):  # noqa: F811
     assert rows(object_queries.QUERIES[name](spark, DATA).toPandas()) == rows(con.sql(object_queries.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", sorted(part_queries.SQL))
+def test_part_query(spark, con, name):  # noqa: F811
+    assert rows(part_queries.QUERIES[name](spark, DATA).toPandas()) == rows(con.sql(part_queries.SQL[name]).df())
+
+
+def test_no_query_hides_another():
+    import __spark_entry__ as entry
+
+    every = [k for m in entry.MODULES for k in m.QUERIES]
+    assert len(every) == len(set(every)) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_names_are_read_in_full_or_not_at_all():
     table = b"\0" + b"a" * NAME_BYTES + b"\0" + b"b" * (NAME_BYTES + 1) + b"\0ok\x01\xffay\0open"
     n = Names(table)
