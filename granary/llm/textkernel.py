@@ -10,11 +10,13 @@ Nulls count as empty texts.  An empty text has no words and no shingles.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 19
+BLOCK, LONG = 1 << 19, 256
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,7 +100,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _
 
 
 def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans (starts and ends ascending), A-Z folded."""
+    """64-bit hashes of byte spans (starts and ends ascending), A-Z folded.  Spans of over `LONG`
+    bytes have a BLAKE2 digest: long enough texts can be made to collide under a polynomial."""
     value = _BYTE if fold else _AS_IS
     out = np.empty(len(s), dtype=U64)
     i = 0
@@ -113,7 +116,11 @@ def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True
         a, b = s[i:j] - base, e[i:j] - base
         out[i:j] = (h[b] - h[a]) * inv[a] + (b - a).astype(U64)
         i = j
-    return mix64(out)
+    out = mix64(out)
+    for k in np.flatnonzero(e - s > LONG):
+        own = data[s[k] : e[k]]
+        out[k] = int.from_bytes(hashlib.blake2b((_LOWER[own] if fold else own).tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(col) -> tuple[np.ndarray, np.ndarray]:

@@ -47,3 +47,20 @@ def test_slices_and_large_strings():
     a = pa.array(["one two", None, "three", "four five six"])
     assert np.diff(K.words(a.slice(1, 3))[1]).tolist() == [0, 1, 3]
     assert np.diff(K.words(a.cast(pa.large_string()))[1]).tolist() == [2, 0, 1, 3]
+
+
+def test_words_made_to_collide_do_not():
+    """Thue-Morse words: any polynomial modulo a power of two takes one for its complement."""
+    x = "a"
+    while len(x) < 1 << 12:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    h, _ = K.words(pa.array([x, y, x.upper()]))
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_slices_cover_a_column():
+    col = pa.array(["a" * n for n in (0, 5, 900, 3, 0, 20)] + [None])
+    parts = list(K.slices(col, 10))
+    assert [i for i, _ in parts] == [0, 2, 3, 5, 6] and pa.concat_arrays([p for _, p in parts]).equals(col)
+    assert list(K.slices(pa.array([], pa.string()))) == []
