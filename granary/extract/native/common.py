@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -54,6 +55,7 @@ class Patterns:
     width: int = 200
     cargo: dict[str, str] = field(default_factory=dict)  # where cargo keeps sources, by layout
     crates: frozenset[str] = frozenset()  # crates that the policy names
+    readers: dict[bytes, Callable] = field(default_factory=dict)  # first bytes -> reader of more formats
 
     @cached_property
     def beginnings(self) -> tuple[str, ...]:

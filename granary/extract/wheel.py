@@ -50,6 +50,10 @@ def is_candidate(m, globs: list[str]) -> bool:
 
 
 def read_object(data: bytes, path: str, p: Patterns, vendored: bool) -> Obj:
+    """By the first bytes; readers of the caller's own come before the built-in ones."""
+    for magic, reader in p.readers.items():
+        if data.startswith(magic):
+            return reader(data, path, p, vendored)
     if data[:4] == b"\x7fELF":
         return elf.read(data, path, p, vendored)
     if data[:4] in macho.THIN or data[:4] in macho.FAT:

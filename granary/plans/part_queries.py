@@ -288,3 +288,32 @@ def j15s(spark, d):
     s = _scan(spark, d)
     cited = s.findings.select(F.explode("basis").alias("standard")).distinct()
     return spark.createDataFrame([(x["id"],) for x in s.policy.entries("standard")], "standard string").join(cited, "standard", "left_semi")
+
+
+# -- table functions ---------------------------------------------------------------
+
+
+def _table_functions(spark: SparkSession, d: str) -> None:
+    from granary.plans import udtfs
+
+    udtfs.register(spark, _scan(spark, d).policy)
+    made.corpus(spark.read.parquet(f"{d}/part.parquet")).createOrReplaceTempView("part_wheels")
+
+
+@query("u1_wheel_members", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 4 ELSE 5 END::BIGINT AS members, 0::BIGINT AS symlinks FROM part")
+def u1(spark, d):
+    """Members of every archive by a table function."""
+    _table_functions(spark, d)
+    return spark.sql("SELECT key, count(*) AS members, count_if(m.is_symlink) AS symlinks FROM part_wheels w, LATERAL wheel_members(w.content) m GROUP BY key")
+
+
+@query("u2_python_sites", f"SELECT p_partkey AS key, line, target, used FROM part, (VALUES {', '.join(str((c[0], c[1], c[3])) for c in made.CALLS)}) v(line, target, used) WHERE p_partkey % 16 = 13")
+def u2(spark, d):
+    _table_functions(spark, d)
+    return spark.sql("SELECT key, s.line, s.target, s.attrs['usedforsecurity'] AS used FROM part_wheels w, LATERAL py_sites(w.content, w.filename) s WHERE s.kind = 'py_call' AND s.target LIKE 'hashlib.%'")
+
+
+@query("u3_native_objects", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 10 THEN 'bit' || p_partkey || '/_ext.dylib' WHEN 11 THEN 'bit' || p_partkey || '/_ext.pyd' WHEN 15 THEN 'bit' || p_partkey || '/libown.a(evp.o)' ELSE {_EXT} END AS path, CASE p_partkey % 16 WHEN 10 THEN 'macho' WHEN 11 THEN 'pe' ELSE 'elf' END AS format FROM part WHERE p_partkey % 16 IN (7, 8, 9, 10, 11, 14, 15)")
+def u3(spark, d):
+    _table_functions(spark, d)
+    return spark.sql("SELECT key, o.path, o.format FROM part_wheels w, LATERAL native_objects(w.content, w.filename) o")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -39,6 +40,11 @@ class Policy:
     exempt_reasons: list[str]
     ctypes: list[str]
     tables: dict[str, list[dict]] = field(default_factory=dict)
+    readers: dict[bytes, Callable] = field(default_factory=dict)
+
+    def read_by(self, magic: bytes, reader: Callable) -> None:
+        """Read objects that begin so by a function of (bytes, path, patterns, vendored) to `Obj`."""
+        self.readers[magic] = reader
 
     def entries(self, table: str) -> list[dict]:
         return self.tables[table]
@@ -69,7 +75,7 @@ class Policy:
         code = {g["name"]: g["substrings"] for g in self.tables["string_group"] if g.get("in_code")}
         prefixes = [(p, g["name"]) for g in self.tables["symbol_group"] for p in g["prefixes"]]
         cargo = {k: self.conventions[k] for k in coherence.CARGO}
-        return Patterns(exact, prefixes, strings, code, self.limits["min_string_length"], self.limits["max_evidence_chars"], cargo, frozenset(c["name"] for c in self.tables["rust_crate"]))
+        return Patterns(exact, prefixes, strings, code, self.limits["min_string_length"], self.limits["max_evidence_chars"], cargo, frozenset(c["name"] for c in self.tables["rust_crate"]), dict(self.readers))
 
     def targets(self) -> Targets:
         of = lambda key: {x for r in self.tables["rule"] for m in r["match"] for x in m.get(key, ())}

@@ -89,3 +89,20 @@ def test_caps_keep_one_of_each_and_pinned_ones_first():
     assert _capped(items, lambda x: x[0], 5, lambda x: x[0] == "d") == ([("a", 0), ("b", 0), ("c", 0), ("d", 0), ("d", 1)], True)
     many = [(f"c{i:05d}", None) for i in range(20_000)]
     assert len(_capped(many, lambda x: x[0], 128)[0]) == 128
+
+
+def test_readers_of_ones_own(spark):
+    """A format that the engine does not know."""
+    from granary.extract.native.common import Obj, read_strings
+    from granary.plans import scan
+
+    def read(data, path, p, vendored):
+        o = Obj(path, "unknown", vendored, machine="mine", needed=["libcrypto.so.3"])
+        read_strings(o, p, data)
+        return o
+
+    own = policy.load()
+    own.read_by(b"MINE", read)
+    wheel = S.build("own", "1.0", {"own/_ext.so": b"MINE" + bytes(80) + b"OpenSSL 3.0.14"})
+    row = scan.evidence(spark.createDataFrame([("own-1.0-py3-none-any.whl", bytearray(wheel))], "filename string, content binary"), own).first()
+    assert [(b["machine"], b["needed"], b["partial_analysis"]) for b in row["binaries"]] == [("mine", ["libcrypto.so.3"], False)]
