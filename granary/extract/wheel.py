@@ -100,7 +100,16 @@ def _binary(o: Obj, p: Patterns, limits: dict[str, int], conv: dict) -> dict:
     markers = sorted({g for g, _ in o.strings} & {conv["go_boring_group"], conv["go_stock_group"], conv["go_fips140_group"]})
     go = {"go_version": o.go_version, "boring_crypto": conv["go_boring_group"] in markers, "markers": markers} if o.is_go or o.go_version or markers else None
     plain = {k: getattr(o, k) for k in ("path", "format", "vendored_path", "from_archive", "machine", "bits", "endian", "elf_type", "soname", "needed", "rpath", "runpath", "stripped", "dynsym_count", "symtab_count")}
-    return plain | {"matched_symbols": [dict(zip(("group", "name", "binding"), s, strict=True)) for s in symbols], "matched_strings": [{"group": g, "value": v} for g, v in texts], "rust_crates": [{"name": n, "version": v} for n, v in crates], "go": go, "symbols_truncated": truncated, "strings_truncated": cut or uncounted or o.strings_truncated, "partial_analysis": bool(o.reasons), "partial_reasons": sorted(o.reasons)}
+    return plain | {
+        "matched_symbols": [dict(zip(("group", "name", "binding"), s, strict=True)) for s in symbols],
+        "matched_strings": [{"group": g, "value": v} for g, v in texts],
+        "rust_crates": [{"name": n, "version": v} for n, v in crates],
+        "go": go,
+        "symbols_truncated": truncated,
+        "strings_truncated": cut or uncounted or o.strings_truncated,
+        "partial_analysis": bool(o.reasons),
+        "partial_reasons": sorted(o.reasons)
+    }
 
 
 def _capped(items: list, key, limit: int, pinned=lambda x: False) -> tuple[list, bool]:
@@ -136,7 +145,15 @@ def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict
         py = sum(n.endswith(".py") and not m.is_symlink for n, m in a.members.items())
         pyc = sum(n.endswith(".pyc") for n in a.members)
         unparsed = len({e[2] for e in a.errors if e[0] == "python"})
-        artifacts = {"py_files": py, "pyc_files": pyc, "py_files_unparsed": unparsed, "source_available": py - unparsed > 0 or (py == 0 and pyc == 0), "total_uncompressed_bytes": a.total, "skipped": [dict(zip(("path", "reason"), x, strict=True)) for x in sorted({(e[2], e[1]) for e in a.errors if e[0] == "archive" and e[2]})], "symlinks": symlinks}
+        artifacts = {
+            "py_files": py,
+            "pyc_files": pyc,
+            "py_files_unparsed": unparsed,
+            "source_available": py - unparsed > 0 or (py == 0 and pyc == 0),
+            "total_uncompressed_bytes": a.total,
+            "skipped": [dict(zip(("path", "reason"), x, strict=True)) for x in sorted({(e[2], e[1]) for e in a.errors if e[0] == "archive" and e[2]})],
+            "symlinks": symlinks
+        }
         errors = [_error(*e) for e in sorted(set(a.errors), key=lambda e: (e[0], e[2] or "", e[1], e[3]))]
         return base | {"metadata": meta, "sbom": sbom, "binaries": [_binary(o, p, limits, conv) for o in objects], "py_sites": sites, "errors": errors, "artifacts": artifacts}
     except Exception as e:  # one bad wheel must not end the run

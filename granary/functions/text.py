@@ -62,7 +62,11 @@ def strip_abi_underscore(x: Column | str) -> Column:
 def generator_name(x: Column | str) -> Column:
     """The tool of a Generator header: `name (version)`, `name version` or `name`."""
     x = F.trim(_c(x))
-    return F.coalesce(F.nullif(F.regexp_extract(x, "^(.+?)\\s+\\(([^()]*)\\)$", 1), F.lit("")), F.nullif(F.regexp_extract(x, "^(\\S.*?)\\s+v?([0-9]+(?:\\.[0-9]+)*(?:(?:a|b|rc)[0-9]+)?(?:\\.post[0-9]+)?(?:\\.dev[0-9]+)?)$", 1), F.lit("")), x)
+    return F.coalesce(
+        F.nullif(F.regexp_extract(x, "^(.+?)\\s+\\(([^()]*)\\)$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(x, "^(\\S.*?)\\s+v?([0-9]+(?:\\.[0-9]+)*(?:(?:a|b|rc)[0-9]+)?(?:\\.post[0-9]+)?(?:\\.dev[0-9]+)?)$", 1), F.lit("")),
+        x
+    )
 
 
 def generator_version(x: Column | str) -> Column:

@@ -165,7 +165,13 @@ _FLAGS = {"needs_human_review", "always_report", "evidence_only", "in_code"}
 _MATCH_TEXT = {"kind", "table", "library", "group", "binding", "name", "value", "algorithm", "algorithm_list"}
 _MATCH_TEXTS = {"tables", "exclude_libraries", "groups", "values", "object_values", "exclude_object_values", "error_kinds", "reasons", "exclude_reasons", "targets", "attributes", "constants"}
 _MATCH_FLAGS = {"default", "any_entry", "mangled", "resolved", "sbom_declared"}
-_NEEDED = {"rule": ("id", "layer", "category", "severity", "confidence", "needs_human_review", "match"), "standard": ("id", "edition", "status"), "crypto_library": ("name", "sonames"), "symbol_group": ("name", "prefixes", "exact"), "string_group": ("name", "substrings")}
+_NEEDED = {
+    "rule": ("id", "layer", "category", "severity", "confidence", "needs_human_review", "match"),
+    "standard": ("id", "edition", "status"),
+    "crypto_library": ("name", "sonames"),
+    "symbol_group": ("name", "prefixes", "exact"),
+    "string_group": ("name", "substrings")
+}
 
 
 def _misshapen(e: dict, texts: set, lists: set, flags: set) -> Iterator[str]:
@@ -253,7 +259,21 @@ def vocabularies(p):
 @rule_of("V4")
 def references(p):
     libraries = _names(p, "crypto_library")
-    known = {"group": None, "library": libraries, "exclude_libraries": libraries, "error_kinds": ERROR_KINDS, "reasons": PARTIAL_REASONS, "exclude_reasons": PARTIAL_REASONS, "object_values": POSTURES, "exclude_object_values": POSTURES, "value": POSTURES, "algorithm_list": ALGORITHM_LISTS, "binding": BINDINGS, "usedforsecurity": USED_FOR_SECURITY, "table": {*ROUTED, "symbol_group", "string_group", "ctypes_library"}}
+    known = {
+        "group": None,
+        "library": libraries,
+        "exclude_libraries": libraries,
+        "error_kinds": ERROR_KINDS,
+        "reasons": PARTIAL_REASONS,
+        "exclude_reasons": PARTIAL_REASONS,
+        "object_values": POSTURES,
+        "exclude_object_values": POSTURES,
+        "value": POSTURES,
+        "algorithm_list": ALGORITHM_LISTS,
+        "binding": BINDINGS,
+        "usedforsecurity": USED_FOR_SECURITY,
+        "table": {*ROUTED, "symbol_group", "string_group", "ctypes_library"}
+    }
     known["tables"] = known["table"]
     #: what a kind matches on, and filters that would never match if they were empty
     wanted = {"scan_error": ["error_kinds"], "py_call": ["targets"], "py_attr": ["attributes"], "py_constant": ["constants"], "dynamic_symbol": ["binding"]}

@@ -44,14 +44,20 @@ def x1(spark, d):
     return s.evidence.select("key", "wheel_id").join(s.verdicts.select("wheel_id", "class", "needs_human_review"), "wheel_id").drop("wheel_id")
 
 
-@query("l8_corpus_linkage", "SELECT p_partkey AS key, 'openssl' AS library, CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS value FROM part")
+@query(
+    "l8_corpus_linkage",
+    "SELECT p_partkey AS key, 'openssl' AS library, CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS value FROM part"
+)
 def l8(spark, d):
     """Every library's linkage of every wheel; `none` is told of OpenSSL alone."""
     s = _scan(spark, d)
     return s.evidence.select("key", "wheel_id").join(s.linkage, "wheel_id").select("key", "library", "value")
 
 
-@query("l1_needed_posture", "SELECT p_partkey AS key, n AS needed, CASE WHEN n LIKE 'libcrypto-%' THEN 'bundled' ELSE 'system' END AS posture FROM part, (VALUES (0, 'libcrypto.so.3'), (0, 'libssl.so.3'), (0, 'libc.so.6'), (1, 'libcrypto-3a1f2b4c.so.3'), (1, 'libc.so.6'), (2, 'libc.so.6'), (3, 'libc.so.6'), (8, '/usr/lib/libcrypto.dylib'), (9, 'LIBCRYPTO-3.dll'), (9, 'other.dll'), (10, 'libc.so.6')) v(s, n) WHERE p_partkey % 16 = s")
+@query(
+    "l1_needed_posture",
+    "SELECT p_partkey AS key, n AS needed, CASE WHEN n LIKE 'libcrypto-%' THEN 'bundled' ELSE 'system' END AS posture FROM part, (VALUES (0, 'libcrypto.so.3'), (0, 'libssl.so.3'), (0, 'libc.so.6'), (1, 'libcrypto-3a1f2b4c.so.3'), (1, 'libc.so.6'), (2, 'libc.so.6'), (3, 'libc.so.6'), (8, '/usr/lib/libcrypto.dylib'), (9, 'LIBCRYPTO-3.dll'), (9, 'other.dll'), (10, 'libc.so.6')) v(s, n) WHERE p_partkey % 16 = s"
+)
 def l1(spark, d):
     s = _scan(spark, d)
     return s.evidence.select("key", "wheel_id").join(s.needed.select("wheel_id", "needed", "posture").distinct(), "wheel_id").drop("wheel_id")
@@ -92,7 +98,10 @@ def m(spark, d):
     return s.evidence.select("key", "wheel_id").join(s.findings.select("wheel_id", "rule_id").distinct(), "wheel_id").drop("wheel_id")
 
 
-@query("y5_python_calls", "SELECT p_partkey AS key, 'pkg' || p_partkey || '/__init__.py' AS path, 2 AS line, 'hashlib.md5' AS target, 'md5' AS algorithm, CASE p_size % 3 WHEN 0 THEN 'absent' WHEN 1 THEN 'false' ELSE 'true' END AS usedforsecurity FROM part WHERE p_partkey % 16 = 4")
+@query(
+    "y5_python_calls",
+    "SELECT p_partkey AS key, 'pkg' || p_partkey || '/__init__.py' AS path, 2 AS line, 'hashlib.md5' AS target, 'md5' AS algorithm, CASE p_size % 3 WHEN 0 THEN 'absent' WHEN 1 THEN 'false' ELSE 'true' END AS usedforsecurity FROM part WHERE p_partkey % 16 = 4"
+)
 def y5(spark, d):
     sites = _scan(spark, d).evidence.select("key", F.explode("py_sites").alias("s")).where("s.kind = 'py_call' and s.target = 'hashlib.md5'")
     return sites.select("key", "s.path", "s.line", "s.target", F.col("s.attrs")["algorithm"].alias("algorithm"), F.col("s.attrs")["usedforsecurity"].alias("usedforsecurity"))
@@ -114,7 +123,10 @@ def n27(spark, d):
     return _scan(spark, d).evidence.select("key", F.explode("binaries").alias("b")).select("key", F.explode("b.rust_crates").alias("r")).select("key", "r.name", "r.version")
 
 
-@query("s21_metadata", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome' ELSE 'pkg' || p_partkey END AS canonical_name, CASE p_partkey % 16 WHEN 7 THEN p_partkey || '.0' ELSE '1.0' END AS version, 'bdist_wheel' AS generator_name, '0.43.0' AS generator_version FROM part WHERE p_partkey % 16 <> 6")
+@query(
+    "s21_metadata",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome' ELSE 'pkg' || p_partkey END AS canonical_name, CASE p_partkey % 16 WHEN 7 THEN p_partkey || '.0' ELSE '1.0' END AS version, 'bdist_wheel' AS generator_name, '0.43.0' AS generator_version FROM part WHERE p_partkey % 16 <> 6"
+)
 def s21(spark, d):
     return _scan(spark, d).evidence.where("metadata is not null").select("key", *[f"metadata.{c}" for c in ("canonical_name", "version", "generator_name", "generator_version")])
 
@@ -151,7 +163,10 @@ def n14(spark, d):
     return b.select("key", "b.format", "b.machine", "b.bits", "b.endian", F.array_join("b.needed", ",").alias("needed"), "b.symtab_count")
 
 
-@query("n18_pe_objects", "SELECT p_partkey AS key, 'amd64' AS machine, 'me.dll' AS soname, 'LIBCRYPTO-3.dll,other.dll' AS needed, 'pe_ordinal_import' AS reasons, 'EVP_x:imported,EVP_z:imported,MD5_y:defined' AS symbols FROM part WHERE p_partkey % 16 = 9")
+@query(
+    "n18_pe_objects",
+    "SELECT p_partkey AS key, 'amd64' AS machine, 'me.dll' AS soname, 'LIBCRYPTO-3.dll,other.dll' AS needed, 'pe_ordinal_import' AS reasons, 'EVP_x:imported,EVP_z:imported,MD5_y:defined' AS symbols FROM part WHERE p_partkey % 16 = 9"
+)
 def n18(spark, d):
     b = _scan(spark, d).evidence.select("key", F.explode("binaries").alias("b")).where("b.format = 'pe'")
     names = F.array_sort(F.transform("b.matched_symbols", lambda s: F.concat_ws(":", s["name"], s["binding"])))
@@ -178,7 +193,10 @@ def f9(spark, d):
     return _scan(spark, d).evidence.where("metadata is not null").select("key", F.explode("metadata.requires_dist_names").alias("name"))
 
 
-@query("a12_wheel_inventory", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 6 THEN 0 WHEN 14 THEN 0 WHEN 12 THEN 2 WHEN 13 THEN 2 ELSE 1 END::BIGINT AS py_files, CASE p_partkey % 16 WHEN 14 THEN 1 ELSE 0 END::BIGINT AS pyc_files, p_partkey % 16 NOT IN (6, 14) AS source_available FROM part")
+@query(
+    "a12_wheel_inventory",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 6 THEN 0 WHEN 14 THEN 0 WHEN 12 THEN 2 WHEN 13 THEN 2 ELSE 1 END::BIGINT AS py_files, CASE p_partkey % 16 WHEN 14 THEN 1 ELSE 0 END::BIGINT AS pyc_files, p_partkey % 16 NOT IN (6, 14) AS source_available FROM part"
+)
 def a12(spark, d):
     return _scan(spark, d).evidence.select("key", *[f"artifacts.{c}" for c in ("py_files", "pyc_files", "source_available")])
 
@@ -218,12 +236,18 @@ def m8(spark, d):
     return _places(_found(spark, d, "SBOM_CRYPTO_COMPONENT"))
 
 
-@query("m9_bundled_library", "SELECT p_partkey AS key, 'openssl' AS subject, 'pkg' || p_partkey || '.libs/libcrypto-3a1f2b4c.so.3' AS path, concat('DT_SONAME=libcrypto-3a1f2b4c.so.3; string=', chr(39), 'OpenSSL 3.0.14 4 Jun 2024', chr(39)) AS evidence FROM part WHERE p_partkey % 16 = 1")
+@query(
+    "m9_bundled_library",
+    "SELECT p_partkey AS key, 'openssl' AS subject, 'pkg' || p_partkey || '.libs/libcrypto-3a1f2b4c.so.3' AS path, concat('DT_SONAME=libcrypto-3a1f2b4c.so.3; string=', chr(39), 'OpenSSL 3.0.14 4 Jun 2024', chr(39)) AS evidence FROM part WHERE p_partkey % 16 = 1"
+)
 def m9(spark, d):
     return _places(_found(spark, d, "BIN_BUNDLED_OPENSSL"))
 
 
-@query("m10_dt_needed", "SELECT p_partkey AS key, 'openssl' AS subject, CASE p_partkey % 16 WHEN 0 THEN 'pkg' || p_partkey || '/_ext.cpython-312-x86_64-linux-gnu.so' WHEN 8 THEN 'pkg' || p_partkey || '/_ext.dylib' ELSE 'pkg' || p_partkey || '/_ext.pyd' END AS path, 'DT_NEEDED=' || n AS evidence FROM part, (VALUES (0, 'libcrypto.so.3'), (0, 'libssl.so.3'), (8, '/usr/lib/libcrypto.dylib'), (9, 'LIBCRYPTO-3.dll')) v(s, n) WHERE p_partkey % 16 = s")
+@query(
+    "m10_dt_needed",
+    "SELECT p_partkey AS key, 'openssl' AS subject, CASE p_partkey % 16 WHEN 0 THEN 'pkg' || p_partkey || '/_ext.cpython-312-x86_64-linux-gnu.so' WHEN 8 THEN 'pkg' || p_partkey || '/_ext.dylib' ELSE 'pkg' || p_partkey || '/_ext.pyd' END AS path, 'DT_NEEDED=' || n AS evidence FROM part, (VALUES (0, 'libcrypto.so.3'), (0, 'libssl.so.3'), (8, '/usr/lib/libcrypto.dylib'), (9, 'LIBCRYPTO-3.dll')) v(s, n) WHERE p_partkey % 16 = s"
+)
 def m10(spark, d):
     return _places(_found(spark, d, "BIN_NEEDED_SYSTEM_OPENSSL"))
 
@@ -253,7 +277,10 @@ def m16(spark, d):
     return _places(_found(spark, d, "BIN_PARTIAL_ROUTINE")).drop("path")
 
 
-@query("m17_py_import", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 4 THEN 'hashlib' ELSE 'ssl' END AS subject, CASE p_partkey % 16 WHEN 4 THEN 'import hashlib as h' ELSE 'import ssl' END AS evidence FROM part WHERE p_partkey % 16 IN (4, 12)")
+@query(
+    "m17_py_import",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 4 THEN 'hashlib' ELSE 'ssl' END AS subject, CASE p_partkey % 16 WHEN 4 THEN 'import hashlib as h' ELSE 'import ssl' END AS evidence FROM part WHERE p_partkey % 16 IN (4, 12)"
+)
 def m17(spark, d):
     return _places(_found(spark, d, "PY_IMPORT_CRYPTO_MODULE")).drop("path")
 
@@ -263,7 +290,10 @@ def m18(spark, d):
     return _places(_found(spark, d, "PY_WEAK_HASH_CALL_MARKED")).select("key", "path")
 
 
-@query("m19_py_attr", "SELECT p_partkey AS key, a AS subject, 'pkg' || p_partkey || '/net.py' AS path, e AS evidence FROM part, (VALUES ('check_hostname', 'check_hostname = False'), ('verify_mode', 'verify_mode = ssl.CERT_NONE')) v(a, e) WHERE p_partkey % 16 = 12")
+@query(
+    "m19_py_attr",
+    "SELECT p_partkey AS key, a AS subject, 'pkg' || p_partkey || '/net.py' AS path, e AS evidence FROM part, (VALUES ('check_hostname', 'check_hostname = False'), ('verify_mode', 'verify_mode = ssl.CERT_NONE')) v(a, e) WHERE p_partkey % 16 = 12"
+)
 def m19(spark, d):
     return _places(_found(spark, d, "PY_TLS_VERIFICATION_DISABLED"))
 
@@ -279,13 +309,19 @@ def a8(spark, d):
     return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("a11_crypto_families", "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14) THEN '' WHEN p_partkey % 16 = 4 THEN 'hash' WHEN p_partkey % 16 = 12 THEN 'tls' WHEN p_partkey % 16 IN (8, 9) THEN 'hash,library' ELSE 'library' END AS families FROM part")
+@query(
+    "a11_crypto_families",
+    "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14) THEN '' WHEN p_partkey % 16 = 4 THEN 'hash' WHEN p_partkey % 16 = 12 THEN 'tls' WHEN p_partkey % 16 IN (8, 9) THEN 'hash,library' ELSE 'library' END AS families FROM part"
+)
 def a11(spark, d):
     s = _scan(spark, d)
     return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("families", ",").alias("families"))
 
 
-@query("a8_relations", "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14, 15) THEN '' WHEN p_partkey % 16 IN (3, 7, 11) THEN 'outside_module' WHEN p_partkey % 16 = 4 THEN CASE WHEN p_size % 3 = 1 THEN 'use_unresolved' ELSE 'runtime_refusal' END WHEN p_partkey % 16 IN (8, 9) THEN 'boundary_unresolved,not_specified' WHEN p_partkey % 16 = 12 THEN 'policy_bypass' ELSE 'boundary_unresolved' END AS relations FROM part")
+@query(
+    "a8_relations",
+    "SELECT p_partkey AS key, CASE WHEN p_partkey % 16 IN (5, 6, 14, 15) THEN '' WHEN p_partkey % 16 IN (3, 7, 11) THEN 'outside_module' WHEN p_partkey % 16 = 4 THEN CASE WHEN p_size % 3 = 1 THEN 'use_unresolved' ELSE 'runtime_refusal' END WHEN p_partkey % 16 IN (8, 9) THEN 'boundary_unresolved,not_specified' WHEN p_partkey % 16 = 12 THEN 'policy_bypass' ELSE 'boundary_unresolved' END AS relations FROM part"
+)
 def a8r(spark, d):
     s = _scan(spark, d)
     return s.evidence.select("key", "wheel_id").join(s.verdicts, "wheel_id").select("key", F.array_join("relations", ",").alias("relations"))
@@ -296,13 +332,19 @@ def x3(spark, d):
     return _scan(spark, d).evidence.select("key", F.explode("errors").alias("e")).select("key", "e.stage", "e.kind")
 
 
-@query("c2_record_heads", "SELECT CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome-' || p_partkey || '.0' ELSE 'pkg' || p_partkey || '-1.0' END || '-py3-none-any.whl' AS filename, 2 AS schema_version, CASE p_partkey % 16 WHEN 6 THEN '-' WHEN 7 THEN 'pycryptodome' ELSE 'pkg' || p_partkey END AS name, '43' AS ruleset_version FROM part")
+@query(
+    "c2_record_heads",
+    "SELECT CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome-' || p_partkey || '.0' ELSE 'pkg' || p_partkey || '-1.0' END || '-py3-none-any.whl' AS filename, 2 AS schema_version, CASE p_partkey % 16 WHEN 6 THEN '-' WHEN 7 THEN 'pycryptodome' ELSE 'pkg' || p_partkey END AS name, '43' AS ruleset_version FROM part"
+)
 def c2(spark, d):
     get = lambda path: F.get_json_object("line", path)
     return _scan(spark, d).records().select("filename", get("$.schema_version").cast("int").alias("schema_version"), F.coalesce(get("$.wheel.name"), F.lit("-")).alias("name"), get("$.tool.ruleset_version").alias("ruleset_version"))
 
 
-@query("a10_wheel_conditions", "SELECT p_partkey AS key, 'openssl_linkage=' || CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS conditions FROM part")
+@query(
+    "a10_wheel_conditions",
+    "SELECT p_partkey AS key, 'openssl_linkage=' || CASE p_partkey % 16 WHEN 0 THEN 'system' WHEN 1 THEN 'bundled' WHEN 2 THEN 'static' WHEN 8 THEN 'system' WHEN 9 THEN 'system' WHEN 10 THEN 'static' ELSE 'none' END AS conditions FROM part"
+)
 def a10w(spark, d):
     s = _scan(spark, d)
     text = F.array_join(F.transform(F.map_entries("conditions"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -325,7 +367,10 @@ def r11_unread(spark, d):
     return spark.table("triage_unread").select("filename")
 
 
-@query("r11_outside_module_only", "SELECT CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome-' || p_partkey || '.0-py3-none-any.whl' ELSE 'pkg' || p_partkey || '-1.0-py3-none-any.whl' END AS filename FROM part WHERE p_partkey % 16 IN (3, 7, 11)")
+@query(
+    "r11_outside_module_only",
+    "SELECT CASE p_partkey % 16 WHEN 7 THEN 'pycryptodome-' || p_partkey || '.0-py3-none-any.whl' ELSE 'pkg' || p_partkey || '-1.0-py3-none-any.whl' END AS filename FROM part WHERE p_partkey % 16 IN (3, 7, 11)"
+)
 def r11_outside(spark, d):
     from granary.plans import triage
 

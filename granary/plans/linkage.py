@@ -29,7 +29,15 @@ def opaque(b: Column) -> Column:
 def needed(evidence: DataFrame, policy: Policy) -> DataFrame:
     """(wheel_id, object_ix, path, needed, base, mangled, posture) of every dependency (L1, L2)."""
     globs = policy.conventions["vendor_dir_globs"]
-    obj = objects(evidence).select("wheel_id", "object_ix", F.col("b.path").alias("path"), _own_stem(F.col("b.soname"), F.col("b.path")).alias("own"), F.col("b.from_archive").alias("from_archive"), F.concat("b.rpath", "b.runpath").alias("rpaths"), F.col("b.needed").alias("all_needed"))
+    obj = objects(evidence).select(
+        "wheel_id",
+        "object_ix",
+        F.col("b.path").alias("path"),
+        _own_stem(F.col("b.soname"), F.col("b.path")).alias("own"),
+        F.col("b.from_archive").alias("from_archive"),
+        F.concat("b.rpath", "b.runpath").alias("rpaths"),
+        F.col("b.needed").alias("all_needed")
+    )
     stems = obj.where(~F.col("from_archive")).groupBy("wheel_id", F.col("own").alias("stem")).agg(F.count("*").alias("n"))
     a = F.col("artifacts")
     unread = evidence.select("wheel_id", ((F.size(a["skipped"]) > 0) | (F.size(a["symlinks"]) > 0) | F.exists("errors", lambda e: e["stage"] == "binary")).alias("unread"))
@@ -43,8 +51,23 @@ def needed(evidence: DataFrame, policy: Policy) -> DataFrame:
 
 def library_frame(spark, policy: Policy) -> DataFrame:
     groups = {g["name"]: g["substrings"] for g in policy.entries("string_group")}
-    rows = [(x["name"], x["sonames"], x.get("symbol_group"), x.get("string_group"), x.get("copy_string_group"), x.get("crates", []), x.get("fork_symbol_groups", []), x.get("fork_string_groups", []), [s for g in x.get("fork_string_groups", []) for s in groups[g]], x["always_report"]) for x in policy.entries("crypto_library")]
-    return local_frame(spark, rows, "library string, sonames array<string>, symbol_group string, string_group string, copy_group string, crates array<string>, fork_symbols array<string>, fork_strings array<string>, fork_texts array<string>, always_report boolean")
+    rows = [(
+        x["name"],
+        x["sonames"],
+        x.get("symbol_group"),
+        x.get("string_group"),
+        x.get("copy_string_group"),
+        x.get("crates", []),
+        x.get("fork_symbol_groups", []),
+        x.get("fork_string_groups", []),
+        [s for g in x.get("fork_string_groups", []) for s in groups[g]],
+        x["always_report"]
+    ) for x in policy.entries("crypto_library")]
+    return local_frame(
+        spark,
+        rows,
+        "library string, sonames array<string>, symbol_group string, string_group string, copy_group string, crates array<string>, fork_symbols array<string>, fork_strings array<string>, fork_texts array<string>, always_report boolean"
+    )
 
 
 def postures(evidence: DataFrame, deps: DataFrame, policy: Policy) -> DataFrame:
@@ -59,7 +82,15 @@ def postures(evidence: DataFrame, deps: DataFrame, policy: Policy) -> DataFrame:
     symbol = lambda binding: F.exists(b["matched_symbols"], lambda s: (s["group"] == c("symbol_group")) & (s["binding"] == binding))
     text = lambda group: F.exists(b["matched_strings"], lambda s: s["group"] == group)
     own = T.normalise_soname(F.coalesce(b["soname"], b["path"]))
-    flags = rows.withColumns({"own": b["vendored_path"] & F.array_contains("sonames", own), "system": has("system"), "bundled": has("bundled"), "uncertain": has("unknown"), "defined": F.coalesce(symbol("defined"), F.lit(False)), "imported": F.coalesce(symbol("imported"), F.lit(False)), "seen": F.coalesce(text(c("string_group")), F.lit(False))})
+    flags = rows.withColumns({
+        "own": b["vendored_path"] & F.array_contains("sonames", own),
+        "system": has("system"),
+        "bundled": has("bundled"),
+        "uncertain": has("unknown"),
+        "defined": F.coalesce(symbol("defined"), F.lit(False)),
+        "imported": F.coalesce(symbol("imported"), F.lit(False)),
+        "seen": F.coalesce(text(c("string_group")), F.lit(False))
+    })
     lacks = c("copy_group").isNotNull() & ~b["partial_analysis"] & ~F.coalesce(text(c("copy_group")), F.lit(False))
     flags = flags.withColumn("lacks", lacks).withColumn("alone", c("seen") & ~(c("system") | c("bundled") | c("uncertain")) & c("lacks"))
     flags = flags.withColumn("banner", c("seen") & ~c("alone") & ~((c("system") | c("bundled")) & c("lacks") & c("imported")))
@@ -89,7 +120,12 @@ def declared(evidence: DataFrame, policy: Policy, confirmed: DataFrame | None =
     With confirmed (wheel_id, library, crate), components carried by a system object do not
     count."""
     spark = evidence.sparkSession
-    comp = evidence.select("wheel_id", F.explode("sbom").alias("c")).select("wheel_id", T.sbom_library_key("c.name").alias("library_key"), T.sbom_crate_key("c.name").alias("crate_key"), F.coalesce(F.startswith("c.purl", F.lit("pkg:cargo/")), F.lit(False)).alias("cargo"))
+    comp = evidence.select("wheel_id", F.explode("sbom").alias("c")).select(
+        "wheel_id",
+        T.sbom_library_key("c.name").alias("library_key"),
+        T.sbom_crate_key("c.name").alias("crate_key"),
+        F.coalesce(F.startswith("c.purl", F.lit("pkg:cargo/")), F.lit(False)).alias("cargo")
+    )
     crates = {c["name"] for c in policy.entries("rust_crate")}
     # a name that is both a library's and a foreign crate's is the library's unless it came from cargo
     rows = [(x["name"], x["name"].lower(), x["name"] in crates and x["name"] not in x.get("crates", []), False) for x in policy.entries("crypto_library")]

@@ -69,7 +69,19 @@ def register(kind: str):
 _ENTRY = {"severity": "severity", "verdict": "verdict", "needs_human_review": "needs_human_review", "relation": "relation", "basis": "basis", "family": "family"}
 
 
-def hits(df: DataFrame, subject: Column | None, kind: str, path: Column, evidence: Column, line: Column | None = None, order: Column | None = None, inherit: Column | bool = False, family: Column | None = None, suppressed: Column | None = None, limit: int = 200) -> DataFrame:
+def hits(
+    df: DataFrame,
+    subject: Column | None,
+    kind: str,
+    path: Column,
+    evidence: Column,
+    line: Column | None = None,
+    order: Column | None = None,
+    inherit: Column | bool = False,
+    family: Column | None = None,
+    suppressed: Column | None = None,
+    limit: int = 200
+) -> DataFrame:
     """Rows as hits.  Inherited attributes are the entry's columns where `inherit` holds."""
     when = F.lit(inherit) if isinstance(inherit, bool) else inherit
     own = {c: F.when(when, F.col(c)) if inherit is not False else F.lit(None) for c in _ENTRY}
@@ -111,6 +123,9 @@ def _file(info: Column, name: str) -> Column:
     return F.concat(info, F.lit(f"/{name}"))
 
 
+#: The sentences that the matchers below put together as evidence (`Requires-Dist: `,
+#: `DT_NEEDED=`, `cargo path for `, ... `linkage resolved to `) are part of the record's contract.
+
 # -- metadata ----------------------------------------------------------------------
 
 
@@ -125,7 +140,16 @@ def dist_name(c: Context) -> DataFrame:
 def requires_dist(c: Context) -> DataFrame:
     rows = _meta(c).select("wheel_id", "filename", "dist_info_dir", F.posexplode("requires_dist_names").alias("pos", "dep")).join(c.entries("crypto_distribution"), F.col("dep") == F.col("entry"))
     rows = rows.crossJoin(c.rules("requires_dist", "any_entry", kinds={"any_entry": "boolean"})).where(F.coalesce("any_entry", F.lit(False)) | (F.col("owner") == F.col("rule_id")))
-    return hits(rows, F.col("entry"), "distribution", F.coalesce(_file(F.col("dist_info_dir"), "METADATA"), F.col("filename")), F.concat(F.lit("Requires-Dist: "), F.col("entry")), order=F.col("pos"), inherit=~F.coalesce("any_entry", F.lit(False)), family=F.col("family"))
+    return hits(
+        rows,
+        F.col("entry"),
+        "distribution",
+        F.coalesce(_file(F.col("dist_info_dir"), "METADATA"), F.col("filename")),
+        F.concat(F.lit("Requires-Dist: "), F.col("entry")),
+        order=F.col("pos"),
+        inherit=~F.coalesce("any_entry", F.lit(False)),
+        family=F.col("family")
+    )
 
 
 @register("wheel_generator")
@@ -138,7 +162,10 @@ def wheel_generator(c: Context) -> DataFrame:
 def no_source(c: Context) -> DataFrame:
     a = F.col("artifacts")
     rows = c.evidence.where(~a["source_available"] & ((a["py_files"] > 0) | (a["pyc_files"] > 0))).crossJoin(c.rules("no_source"))
-    said = F.when(a["py_files"] > 0, F.concat(a["py_files_unparsed"].cast("string"), F.lit(" of "), a["py_files"].cast("string"), F.lit(" source files unparsed"))).otherwise(F.concat(a["pyc_files"].cast("string"), F.lit(" bytecode files, 0 source files")))
+    said = F.when(
+        a["py_files"] > 0,
+        F.concat(a["py_files_unparsed"].cast("string"), F.lit(" of "), a["py_files"].cast("string"), F.lit(" source files unparsed"))
+    ).otherwise(F.concat(a["pyc_files"].cast("string"), F.lit(" bytecode files, 0 source files")))
     return hits(rows, None, "wheel", F.col("filename"), said)
 
 
@@ -162,7 +189,12 @@ def scan_error(c: Context) -> DataFrame:
 
 @register("sbom_component")
 def sbom_component(c: Context) -> DataFrame:
-    comp = c.evidence.select("wheel_id", F.posexplode("sbom").alias("pos", "s")).withColumns({"library_key": T.sbom_library_key("s.name"), "crate_key": T.sbom_crate_key("s.name"), "dist_key": T.canonical_name("s.name"), "cargo": F.coalesce(F.startswith("s.purl", F.lit("pkg:cargo/")), F.lit(False))})
+    comp = c.evidence.select("wheel_id", F.posexplode("sbom").alias("pos", "s")).withColumns({
+        "library_key": T.sbom_library_key("s.name"),
+        "crate_key": T.sbom_crate_key("s.name"),
+        "dist_key": T.canonical_name("s.name"),
+        "cargo": F.coalesce(F.startswith("s.purl", F.lit("pkg:cargo/")), F.lit(False))
+    })
     p, spark = c.policy, c.spark
     for table, key, fold in (("crypto_library", "library_key", T.sbom_library_key), ("rust_crate", "crate_key", T.sbom_crate_key), ("crypto_distribution", "dist_key", T.canonical_name)):
         d = p.frame(spark, table)
@@ -188,7 +220,18 @@ def _sonames(c: Context) -> DataFrame:
 
 
 _LIBRARY_RULE = ("library", "exclude_libraries")
-_KINDS = {"exclude_libraries": "array<string>", "mangled": "boolean", "resolved": "boolean", "groups": "array<string>", "values": "array<string>", "object_values": "array<string>", "exclude_object_values": "array<string>", "sbom_declared": "boolean", "reasons": "array<string>", "exclude_reasons": "array<string>"}
+_KINDS = {
+    "exclude_libraries": "array<string>",
+    "mangled": "boolean",
+    "resolved": "boolean",
+    "groups": "array<string>",
+    "values": "array<string>",
+    "object_values": "array<string>",
+    "exclude_object_values": "array<string>",
+    "sbom_declared": "boolean",
+    "reasons": "array<string>",
+    "exclude_reasons": "array<string>"
+}
 
 
 def _library_ok() -> Column:
@@ -251,7 +294,11 @@ def rust_crate(c: Context) -> DataFrame:
 
 @register("linkage")
 def linkage(c: Context) -> DataFrame:
-    rows_m = [(r["id"], ix, "table" in x, x.get("name"), list(x.get("values", [])) or [x["value"]], _list(x.get("exclude_libraries")), _list(x.get("object_values")), _list(x.get("exclude_object_values")), x.get("sbom_declared")) for ix, r, x in c.policy.matches("linkage")]
+    rows_m = [
+        (r["id"], ix, "table" in x, x.get("name"), list(x.get("values", [])) or [x["value"]], _list(x.get("exclude_libraries")), _list(x.get("object_values")), _list(x.get("exclude_object_values")), x.get("sbom_declared")) for ix,
+        r,
+        x in c.policy.matches("linkage")
+    ]
     rules = F.broadcast(local_frame(c.spark, rows_m, "rule_id string, match_ix int, inherits boolean, only string, values array<string>, not_in array<string>, object_values array<string>, not_object array<string>, declared boolean"))  # the policy's rules
     by_object = c.postures.groupBy("wheel_id", "library").agg(F.collect_set("posture").alias("postures"))
     confirmed = c.postures.where("posture = 'system'").select("wheel_id", "library", F.explode("object_crates").alias("crate"))
@@ -361,5 +408,12 @@ def unsuppressed(found: DataFrame, policy: Policy) -> DataFrame:
     out = found.join(fired.join(rules, "by").select("wheel_id", "path", "rule_id").distinct(), ["wheel_id", "path", "rule_id"], "left_anti")
     own = found.select("wheel_id", F.col("rule_id").alias("f_rule"), F.col("subject").alias("f_subject"), F.col("path").alias("f_path")).distinct()
     listed = found.where(F.size("suppressed_by") > 0).select("wheel_id", "rule_id", "subject", "path", F.explode("suppressed_by").alias("x"))
-    silent = listed.join(own.withColumnRenamed("wheel_id", "w"), (F.col("wheel_id") == F.col("w")) & (F.col("f_rule") == F.col("x.rule_id")) & F.col("f_subject").eqNullSafe(F.col("x.subject")) & (F.col("f_path") == F.col("path"))).select("wheel_id", "rule_id", F.col("subject").alias("s_subject"), F.col("path").alias("s_path")).distinct()
-    return out.join(silent.withColumnsRenamed({"wheel_id": "w", "rule_id": "r"}), (F.col("wheel_id") == F.col("w")) & (F.col("rule_id") == F.col("r")) & F.col("subject").eqNullSafe(F.col("s_subject")) & (F.col("path") == F.col("s_path")), "left_anti")
+    silent = listed.join(
+        own.withColumnRenamed("wheel_id", "w"),
+        (F.col("wheel_id") == F.col("w")) & (F.col("f_rule") == F.col("x.rule_id")) & F.col("f_subject").eqNullSafe(F.col("x.subject")) & (F.col("f_path") == F.col("path"))
+    ).select("wheel_id", "rule_id", F.col("subject").alias("s_subject"), F.col("path").alias("s_path")).distinct()
+    return out.join(
+        silent.withColumnsRenamed({"wheel_id": "w", "rule_id": "r"}),
+        (F.col("wheel_id") == F.col("w")) & (F.col("rule_id") == F.col("r")) & F.col("subject").eqNullSafe(F.col("s_subject")) & (F.col("path") == F.col("s_path")),
+        "left_anti"
+    )

@@ -77,7 +77,10 @@ def o5(spark, d):
     return _scan(spark, d).evidence.where("size(errors) > 1").select("key", _joined(said).alias("errors"))
 
 
-@query("s11_symlinks", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 14 THEN 'odd' || p_partkey || '.libs/libcrypto.so.3' ELSE 'odd' || p_partkey || '/link' END AS path, CASE p_partkey % 16 WHEN 14 THEN '../elsewhere' ELSE 'target' END AS target FROM part WHERE p_partkey % 16 IN (14, 15)")
+@query(
+    "s11_symlinks",
+    f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 14 THEN 'odd' || p_partkey || '.libs/libcrypto.so.3' ELSE 'odd' || p_partkey || '/link' END AS path, CASE p_partkey % 16 WHEN 14 THEN '../elsewhere' ELSE 'target' END AS target FROM part WHERE p_partkey % 16 IN (14, 15)"
+)
 def s11(spark, d):
     return _scan(spark, d).evidence.select("key", F.explode("artifacts.symlinks").alias("l")).select("key", "l.path", "l.target")
 
@@ -87,7 +90,10 @@ def c3(spark, d):
     return _scan(spark, d).evidence.select("key", F.explode("artifacts.skipped").alias("s")).select("key", "s.path", "s.reason")
 
 
-@query("y1_unparsed_sources", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 13 THEN 2 WHEN 15 THEN 2 ELSE 1 END::BIGINT AS py_files, CASE p_partkey % 16 WHEN 15 THEN 1 ELSE 0 END::BIGINT AS unparsed, true AS source_available FROM part")
+@query(
+    "y1_unparsed_sources",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 13 THEN 2 WHEN 15 THEN 2 ELSE 1 END::BIGINT AS py_files, CASE p_partkey % 16 WHEN 15 THEN 1 ELSE 0 END::BIGINT AS unparsed, true AS source_available FROM part"
+)
 def y1(spark, d):
     return _scan(spark, d).evidence.select("key", "artifacts.py_files", F.col("artifacts.py_files_unparsed").alias("unparsed"), "artifacts.source_available")
 
@@ -121,7 +127,13 @@ def s13(spark, d):
 def w2(spark, d):
     """Two hundred crates before `ring` in order: those that the policy names come first."""
     ring = F.try_element_at(F.filter("b.rust_crates", lambda r: r["name"] == "ring"), F.lit(1))
-    return _objects(spark, d).where("size(b.rust_crates) > 100").select("key", F.size("b.rust_crates").alias("crates"), ring.isNotNull().alias("has_ring"), F.col("b.strings_truncated").alias("truncated"), ring["version"].alias("ring_version"))
+    return _objects(spark, d).where("size(b.rust_crates) > 100").select(
+        "key",
+        F.size("b.rust_crates").alias("crates"),
+        ring.isNotNull().alias("has_ring"),
+        F.col("b.strings_truncated").alias("truncated"),
+        ring["version"].alias("ring_version")
+    )
 
 
 @query("n27_nested_vendor", "SELECT p_partkey AS key, name, version FROM part, (VALUES ('bar', '1.0.0'), ('baz', '2.0.0'), ('ring', '-')) v(name, version) WHERE p_partkey % 16 = 1")
@@ -137,7 +149,10 @@ def n28(spark, d):
     return _objects(spark, d).where("b.go is not null").select("key", "b.go.go_version", "b.go.boring_crypto", _joined("b.go.markers").alias("markers"))
 
 
-@query("n13_fat_slices", "SELECT p_partkey AS key, 'arm64' AS machine, '@rpath/me.dylib' AS soname, '/usr/lib/libSystem.B.dylib,/usr/lib/libcrypto.dylib' AS needed, 2::BIGINT AS symtab_count, 'EVP_x:imported,MD5_y:defined' AS symbols FROM part WHERE p_partkey % 16 = 5")
+@query(
+    "n13_fat_slices",
+    "SELECT p_partkey AS key, 'arm64' AS machine, '@rpath/me.dylib' AS soname, '/usr/lib/libSystem.B.dylib,/usr/lib/libcrypto.dylib' AS needed, 2::BIGINT AS symtab_count, 'EVP_x:imported,MD5_y:defined' AS symbols FROM part WHERE p_partkey % 16 = 5"
+)
 def n13(spark, d):
     """Slices of a universal library, merged."""
     names = F.array_sort(F.transform("b.matched_symbols", lambda s: F.concat_ws(":", s["name"], s["binding"])))
@@ -184,13 +199,19 @@ def y7(spark, d):
 # -- linkage -----------------------------------------------------------------------
 
 
-@query("l2_vendored_unknown", "SELECT p_partkey AS key, n AS needed, CASE p_partkey % 16 WHEN 14 THEN 'unknown' ELSE 'system' END AS posture FROM part, (VALUES (2, 'libcrypto.so.3'), (5, '/usr/lib/libSystem.B.dylib'), (5, '/usr/lib/libcrypto.dylib'), (14, 'libcrypto.so.3'), (14, 'libssl.so.3')) v(s, n) WHERE p_partkey % 16 = s")
+@query(
+    "l2_vendored_unknown",
+    "SELECT p_partkey AS key, n AS needed, CASE p_partkey % 16 WHEN 14 THEN 'unknown' ELSE 'system' END AS posture FROM part, (VALUES (2, 'libcrypto.so.3'), (5, '/usr/lib/libSystem.B.dylib'), (5, '/usr/lib/libcrypto.dylib'), (14, 'libcrypto.so.3'), (14, 'libssl.so.3')) v(s, n) WHERE p_partkey % 16 = s"
+)
 def l2(spark, d):
     """A dependency by a path into a vendor folder that could not be read is unknown (L1, L2)."""
     return _by_key(spark, d, _scan(spark, d).needed).select("key", "needed", "posture")
 
 
-@query("l5_fork_posture", "SELECT p_partkey AS key, 'openssl' AS library, CASE p_partkey % 16 WHEN 2 THEN 'system' WHEN 3 THEN 'unknown' WHEN 5 THEN 'system' WHEN 14 THEN 'unknown' ELSE 'static' END AS posture FROM part WHERE p_partkey % 16 IN (2, 3, 5, 8, 14) OR p_partkey % 32 = 11")
+@query(
+    "l5_fork_posture",
+    "SELECT p_partkey AS key, 'openssl' AS library, CASE p_partkey % 16 WHEN 2 THEN 'system' WHEN 3 THEN 'unknown' WHEN 5 THEN 'system' WHEN 14 THEN 'unknown' ELSE 'static' END AS posture FROM part WHERE p_partkey % 16 IN (2, 3, 5, 8, 14) OR p_partkey % 32 = 11"
+)
 def l5(spark, d):
     """A fork's definitions are not the library's own (L5, L11); copies are told by their banner (L4)."""
     return _by_key(spark, d, _scan(spark, d).postures.where("posture <> 'none'")).select("key", "library", "posture")
@@ -237,7 +258,10 @@ def m15(spark, d):
     return _by_key(spark, d, found).select("key", F.col("occurrences").cast("bigint").alias("occurrences"), "truncated", F.size("locations").alias("places"))
 
 
-@query("m16_partial_format", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 7 THEN 'unknown' ELSE 'elf' END AS subject, CASE p_partkey % 16 WHEN 7 THEN 'no_structural_reader' WHEN 8 THEN 'elf_section_table_absent' WHEN 9 THEN 'elf_symtab_unread, symtab_understates_rows' WHEN 10 THEN 'elf_dynsym_unread, symtab_understates_rows' ELSE 'elf_section_data_unread' END AS reasons FROM part WHERE p_partkey % 16 IN (7, 8, 9, 10) OR p_partkey % 32 = 27 UNION ALL SELECT p_partkey, 'unknown', 'no_structural_reader' FROM part WHERE {_MANY}")
+@query(
+    "m16_partial_format",
+    f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 7 THEN 'unknown' ELSE 'elf' END AS subject, CASE p_partkey % 16 WHEN 7 THEN 'no_structural_reader' WHEN 8 THEN 'elf_section_table_absent' WHEN 9 THEN 'elf_symtab_unread, symtab_understates_rows' WHEN 10 THEN 'elf_dynsym_unread, symtab_understates_rows' ELSE 'elf_section_data_unread' END AS reasons FROM part WHERE p_partkey % 16 IN (7, 8, 9, 10) OR p_partkey % 32 = 27 UNION ALL SELECT p_partkey, 'unknown', 'no_structural_reader' FROM part WHERE {_MANY}"
+)
 def m16(spark, d):
     rows = _places(spark, d, "BIN_PARTIAL_FORMAT")
     return rows.select("key", "subject", F.substring_index("evidence", ": ", -1).alias("reasons")).distinct()
@@ -253,7 +277,10 @@ def m14(spark, d):
     return _places(spark, d, "BIN_OPENSSL_LINKAGE_UNKNOWN").select("key", "path", "evidence")
 
 
-@query("f29_basis", "SELECT p_partkey AS key, r AS rule_id, b AS basis FROM part, (VALUES (0, 'BIN_RUST_CRYPTO_CRATE', 'FIPS-140-3'), (2, 'BIN_NEEDED_SYSTEM_OPENSSL', ''), (3, 'BIN_BORINGSSL', 'FIPS-140-3'), (5, 'BIN_OWN_WEAK_HASH_IMPL', 'FIPS-180-4'), (13, 'PY_LEGACY_TLS_PROTOCOL', 'SP-800-52-r2')) v(s, r, b) WHERE p_partkey % 16 = s UNION ALL SELECT p_partkey, 'BIN_RUST_CRYPTO_CRATE', 'FIPS-140-3' FROM part WHERE p_partkey % 16 = 1 UNION ALL SELECT p_partkey, 'BIN_NEEDED_SYSTEM_OPENSSL', '' FROM part WHERE p_partkey % 16 = 5")
+@query(
+    "f29_basis",
+    "SELECT p_partkey AS key, r AS rule_id, b AS basis FROM part, (VALUES (0, 'BIN_RUST_CRYPTO_CRATE', 'FIPS-140-3'), (2, 'BIN_NEEDED_SYSTEM_OPENSSL', ''), (3, 'BIN_BORINGSSL', 'FIPS-140-3'), (5, 'BIN_OWN_WEAK_HASH_IMPL', 'FIPS-180-4'), (13, 'PY_LEGACY_TLS_PROTOCOL', 'SP-800-52-r2')) v(s, r, b) WHERE p_partkey % 16 = s UNION ALL SELECT p_partkey, 'BIN_RUST_CRYPTO_CRATE', 'FIPS-140-3' FROM part WHERE p_partkey % 16 = 1 UNION ALL SELECT p_partkey, 'BIN_NEEDED_SYSTEM_OPENSSL', '' FROM part WHERE p_partkey % 16 = 5"
+)
 def f29(spark, d):
     """An entry's basis, or its rule's where it has none."""
     rules = ("BIN_RUST_CRYPTO_CRATE", "BIN_NEEDED_SYSTEM_OPENSSL", "BIN_BORINGSSL", "BIN_OWN_WEAK_HASH_IMPL", "PY_LEGACY_TLS_PROTOCOL")
@@ -283,14 +310,20 @@ def o11(spark, d):
     return r.select("filename", F.size(names).alias("objects"), F.get_json_object("line", "$.artifacts.binaries_truncated").cast("boolean").alias("truncated"))
 
 
-@query("c7_record_errors", f"SELECT {_WHEEL} AS filename, CASE WHEN p_partkey % 16 = 15 THEN 4 WHEN p_partkey % 16 IN (8, 9, 10) OR p_partkey % 32 = 27 THEN 1 ELSE 0 END AS errors, CASE p_partkey % 16 WHEN 14 THEN 1 WHEN 15 THEN 1 ELSE 0 END AS symlinks, CASE p_partkey % 16 WHEN 15 THEN 2 ELSE 0 END AS skipped FROM part")
+@query(
+    "c7_record_errors",
+    f"SELECT {_WHEEL} AS filename, CASE WHEN p_partkey % 16 = 15 THEN 4 WHEN p_partkey % 16 IN (8, 9, 10) OR p_partkey % 32 = 27 THEN 1 ELSE 0 END AS errors, CASE p_partkey % 16 WHEN 14 THEN 1 WHEN 15 THEN 1 ELSE 0 END AS symlinks, CASE p_partkey % 16 WHEN 15 THEN 2 ELSE 0 END AS skipped FROM part"
+)
 def c7(spark, d):
     """Errors, symlinks and skipped members of the canonical lines."""
     size = lambda path: F.size(F.from_json(F.get_json_object("line", path), "array<map<string, string>>"))
     return _scan(spark, d).records().select("filename", size("$.errors").alias("errors"), size("$.artifacts.symlinks").alias("symlinks"), size("$.artifacts.skipped").alias("skipped"))
 
 
-@query("c5_record_findings", f"SELECT {_WHEEL} AS filename, CASE WHEN {_MANY} THEN 5 ELSE CASE p_partkey % 16 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 5 WHEN 6 THEN 1 WHEN 7 THEN 4 WHEN 8 THEN 5 WHEN 9 THEN 5 WHEN 10 THEN 4 WHEN 11 THEN CASE WHEN p_partkey % 32 = 11 THEN 3 ELSE 5 END WHEN 12 THEN 3 WHEN 13 THEN 3 WHEN 14 THEN 3 ELSE 6 END END AS findings, true AS sorted FROM part")
+@query(
+    "c5_record_findings",
+    f"SELECT {_WHEEL} AS filename, CASE WHEN {_MANY} THEN 5 ELSE CASE p_partkey % 16 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 5 WHEN 6 THEN 1 WHEN 7 THEN 4 WHEN 8 THEN 5 WHEN 9 THEN 5 WHEN 10 THEN 4 WHEN 11 THEN CASE WHEN p_partkey % 32 = 11 THEN 3 ELSE 5 END WHEN 12 THEN 3 WHEN 13 THEN 3 WHEN 14 THEN 3 ELSE 6 END END AS findings, true AS sorted FROM part"
+)
 def c5(spark, d):
     """Findings of the canonical lines, in order of rule and subject."""
     ids = F.transform(F.from_json(F.get_json_object("line", "$.findings"), "array<struct<rule_id: string>>"), lambda f: f["rule_id"])

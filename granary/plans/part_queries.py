@@ -76,7 +76,16 @@ def f11(spark, d):
     """The file name decides but for the spelling of the name (F11, F14, S25); no metadata
     without one dist-info folder."""
     m = _evidence(spark, d).where("metadata is not null").select("key", "metadata.*")
-    return m.select("key", "name", "canonical_name", "version", F.array_join("tags", ",").alias("tags"), F.array_join("platform_tags", ",").alias("platform_tags"), F.coalesce("generator_name", F.lit("-")).alias("generator"), F.col("root_is_purelib").alias("purelib"))
+    return m.select(
+        "key",
+        "name",
+        "canonical_name",
+        "version",
+        F.array_join("tags", ",").alias("tags"),
+        F.array_join("platform_tags", ",").alias("platform_tags"),
+        F.coalesce("generator_name", F.lit("-")).alias("generator"),
+        F.col("root_is_purelib").alias("purelib")
+    )
 
 
 @query("f24_headers", "SELECT p_partkey AS key, '>=3.9' AS requires_python, '!bad|Zed.Lib[x]>=1|a_b; extra == ''t''' AS requires, 'a-b,zed-lib' AS names, '1.4.0' AS generator_version FROM part WHERE p_partkey % 16 = 6")
@@ -86,7 +95,10 @@ def f24(spark, d):
     return m.select("key", "requires_python", F.array_join("requires_dist", "|").alias("requires"), F.array_join("requires_dist_names", ",").alias("names"), "generator_version")
 
 
-@query("s22_record_files", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 5 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 4 WHEN 6 THEN 4 ELSE 5 END::BIGINT AS entries, CASE p_partkey % 16 WHEN 2 THEN {_INFO} || '/METADATA' WHEN 4 THEN {_INFO} || '/WHEEL' ELSE '' END AS mismatches FROM part WHERE p_partkey % 16 > 1")
+@query(
+    "s22_record_files",
+    f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 5 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 4 WHEN 6 THEN 4 ELSE 5 END::BIGINT AS entries, CASE p_partkey % 16 WHEN 2 THEN {_INFO} || '/METADATA' WHEN 4 THEN {_INFO} || '/WHEEL' ELSE '' END AS mismatches FROM part WHERE p_partkey % 16 > 1"
+)
 def s22(spark, d):
     m = _evidence(spark, d).where("metadata is not null").select("key", "metadata.*")
     return m.select("key", F.col("record_entries").alias("entries"), F.array_join("record_mismatches", ",").alias("mismatches"))
@@ -114,7 +126,10 @@ def n26(spark, d):
     return rows.select("key", "path", F.col("s.group").alias("grp"), "s.value")
 
 
-@query("n35_header_fallbacks", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 10 THEN 'macho' ELSE 'pe' END AS format, CASE p_partkey % 16 WHEN 10 THEN 'macho_header_unread' ELSE 'pe_header_unread' END AS reasons, 'OpenSSL 3.0.14 4 Jun 2024' AS banner FROM part WHERE p_partkey % 16 IN (10, 11)")
+@query(
+    "n35_header_fallbacks",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 10 THEN 'macho' ELSE 'pe' END AS format, CASE p_partkey % 16 WHEN 10 THEN 'macho_header_unread' ELSE 'pe_header_unread' END AS reasons, 'OpenSSL 3.0.14 4 Jun 2024' AS banner FROM part WHERE p_partkey % 16 IN (10, 11)"
+)
 def n35(spark, d):
     """Objects whose header cannot be read give their strings."""
     rows = _objects(spark, d).where("b.partial_analysis")
@@ -127,7 +142,10 @@ def n30(spark, d):
     return _objects(spark, d).where("b.from_archive").select("key", "b.path", "b.from_archive")
 
 
-@query("f4_quoted_evidence", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 14 THEN {_EXT} WHEN 10 THEN 'bit' || p_partkey || '/_ext.dylib' ELSE 'bit' || p_partkey || '/_ext.pyd' END AS path, CASE p_partkey % 16 WHEN 14 THEN 'string=\"it''s OpenSSL 3.0.14 \\\\ here\"' ELSE 'string=''OpenSSL 3.0.14 4 Jun 2024''' END AS evidence FROM part WHERE p_partkey % 16 IN (10, 11, 14)")
+@query(
+    "f4_quoted_evidence",
+    f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 14 THEN {_EXT} WHEN 10 THEN 'bit' || p_partkey || '/_ext.dylib' ELSE 'bit' || p_partkey || '/_ext.pyd' END AS path, CASE p_partkey % 16 WHEN 14 THEN 'string=\"it''s OpenSSL 3.0.14 \\\\ here\"' ELSE 'string=''OpenSSL 3.0.14 4 Jun 2024''' END AS evidence FROM part WHERE p_partkey % 16 IN (10, 11, 14)"
+)
 def f4(spark, d):
     """Evidence between the quotes that it does not hold; backslashes doubled."""
     return _places(spark, d, "BIN_OPENSSL_BANNER").select("key", "path", "evidence")
@@ -154,7 +172,10 @@ def f13(spark, d):
     return rows.select("key", "s.line", "s.target", F.col("s.attrs")["algorithm"].alias("algorithm"), F.col("s.attrs")["usedforsecurity"].alias("used"))
 
 
-@query("o6_site_order", "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 12 THEN 'py_attr:4,py_attr:5,py_attr:6,py_attr:7,py_attr:8,py_call:3,py_call:10,py_import:1,py_import:2' ELSE 'py_call:3,py_call:4,py_call:5,py_call:6,py_call:7,py_call:9,py_import:1,py_import:2' END AS sites FROM part WHERE p_partkey % 16 IN (12, 13)")
+@query(
+    "o6_site_order",
+    "SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 12 THEN 'py_attr:4,py_attr:5,py_attr:6,py_attr:7,py_attr:8,py_call:3,py_call:10,py_import:1,py_import:2' ELSE 'py_call:3,py_call:4,py_call:5,py_call:6,py_call:7,py_call:9,py_import:1,py_import:2' END AS sites FROM part WHERE p_partkey % 16 IN (12, 13)"
+)
 def o6(spark, d):
     said = F.transform("py_sites", lambda s: F.concat(s["kind"], F.lit(":"), s["line"].cast("string")))
     return _evidence(spark, d).where("size(py_sites) > 0").select("key", F.array_join(said, ",").alias("sites"))
@@ -263,7 +284,10 @@ def s32(spark, d):
     return jsonl.resumable(spark, at).select("filename")
 
 
-@query("s34_counts", "SELECT count(*) AS wheels, count(*) FILTER (p_partkey % 16 NOT IN (5, 6)) AS to_review, count(*) FILTER (p_partkey % 16 IN (0, 1, 2, 3, 4)) AS opaque, count(*) FILTER (p_partkey % 16 IN (0, 1, 2, 3, 4, 5, 10, 11, 15)) AS errors FROM part")
+@query(
+    "s34_counts",
+    "SELECT count(*) AS wheels, count(*) FILTER (p_partkey % 16 NOT IN (5, 6)) AS to_review, count(*) FILTER (p_partkey % 16 IN (0, 1, 2, 3, 4)) AS opaque, count(*) FILTER (p_partkey % 16 IN (0, 1, 2, 3, 4, 5, 10, 11, 15)) AS errors FROM part"
+)
 def s34(spark, d):
     """Counts of what went by while records were made."""
     from pyspark.sql import Observation
@@ -313,7 +337,10 @@ def u2(spark, d):
     return spark.sql("SELECT key, s.line, s.target, s.attrs['usedforsecurity'] AS used FROM part_wheels w, LATERAL py_sites(w.content, w.filename) s WHERE s.kind = 'py_call' AND s.target LIKE 'hashlib.%'")
 
 
-@query("u3_native_objects", f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 10 THEN 'bit' || p_partkey || '/_ext.dylib' WHEN 11 THEN 'bit' || p_partkey || '/_ext.pyd' WHEN 15 THEN 'bit' || p_partkey || '/libown.a(evp.o)' ELSE {_EXT} END AS path, CASE p_partkey % 16 WHEN 10 THEN 'macho' WHEN 11 THEN 'pe' ELSE 'elf' END AS format FROM part WHERE p_partkey % 16 IN (7, 8, 9, 10, 11, 14, 15)")
+@query(
+    "u3_native_objects",
+    f"SELECT p_partkey AS key, CASE p_partkey % 16 WHEN 10 THEN 'bit' || p_partkey || '/_ext.dylib' WHEN 11 THEN 'bit' || p_partkey || '/_ext.pyd' WHEN 15 THEN 'bit' || p_partkey || '/libown.a(evp.o)' ELSE {_EXT} END AS path, CASE p_partkey % 16 WHEN 10 THEN 'macho' WHEN 11 THEN 'pe' ELSE 'elf' END AS format FROM part WHERE p_partkey % 16 IN (7, 8, 9, 10, 11, 14, 15)"
+)
 def u3(spark, d):
     _table_functions(spark, d)
     return spark.sql("SELECT key, o.path, o.format FROM part_wheels w, LATERAL native_objects(w.content, w.filename) o")

@@ -62,24 +62,58 @@ def findings(c: M.Context, keep=kept) -> DataFrame:
     with its distinct places (A1-A3)."""
     hits = M.unsuppressed(keep(M.all_hits(c), "hits"), c.policy)
     attrs = ["subject_kind", "severity", "verdict", "needs_human_review", "relation", "basis", "family"]
-    out = R.group_findings(hits.withColumn("line", F.coalesce("line", F.lit(-1))), ["wheel_id", "rule_id", "subject"], attrs, ["match_ix", "hit_ix", "path", "line"], ["path", "line", "evidence"], c.policy.limits["max_locations_per_finding"])
+    out = R.group_findings(
+        hits.withColumn("line", F.coalesce("line", F.lit(-1))),
+        ["wheel_id", "rule_id", "subject"],
+        attrs,
+        ["match_ix", "hit_ix", "path", "line"],
+        ["path", "line", "evidence"],
+        c.policy.limits["max_locations_per_finding"]
+    )
     rules = c.policy.rules_frame(c.spark)
     out = out.join(F.broadcast(rules), "rule_id")  # the policy's rules
     own = {"severity": "r_severity", "verdict": "r_verdict", "relation": "r_relation", "family": "r_family", "basis": "r_basis", "needs_human_review": "r_review"}
     out = out.withColumns({k: F.coalesce(k, v) for k, v in own.items()}).withColumn("basis", F.array_sort("basis"))
-    return out.select("wheel_id", "rule_id", "subject", "subject_kind", "severity", "category", "layer", "confidence", "verdict", "relation", "basis", "family", "needs_human_review", "occurrences", "truncated", F.transform("locations", lambda p: F.struct(p["path"].alias("path"), F.nullif(p["line"], F.lit(-1)).alias("line"), p["evidence"].alias("evidence"))).alias("locations"))
+    return out.select(
+        "wheel_id",
+        "rule_id",
+        "subject",
+        "subject_kind",
+        "severity",
+        "category",
+        "layer",
+        "confidence",
+        "verdict",
+        "relation",
+        "basis",
+        "family",
+        "needs_human_review",
+        "occurrences",
+        "truncated",
+        F.transform("locations", lambda p: F.struct(p["path"].alias("path"), F.nullif(p["line"], F.lit(-1)).alias("line"), p["evidence"].alias("evidence"))).alias("locations")
+    )
 
 
 def verdicts(ev: DataFrame, found: DataFrame, linkage: DataFrame, policy: Policy) -> DataFrame:
     """One verdict a wheel (A7-A10); a wheel without findings has the last class."""
     classes = R.by_precedence(found, ["wheel_id"], "verdict", policy.precedence)
     reason = F.concat("rule_id", F.lit(": "), F.coalesce("subject", F.col("locations")[0]["path"], "rule_id"))
-    more = found.groupBy("wheel_id").agg(F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"), F.array_sort(F.collect_set(reason)).alias("reasons"), F.bool_or("needs_human_review").alias("flagged"), F.array_sort(F.collect_set("family")).alias("families"))
+    more = found.groupBy("wheel_id").agg(
+        F.array_sort(F.collect_set("relation")).alias("relations"),
+        F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),
+        F.array_sort(F.collect_set(reason)).alias("reasons"),
+        F.bool_or("needs_human_review").alias("flagged"),
+        F.array_sort(F.collect_set("family")).alias("families")
+    )
     conditions = R.conditions_map(linkage, ["wheel_id"], "library", "value")
     out = ev.select("wheel_id", "filename").join(classes, "wheel_id", "left").join(more, "wheel_id", "left").join(conditions, "wheel_id", "left")
     none = F.array().cast("array<string>")
     last = policy.precedence[-1]
-    out = out.withColumns({"class": F.coalesce("class", F.lit(last)), "classes": F.when(F.size(F.coalesce("classes", none)) > 0, F.col("classes")).otherwise(F.array(F.lit(last))), **{k: F.coalesce(k, none) for k in ("relations", "rule_ids", "reasons", "families")}})
+    out = out.withColumns({
+        "class": F.coalesce("class", F.lit(last)),
+        "classes": F.when(F.size(F.coalesce("classes", none)) > 0, F.col("classes")).otherwise(F.array(F.lit(last))),
+        **{k: F.coalesce(k, none) for k in ("relations", "rule_ids", "reasons", "families")}
+    })
     return out.withColumn("needs_human_review", (F.col("class") != last) | F.coalesce("flagged", F.lit(False))).drop("flagged")
 
 
@@ -104,12 +138,23 @@ class Scan:
         cryptography, those to be looked at, errors, and each class."""
         ev = self.evidence
         place = [c for c in ("path", "ordinal") if c in ev.columns]
-        found = self.findings.groupBy("wheel_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", F.coalesce("subject", F.lit("")).alias("_s"), *[c for c in self.findings.columns if c not in ("wheel_id", "rule_id")]))).alias("findings"))
+        found = self.findings.groupBy("wheel_id").agg(F.array_sort(F.collect_list(F.struct(
+            "rule_id",
+            F.coalesce("subject", F.lit("")).alias("_s"),
+            *[c for c in self.findings.columns if c not in ("wheel_id", "rule_id")]
+        ))).alias("findings"))
         rows = ev.drop("py_sites").join(found, "wheel_id", "left").join(self.verdicts.drop("filename"), "wheel_id")
         if observed is not None:
             last = self.policy.precedence[-1]
             each = [F.count(F.when(F.col("class") == c, 1)).alias(c) for c in self.policy.precedence]
-            rows = rows.observe(observed, F.count("*").alias("wheels"), F.count(F.when(F.col("class") != last, 1)).alias("with_crypto"), F.count(F.when(F.col("needs_human_review"), 1)).alias("to_review"), F.sum(F.size("errors")).alias("errors"), *each)
+            rows = rows.observe(
+                observed,
+                F.count("*").alias("wheels"),
+                F.count(F.when(F.col("class") != last, 1)).alias("with_crypto"),
+                F.count(F.when(F.col("needs_human_review"), 1)).alias("to_review"),
+                F.sum(F.size("errors")).alias("errors"),
+                *each
+            )
         version, level = self.policy.version, self.level
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +201,17 @@ def record(r: dict, ruleset: str, level: str = "standard") -> dict:
         "tool": {"name": TOOL, "analyzer_version": ANALYZER_VERSION, "ruleset_version": ruleset, "evidence_level": level},
         "wheel": {"filename": r["filename"], "sha256": r["sha256"], "size_bytes": r["size_bytes"], "generator": generator, **head},
         "artifacts": {k: art[k] for k in ("py_files", "pyc_files", "py_files_unparsed", "source_available", "total_uncompressed_bytes")}
-        | {"binaries_truncated": len(r["binaries"]) > RECORD_ROWS, "record_entries": (meta or {}).get("record_entries") or 0, "extensions": [{"path": b["path"], "format": b["format"]} for b in objects], "bundled_libs": [b["path"] for b in objects if b["vendored_path"]], "sboms": (meta or {}).get("sbom_paths") or [], "skipped": [{"path": p, "reason": x} for p, x in skipped], "skipped_truncated": skipped_cut, "symlinks": [{"path": p, "target": x} for p, x in links], "symlinks_truncated": links_cut},
+        | {
+            "binaries_truncated": len(r["binaries"]) > RECORD_ROWS,
+            "record_entries": (meta or {}).get("record_entries") or 0,
+            "extensions": [{"path": b["path"], "format": b["format"]} for b in objects],
+            "bundled_libs": [b["path"] for b in objects if b["vendored_path"]],
+            "sboms": (meta or {}).get("sbom_paths") or [],
+            "skipped": [{"path": p, "reason": x} for p, x in skipped],
+            "skipped_truncated": skipped_cut,
+            "symlinks": [{"path": p, "target": x} for p, x in links],
+            "symlinks_truncated": links_cut
+        },
         "binaries": binaries,
         "findings": found,
         "verdict": {k: r[k] for k in ("class", "classes", "relations", "rule_ids", "reasons", "needs_human_review")} | {"conditions": conditions},

@@ -57,7 +57,10 @@ def s6(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-@query("s8_limit_filter", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN 'binary_too_large' WHEN n_chars >= 500 AND n_chars > 20 * (doc_id % 50 + 1) THEN 'compression_ratio_exceeded' END AS error, NOT coalesce(n_chars > 4000 OR (n_chars >= 500 AND n_chars > 20 * (doc_id % 50 + 1)), false) AS within FROM documents")
+@query(
+    "s8_limit_filter",
+    "SELECT doc_id, CASE WHEN n_chars > 4000 THEN 'binary_too_large' WHEN n_chars >= 500 AND n_chars > 20 * (doc_id % 50 + 1) THEN 'compression_ratio_exceeded' END AS error, NOT coalesce(n_chars > 4000 OR (n_chars >= 500 AND n_chars > 20 * (doc_id % 50 + 1)), false) AS within FROM documents"
+)
 def s8(spark, d):
     from granary.sources.wheels import limit_error
 
@@ -114,16 +117,25 @@ _SO = "CASE p_partkey % 5 WHEN 0 THEN 'lib' || lower(replace(p_brand, '#', ''))
 def _sonames(spark, d):
     p = F.col("p_partkey") % 5
     size = F.col("p_size").cast("string")
-    so = F.when(p == 0, F.concat(F.lit("lib"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".so."), size, F.lit(".1"))).when(p == 1, F.concat(F.lit("libcrypto-"), F.substring(F.md5("p_name"), 1, 8), F.lit(".so.3"))).when(p == 2, "LibCrypto-3-x64.DLL").when(p == 3, "usr/lib/libssl.3.dylib").otherwise(F.concat(F.lit("libfoo-"), size, F.lit(".so")))
+    so = F.when(
+        p == 0,
+        F.concat(F.lit("lib"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".so."), size, F.lit(".1"))
+    ).when(p == 1, F.concat(F.lit("libcrypto-"), F.substring(F.md5("p_name"), 1, 8), F.lit(".so.3"))).when(p == 2, "LibCrypto-3-x64.DLL").when(p == 3, "usr/lib/libssl.3.dylib").otherwise(F.concat(F.lit("libfoo-"), size, F.lit(".so")))
     return _t(spark, d, "part").select("p_partkey", so.alias("soname"))
 
 
-@query("p3_soname_reduce", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lib' || lower(replace(p_brand, '#', '')) WHEN 1 THEN 'libcrypto-' || substr(md5(p_name), 1, 8) WHEN 2 THEN 'libcrypto-3-x64' WHEN 3 THEN 'libssl' ELSE 'libfoo-' || p_size END AS base FROM part")
+@query(
+    "p3_soname_reduce",
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lib' || lower(replace(p_brand, '#', '')) WHEN 1 THEN 'libcrypto-' || substr(md5(p_name), 1, 8) WHEN 2 THEN 'libcrypto-3-x64' WHEN 3 THEN 'libssl' ELSE 'libfoo-' || p_size END AS base FROM part"
+)
 def p3(spark, d):
     return _sonames(spark, d).select("p_partkey", T.reduce_soname("soname").alias("base"))
 
 
-@query("p4_soname_normalise", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lib' || lower(replace(p_brand, '#', '')) WHEN 1 THEN 'libcrypto' WHEN 2 THEN 'libcrypto' WHEN 3 THEN 'libssl' ELSE 'libfoo-' || p_size END AS base, p_partkey % 5 = 1 AS mangled FROM part")
+@query(
+    "p4_soname_normalise",
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lib' || lower(replace(p_brand, '#', '')) WHEN 1 THEN 'libcrypto' WHEN 2 THEN 'libcrypto' WHEN 3 THEN 'libssl' ELSE 'libfoo-' || p_size END AS base, p_partkey % 5 = 1 AS mangled FROM part"
+)
 def p4(spark, d):
     return _sonames(spark, d).select("p_partkey", T.normalise_soname("soname").alias("base"), T.is_mangled("soname").alias("mangled"))
 
@@ -132,7 +144,16 @@ def p4(spark, d):
 def p6(spark, d):
     from granary.operators.evidence import is_opaque
 
-    o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "elf").otherwise("pe").alias("format"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("libc.so.6"))).otherwise(F.array().cast("array<string>")).alias("needed"), F.array().cast("array<string>").alias("matched_symbols"), F.array().cast("array<string>").alias("matched_strings"), F.array().cast("array<string>").alias("rust_crates"), (F.col("o_custkey") % 7).alias("dynsym_count"), (F.col("o_custkey") % 5).alias("symtab_count"))
+    o = _t(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 2 == 0, "elf").otherwise("pe").alias("format"),
+        F.when(F.col("o_orderstatus") == "F", F.array(F.lit("libc.so.6"))).otherwise(F.array().cast("array<string>")).alias("needed"),
+        F.array().cast("array<string>").alias("matched_symbols"),
+        F.array().cast("array<string>").alias("matched_strings"),
+        F.array().cast("array<string>").alias("rust_crates"),
+        (F.col("o_custkey") % 7).alias("dynsym_count"),
+        (F.col("o_custkey") % 5).alias("symtab_count")
+    )
     return o.select("o_orderkey", is_opaque().alias("opaque"))
 
 
@@ -164,13 +185,19 @@ def j1(spark, d):
     return _t(spark, d, "customer").join(R.dimension(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("j4_priority_coalesce", "SELECT c_custkey, coalesce(s.s_name, n.n_name) AS name, CASE WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN n.n_nationkey IS NOT NULL THEN 'nation' END AS resolved_table FROM customer LEFT JOIN supplier s ON c_custkey = s.s_suppkey LEFT JOIN nation n ON c_custkey = n.n_nationkey")
+@query(
+    "j4_priority_coalesce",
+    "SELECT c_custkey, coalesce(s.s_name, n.n_name) AS name, CASE WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN n.n_nationkey IS NOT NULL THEN 'nation' END AS resolved_table FROM customer LEFT JOIN supplier s ON c_custkey = s.s_suppkey LEFT JOIN nation n ON c_custkey = n.n_nationkey"
+)
 def j4(spark, d):
     tables = [("supplier", _t(spark, d, "supplier").withColumnRenamed("s_name", "name"), "s_suppkey"), ("nation", _t(spark, d, "nation").withColumnRenamed("n_name", "name"), "n_nationkey")]
     return R.first_of_tables(_t(spark, d, "customer").select("c_custkey"), "c_custkey", tables, "name").select("c_custkey", "name", "resolved_table")
 
 
-@query("j7_prefix_join", "SELECT DISTINCT p_partkey, prefix FROM part, (SELECT DISTINCT substr(p_name, 1, k) AS prefix FROM part, (VALUES (3), (5), (8)) v(k)) x, (VALUES (3), (5), (8)) w(n) WHERE length(prefix) = n AND substr(p_name, 1, n) = prefix")
+@query(
+    "j7_prefix_join",
+    "SELECT DISTINCT p_partkey, prefix FROM part, (SELECT DISTINCT substr(p_name, 1, k) AS prefix FROM part, (VALUES (3), (5), (8)) v(k)) x, (VALUES (3), (5), (8)) w(n) WHERE length(prefix) = n AND substr(p_name, 1, n) = prefix"
+)
 def j7(spark, d):
     """Names with all beginnings of three, five and eight characters that some name has."""
     p = _t(spark, d, "part")
@@ -181,12 +208,18 @@ def j7(spark, d):
 _GROUPS = {"license": ["License", "license"], "toxic": ["idiot", "moron"], "shout": ["!!"], "symbols": ["###", "$$$"]}
 
 
-@query("j8_contains_groups", "SELECT doc_id, g AS \"group\" FROM documents, (VALUES ('license', 'License'), ('license', 'license'), ('toxic', 'idiot'), ('toxic', 'moron'), ('shout', '!!'), ('symbols', '###'), ('symbols', '$$$')) v(g, lit) WHERE contains(text, lit) GROUP BY ALL")
+@query(
+    "j8_contains_groups",
+    "SELECT doc_id, g AS \"group\" FROM documents, (VALUES ('license', 'License'), ('license', 'license'), ('toxic', 'idiot'), ('toxic', 'moron'), ('shout', '!!'), ('symbols', '###'), ('symbols', '$$$')) v(g, lit) WHERE contains(text, lit) GROUP BY ALL"
+)
 def j8(spark, d):
     return R.contains_groups(_t(spark, d, "documents"), "text", _GROUPS).select("doc_id", "group")
 
 
-@query("j9_dotted_prefix", "SELECT p_partkey, min(m) AS module FROM part, (VALUES ('pkg'), ('pkg.Brand'), ('pkg.b1'), ('other')) v(m) WHERE ('pkg.b' || p_partkey % 4 || '.c') = m OR starts_with('pkg.b' || p_partkey % 4 || '.c', m || '.') GROUP BY p_partkey")
+@query(
+    "j9_dotted_prefix",
+    "SELECT p_partkey, min(m) AS module FROM part, (VALUES ('pkg'), ('pkg.Brand'), ('pkg.b1'), ('other')) v(m) WHERE ('pkg.b' || p_partkey % 4 || '.c') = m OR starts_with('pkg.b' || p_partkey % 4 || '.c', m || '.') GROUP BY p_partkey"
+)
 def j9(spark, d):
     names = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("pkg.b"), (F.col("p_partkey") % 4).cast("string"), F.lit(".c")).alias("name"))
     modules = spark.createDataFrame([("pkg",), ("pkg.Brand",), ("pkg.b1",), ("other",)], "module string")
@@ -205,13 +238,19 @@ def j11(spark, d):
     return R.suppress(_t(spark, d, "events"), by, ["user_id"], "event_type").select("event_id")
 
 
-@query("j11_suppress_subject", "SELECT o_orderkey FROM orders h WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_custkey = h.o_custkey AND h.o_orderstatus = 'O' AND f.o_orderstatus = 'F' AND nullif(f.o_orderpriority, '5-LOW') IS NOT DISTINCT FROM nullif(h.o_orderpriority, '5-LOW'))")
+@query(
+    "j11_suppress_subject",
+    "SELECT o_orderkey FROM orders h WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_custkey = h.o_custkey AND h.o_orderstatus = 'O' AND f.o_orderstatus = 'F' AND nullif(f.o_orderpriority, '5-LOW') IS NOT DISTINCT FROM nullif(h.o_orderpriority, '5-LOW'))"
+)
 def j11s(spark, d):
     o = _t(spark, d, "orders").withColumn("subject", F.nullif("o_orderpriority", F.lit("5-LOW")))
     return R.suppress(o, spark.createDataFrame([("O", "F")], "o_orderstatus string, by string"), ["o_custkey"], "o_orderstatus", "subject").select("o_orderkey")
 
 
-@query("j13_as_of", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_purchase FROM events")
+@query(
+    "j13_as_of",
+    "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_purchase FROM events"
+)
 def j13(spark, d):
     return R.as_of(_t(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", "event_id", "last_purchase").select("event_id", F.coalesce("last_purchase", F.lit(-1)).alias("last_purchase"))
 
@@ -244,12 +283,18 @@ def a1(spark, d):
 _POSTURE = "CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'system' WHEN o_orderkey % 7 = 0 THEN 'bundled' WHEN o_orderkey % 11 = 0 THEN 'static' WHEN o_orderkey % 13 = 0 THEN 'unknown' WHEN o_orderkey % 97 = 0 THEN 'mixed' ELSE 'none' END"
 
 
-@query("a5_posture_lattice", f"WITH p AS (SELECT o_custkey, {_POSTURE} AS posture FROM orders), s AS (SELECT o_custkey, bool_or(posture = 'mixed') AS m, count(DISTINCT posture) FILTER (posture IN ('system', 'bundled', 'static')) AS n, min(posture) FILTER (posture IN ('system', 'bundled', 'static')) AS one, bool_or(posture = 'unknown') AS u FROM p GROUP BY o_custkey) SELECT o_custkey, CASE WHEN m OR n >= 2 THEN 'mixed' WHEN n = 1 THEN one WHEN u THEN 'unknown' ELSE 'none' END AS value FROM s")
+@query(
+    "a5_posture_lattice",
+    f"WITH p AS (SELECT o_custkey, {_POSTURE} AS posture FROM orders), s AS (SELECT o_custkey, bool_or(posture = 'mixed') AS m, count(DISTINCT posture) FILTER (posture IN ('system', 'bundled', 'static')) AS n, min(posture) FILTER (posture IN ('system', 'bundled', 'static')) AS one, bool_or(posture = 'unknown') AS u FROM p GROUP BY o_custkey) SELECT o_custkey, CASE WHEN m OR n >= 2 THEN 'mixed' WHEN n = 1 THEN one WHEN u THEN 'unknown' ELSE 'none' END AS value FROM s"
+)
 def a5(spark, d):
     return R.resolve_postures(_t(spark, d, "orders").withColumn("posture", F.expr(_POSTURE)), ["o_custkey"], "posture")
 
 
-@query("a7_verdict_precedence", "WITH v AS (SELECT DISTINCT o_custkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 4 WHEN '4' THEN 5 END AS rank FROM orders) SELECT o_custkey, coalesce(string_agg(list_extract(['NON_APPROVED_CRYPTO', 'FIPS_BREAKING', 'CONDITIONAL', 'CONTEXT_DEPENDENT', 'OPAQUE'], rank), ',' ORDER BY rank) FILTER (rank IS NOT NULL), '') AS classes, coalesce(list_extract(['NON_APPROVED_CRYPTO', 'FIPS_BREAKING', 'CONDITIONAL', 'CONTEXT_DEPENDENT', 'OPAQUE'], min(rank)), 'NO_CRYPTO_DETECTED') AS class FROM v GROUP BY o_custkey")
+@query(
+    "a7_verdict_precedence",
+    "WITH v AS (SELECT DISTINCT o_custkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 4 WHEN '4' THEN 5 END AS rank FROM orders) SELECT o_custkey, coalesce(string_agg(list_extract(['NON_APPROVED_CRYPTO', 'FIPS_BREAKING', 'CONDITIONAL', 'CONTEXT_DEPENDENT', 'OPAQUE'], rank), ',' ORDER BY rank) FILTER (rank IS NOT NULL), '') AS classes, coalesce(list_extract(['NON_APPROVED_CRYPTO', 'FIPS_BREAKING', 'CONDITIONAL', 'CONTEXT_DEPENDENT', 'OPAQUE'], min(rank)), 'NO_CRYPTO_DETECTED') AS class FROM v GROUP BY o_custkey"
+)
 def a7(spark, d):
     p = F.substring("o_orderpriority", 1, 1)
     v = F.when(p == "1", PRECEDENCE[0]).when(p == "2", PRECEDENCE[2]).when(p == "3", PRECEDENCE[3]).when(p == "4", PRECEDENCE[4])
@@ -268,10 +313,21 @@ def a12(spark, d):
     return _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.count_if(F.col("lang") == "en").alias("english"), F.sum("n_chars").cast("long").alias("total_chars"), F.countDistinct("lang").alias("langs"))
 
 
-@query("a13_slice_merge", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS names, sum(l_linenumber)::BIGINT AS total, coalesce(arg_min(l_partkey, (l_linenumber, l_partkey)) FILTER (l_partkey % 3 <> 0), 0) AS first_known, bool_and(l_quantity > 5) AS \"all\" FROM lineitem GROUP BY l_orderkey")
+@query(
+    "a13_slice_merge",
+    "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS names, sum(l_linenumber)::BIGINT AS total, coalesce(arg_min(l_partkey, (l_linenumber, l_partkey)) FILTER (l_partkey % 3 <> 0), 0) AS first_known, bool_and(l_quantity > 5) AS \"all\" FROM lineitem GROUP BY l_orderkey"
+)
 def a13(spark, d):
     li = _t(spark, d, "lineitem").withColumn("known", F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")))
-    return R.merge_slices(li, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_returnflag", "l_linenumber", "known", F.col("l_quantity") > 5).withColumns({"names": F.array_join("names", ","), "first_known": F.coalesce("first_known", F.lit(0))})
+    return R.merge_slices(
+        li,
+        ["l_orderkey"],
+        ["l_linenumber", "l_partkey"],
+        "l_returnflag",
+        "l_linenumber",
+        "known",
+        F.col("l_quantity") > 5
+    ).withColumns({"names": F.array_join("names", ","), "first_known": F.coalesce("first_known", F.lit(0))})
 
 
 @query("a15_tallies", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 4")
@@ -292,13 +348,19 @@ def a18(spark, d):
 # -- windows and caps --------------------------------------------------------------
 
 
-@query("w1_representative_cap", "WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 4 = 0 AS pin, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY (l_partkey % 4 = 0) DESC, l_orderkey, l_linenumber) AS rn FROM lineitem), b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN rn = 1 AND pin THEN 1 WHEN rn = 1 THEN 2 WHEN pin THEN 3 ELSE 4 END, l_orderkey, l_linenumber) AS place FROM a) SELECT l_suppkey, l_orderkey, l_linenumber FROM b WHERE place <= 10")
+@query(
+    "w1_representative_cap",
+    "WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 4 = 0 AS pin, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY (l_partkey % 4 = 0) DESC, l_orderkey, l_linenumber) AS rn FROM lineitem), b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN rn = 1 AND pin THEN 1 WHEN rn = 1 THEN 2 WHEN pin THEN 3 ELSE 4 END, l_orderkey, l_linenumber) AS place FROM a) SELECT l_suppkey, l_orderkey, l_linenumber FROM b WHERE place <= 10"
+)
 def w1(spark, d):
     li = _t(spark, d, "lineitem")
     return R.representative_cap(li, ["l_suppkey"], ["l_returnflag"], F.col("l_partkey") % 4 == 0, ["l_orderkey", "l_linenumber"], 10).select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
-@query("w3_finding_aware_cap", "WITH o AS (SELECT DISTINCT l_suppkey, l_orderkey AS path FROM lineitem), n AS (SELECT DISTINCT l_suppkey, l_orderkey AS path, l_returnflag FROM lineitem WHERE l_linenumber = 3), u AS (SELECT l_suppkey, min(path) AS path, 1 AS c, l_returnflag AS k FROM n GROUP BY l_suppkey, l_returnflag UNION ALL SELECT l_suppkey, path, 2, path::VARCHAR FROM n UNION ALL SELECT l_suppkey, path, 3, path::VARCHAR FROM o), b AS (SELECT l_suppkey, path, min(c::VARCHAR || k) AS s FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, path) AS place FROM b) SELECT l_suppkey, path FROM r WHERE place <= 8")
+@query(
+    "w3_finding_aware_cap",
+    "WITH o AS (SELECT DISTINCT l_suppkey, l_orderkey AS path FROM lineitem), n AS (SELECT DISTINCT l_suppkey, l_orderkey AS path, l_returnflag FROM lineitem WHERE l_linenumber = 3), u AS (SELECT l_suppkey, min(path) AS path, 1 AS c, l_returnflag AS k FROM n GROUP BY l_suppkey, l_returnflag UNION ALL SELECT l_suppkey, path, 2, path::VARCHAR FROM n UNION ALL SELECT l_suppkey, path, 3, path::VARCHAR FROM o), b AS (SELECT l_suppkey, path, min(c::VARCHAR || k) AS s FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, path) AS place FROM b) SELECT l_suppkey, path FROM r WHERE place <= 8"
+)
 def w3(spark, d):
     li = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "path")
     return R.finding_cap(li.select("l_suppkey", "path").distinct(), li.where("l_linenumber = 3"), "l_suppkey", "path", ["l_returnflag"], 8)
@@ -314,7 +376,10 @@ def w6(spark, d):
     return R.running_budget(_t(spark, d, "documents"), "source", ["doc_id"], "n_chars", 60_000, "taken").select("doc_id", "taken")
 
 
-@query("w8_interval_merge", "WITH i AS (SELECT user_id, event_id AS s, event_id + 300 AS e FROM events), a AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY user_id ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS fresh FROM i), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS merged FROM b GROUP BY user_id, island")
+@query(
+    "w8_interval_merge",
+    "WITH i AS (SELECT user_id, event_id AS s, event_id + 300 AS e FROM events), a AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY user_id ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS fresh FROM i), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS merged FROM b GROUP BY user_id, island"
+)
 def w8(spark, d):
     return R.merge_intervals(_t(spark, d, "events").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 300).alias("e")), "user_id", "s", "e")
 
@@ -391,7 +456,10 @@ def f16(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.cache_key(F.sha2(F.col("text").cast("binary"), 256), "lang", "source", F.lit("2"), F.lit("59")).alias("key"))
 
 
-@query("f20_sbom_keys", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Ünï_' || s_name ELSE lower('Lib_' || s_name) END AS library_key, replace(CASE WHEN s_suppkey % 5 = 0 THEN 'Ünï_' || s_name ELSE lower('Lib_' || s_name) END, '_', '-') AS crate_key FROM supplier")
+@query(
+    "f20_sbom_keys",
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Ünï_' || s_name ELSE lower('Lib_' || s_name) END AS library_key, replace(CASE WHEN s_suppkey % 5 = 0 THEN 'Ünï_' || s_name ELSE lower('Lib_' || s_name) END, '_', '-') AS crate_key FROM supplier"
+)
 def f20(spark, d):
     name = F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("Ünï_"), F.col("s_name"))).otherwise(F.concat(F.lit("Lib_"), F.col("s_name")))
     return _t(spark, d, "supplier").select("s_suppkey", T.sbom_library_key(name).alias("library_key"), T.sbom_crate_key(name).alias("crate_key"))
@@ -409,13 +477,19 @@ def n24(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(r).cast("long").alias("runs"), F.md5(F.array_join(r, "\n").cast("binary")).alias("joined"))
 
 
-@query("r1_summary_row", "SELECT c_custkey, coalesce(string_agg(o_orderstatus || ':' || n, ', ' ORDER BY o_orderstatus), '-') AS libraries FROM customer LEFT JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) ON c_custkey = o_custkey GROUP BY c_custkey")
+@query(
+    "r1_summary_row",
+    "SELECT c_custkey, coalesce(string_agg(o_orderstatus || ':' || n, ', ' ORDER BY o_orderstatus), '-') AS libraries FROM customer LEFT JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) ON c_custkey = o_custkey GROUP BY c_custkey"
+)
 def r1(spark, d):
     o = _t(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").count().groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.concat_ws(":", "o_orderstatus", F.col("count").cast("string")))).alias("l"))
     return _t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", T.or_dash(F.coalesce("l", F.array().cast("array<string>"))).alias("libraries"))
 
 
-@query("r3_reasons_summary", "SELECT o_custkey, array_to_string(list_slice(l, 1, 3), '; ') || CASE WHEN len(l) > 3 THEN '; +' || (len(l) - 3) || ' more' ELSE '' END AS reasons FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey::VARCHAR)) AS l FROM orders GROUP BY o_custkey)")
+@query(
+    "r3_reasons_summary",
+    "SELECT o_custkey, array_to_string(list_slice(l, 1, 3), '; ') || CASE WHEN len(l) > 3 THEN '; +' || (len(l) - 3) || ' more' ELSE '' END AS reasons FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey::VARCHAR)) AS l FROM orders GROUP BY o_custkey)"
+)
 def r3(spark, d):
     return _t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("l")).select("o_custkey", T.first_and_more("l").alias("reasons"))
 
@@ -425,7 +499,10 @@ def r9(spark, d):
     return _t(spark, d, "pages").select("page_id", F.md5(T.script_safe("html").cast("binary")).alias("embedded"))
 
 
-@query("v16_suppression_cycle", "WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey <> n_regionkey), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT a AS node, bool_or(a = b) AS cyclic FROM w GROUP BY a")
+@query(
+    "v16_suppression_cycle",
+    "WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey <> n_regionkey), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT a AS node, bool_or(a = b) AS cyclic FROM w GROUP BY a"
+)
 def v16(spark, d):
     from granary.operators.graph import cyclic_nodes
 

@@ -25,7 +25,12 @@ def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
     v = F.try_parse_json(line)
     kinds = F.from_json(F.get_json_object(line, "$.errors"), "array<struct<kind:string>>")
     aborted = F.coalesce(F.exists(kinds, lambda e: e["kind"].isin(ABORTED)), F.lit(False))
-    return lines.where(v.isNotNull()).select(*[c for c in lines.columns if c not in (line, "filename")], F.get_json_object(line, "$.wheel.filename").alias("filename"), F.col(line).alias("line"), aborted.alias("aborted")).where("filename is not null")
+    return lines.where(v.isNotNull()).select(
+        *[c for c in lines.columns if c not in (line, "filename")],
+        F.get_json_object(line, "$.wheel.filename").alias("filename"),
+        F.col(line).alias("line"),
+        aborted.alias("aborted")
+    ).where("filename is not null")
 
 
 def resumable(spark: SparkSession, path: str) -> DataFrame:

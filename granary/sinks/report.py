@@ -16,7 +16,16 @@ def summary(r: dict) -> list[str]:
     v, libs = r["verdict"], r["crypto"]["libraries"]
     reasons = v["reasons"]
     more = f"; +{len(reasons) - 3} more" if len(reasons) > 3 else ""
-    row = [r["wheel"]["filename"], v["class"], ", ".join(f"{x['name']}:{x['linkage']}" for x in libs), ", ".join(r["crypto"]["families"]), str(len(v["rule_ids"])), "; ".join(reasons[:3]) + more, "yes" if v["needs_human_review"] else "no", str(len(r["errors"]))]
+    row = [
+        r["wheel"]["filename"],
+        v["class"],
+        ", ".join(f"{x['name']}:{x['linkage']}" for x in libs),
+        ", ".join(r["crypto"]["families"]),
+        str(len(v["rule_ids"])),
+        "; ".join(reasons[:3]) + more,
+        "yes" if v["needs_human_review"] else "no",
+        str(len(r["errors"]))
+    ]
     return [x or "-" for x in row]
 
 

@@ -105,7 +105,10 @@ def build(name: str, version: str, files: dict[str, bytes], tag: str = "py3-none
     """A wheel with METADATA, WHEEL and a RECORD that lists every member but the unrecorded."""
     more = "".join(f"Requires-Dist: {r}\n" for r in requires or ())
     info = f"{name}-{version}.dist-info"
-    members = dict(files) | {f"{info}/METADATA": f"Metadata-Version: 2.1\nName: {name}\nVersion: {version}\n{more}".encode(), f"{info}/WHEEL": f"Wheel-Version: 1.0\nGenerator: bdist_wheel (0.43.0)\nRoot-Is-Purelib: true\nTag: {tag}\n".encode()}
+    members = dict(files) | {
+        f"{info}/METADATA": f"Metadata-Version: 2.1\nName: {name}\nVersion: {version}\n{more}".encode(),
+        f"{info}/WHEEL": f"Wheel-Version: 1.0\nGenerator: bdist_wheel (0.43.0)\nRoot-Is-Purelib: true\nTag: {tag}\n".encode()
+    }
     members[f"{info}/RECORD"] = "".join(f"{n},,\n" for n in [*members, f"{info}/RECORD"]).encode()
     members |= unrecorded or {}
     out = io.BytesIO()

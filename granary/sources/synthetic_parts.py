@@ -41,7 +41,14 @@ hashlib.sha256(b"")
 digest(b""); digest(b"")
 """
 #: Calls that HASHES makes: line, target, algorithm, usedforsecurity.
-CALLS = [(3, "hashlib.md5", "md5", "absent"), (4, "hashlib.new", "md5", "false"), (5, "hashlib.new", "sha1", "unresolved"), (6, "hashlib.new", "unresolved", "absent"), (7, "hashlib.sha1", "sha1", "unresolved"), (9, "hashlib.md5", "md5", "absent")]
+CALLS = [
+    (3, "hashlib.md5", "md5", "absent"),
+    (4, "hashlib.new", "md5", "false"),
+    (5, "hashlib.new", "sha1", "unresolved"),
+    (6, "hashlib.new", "unresolved", "absent"),
+    (7, "hashlib.sha1", "sha1", "unresolved"),
+    (9, "hashlib.md5", "md5", "absent")
+]
 
 
 def _with(wheel: bytes, drop: str | None = None, change: dict[str, bytes] | None = None) -> bytes:
