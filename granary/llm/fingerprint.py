@@ -155,7 +155,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 75, denominato
             token = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2]).copy()
             for j in range(width):
                 token = K.mix64(token + sig[:, :, j] * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token.reshape(-1).view(np.int64)), "doc": pa.array(np.repeat(b.column(0).to_numpy()[own], BANDS)), "node": pa.array(np.repeat(node[own], BANDS)), "n": pa.array(np.repeat(n[own].astype(np.int32), BANDS)), "pos": pa.array(np.zeros(len(own) * BANDS, np.int32))})
+            yield pa.RecordBatch.from_pydict({
+                "token": pa.array(token.reshape(-1).view(np.int64)),
+                "doc": pa.array(np.repeat(b.column(0).to_numpy()[own], BANDS)),
+                "node": pa.array(np.repeat(node[own], BANDS)),
+                "n": pa.array(np.repeat(n[own].astype(np.int32), BANDS)),
+                "pos": pa.array(np.zeros(len(own) * BANDS, np.int32))
+            })
 
     postings = docs.where("doc_id is not null").mapInArrow(run, "token long, doc long, node long, n int, pos int")
     return jaccard.with_components(rows, nodes, links.linked(postings, nodes, docs, k, numerator, denominator))

@@ -38,7 +38,8 @@ def features(docs: DataFrame, k: int, frequencies: bool = True) -> DataFrame:
     frequencies, rows (piece, counts) of each partition's part of the frequency cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = np.zeros(FREQUENCY_CELLS, np.int64), np.zeros(0, np.int64)
+        # seen holds the distinct sets of one task's share of the table, 8 bytes each
+        count, seen = np.zeros(FREQUENCY_CELLS, np.int64), set()
         any_row = False
         for b in batches:
             if not b.num_rows:
@@ -47,18 +48,32 @@ def features(docs: DataFrame, k: int, frequencies: bool = True) -> DataFrame:
             s, off = K.distinct(*K.shingles(*K.words(b.column(1)), k))
             node = links.digest(s, off)
             if frequencies:
-                _, first = np.unique(node, return_index=True)
-                fresh = first[~np.isin(node[first], seen)]
-                seen = np.union1d(seen, node[fresh])
+                first = np.unique(node, return_index=True)[1]
+                fresh = np.array([i for i in first.tolist() if int(node[i]) not in seen], np.int64)
+                seen.update(node[fresh].tolist())
                 own = np.zeros(len(node), bool)
                 own[fresh] = True
                 count += np.bincount((s[np.repeat(own, np.diff(off))] >> _SHIFT).astype(np.int64), minlength=FREQUENCY_CELLS)
             h = links.histograms(s, off)
             n = len(node)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "node": pa.array(node), "n": pa.array(np.diff(off)), "cells": links.binary([x.tobytes() for x in h]), "piece": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column(0),
+                "node": pa.array(node),
+                "n": pa.array(np.diff(off)),
+                "cells": links.binary([x.tobytes() for x in h]),
+                "piece": pa.nulls(n, pa.int32()),
+                "counts": pa.nulls(n, pa.binary())
+            })
         if frequencies and any_row:
             parts = count.astype("<u4").reshape(PIECES, -1)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "cells": pa.nulls(PIECES, pa.binary()), "piece": pa.array(range(PIECES), pa.int32()), "counts": links.binary([x.tobytes() for x in parts])})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.nulls(PIECES, pa.int64()),
+                "node": pa.nulls(PIECES, pa.int64()),
+                "n": pa.nulls(PIECES, pa.int64()),
+                "cells": pa.nulls(PIECES, pa.binary()),
+                "piece": pa.array(range(PIECES), pa.int32()),
+                "counts": links.binary([x.tobytes() for x in parts])
+            })
 
     return common.kept(docs.mapInArrow(run, "doc_id long, node long, n long, cells binary, piece int, counts binary"), "features")
 
@@ -108,7 +123,13 @@ def prefixes(docs: DataFrame, k: int, numerator: int, denominator: int, frequenc
                 continue
             lengths = np.array([len(x) for x in token])
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(token).view(np.int64)), "doc": pa.array(np.repeat(np.array(at, np.int64), lengths)), "node": pa.array(np.repeat(np.array(own, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(pos.astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({
+                "token": pa.array(np.concatenate(token).view(np.int64)),
+                "doc": pa.array(np.repeat(np.array(at, np.int64), lengths)),
+                "node": pa.array(np.repeat(np.array(own, np.int64), lengths)),
+                "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                "pos": pa.array(pos.astype(np.int32))
+            })
 
     return docs.mapInArrow(run, "token long, doc long, node long, n int, pos int")
 

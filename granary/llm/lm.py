@@ -310,7 +310,14 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     def read(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
         own = _unpacked(t.column("pack"))
         out = score(own.column("text"), [x.as_py() for x in answers.sort_by("range").column("answer")], n_train, v_train)
-        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array(np.full(len(own), n_train), pa.int64()), "base_score": pa.array(out["base_score"]), "score": pa.array(out["score"])})
+        return pa.table({
+            "doc_id": own.column("doc_id"),
+            "n_tokens": pa.array(out["n_tokens"], pa.int64()),
+            "n_known": pa.array(out["n_known"], pa.int64()),
+            "train_tokens": pa.array(np.full(len(own), n_train), pa.int64()),
+            "base_score": pa.array(out["base_score"]),
+            "score": pa.array(out["score"])
+        })
 
     kind = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packs.groupBy("block").cogroup(answered.select("block", "range", "answer").groupBy("block")).applyInArrow(read, kind)

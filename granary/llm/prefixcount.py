@@ -308,7 +308,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
             n_bytes.append(len(text.encode()))
             n_tokens.append(n)
             fits.append(len(text) if n <= limit else p.fit(limit))
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_()), "fits_chars": pa.array(fits, pa.int64())})
+        return pa.RecordBatch.from_pydict({
+            "doc_id": b.column(0),
+            "n_bytes": pa.array(n_bytes, pa.int64()),
+            "n_tokens": pa.array(n_tokens, pa.int64()),
+            "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_()),
+            "fits_chars": pa.array(fits, pa.int64())
+        })
 
     return common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
 
