@@ -26,6 +26,12 @@ def opaque(b: Column) -> Column:
     return (F.size(b["needed"]) == 0) & (F.size(b["matched_symbols"]) == 0) & (F.size(b["matched_strings"]) == 0) & (F.size(b["rust_crates"]) == 0) & (count == 0)
 
 
+def incompletely_read() -> Column:
+    """Whether a wheel has members that were not read, links, or objects with errors."""
+    a = F.col("artifacts")
+    return (F.size(a["skipped"]) > 0) | (F.size(a["symlinks"]) > 0) | F.exists("errors", lambda e: e["stage"] == "binary")
+
+
 def needed(evidence: DataFrame, policy: Policy) -> DataFrame:
     """(wheel_id, object_ix, path, needed, base, mangled, posture) of every dependency (L1, L2)."""
     globs = policy.conventions["vendor_dir_globs"]
@@ -39,8 +45,7 @@ def needed(evidence: DataFrame, policy: Policy) -> DataFrame:
         F.col("b.needed").alias("all_needed")
     )
     stems = obj.where(~F.col("from_archive")).groupBy("wheel_id", F.col("own").alias("stem")).agg(F.count("*").alias("n"))
-    a = F.col("artifacts")
-    unread = evidence.select("wheel_id", ((F.size(a["skipped"]) > 0) | (F.size(a["symlinks"]) > 0) | F.exists("errors", lambda e: e["stage"] == "binary")).alias("unread"))
+    unread = evidence.select("wheel_id", incompletely_read().alias("unread"))
     rows = obj.select("wheel_id", "object_ix", "path", "own", "from_archive", "rpaths", F.explode("all_needed").alias("needed")).withColumn("stem", T.reduce_soname("needed"))
     rows = rows.join(stems, ["wheel_id", "stem"], "left").join(unread, "wheel_id")
     inside = F.coalesce("n", F.lit(0)) > F.when((F.col("own") == F.col("stem")) & ~F.col("from_archive"), 1).otherwise(0)

@@ -247,6 +247,7 @@ def bundled_library(c: Context) -> DataFrame:
     rows = _objects(c, "vendored_path", "soname", "matched_strings").where("vendored_path").withColumn("base", T.normalise_soname(F.coalesce("soname", "path"))).join(_sonames(c), F.col("base") == F.col("known"))
     rows = rows.join(c.entries("crypto_library"), F.col("library") == F.col("entry"))
     rows = rows.join(_as_match(c.rules("bundled_library", *_LIBRARY_RULE, kinds=_KINDS)), _library_ok())
+    rows = rows.where("owner is null or owner = rule_id")  # an entry without an owner is for any rule (P20)
     groups = local_frame(c.spark, [(x["name"], x.get("string_group")) for x in c.policy.entries("crypto_library")], "lib string, lib_group string")
     rows = rows.join(F.broadcast(groups), F.col("library") == F.col("lib"))  # a policy table
     banner = F.try_element_at(F.filter("matched_strings", lambda s: s["group"] == F.col("lib_group")), F.lit(1))["value"]

@@ -344,3 +344,87 @@ def u2(spark, d):
 def u3(spark, d):
     _table_functions(spark, d)
     return spark.sql("SELECT key, o.path, o.format FROM part_wheels w, LATERAL native_objects(w.content, w.filename) o")
+
+
+# -- small functions and the policy's tables ---------------------------------------
+
+
+def _bytes_to(df: DataFrame, f: Callable[[bytes], tuple], ddl: str, kinds: list[pa.DataType]) -> DataFrame:
+    """A column of bytes (the last) replaced by what a decoder makes of it."""
+    keys, names = df.columns[:-1], [c.split()[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [f(x or b"") for x in b.column(b.num_columns - 1).to_pylist()]
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*keys, *names])
+
+    head = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in df.schema.fields[:-1])
+    return df.mapInArrow(run, f"{head}, {ddl}")
+
+
+@query("w7_name_bounds", "SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) <= 8192 THEN length(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7e]', '', 'g')) ELSE -1 END AS printable FROM documents")
+def w7(spark, d):
+    """Names of at most 8 KiB, read to their end or not at all."""
+    from granary.extract.native.common import Names
+
+    def read(x: bytes) -> tuple:
+        name = Names(x + b"\0").at(0)
+        return (-1 if name is None else len(name),)
+
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.replace("text", F.lit("\0"), F.lit("")).cast("binary").alias("text"))
+    return _bytes_to(rows, read, "printable long", [pa.int64()])
+
+
+@query("f6_uvarint", "SELECT o_orderkey, o_orderkey * 131 AS value, CASE WHEN o_orderkey * 131 < 128 THEN 1 WHEN o_orderkey * 131 < 16384 THEN 2 WHEN o_orderkey * 131 < 2097152 THEN 3 WHEN o_orderkey * 131 < 268435456 THEN 4 ELSE 5 END::BIGINT AS bytes FROM orders")
+def f6(spark, d):
+    """Numbers in base 128, low digits first."""
+    from granary.extract.native.strings import _uvarint
+
+    digit = lambda i: F.shiftrightunsigned("value", 7 * i)
+    byte = lambda i: F.when((digit(i) > 0) | F.lit(i == 0), F.unhex(F.lpad(F.hex(digit(i).bitwiseAND(F.lit(127)) + F.when(digit(i + 1) > 0, 128).otherwise(0)), 2, "0"))).otherwise(F.lit(b""))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 131).alias("value")).withColumn("data", F.concat(*[byte(i) for i in range(9)]))
+    return _bytes_to(rows.select("o_orderkey", "data"), lambda x: _uvarint(x, 0), "value long, bytes long", [pa.int64(), pa.int64()])
+
+
+@query("p17_incompletely_read", "SELECT p_partkey AS key, p_partkey % 16 IN (10, 11, 15) AS unread FROM part")
+def p17(spark, d):
+    from granary.plans import linkage
+
+    return _evidence(spark, d).select("key", linkage.incompletely_read().alias("unread"))
+
+
+@query("p20_owners", "SELECT * FROM (VALUES ('crypto_distribution', 'DIST_NON_APPROVED_CRYPTO', 17::BIGINT), ('crypto_distribution', 'DIST_NON_CRYPTO_HASH', 7), ('crypto_distribution', 'DIST_SYSTEM_CRYPTO_WRAPPER', 5), ('crypto_distribution', 'DIST_BUNDLED_TRUST_STORE', 1), ('rust_crate', 'BIN_RUST_CRYPTO_CRATE', 43), ('rust_crate', 'BIN_AWS_LC_RS_CRATE', 1), ('rust_crate', 'BIN_AWS_LC_FIPS', 1), ('python_module', 'PY_IMPORT_CRYPTO_MODULE', 21), ('python_module', 'PY_INSECURE_RNG', 1), ('crypto_library', '-', 13)) v(tbl, owner, entries)")
+def p20(spark, d):
+    """Which rule reports an entry: its own, its table's default, or any (P20, V7)."""
+    p = _scan(spark, d).policy
+    out = None
+    for t in ("crypto_distribution", "rust_crate", "python_module", "crypto_library"):
+        own = p.frame(spark, t).select(F.lit(t).alias("tbl"), F.coalesce("owner", F.lit("-")).alias("owner"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("tbl", "owner").agg(F.count("*").alias("entries"))
+
+
+@query("s29_rules_table", "SELECT * FROM (VALUES ('NON_APPROVED_CRYPTO', 'binary', 12::BIGINT), ('CONDITIONAL', 'binary', 11), ('-', 'binary', 9), ('-', 'metadata', 7), ('OPAQUE', 'metadata', 6), ('CONDITIONAL', 'python', 6), ('OPAQUE', 'binary', 5), ('CONTEXT_DEPENDENT', 'python', 4), ('CONDITIONAL', 'metadata', 2), ('OPAQUE', 'derived', 2), ('-', 'python', 2), ('NON_APPROVED_CRYPTO', 'metadata', 1), ('CONTEXT_DEPENDENT', 'metadata', 1), ('CONDITIONAL', 'derived', 1), ('CONTEXT_DEPENDENT', 'binary', 1), ('FIPS_BREAKING', 'python', 1)) v(class, layer, rules)")
+def s29(spark, d):
+    """The rules by class and layer, read back from the printed Markdown table."""
+    import argparse
+    import contextlib
+    import io
+
+    from granary import cli
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        cli._rules(argparse.Namespace(ruleset=None, format="md"))
+    lines = [[c.strip() for c in x.strip("| ").split("|")] for x in out.getvalue().split("\n\n")[0].splitlines()[2:]]
+    rows = spark.createDataFrame([(x[0], x[1], x[3]) for x in lines], "rule_id string, layer string, class string")
+    return rows.groupBy("class", "layer").agg(F.count("*").alias("rules"))
+
+
+@query("o8_sorted_evidence", "SELECT p_partkey AS key, true AS sorted FROM part")
+def o8(spark, d):
+    """Objects by path, symbols by group, name and binding, strings by group and value."""
+    inner = lambda b: (F.transform(b["matched_symbols"], lambda s: F.struct(s["group"], s["name"], s["binding"])) == F.array_sort(F.transform(b["matched_symbols"], lambda s: F.struct(s["group"], s["name"], s["binding"])))) & (b["matched_strings"] == F.array_sort(b["matched_strings"]))
+    paths = F.transform("binaries", lambda b: b["path"])
+    return _evidence(spark, d).select("key", (F.forall("binaries", inner) & (paths == F.array_sort(paths))).alias("sorted"))
