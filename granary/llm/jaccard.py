@@ -175,3 +175,16 @@ def deduplicated(docs: DataFrame, k: int = 5, numerator: int = 75, denominator:
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Classes of all documents whose five-word shingles overlap by 0.75."""
     return similar(common.documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, and what links reach.
+ORACLE_SQL = """WITH RECURSIVE word AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM word),
+one AS (SELECT doc_id, unnest(g) AS s FROM grams),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM one a JOIN one b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN grams x ON x.doc_id = a JOIN grams y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.g) + len(y.g) - n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, edge.b FROM reach JOIN edge ON reach.y = edge.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, low AS component_id FROM grams JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) ON x = doc_id"""

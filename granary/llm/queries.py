@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.ORACLE_SQL}
+    return {"op5_ngram_jaccard_join": jaccard.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}

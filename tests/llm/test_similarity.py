@@ -46,6 +46,19 @@ def test_join_is_the_brute_force_join(docs, texts, repeated, empty):
     assert jaccard.similar(empty).count() == 0
 
 
+def test_join_is_its_sql(spark, docs, texts, tmp_path):
+    """The statement and the operator, on the test texts and on a whole table."""
+    import duckdb
+
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    for at, files in ((str(tmp_path), "documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "documents.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{at}/{files}'")
+        want = {tuple(r) for r in con.sql(jaccard.ORACLE_SQL).fetchall()}
+        got = [tuple(r) for r in jaccard.op5_ngram_jaccard_join(spark, at).select("doc_id", "n_shingles", "component_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_more_rounds_and_many_cells_give_the_same(docs, texts, monkeypatch):
     monkeypatch.setattr(links, "CELL_ROWS", 2)
     want = {(k, c) for k, c in classes(sets(texts)).items()}
