@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import stat
 import struct
+import warnings
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -98,7 +99,8 @@ def _library(*needed: str, runpath: str | None = None) -> bytes:
 def _with_link(wheel: bytes, name: str, target: str, again: str | None = None, ratio: str | None = None) -> bytes:
     """The wheel with a symlink, with a member twice, and with one that claims to unpack hugely."""
     out = io.BytesIO(wheel)
-    with zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
+        warnings.simplefilter("ignore")  # a member twice is meant
         i = zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0))
         i.external_attr = (stat.S_IFLNK | 0o777) << 16
         z.writestr(i, target)

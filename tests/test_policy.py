@@ -21,6 +21,14 @@ def test_refused(number):
     assert [c for c, by in policy_queries.refusals(number) if by != want] == []
 
 
+@pytest.mark.parametrize("name", sorted(policy_queries.SQL))
+def test_policy_query(spark, name):
+    import duckdb
+
+    got = sorted(tuple(r) for r in policy_queries.QUERIES[name](spark, "").select("case", "refused_by").collect())
+    assert got == sorted(duckdb.sql(policy_queries.SQL[name]).fetchall())
+
+
 def test_every_check_has_a_case():
     assert set(coherence.CHECKS) == set(policy_queries.CASES) - {"allowed"}
 
