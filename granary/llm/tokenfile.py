@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import common, tokens
@@ -184,31 +184,45 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     return common.kept(ordered.mapInArrow(run, "part int, seq int, n_ids long, payload binary"), "token-ids")
 
 
+#: Partitions whose segments are added up by one task.
+GROUP = 1024
+
+
+def starts(segments: DataFrame) -> DataFrame:
+    """(part, seq, before): ids of all segments before each.  Sums of groups of partitions are
+    added up first, a row for `GROUP` partitions; then each group's segments by themselves."""
+    sizes = segments.select("part", "seq", "n_ids", F.floor(F.col("part") / GROUP).cast("int").alias("group"))
+    none = F.lit(0).cast("long")
+    groups = sizes.groupBy("group").agg(F.sum("n_ids").alias("total"))
+    order = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group", F.coalesce(F.sum("total").over(order), none).alias("first"))
+    own = Window.partitionBy("group").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.join(groups, "group").select("part", "seq", (F.col("first") + F.coalesce(F.sum("n_ids").over(own), none)).alias("before"))
+
+
 def read(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from segments.
 
-    A segment's first place is the total of those before it: one number for a million ids
-    goes to the driver, never anything for a document."""
-    spark = segments.sparkSession
-    sizes = sorted((r["part"], r["seq"], r["n_ids"]) for r in segments.select("part", "seq", "n_ids").collect())
-    starts, at = {}, 0
-    for part, seq, n in sizes:
-        starts[part, seq], at = at, at + n
-    shared = spark.sparkContext.broadcast(starts)
+    Documents get their place within the segment; where the segment starts is joined to these
+    short rows, and payloads stay where they are."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+        out: dict[str, list] = {"part": [], "seq": [], "doc_id": [], "place": [], "n_tokens": [], "ids_crc32": []}
         for part, seq, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             s = Segment(payload.as_py())
             data = memoryview(s.ids().astype("<u4", copy=False).tobytes())
             offsets = np.concatenate([[0], np.cumsum(s.lengths)])
+            out["part"] += [part] * len(s.doc_ids)
+            out["seq"] += [seq] * len(s.doc_ids)
             out["doc_id"] += s.doc_ids
-            out["start"] += (offsets[:-1] + shared.value[part, seq]).tolist()
+            out["place"] += offsets[:-1].tolist()
             out["n_tokens"] += s.lengths.tolist()
             out["ids_crc32"] += [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        kinds = {"part": pa.int32(), "seq": pa.int32()}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
-    return common.arrow_map(segments.select("part", "seq", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = common.arrow_map(segments.select("part", "seq", "payload"), run, "part int, seq int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(segments), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,30 @@ def test_token_files_give_the_ids_back(spark, docs, texts, path, repeated, empty
     assert tokenfile.read(tokenfile.write(empty, path, 2)).count() == 0
 
 
+def test_segments_of_many_groups_start_where_the_ones_before_end(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "GROUP", 3)
+    r = np.random.default_rng(5)
+    rows = [(part, seq, int(n)) for part in range(10) for seq, n in enumerate(r.integers(0, 1 << 40, r.integers(0, 4)))]
+    got = {(x["part"], x["seq"]): x["before"] for x in tokenfile.starts(spark.createDataFrame(rows, "part int, seq int, n_ids long")).collect()}
+    at = 0
+    for part, seq, n in rows:
+        assert got[part, seq] == at
+        at += n
+
+
+def test_texts_longer_than_a_segment(spark, path, monkeypatch):
+    long = " ".join(["many words"] * 550_000)  # longer than a segment and than a batch
+    d = spark.createDataFrame([(1, "short"), (2, long), (3, None), (4, "a" * 200_000)], "doc_id long, text string")
+    e, at = tokens.Encoder(path), 0
+    got = {r["doc_id"]: r for r in tokenfile.read(tokenfile.write(d, path, 2)).collect()}
+    for k, t in ((1, "short"), (2, long), (3, ""), (4, "a" * 200_000)):
+        data = e.whole(t) + np.uint32(2).tobytes()
+        assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (at, len(data) // 4, zlib.crc32(data))
+        at += len(data) // 4
+    rows = packing.packed_documents(d).collect()
+    assert sum(r["length"] for r in rows) == at and check_packing(rows, 1024) >= at // 1024
+
+
 def test_prefix_counts_are_the_library_s_at_every_prefix():
     c = prefixcount.WordCounts(common.tokenizer_path("word_bpe_49k.json"))
     r = random.Random(5)
