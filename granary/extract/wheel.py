@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import gc
 import hashlib
 import re
 import zipfile
@@ -127,7 +128,20 @@ def _capped(items: list, key, limit: int, pinned=lambda x: False) -> tuple[list,
 
 
 def extract(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict[str, int], conv: dict, bounds: Bounds = Bounds()) -> dict:
-    """One row of `SCHEMA`."""
+    """One row of `SCHEMA`.
+
+    The collector of cycles rests meanwhile: syntax trees are many objects and no cycles, and
+    to look through them again and again takes as long as to parse."""
+    ran = gc.isenabled()
+    gc.disable()
+    try:
+        return _extracted(content, filename, p, t, limits, conv, bounds)
+    finally:
+        if ran:
+            gc.enable()
+
+
+def _extracted(content: bytes, filename: str, p: Patterns, t: Targets, limits: dict[str, int], conv: dict, bounds: Bounds) -> dict:
     base = {"sha256": hashlib.sha256(content).hexdigest(), "size_bytes": len(content)}
     none = {"py_files": 0, "pyc_files": 0, "py_files_unparsed": 0, "source_available": False, "total_uncompressed_bytes": 0, "skipped": [], "symlinks": []}
     try:
