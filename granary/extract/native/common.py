@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+
 from granary.extract.native import strings
 
 #: Bytes that one name may have, all names of a table, and a strings pass or
@@ -71,6 +73,35 @@ class Patterns:
         some = sorted({*self.beginnings, *self.exact}, key=lambda x: (-len(x), x))
         return re.compile(rb"(?<![^\0])_?(?:" + b"|".join(re.escape(x.encode()) for x in some) + rb")") if some else None
 
+    @cached_property
+    def openings(self) -> np.ndarray:
+        """Which two bytes (the first one low) a name of a group can begin with."""
+        out = np.zeros(1 << 16, bool)
+        for x in {*self.beginnings, *self.exact}:
+            b = x.encode()[:2]
+            first = [b[0]] if b else range(256)
+            for c in [b[1]] if len(b) > 1 else range(256):
+                out[[f | c << 8 for f in first]] = True
+        return out
+
+    def likely(self, table: bytes, at: np.ndarray, abi: str = "") -> tuple[np.ndarray, bool] | None:
+        """Of names at the places `at` of a string table, those that a group may claim, and
+        whether all are there in full; for all names at once.  None where they have to be read
+        one by one: a table with unprinted bytes, or over the bound for all names."""
+        raw = np.frombuffer(table + b"\0\0", np.uint8)
+        if len(table.translate(None, _UNPRINTED)) < len(table):
+            return None
+        ends = np.append(np.flatnonzero(raw[: len(table)] == 0), len(table))
+        place, row = np.unique(at, return_inverse=True)
+        inside = np.minimum(place, len(table))
+        end = ends[np.searchsorted(ends, inside)]
+        if int((end - inside).sum()) > NAMES_BYTES:
+            return None
+        there = (end < len(table)) & (end - inside <= NAME_BYTES)
+        start = np.minimum(inside + (raw[inside] == ord(abi) if abi else 0), len(table))
+        may = there & self.openings[raw[start] | raw[start + 1].astype(np.uint16) << 8]
+        return np.flatnonzero(may[row]), bool(there.all())
+
     def groups_of(self, name: str) -> list[str]:
         found = list(self.exact.get(name, ()))
         if name.startswith(self.beginnings):  # most names begin with none

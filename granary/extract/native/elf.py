@@ -11,6 +11,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
+
 from granary.extract.native.common import STRING_BYTES, Names, Obj, Patterns, add_symbol, cstring, read_strings, strings_only
 from granary.extract.native.strings import go_version
 
@@ -176,10 +178,17 @@ def _symbols(o: Obj, p: Patterns, table: bytes | None, strings: bytes | None, s:
     if table is None or strings is None or (s.entsize and s.entsize != size) or len(table) % size:
         o.reasons.add(reason)
         return (s.size // size, False) if table is None or strings is None else (0, False)
+    wanted = np.dtype([("name", f"{e}u4"), ("info", "u1"), ("other", "u1"), ("index", f"{e}u2"), ("value", f"{e}u8"), ("size", f"{e}u8")])
+    if not wide:
+        wanted = np.dtype([("name", f"{e}u4"), ("value", f"{e}u4"), ("size", f"{e}u4"), ("info", "u1"), ("other", "u1"), ("index", f"{e}u2")])
+    rows = np.frombuffer(table, wanted)
+    some = np.flatnonzero(rows["name"])
+    found = p.likely(strings, rows["name"][some].astype(np.int64))
     names, whole = Names(strings), True
-    for row in struct.iter_unpack(f"{e}IBBHQQ" if wide else f"{e}IIIBBH", table):
-        at, info, index = (row[0], row[1], row[3]) if wide else (row[0], row[3], row[5])
-        name = names.at(at) if at else ""
+    if found is not None:
+        some, whole = some[found[0]], found[1]
+    for at, info, index in zip(rows["name"][some].tolist(), rows["info"][some].tolist(), rows["index"][some].tolist(), strict=True):
+        name = names.at(at)
         if name is None:
             whole = False
         elif name and p.groups_of(name):
@@ -188,4 +197,4 @@ def _symbols(o: Obj, p: Patterns, table: bytes | None, strings: bytes | None, s:
                 add_symbol(o, p, name, "defined" if index else "imported")
     if not whole:
         o.reasons.add(reason)
-    return len(table) // size, whole
+    return len(rows), whole

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+
 from granary.extract.native.common import Names, Obj, Patterns, add_symbol, cstring, read_strings, strings_only
 
 #: Fixed values of the format.
@@ -110,14 +112,24 @@ def _slice(data: bytes, path: str, p: Patterns, vendored: bool) -> Obj:
 def _symbols(o: Obj, p: Patterns, data: bytes, table: tuple[int, int, int, int], e: str, wide: bool) -> None:
     symoff, n, stroff, strsize = table
     size, strings = 16 if wide else 12, data[stroff : stroff + strsize]
-    form = struct.Struct(f"{e}IBBHQ" if wide else f"{e}IBBHI")
     if symoff + n * size > len(data) or len(strings) < strsize:
         o.reasons.add("macho_symtab_incomplete")
         n = max(0, min(n, (len(data) - symoff) // size))
-    named, names, read = 0, Names(strings), set()
-    for i in range(n):
-        at, kind, _, _, value = form.unpack_from(data, symoff + i * size)
-        name = names.at(at) if at else ""
+    kinds = np.dtype([("at", f"{e}u4"), ("kind", "u1"), ("section", "u1"), ("more", f"{e}u2"), ("value", f"{e}u8" if wide else f"{e}u4")])
+    rows = np.frombuffer(data, kinds, n, symoff) if n else np.zeros(0, kinds)
+    names, read = Names(strings), set()
+    some = np.flatnonzero(rows["at"])
+    found = p.likely(strings, rows["at"][some].astype(np.int64), "_")
+    named = 0
+    if found is not None:
+        first = np.frombuffer(strings + b"\0", np.uint8)[np.minimum(rows["at"][some], len(strings))]
+        named = int(((first != 0) & (rows["kind"][some] & 0xE0 == 0)).sum())
+        if not found[1]:
+            o.reasons.add("macho_symtab_incomplete")
+        # aliases are looked at whatever they are called
+        some = some[np.union1d(found[0], np.flatnonzero(rows["kind"][some] & 0x0E == 0x0A))]
+    for at, kind, value in zip(rows["at"][some].tolist(), rows["kind"][some].tolist(), rows["value"][some].tolist(), strict=True):
+        name = names.at(at)
         if name is None:
             o.reasons.add("macho_symtab_incomplete")
             continue
@@ -125,7 +137,7 @@ def _symbols(o: Obj, p: Patterns, data: bytes, table: tuple[int, int, int, int],
             read.add(name.removeprefix("_"))
         if kind & 0xE0 or not name:  # debugging entries
             continue
-        named += 1
+        named += found is None
         add_symbol(o, p, name.removeprefix("_"), "imported" if kind & 0x0E == 0 else "defined")
         if kind & 0x0E == 0x0A and (target := names.at(value)):  # an alias of another name
             if add_symbol(o, p, target.removeprefix("_"), "imported"):

@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 
 from granary.extract.native import elf, macho, strings
@@ -49,6 +50,39 @@ def test_hidden_names():
     assert p.hides_a_name(b"\0_EVP_x\0", set(), "_") and not p.hides_a_name(b"\0_EVP_x\0", {"EVP_x"}, "_")
 
 
+def test_names_all_at_once_are_the_names_one_by_one():
+    """Random tables, places in the middle of names and past the end, names without an end."""
+    p, r = POLICY.patterns(), np.random.default_rng(4)
+    words = [b"EVP_x", b"_EVP_y", b"my_EVP_z", b"MD5_a", b"", b"q", b"_", b"SSL_new", b"helper", b"c" * (NAME_BYTES + 5)]
+    for i in range(200):
+        table = b"\0" + b"\0".join(words[k] for k in r.integers(0, len(words), 12)) + (b"\0" if i % 2 else b"")
+        at = r.integers(0, len(table) + 3, 40)
+        for abi in ("", "_"):
+            n = Names(table)
+            every = [n.at(int(x)) for x in at]
+            claimed = {k for k, x in enumerate(every) if x and p.groups_of(x.removeprefix(abi))}
+            rows_, whole = p.likely(table, at, abi)
+            assert claimed <= set(rows_.tolist()) and whole == (None not in every)
+    assert p.likely(b"\0a\x01b\0", np.array([1])) is None and p.likely(b"\0" + (b"x" * 8000 + b"\0") * 1100, np.arange(1100) * 8001 + 1) is None
+
+
+def test_a_quarter_million_symbols_take_little_time():
+    """Most names begin like none of a group, which is seen of all at once."""
+    import time
+
+    p = POLICY.patterns()
+    many = [f"function_number_{i:06x}" for i in range(250_000)] + ["EVP_DigestInit_ex"]
+    table, at = O.names(*many)
+    data = O.elf([(".dynstr", 3, 2, 0x100, table, "", 0), (".dynsym", 11, 2, 0, O.symbols(*[(at[n], True) for n in many]), ".dynstr", 24)])
+    began = time.process_time()
+    o = elf.read(data, "x.so", p, False)
+    assert time.process_time() - began < 2 and o.symbols == {("openssl", "EVP_DigestInit_ex", "defined")} and o.dynsym_count == len(many) + 1 and not o.reasons
+    image = S.macho([], [(n, True) for n in many])
+    began = time.process_time()
+    o = macho.read(image, "x", p, False)
+    assert time.process_time() - began < 2 and o.symbols == {("openssl", "EVP_DigestInit_ex", "defined")} and not o.reasons and not o.stripped
+
+
 def test_sections_meant_to_be_overlooked():
     p = POLICY.patterns()
     strtab, at = O.names("EVP_DigestInit_ex")
