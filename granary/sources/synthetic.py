@@ -57,7 +57,7 @@ def macho(needed: list[str], symbols: list[tuple[str, bool]], soname: str | None
         body += bytes(-len(body) % 8)
         return struct.pack("<IIIIII", cmd, 24 + len(body), 24, 0, 0, 0) + body
 
-    names, table = bytearray(b"\0"), b""
+    names, table = bytearray(b"\0"), bytearray()
     for name, defined in symbols:
         table += struct.pack("<IBBHQ", len(names), 0x0F if defined else 1, int(defined), 0, 16 if defined else 0)
         names += f"_{name}\0".encode()
