@@ -5,8 +5,10 @@ word that repeats the one before it (one feature for all words, counted as often
 word has byte runs) is a feature, hashed into `BUCKETS` learned vectors.  A document is the average of its
 features' vectors; a softmax layer over it gives the label.  Vectors and layer are
 trained together by stochastic gradient descent in numpy (steps scaled by each bucket's
-own gradients) on a bounded sample of labelled rows.  As the layer is linear, a feature
-adds a fixed number to a document's log-odds, so scoring is one table look-up a feature.
+own gradients) on a bounded sample of labelled rows.  The sample's features lie in a file
+of the driver and are read a row at a time, so its memory does not grow with the length of
+texts.  As the layer is linear, a feature adds a fixed number to a document's log-odds, so
+scoring is one table look-up a feature.
 
 Cases: a null or empty text has no features and gets the share of label 1; a null doc_id
 is scored too; repeated rows are scored each; null labels are not learnt from; without
@@ -15,6 +17,9 @@ labels to learn from all scores are 0.5; no rows give no rows; other columns are
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +59,36 @@ def features(col) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), bucket
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
+class StoredRows:
+    """Rows (buckets, counts, label) by key.  A file without a name has buckets and counts, six
+    bytes a distinct bucket; memory has only the rows' keys, labels and places."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.end = 0
+
+    def append(self, key: int, bucket: np.ndarray, count: np.ndarray, label: int) -> None:
+        self.rows.append((key, label, self.end, len(bucket)))
+        self.end += self.file.write(bucket.astype("<u2").tobytes()) + self.file.write(count.astype("<u4").tobytes())
+
+    def sort(self) -> None:
+        self.rows.sort()
+        self.file.flush()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        _, label, at, n = self.rows[i]
+        both = os.pread(self.file.fileno(), 6 * n, at)
+        return np.frombuffer(both, "<u2", n), np.frombuffer(both, "<u4", n, 2 * n), label
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]] | StoredRows, seed: int = 7) -> tuple[np.ndarray, float]:
     """Each bucket's share of the log-odds of label 1, and the log-odds without features.
 
     rows: (buckets, counts, label)."""
@@ -103,13 +137,21 @@ def learnt_model(labelled: DataFrame, labels: DataFrame, label: str = "quality",
             found += [((key[i:j] % BUCKETS).astype("<u2").tobytes(), pa.compress(count[i:j].astype("<u4").tobytes(), "zstd", asbytes=True)) for i, j in zip(off[:-1], off[1:], strict=True)]
         return pa.RecordBatch.from_pydict({"label": b.column(1), "hash": b.column(2), "buckets": pa.array([x for x, _ in found], pa.binary()), "counts": pa.array([x for _, x in found], pa.binary())})
 
-    rows = common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary").orderBy("hash")  # at most SAMPLE rows of BUCKETS
-    return train([_counted(bytes(r["buckets"]), bytes(r["counts"]), r["label"]) for r in rows.collect()])
+    found = common.kept(common.arrow_map(sample, gather, "label int, hash long, buckets binary, counts binary"), "learnt-features")
+    rows = StoredRows()
+    try:
+        for r in found.toLocalIterator():  # at most SAMPLE rows of BUCKETS, one partition of them at a time
+            rows.append(r["hash"], *_counted(bytes(r["buckets"]), bytes(r["counts"])), r["label"])
+        common.discard(found)
+        rows.sort()
+        return train(rows)
+    finally:
+        rows.close()
 
 
-def _counted(buckets: bytes, counts: bytes, label: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _counted(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     bucket = np.frombuffer(buckets, "<u2")
-    return bucket, np.frombuffer(pa.decompress(counts, 4 * len(bucket), "zstd", asbytes=True), "<u4"), label
+    return bucket, np.frombuffer(pa.decompress(counts, 4 * len(bucket), "zstd", asbytes=True), "<u4")
 
 
 def score(col, model: tuple[np.ndarray, float]) -> np.ndarray:

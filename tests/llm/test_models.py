@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,38 @@ def test_quality_is_learnt_from_rows_that_may_be_learnt_from(labelled, docs, emp
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, s in scores.items() if s >= 0.5}
 
 
+def test_long_learnt_texts_do_not_lie_in_the_drivers_memory(spark):
+    def text(i):  # of about 50,000 distinct features
+        r = random.Random(i)
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ", k=50_000)) + (" good" if i % 2 else " poor") * 2000
+
+    d = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    learnt = [zlib.crc32(str(i).encode()) % 4 != 2 for i in range(120)].count(True)
+    tracemalloc.start()
+    try:
+        table, bias = quality.learnt_model(d, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < learnt * 50_000 * 6 and (quality.score(pa.array([text(0), text(1)]), (table, bias)) >= 0.5).tolist() == [False, True]
+
+
+def test_stored_rows_are_trained_on_as_rows_in_memory():
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        bucket = np.unique(r.integers(0, quality.BUCKETS, 50 * (i % 5))).astype("<u2")
+        rows.append((bucket, r.integers(1, 70_000, len(bucket)).astype("<u4"), i % 2))
+    stored = quality.StoredRows()
+    for i in r.permutation(len(rows)).tolist():
+        stored.append(i - 20, *rows[i])
+    stored.sort()
+    (a, b), (c, d) = quality.train(rows), quality.train(stored)
+    stored.close()
+    assert np.array_equal(a, c) and b == d and a.any()
+
+
 def test_labels_of_held_out_rows_do_not_matter(labelled):
     d, y = labelled
     other = y.withColumn("quality", F.when(common.remainder(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
