@@ -9,8 +9,6 @@ many forms, 14 quotes in a banner, 15 ar members in the BSD form and one cut sho
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,16 +49,12 @@ CALLS = [
 ]
 
 
-def _with(wheel: bytes, drop: str | None = None, change: dict[str, bytes] | None = None) -> bytes:
-    """The wheel without a member of the dist-info folder, and with others replaced or added."""
-    out, new = io.BytesIO(), dict(change or {})
-    with zipfile.ZipFile(io.BytesIO(wheel)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for i in old.infolist():
-            if drop is None or not i.filename.endswith(f".dist-info/{drop}") and not (drop == "*" and ".dist-info/" in i.filename):
-                z.writestr(i, new.pop(i.filename, old.read(i.filename)), zipfile.ZIP_DEFLATED)
-        for name, data in new.items():
-            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data)
-    return out.getvalue()
+def _with(members: dict[str, bytes], drop: str | None = None, change: dict[str, bytes] | None = None) -> bytes:
+    """A wheel of the members without one of the dist-info folder, and with others replaced or
+    added; added ones are stored as they are."""
+    new = dict(change or {})
+    kept = [(n, new.pop(n, data), 0o100644, True) for n, data in members.items() if drop is None or not n.endswith(f".dist-info/{drop}") and not (drop == "*" and ".dist-info/" in n)]
+    return S.zipped([*kept, *((n, data, 0o600, False) for n, data in new.items())])
 
 
 def _bsd(members: dict[str, bytes], tail: bytes = b"") -> bytes:
@@ -104,18 +98,20 @@ def wheel_of(key: int) -> tuple[str, bytes]:
         files[ext] = O.elf([O.text(b"it's OpenSSL 3.0.14 \\ here\0OPENSSLDIR: \"it's\" here")])
     elif shape == 15:
         files[f"{name}/libown.a"] = _bsd({"evp.o": _tables(False), "notes": b"nothing"}, b"short.o/        0")
-    wheel = S.build(name, "1.0", files)
+    members = S.members(name, "1.0", files)
     if shape == 0:
-        wheel = _with(wheel, "*")
+        wheel = _with(members, "*")
     elif shape == 1:
-        wheel = _with(wheel, change={"other-2.0.dist-info/METADATA": b"Name: other\n"})
+        wheel = _with(members, change={"other-2.0.dist-info/METADATA": b"Name: other\n"})
     elif shape in (2, 4, 5):
-        wheel = _with(wheel, {2: "METADATA", 4: "WHEEL", 5: "RECORD"}[shape])
+        wheel = _with(members, {2: "METADATA", 4: "WHEEL", 5: "RECORD"}[shape])
     elif shape == 3:
-        wheel = _with(wheel, change={f"{info}/METADATA": f"Name: {name}\nVersion: 1.0\nSummary: \xff\n".encode("latin-1")})
+        wheel = _with(members, change={f"{info}/METADATA": f"Name: {name}\nVersion: 1.0\nSummary: \xff\n".encode("latin-1")})
     elif shape == 6:
         meta = f"﻿Name: Bit{key}\nVersion: 9\nRequires-Python: >=3.9\nRequires-Dist: Zed.Lib[x]>=1\nRequires-Dist: a_b; extra == 't'\nRequires-Dist: Zed.Lib[x]>=1\nRequires-Dist: !bad\n"
-        wheel = _with(wheel, change={f"{info}/METADATA": meta.encode(), f"{info}/WHEEL": b"Generator: maturin 1.4.0\nRoot-Is-Purelib: FALSE\nTag: cp39-abi3-linux_x86_64\n"})
+        wheel = _with(members, change={f"{info}/METADATA": meta.encode(), f"{info}/WHEEL": b"Generator: maturin 1.4.0\nRoot-Is-Purelib: FALSE\nTag: cp39-abi3-linux_x86_64\n"})
+    else:
+        wheel = _with(members)
     return f"{name}-1.0-py2.py3-none-any.whl", wheel
 
 
@@ -128,4 +124,4 @@ def corpus(parts: DataFrame, key: str = "p_partkey") -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_pydict({"key": b.column(0), "filename": pa.array([n for n, _ in made]), "ordinal": b.column(0), "content": pa.array([c for _, c in made], pa.binary())})
 
-    return parts.select(parts[key].cast("long")).mapInArrow(run, "key long, filename string, ordinal long, content binary")
+    return S.dealt(parts, key).mapInArrow(run, "key long, filename string, ordinal long, content binary")

@@ -1,12 +1,15 @@
 """Readers over objects and sources made here, whole and broken."""
 
+import email.parser
+import email.policy
 import io
 import struct
 import zipfile
 
 import pytest
 
-from granary.extract import wheel
+from granary.extract import metadata, wheel
+from granary.extract.archive import Archive
 from granary.extract.native import ar, elf, macho, pe, strings
 from granary.plans import policy
 from granary.sources import synthetic as S
@@ -119,3 +122,44 @@ def test_archive_and_metadata_errors():
     assert [x["kind"] for x in evidence(b"no zip")["errors"]] == ["bad_zip"]
     e = evidence(S.build("pkg", "1.0", {"pkg-1.0.dist-info/sboms/a.json": b'{"components": [{"name": "ring", "purl": "pkg:cargo/ring@1", "components": [{"name": "OpenSSL"}]}]}', "pkg-1.0.dist-info/sboms/b.json": b"["}))
     assert [(c["name"], c["purl"]) for c in e["sbom"]] == [("OpenSSL", None), ("ring", "pkg:cargo/ring@1")] and [x["kind"] for x in e["errors"]] == ["sbom_parse_error"]
+
+
+@pytest.mark.parametrize("data", [
+    b"A: 1\nB:2\nA:  3 \n",
+    b"A: 1\n\nBody: no\n",
+    b"A: 1\nB: 2",
+    b"A: 1\r\nB: 2\r\n",
+    b"A: 1\n folded\nB: 2\n",
+    b"From me\nA: 1\n",
+    b"A: 1\nno header\nB: 2\n",
+    b": 1\nA: 2\n",
+    b"A: \xc3\xa4\nB: 2\n",
+    b"A: x\x0cy\x1cz\nB: 2\n",
+    b"",
+    b"\n\n",
+])
+def test_plain_headers_are_as_the_parser_reads_them(data):
+    parsed = email.parser.BytesParser(policy=email.policy.compat32).parsebytes(data, headersonly=True).items()
+    strip = lambda pairs: [(k, str(v).strip()) for k, v in pairs]
+    assert strip(metadata._pairs(data)) == strip(parsed)
+
+
+def test_members_read_in_one_step_are_as_zipfile_reads_them():
+    members = [("p/a.py", b"x = 1\n" * 99, 0o100644, True), ("p/b", b"stored", 0o600, False), ("p/c", b"", 0o600, True)]
+    good = S.zipped(members)
+    a = Archive(good)
+    assert [a._plain(i) for i in a.zip.infolist()] == [data for _, data, _, _ in members]
+    for at in range(len(good)):  # whatever is damaged
+        bad = bytearray(good)
+        bad[at] ^= 0x55
+        try:
+            a = Archive(bytes(bad))
+        except (zipfile.BadZipFile, ValueError):
+            continue
+        for name, i in a._info.items():
+            try:
+                wanted = a.zip.read(i)
+            except Exception:
+                wanted = None
+            plain = a._plain(i)
+            assert plain is None or plain == wanted, (at, name)

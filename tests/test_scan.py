@@ -1,14 +1,17 @@
 """The engine end to end: records, sinks, cache, command line and the drop folder."""
 
+import io
 import json
+import zipfile
 
+import pyarrow as pa
 import pytest
 
 from granary.plans import scan as S
 from granary.plans.policy import load
 from granary.sinks import jsonl, report
 from granary.sinks.cache import RecordCache
-from granary.sources import synthetic
+from granary.sources import synthetic, synthetic_objects, synthetic_parts
 
 
 @pytest.fixture(scope="module")
@@ -181,3 +184,37 @@ def test_a_missing_folder_is_an_error(spark, tmp_path):
         S.scan(spark, str(tmp_path / "nothing")).verdicts.collect()
     with pytest.raises(ValueError):
         S.scan(spark)
+
+
+def test_only_relations_asked_for_are_made(spark):
+    parts = spark.range(1, 17).selectExpr("id AS p_partkey", "id AS p_size")
+    made = []
+    s = S.Scan(synthetic.corpus(parts), keep=lambda df, name: made.append(name) or df)
+    s.evidence.schema, s.evidence.schema
+    assert made == ["evidence"]
+    s.linkage.schema
+    assert made == ["evidence", "needed", "postures", "linkage"]
+
+
+@pytest.mark.parametrize("corpus", [synthetic.corpus, synthetic_parts.corpus, synthetic_objects.corpus])
+def test_wheels_are_dealt_to_tasks_by_their_number(spark, corpus):
+    parts = spark.range(3 * synthetic.TASK_WHEELS).coalesce(1).selectExpr("id AS p_partkey", "id AS p_size")
+    assert corpus(parts).rdd.getNumPartitions() == 3
+
+
+def test_archives_are_as_zipfile_writes_them():
+    members = [("a/b.py", b"x = 1\n" * 50, 0o100644, True), ("a/empty", b"", 0o600, False), ("a/none.py", b"", 0o100644, True), ("a/c", b"stored", 0o600, False)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data, mode, deflated in members:
+            i = zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0))
+            i.external_attr = mode << 16
+            z.writestr(i, data, zipfile.ZIP_DEFLATED if deflated else zipfile.ZIP_STORED)
+    assert synthetic.zipped(members) == out.getvalue()
+
+
+def test_rows_are_as_arrow_gives_them():
+    kind = pa.struct([("a", pa.list_(pa.struct([("x", pa.int32()), ("m", pa.map_(pa.string(), pa.string()))]))), ("b", pa.list_(pa.string()))])
+    rows = [{"s": {"a": [{"x": 1, "m": [("k", "v")]}, None], "b": None}}, {"s": None}, {"s": {"a": [], "b": ["u", None]}}, {"s": {"a": None, "b": []}}] * 3
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("s", kind)]))
+    assert S._rows(batch) == batch.to_pylist() == rows and S._rows(batch.slice(1, 6)) == rows[1:7]
