@@ -9,14 +9,13 @@ way to go for a corpus.
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from granary.extract import metadata, wheel
-from granary.extract.archive import Archive
+from granary.extract.archive import UNREADABLE, Archive
 from granary.plans.policy import Policy, load
 
 
@@ -28,7 +27,7 @@ def register(spark: SparkSession, policy: Policy | None = None) -> None:
     def opened(content: bytes | None) -> Archive | None:
         try:
             return Archive(content or b"")
-        except (zipfile.BadZipFile, ValueError, OSError):
+        except UNREADABLE:
             return None
 
     @F.udtf(returnType="name string, size bigint, compressed_size bigint, is_symlink boolean, mode int")
