@@ -363,7 +363,7 @@ def w1(spark, d):
 )
 def w3(spark, d):
     li = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "path")
-    return R.finding_cap(li.select("l_suppkey", "path").distinct(), li.where("l_linenumber = 3"), "l_suppkey", "path", ["l_returnflag"], 8)
+    return R.finding_cap(li.select("l_suppkey", "path"), li.where("l_linenumber = 3"), "l_suppkey", "path", ["l_returnflag"], 8)
 
 
 @query("w5_duplicate_suffix", "SELECT doc_id, CASE WHEN n > 1 THEN lang || '#' || n ELSE lang END AS name FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)")
